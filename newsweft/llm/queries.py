@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsweft.llm import chat, ctw, decontam, mixing, mpeg, quality, sharding, simhash, toxicity
+from newsweft.llm import chat, ctw, decontam, htmlmain, mixing, mpeg, quality, sharding, simhash, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +29,10 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmlmain.extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     extra = spark.sql("select -7L as conv_id, t as turn, element_at(array('user', 'assistant'), cast(t as int) + 1) as role, '</s>[INST] ok [/INST]' as text from (select explode(array(0L, 1L)) as t)")
