@@ -165,7 +165,8 @@ def links(fps: DataFrame) -> DataFrame:
     fp = F.col("fp")
     keyed = fps.select(fp, F.explode(F.concat(*(_signatures(_half(fp, k), 32, k) for k in (0, 1)))).alias("s")).select("fp", "s.sig", "s.bit")
     shared = keyed.groupBy("sig").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    met = materialise(keyed.join(shared, "sig"), "simhash-signatures")
+    # Spark takes the exploded side for as small as its input and would broadcast it.
+    met = materialise(keyed.join(shared.hint("merge"), "sig"), "simhash-signatures")
     small = met.filter(F.col("n") <= SPLIT).select("sig", F.lit(0).cast("bigint").alias("sub"), "fp", "bit")
     # A hot signature is cut by quarters of the other half; a pair keeps its wildcard bit by being in two sub-buckets of one signature.
     other = F.when(F.shiftright("sig", 38) == 0, _half(fp, 1)).otherwise(_half(fp, 0))
@@ -237,5 +238,5 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     id_text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     best = _grouped(docs, doc_id, text).groupBy("label").agg(F.min_by(F.struct("row_key", "doc_id"), F.struct(F.col("doc_id").isNull(), "doc_id", "row_key")).alias("k"))
     kept = best.select(F.col("k.row_key").alias(one), id_text("k.doc_id").alias(two))
-    rows = docs.withColumns({one: _row_key(doc_id, text), two: id_text(doc_id)}).join(kept, [one, two], "left_semi")
+    rows = docs.withColumns({one: _row_key(doc_id, text), two: id_text(doc_id)}).join(kept.hint("merge"), [one, two], "left_semi")
     return rows.dropDuplicates([one, two]).select(*docs.columns)
