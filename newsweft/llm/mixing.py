@@ -73,12 +73,12 @@ def when_demanded(fraction: Column, schedule: Sequence[float]) -> Column:
     return out.otherwise(F.lit(1.0))
 
 
-def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", size: Column | None = None, weights: Sequence[float] = WEIGHTS, schedules: Sequence[Sequence[float]] = SCHEDULES, share: float = SHARE) -> DataFrame:
+def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", size: Column | None = None, weights: Sequence[float] = WEIGHTS, schedules: Sequence[Sequence[float]] = SCHEDULES, share: float = SHARE, ordered: bool = True) -> DataFrame:
     """``docs`` with size, source_size, target, taken, first_pass, second_pass, position: the mix's share of each row.
 
     ``taken`` counts the words that the mix takes of a row, up to twice its size; a source's ``taken`` add up to its
     target rounded. ``position`` is the training time of the row's first pass, ``second_position`` of its second, null
-    where there is none. The rows are range-sorted by position, those that are not taken last. Null sources are one
+    where there is none. If ``ordered``, the rows are range-sorted by position, those that are not taken last. Null sources are one
     source, null texts have size 0 and are never taken, repeated rows count each; columns of ``docs`` with the names
     of results give way to them. Empty input gives an empty result.
     """
@@ -111,8 +111,9 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", size: C
         found = found.withColumn(name, when)
     new = ["size", "source_size", "target", "taken", "first_pass", "second_pass", "position", "second_position"]
     out = found.withColumn("taken", F.col("first_pass") + F.col("second_pass"))
-    sorted_ = out.orderBy(F.col("position").asc_nulls_last(), "h", row_id)
-    return sorted_.select(*[F.col(f"row.`{c}`") for c in docs.columns if c.lower() not in new], *new)
+    if ordered:
+        out = out.orderBy(F.col("position").asc_nulls_last(), "h", row_id)
+    return out.select(*[F.col(f"row.`{c}`") for c in docs.columns if c.lower() not in new], *new)
 
 
 def mixture(docs: DataFrame, **options) -> DataFrame:
@@ -121,6 +122,6 @@ def mixture(docs: DataFrame, **options) -> DataFrame:
     It has the columns of ``docs`` alone. A row without words is never demanded, so it goes.
     """
     marks = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *[F.col(f"`{c}`") for c in ("doc_id", "source", "text")])
-    mixed = mix(marks.withColumn("words", word_count(F.col("text"))).select("row", "doc_id", "source", "words"), size=F.col("words"), **options)
+    mixed = mix(marks.withColumn("words", word_count(F.col("text"))).select("row", "doc_id", "source", "words"), size=F.col("words"), ordered=False, **options)
     passes = F.filter(F.array(F.struct(F.col("first_pass").alias("n"), F.col("position").alias("at")), F.struct(F.col("second_pass").alias("n"), F.col("second_position").alias("at"))), lambda p: p["n"] * 2 >= F.greatest(F.col("size"), F.lit(1)))
     return mixed.select("row", F.explode(passes).alias("p")).orderBy("p.at", F.col("row").getField("doc_id")).select("row.*")
