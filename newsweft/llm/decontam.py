@@ -202,7 +202,8 @@ def _matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     found = docs.select("doc_id", _row_key().alias("row_key"), "text").mapInArrow(_regions(shared, masks), f"doc_id {kind['doc_id']}, row_key bigint, words array<bigint>, at array<int>, hash array<bigint>")
     regions = materialise(found.withColumn("rid", F.monotonically_increasing_id()), "benchmark-regions")
     hits = regions.select("rid", F.explode(F.arrays_zip("at", "hash")).alias("s")).select("rid", F.col("s.at").alias("doc_at"), "s.hash")
-    lines = hits.join(seeds, "hash").select("rid", "iid", (F.col("doc_at") - F.col("item_at")).alias("diagonal")).distinct()
+    # Spark takes the exploded side for as small as its input and might broadcast it.
+    lines = hits.join(seeds.hint("merge"), "hash").select("rid", "iid", (F.col("doc_at") - F.col("item_at")).alias("diagonal")).distinct()
     full = lines.join(regions.select("rid", "doc_id", "row_key", "words"), "rid").join(items.select("iid", "item_id", F.col("words").alias("item_words")), "iid")
     return full.select("doc_id", "row_key", "item_id", "words", "item_words", "diagonal").mapInArrow(_verify, f"doc_id {kind['doc_id']}, row_key bigint, item_id {kind['item_id']}, n_words int, n_same int")
 

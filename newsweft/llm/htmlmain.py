@@ -48,6 +48,7 @@ _KINDS = (
 )
 _PATTERNS = [re.compile(rf"(?<![a-z])(?:{p})(?![a-z])") for _, p in _KINDS]
 _NO_KIND = len(_KINDS)
+_CONTENT = _NO_KIND - 1
 _TOKEN = re.compile(r"<(?:(!--)|(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^\"'<>]++|\"[^\"]*+\"|'[^']*+')*+)>|(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*+)>|[!?/][^>]*+>)")
 _NAMED = re.compile(r"""(?:^|[\s"'/])(class|id|role|data-y|hidden|aria-label)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 _END_RAW = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>", re.I) for t in _RAW}
@@ -173,7 +174,8 @@ def parse(source: str) -> Page:
 
 _SIZES, _LINKS = 5, 3
 _CELLS = (len(_GROUPS), len(_KINDS) + 1, _SIZES * _LINKS)
-_EDGES = 3
+_EDGES = 5
+_REGION, _ASIDE = frozenset((_GROUP["article"], _GROUP["main"])), frozenset(_GROUP[t] for t in ("nav", "footer", "aside", "form", "header"))
 
 
 def _size_bin(chars: int, linked: int) -> int:
@@ -182,8 +184,11 @@ def _size_bin(chars: int, linked: int) -> int:
     return size * _LINKS + share
 
 
-def _edge(kind: int) -> int:
-    return 1 if kind == _NO_KIND else 2 if kind == _NO_KIND - 1 else 0
+def _edge(kind: int, group: int) -> int:
+    """Which potential ties a node to its parent: by what its names say, else by what its tag says."""
+    if kind < _CONTENT:
+        return 0
+    return 3 if group in _REGION else 4 if group in _ASIDE else 2 if kind == _CONTENT else 1
 
 
 @dataclass
@@ -203,7 +208,7 @@ class Model:
             b0[i], b1[i] = t[0] * k[0] * s[0], t[1] * k[1] * s[1]
         up: list[tuple[float, float]] = [(1.0, 1.0)] * n
         for i in range(n - 1, 0, -1):
-            e, p = self.edge[_edge(page.kind[i])], page.parent[i]
+            e, p = self.edge[_edge(page.kind[i], page.group[i])], page.parent[i]
             total = b0[i] + b1[i]
             x, y = b0[i] / total, b1[i] / total
             m0, m1 = e[0][0] * x + e[0][1] * y, e[1][0] * x + e[1][1] * y
@@ -214,7 +219,7 @@ class Model:
         full0[0], full1[0] = self.root[0] * b0[0], self.root[1] * b1[0]
         for i in range(n):
             if i:
-                e, p, (m0, m1) = self.edge[_edge(page.kind[i])], page.parent[i], up[i]
+                e, p, (m0, m1) = self.edge[_edge(page.kind[i], page.group[i])], page.parent[i], up[i]
                 c0, c1 = full0[p] / m0, full1[p] / m1
                 full0[i], full1[i] = (c0 * e[0][0] + c1 * e[1][0]) * b0[i], (c0 * e[0][1] + c1 * e[1][1]) * b1[i]
             total = full0[i] + full1[i]
@@ -237,7 +242,7 @@ def train(pages: Iterable[str]) -> Model:
             if p < 0:
                 root[y] += 1
             else:
-                edge[_edge(page.kind[i]), page.label[p], y] += 1
+                edge[_edge(page.kind[i], page.group[i]), page.label[p], y] += 1
     root /= root.sum()
     edge /= edge.sum(2, keepdims=True)
     return Model(tuple(root), edge.tolist(), [[tuple(v) for v in (e / e.sum(0)).tolist()] for e in emit])
@@ -287,12 +292,12 @@ def labelled_pages(n: int = 400, seed: int = 11) -> Iterator[str]:
         return el(pick("section", "div", "div", "aside"), 0, inner, pick("comments", "comment-list", "reader-comments", "discussion"))
 
     def text() -> str:
-        out = []
+        out, most = [], pick(120, 120, 15)
         for _ in range(r.randint(1, 14)):
             out.append(
                 r.choices(
                     [
-                        lambda: el("p", 1, say(12, 120)),
+                        lambda: el("p", 1, say(min(12, most // 3), most)),
                         lambda: el("p", 1, say(1, 10)),
                         lambda: el("p", 1, say(10, 40) + f" <a href=#>{say(1, 3)}</a> " + say(5, 30)),
                         lambda: el(pick("h2", "h3"), 1, say(1, 8)),
@@ -316,7 +321,7 @@ def labelled_pages(n: int = 400, seed: int = 11) -> Iterator[str]:
         talk = comments() if r.random() < 0.35 else ""
         if layout < 0.55:
             middle = el("article", 1, inner + (talk if r.random() < 0.3 else ""), pick("", "", "post", "hentry")) + (talk if r.random() < 0.7 else "")
-            middle = pick(middle, middle, el("main", 0, middle), el("div", 0, middle, pick("container", "wrapper", "content")), el("section", 0, middle))
+            middle = pick(middle, middle, el("main", 1, middle), el("div", 0, middle, pick("container", "wrapper", "content")), el("section", 0, middle))
         elif layout < 0.65:
             middle = el("main", 1, inner, pick("", "content")) + talk
         elif layout < 0.85:

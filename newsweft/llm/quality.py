@@ -222,7 +222,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int =
     for r in sample.select("text").mapInArrow(_context_sums(vocabulary), "slot bigint, v array<double>").collect():
         total[r["slot"]] += r["v"]
     total /= np.maximum(np.linalg.norm(total, axis=1, keepdims=True), 1e-9)
-    vectors = Vectors(vocabulary, total[: len(vocabulary)].astype(np.float32), total[len(vocabulary) :].astype(np.float32))
+    words_ = np.concatenate([total[: len(vocabulary)], np.zeros((1, DIM))])  # a row to look at where there is no vocabulary
+    vectors = Vectors(vocabulary, words_.astype(np.float32), total[len(vocabulary) :].astype(np.float32))
     got = sample.mapInArrow(_features(vectors), "doc_id string, y int, x array<float>" if dict(sample.dtypes)["doc_id"] == "string" else "doc_id bigint, y int, x array<float>").collect()
     got.sort(key=lambda r: (r["doc_id"], r["x"]))
     return Model(vectors, train_network(np.array([r["x"] for r in got]), np.array([float(r["y"]) for r in got])), counts.get(1, 0) / sum(counts.values()))

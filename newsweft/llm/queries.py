@@ -65,5 +65,19 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
+def _chat_sql() -> str:
+    """The chat digests in SQL: escapes lengthen a text by its backslashes and by each control string in it."""
+    quoted = [c.replace("'", "''") for c in chat.CONTROLS]
+    found = " + ".join(f"cast((length(text) - length(replace(text, '{c}', ''))) / {len(c)} as bigint)" for c in quoted)
+    return f"""with r as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+        union all select -7, t, case t when 0 then 'user' else 'assistant' end, '</s>[INST] ok [/INST]' from range(2) x(t)),
+    e as (select *, length(text) - length(replace(text, '\\', '')) + {found} as extra from r)
+    select conv_id, cast(count(*) as bigint) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+        cast(coalesce(sum(length(text)) filter (where role = 'assistant'), 0) as bigint) as loss_chars,
+        sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (where role = 'assistant'), '')) as loss_sha256,
+        cast(sum({len(chat.START)} + length(role) + 1 + length(text) + extra + {len(chat.END)} + 1) as bigint) as formatted_chars
+    from e group by conv_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_chat_formatting": _chat_sql()}

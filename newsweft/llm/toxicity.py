@@ -162,7 +162,7 @@ def fit_label_model(ballots: np.ndarray, known: np.ndarray | None = None) -> tup
         q = np.where(known >= 0, np.where(known == 1, 1 - LABEL_NOISE, LABEL_NOISE), q)
     parent, model = np.full(v.shape[1], -1), None
     for k in range(ROUNDS):
-        if k == ROUNDS // 2:
+        if k in (1, ROUNDS // 2):
             parent = _ties(v, q)
         model = LabelModel(float(np.clip(q.mean(), 0.001, 0.999)), parent, _tables(v, q, parent))
         alone = model.posterior(ballots)
@@ -261,7 +261,7 @@ def mine(sample: DataFrame, clean: int) -> Voters:
 
     cleans = np.zeros(asked.lexical, np.int64)
     for r in sample.select("text", "y").mapInArrow(count, "n array<bigint>").collect():
-        cleans += np.array(r["n"])
+        cleans += np.array(r["n"], np.int64)
     if not clean:
         return Voters(pa.array(LEXICON, pa.large_string()), tuple((n, pa.array([], pa.large_string())) for n in STEM_LENGTHS))
     order = {0: len(STEM_LENGTHS), **{k: i for i, k in enumerate(STEM_LENGTHS)}}
