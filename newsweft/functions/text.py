@@ -119,7 +119,7 @@ def backoff(failures: Column, base: float = 120, most: float = 3600, steps: int
 
 def truncate_error(text: Column, most: int = 16384) -> Column:
     """At most so many bytes, cut between characters."""
-    return F.when(F.octet_length(text) <= most, text).otherwise(F.regexp_replace(F.decode(F.substring(F.encode(text, "UTF-8"), 1, most), "UTF-8"), "�+$", ""))
+    return F.when(F.octet_length(text) <= most, text).otherwise(F.regexp_replace(F.make_valid_utf8(F.substring(F.encode(text, "UTF-8"), 1, most).cast("string")), "\ufffd+$", ""))
 
 
 # What a security's name adds to its issuer's, and words that mark a share class or a company.

@@ -85,25 +85,22 @@ def _q_duplicates(r: Relations) -> DataFrame:
 def shards(lines: DataFrame, records: int = SHARD_RECORDS, size: int = SHARD_BYTES) -> DataFrame:
     """(month, prefix, record_count, byte_count, first, last) of adaptive shards over (month, document_id, bytes).
 
-    A shard is the shortest hash prefix within both bounds. Sums for all nine prefix lengths come from one pass: the
-    longest prefix is summed over the rows, each shorter one over the sums of the next. A prefix is a shard when it is
-    within the bounds, or as deep as can be, or alone, while its parent is not.
+    A shard is the shortest hash prefix within both bounds. Rows are summed once to the longest prefixes; those sums
+    are dealt to all their nine prefixes and summed again, map-side first. A prefix is a shard when it is within the
+    bounds, or as deep as can be, or alone, while its parent is not.
     """
-    level = lines.groupBy("month", F.substring("document_id", 1, DEEPEST_PREFIX).alias("prefix")).agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("b"), F.min("document_id").alias("first"), F.max("document_id").alias("last"))
-    levels = [level]
-    for k in range(DEEPEST_PREFIX - 1, -1, -1):
-        level = level.groupBy("month", F.substring("prefix", 1, k).alias("prefix")).agg(F.sum("n").alias("n"), F.sum("b").alias("b"), F.min("first").alias("first"), F.max("last").alias("last"))
-        levels.append(level)
-    whole = levels[0]
-    for one in levels[1:]:
-        whole = whole.unionByName(one)
+    deepest = lines.groupBy("month", F.substring("document_id", 1, DEEPEST_PREFIX).alias("full")).agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("b"), F.min("document_id").alias("first"), F.max("document_id").alias("last"))
+    each = deepest.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(DEEPEST_PREFIX)))).withColumn("prefix", F.substr("full", F.lit(1), F.col("k")))
+    whole = each.groupBy("month", "prefix").agg(F.sum("n").alias("n"), F.sum("b").alias("b"), F.min("first").alias("first"), F.max("last").alias("last"))
     split = ((F.col("n") > records) | (F.col("b") > size)) & (F.length("prefix") < DEEPEST_PREFIX) & (F.col("n") > 1)
-    marked = whole.withColumn("split", split)
-    parents = marked.filter("split").select("month", F.col("prefix").alias("up"), F.length("prefix").alias("len"))
-    leaves = marked.filter("not split").withColumn("depth", F.length("prefix"))
-    kept = leaves.join(parents, (leaves["month"] == parents["month"]) & (F.substr(leaves["prefix"], F.lit(1), leaves["depth"] - 1) == parents["up"]) & (parents["len"] == leaves["depth"] - 1), "left")
-    kept = kept.filter((F.col("depth") == 0) | F.col("up").isNotNull())
-    return kept.select(leaves["month"], "prefix", F.col("n").alias("record_count"), F.col("b").alias("byte_count"), "first", "last")
+    # A split prefix tells its sixteen children so: one more aggregate instead of a join with all prefixes.
+    whole = whole.withColumn("split", split)
+    none = F.lit(None)
+    own = F.struct("prefix", "n", "b", "first", "last", F.col("split").alias("split"), F.lit(False).alias("told"))
+    child = F.transform(F.array(*map(F.lit, "0123456789abcdef")), lambda d: F.struct(F.concat("prefix", d).alias("prefix"), none.cast("bigint").alias("n"), none.cast("bigint").alias("b"), none.cast("string").alias("first"), none.cast("string").alias("last"), none.cast("boolean").alias("split"), F.lit(True).alias("told")))
+    dealt = whole.select("month", F.explode(F.concat(F.array(own), F.when(F.col("split"), child).otherwise(F.array()))).alias("x")).select("month", "x.*")
+    known = dealt.groupBy("month", "prefix").agg(F.max("n").alias("record_count"), F.max("b").alias("byte_count"), F.max("first").alias("first"), F.max("last").alias("last"), F.max("split").alias("split"), F.max("told").alias("told"))
+    return known.filter("record_count is not null and not split and (told or prefix = '')").drop("split", "told")
 
 
 def _shard_sql(records: int, size: int) -> str:

@@ -31,6 +31,7 @@ def _load() -> None:
     import newsweft.operators.archive
     import newsweft.operators.content
     import newsweft.operators.gates
+    import newsweft.operators.policies
     import newsweft.operators.reads
     import newsweft.operators.state
     import newsweft.streaming.folds  # noqa: F401
