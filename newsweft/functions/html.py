@@ -7,6 +7,7 @@ The functions run in Arrow UDFs, a batch of pages at a time.
 from __future__ import annotations
 
 import html as _html
+import json
 import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
@@ -451,6 +452,43 @@ def page_links(source: Column | str, base: Column | str) -> Column:
     return F.pandas_udf(_page_links, LINKS)(source, base)
 
 
+_DATA = re.compile(r"<script[^>]*(?:id=[\"']__NEXT_DATA__[\"']|data-sveltekit-fetched|type=[\"']application/json[\"'])[^>]*>(.*?)</script>", re.S | re.I)
+_TEXTS, _TITLES, _URLS = ("body", "content", "articleBody", "html", "text"), ("title", "headline", "name"), ("url", "slug", "path", "canonicalUrl", "href")
+MOST_DEPTH, MOST_NODES = 64, 50_000
+
+
+def embedded_article(source: str | None, url: str | None) -> dict | None:
+    """The article in a page's embedded JSON: the object with title and text whose address ends like the page's, else the longest.
+
+    The walk is bounded in depth and nodes and goes breadth first, so the outermost objects are seen before the bound.
+    """
+    tail = (urlsplit(url or "").path.rstrip("/").rsplit("/", 1)[-1] or "/").lower()
+    best: tuple | None = None
+    for m in _DATA.finditer(source or ""):
+        try:
+            level, seen = [json.loads(_html.unescape(m[1]) if "&quot;" in m[1] else m[1])], 0
+        except ValueError:
+            continue
+        for _ in range(MOST_DEPTH):
+            below: list = []
+            for x in level:
+                seen += 1
+                if isinstance(x, dict):
+                    title, text = (next((x[k] for k in keys if isinstance(x.get(k), str) and x[k].strip()), None) for keys in (_TITLES, _TEXTS))
+                    if title and text:
+                        same = any(isinstance(x.get(k), str) and x[k].rstrip("/").lower().endswith(tail) for k in _URLS)
+                        rank = (same, len(text), -seen)
+                        if best is None or rank > best[0]:
+                            best = (rank, {"title": " ".join(title.split()), "text": plain_text(text)})
+                    below += x.values()
+                elif isinstance(x, list):
+                    below += x
+            level = below[: max(0, MOST_NODES - seen)]
+            if not level:
+                break
+    return best[1] if best else None
+
+
 def structure_fingerprint(source: str | None) -> list[str]:
     return sorted({f"{e[1]}|{' '.join(sorted((dict(e[2]).get('class') or '').split())[:8])}" for e in events(source or "") if e[0] == "open"})
 

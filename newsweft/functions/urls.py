@@ -249,6 +249,14 @@ def upgraded_redirect(page: Column, target: Column) -> Column:
     return F.when(down, F.regexp_replace(target, r"^http:", "https:")).otherwise(target)
 
 
+def repaired_path(path_: Column) -> Column:
+    """A percent-encoded path whose UTF-8 was taken for Latin-1 and encoded again, decoded once; else the path as it is."""
+    text = F.try_url_decode(path_)
+    latin = F.when(text.rlike(r"^[\x00-\xff]*$") & text.rlike(r"[\x80-\xff]"), text)
+    fixed = F.try_validate_utf8(F.encode(latin, "ISO-8859-1").cast("string"))
+    return F.when(fixed.isNotNull(), F.replace(F.replace(F.url_encode(fixed), F.lit("%2F"), F.lit("/")), F.lit("+"), F.lit("%20"))).otherwise(path_)
+
+
 def is_public_ipv4(address: Column) -> Column:
     """None of the reserved IPv4 ranges."""
     o = F.transform(F.split(address, r"\."), lambda x: F.expr("try_cast(1 as int)") * x.try_cast("int"))

@@ -130,10 +130,19 @@ def number_rows(rows: DataFrame, order: list[str], name: str, parts: int = 64) -
 
 @query("browse_pages", f"with {_NAMES}, {_PROJECT}, n as (select *, row_number() over (partition by export_key order by shown_at desc, fetched_at desc, id) - 1 as i from articles) select export_key, cast(i // 50 + 1 as bigint) as page, cast(count(*) as bigint) as n_articles, min(id) as least_id from n group by all")
 def _q_browse(r: Relations) -> DataFrame:
-    """Fixed pages of fifty for each company, newest first."""
-    place = F.row_number().over(Window.partitionBy("export_key").orderBy(F.desc("at"), F.desc("fetched_at"), "id")) - 1
-    rows = project_articles(r).select("export_key", "id", F.floor(place / BROWSE_PAGE).cast("bigint").alias("page"))
-    return rows.groupBy("export_key", (F.col("page") + 1).alias("page")).agg(F.count(F.lit(1)).alias("n_articles"), F.min("id").alias("least_id"))
+    """Fixed pages of fifty for each company, newest first.
+
+    An article's place is its place within its day after all later days' articles, so that a company with a third of
+    all articles is sorted a day at a time.
+    """
+    rows = project_articles(r).select("export_key", "id", "at", "fetched_at", F.col("at").cast("date").alias("day"))
+    days = rows.groupBy("export_key", "day").agg(F.count(F.lit(1)).alias("n"))
+    later = Window.partitionBy("export_key").orderBy(F.desc("day")).rowsBetween(Window.unboundedPreceding, -1)
+    starts = days.select("export_key", "day", F.coalesce(F.sum("n").over(later), F.lit(0)).alias("start"))
+    place = F.row_number().over(Window.partitionBy("export_key", "day").orderBy(F.desc("at"), F.desc("fetched_at"), "id")) - 1
+    placed = rows.withColumn("i", place).join(starts, ["export_key", "day"])
+    paged = placed.select("export_key", "id", (F.floor((F.col("start") + F.col("i")) / BROWSE_PAGE) + 1).cast("bigint").alias("page"))
+    return paged.groupBy("export_key", "page").agg(F.count(F.lit(1)).alias("n_articles"), F.min("id").alias("least_id"))
 
 
 @query("company_directory", f"with {_NAMES}, {_PROJECT} select export_key, case when regexp_matches(lower(substr(any_value(export_name), 1, 1)), '[a-z]') then lower(substr(any_value(export_name), 1, 1)) when regexp_matches(substr(any_value(export_name), 1, 1), '[0-9]') then '0-9' else 'other' end as bucket, cast(count(*) as bigint) as n_articles, cast(min(published_at) as string) as first_at, cast(max(published_at) as string) as last_at, cast(count(distinct month) as bigint) as n_months from articles group by export_key")
@@ -147,24 +156,36 @@ def _q_months(r: Relations) -> DataFrame:
     return project_articles(r).groupBy("export_key", "month").agg(F.count(F.lit(1)).alias("n_articles"))
 
 
+def _ordered_hash(value: Column, *order: str) -> Column:
+    """The hash of a group's values, one to a line, in order."""
+    rows = F.array_sort(F.collect_list(F.struct(*order, value.alias("v"))))
+    return F.sha2(F.array_join(F.transform(rows, lambda x: x["v"]), "\n"), 256)
+
+
 def generation_ids(lines: DataFrame) -> DataFrame:
-    """(month, generation): a hash over the month's ordered article lines, each hashed first, so that one row is small.
+    """(month, generation): a hash over the month's article lines in order of their ids.
 
-    The whole archive's id hashes its months' ids: no task ever holds more than one month's hashes.
+    Lines are hashed, then the lines of each four-digit id prefix, then the month's prefixes, of which there are at
+    most 65,536: no task holds more than a prefix's lines. Fetch times are no part of it.
     """
     fields = F.sha2(F.concat_ws(T.NUL, "document_id", "export_key", "canonical_url", "title", "content_hash"), 256)
-    return lines.groupBy("month").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("document_id", fields.alias("h")))), lambda x: x["h"]), "\n"), 256).alias("generation"))
+    part = lines.groupBy("month", F.substring("document_id", 1, 4).alias("prefix")).agg(_ordered_hash(fields, "document_id").alias("g"))
+    return part.groupBy("month").agg(_ordered_hash(F.concat("prefix", F.lit("="), "g"), "prefix").alias("generation"))
+
+
+_MONTHS = "gp as (select month, substr(document_id, 1, 4) as prefix, sha256(string_agg(sha256(document_id || chr(0) || export_key || chr(0) || canonical_url || chr(0) || title || chr(0) || content_hash), chr(10) order by document_id)) as g from articles group by all), gm as (select month, sha256(string_agg(prefix || '=' || g, chr(10) order by prefix)) as generation from gp group by month)"
 
 
-@query("generation_ids", f"with {_NAMES}, {_PROJECT} select month, sha256(string_agg(sha256(document_id || chr(0) || export_key || chr(0) || canonical_url || chr(0) || title || chr(0) || content_hash), chr(10) order by document_id)) as generation from articles group by month")
+@query("generation_ids", f"with {_NAMES}, {_PROJECT}, {_MONTHS} select * from gm")
 def _q_generation(r: Relations) -> DataFrame:
     return generation_ids(project_articles(r))
 
 
-@query("archive_generation", f"with {_NAMES}, {_PROJECT}, m as (select month, sha256(string_agg(sha256(document_id || chr(0) || export_key || chr(0) || canonical_url || chr(0) || title || chr(0) || content_hash), chr(10) order by document_id)) as g from articles group by month) select sha256(string_agg(month || '=' || g, chr(10) order by month)) as generation, cast(count(*) as bigint) as n_months from m")
+@query("archive_generation", f"with {_NAMES}, {_PROJECT}, {_MONTHS} select sha256(string_agg(month || '=' || generation, chr(10) order by month)) as generation, cast(count(*) as bigint) as n_months from gm")
 def _q_whole_generation(r: Relations) -> DataFrame:
+    """One id for the archive: over its months' ids, a row each."""
     months = generation_ids(project_articles(r))
-    return months.agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat("month", F.lit("="), "generation"))), "\n"), 256).alias("generation"), F.count(F.lit(1)).alias("n_months"))
+    return months.agg(_ordered_hash(F.concat("month", F.lit("="), "generation"), "month").alias("generation"), F.count(F.lit(1)).alias("n_months"))
 
 
 def markdown_document(rows: DataFrame) -> Column:
