@@ -16,7 +16,7 @@ SCHEMA = f"schema_version string, source struct<name:string,revision:string,gene
 
 
 def read_universe(spark: SparkSession, path: str) -> DataFrame:
-    """One row for each company of the file, with the source's name, the file's SHA-256 and its size."""
+    """One row for each company of the one file at ``path``, with the source's name, the file's SHA-256 and its size."""
     whole = spark.read.schema(SCHEMA).option("multiLine", True).json(path)
     digest = spark.read.format("binaryFile").load(path).select(F.sha2("content", 256).alias("input_sha256"), F.col("length").alias("input_bytes"))
     rows = whole.select("schema_version", F.col("source.name").alias("source_name"), F.posexplode("companies").alias("row_number", "c"))
