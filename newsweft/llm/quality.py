@@ -139,7 +139,7 @@ def train_network(x: np.ndarray, y: np.ndarray, seed: int = SEED) -> Network:
         if now < best[0]:
             best = (now, [p.copy() for p in params])
     p = best[1]
-    temperature = min(np.geomspace(0.25, 8, 61), key=lambda t: loss(p, held, t))
+    temperature = min(np.geomspace(0.5, 8, 57), key=lambda t: loss(p, held, t))
     return Network(net.mean, net.scale, p[0], p[1], p[2], float(p[3][0]), float(temperature))
 
 
@@ -176,7 +176,7 @@ def _context_sums(vocabulary: pa.Array):
                     ok = sorted_[first] >= 0
                     total[sorted_[first][ok]] += sums[ok]
         used = np.flatnonzero(np.abs(total).sum(1))
-        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used].tolist(), pa.list_(pa.float64()))], ["slot", "v"])
+        yield pa.RecordBatch.from_arrays([pa.array(used), *(pa.array(total[used, k]) for k in range(DIM))], ["slot", *(f"v{k}" for k in range(DIM))])
 
     return step
 
@@ -212,21 +212,23 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int) -
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int = FIT_ROWS) -> Model:
     """A model from at most ``rows`` labelled rows; without both labels among them it is their share, 0.5 for none."""
-    sample = materialise(labelled_sample(docs, labels, label, rows).repartition(8, "doc_id"), "quality-sample")
+    sample = materialise(labelled_sample(docs, labels, label, rows).repartition(8, "doc_id"), "quality-sample").coalesce(8)
     counts = {r["y"]: r["n"] for r in sample.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(counts) < 2:
         return Model(None, None, 0.5 if not counts else float(next(iter(counts))))
     words = sample.mapInArrow(_count_words, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")).filter(F.col("n") >= LEAST_DOCS)
     vocabulary = pa.array([r["word"] for r in words.orderBy(F.desc("n"), "word").limit(VOCABULARY).collect()], pa.large_string())
     total = np.zeros((len(vocabulary) + SHAPES, DIM))
-    for r in sample.select("text").mapInArrow(_context_sums(vocabulary), "slot bigint, v array<double>").collect():
-        total[r["slot"]] += r["v"]
+    parts = sample.select("text").mapInArrow(_context_sums(vocabulary), "slot bigint, " + ", ".join(f"v{k} double" for k in range(DIM)))
+    sums = parts.groupBy("slot").agg(*(F.sum(f"v{k}").alias(f"v{k}") for k in range(DIM))).toPandas()
+    total[sums["slot"].to_numpy()] = sums[[f"v{k}" for k in range(DIM)]].to_numpy()
     total /= np.maximum(np.linalg.norm(total, axis=1, keepdims=True), 1e-9)
     words_ = np.concatenate([total[: len(vocabulary)], np.zeros((1, DIM))])  # a row to look at where there is no vocabulary
     vectors = Vectors(vocabulary, words_.astype(np.float32), total[len(vocabulary) :].astype(np.float32))
-    got = sample.mapInArrow(_features(vectors), "doc_id string, y int, x array<float>" if dict(sample.dtypes)["doc_id"] == "string" else "doc_id bigint, y int, x array<float>").collect()
-    got.sort(key=lambda r: (r["doc_id"], r["x"]))
-    return Model(vectors, train_network(np.array([r["x"] for r in got]), np.array([float(r["y"]) for r in got])), counts.get(1, 0) / sum(counts.values()))
+    got = sample.mapInArrow(_features(vectors), "doc_id string, y int, x array<float>" if dict(sample.dtypes)["doc_id"] == "string" else "doc_id bigint, y int, x array<float>").toPandas()
+    x, ids = np.stack(got["x"].to_numpy()), got["doc_id"].to_numpy()
+    order = np.lexsort((*x.T[::-1], ids))
+    return Model(vectors, train_network(x[order], got["y"].to_numpy(float)[order]), counts.get(1, 0) / sum(counts.values()))
 
 
 def score(docs: DataFrame, model: Model, out: str = "score", text: str = "text") -> DataFrame:

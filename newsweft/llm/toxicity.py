@@ -298,7 +298,7 @@ def mine(sample: DataFrame, clean: int) -> Voters:
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = FIT_ROWS) -> Model:
     """A model from at most ``rows`` labelled rows; with no labels it flags by the seed lexicon's voters alone."""
-    sample = materialise(labelled_sample(docs, labels, label, rows).repartition(8, "doc_id"), "toxicity-sample")
+    sample = materialise(labelled_sample(docs, labels, label, rows).repartition(8, "doc_id"), "toxicity-sample").coalesce(8)
     counts = {r["y"]: r["n"] for r in sample.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts:
         return Model(None, None, 0.0)
