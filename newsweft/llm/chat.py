@@ -7,6 +7,7 @@ turns.  The template marks turns with control strings, and the same strings insi
 from __future__ import annotations
 
 import hashlib
+import itertools
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -34,15 +35,41 @@ class Mapping:
         return hashlib.sha256("\n".join(self.paths).encode()).hexdigest()
 
 
+#: The layouts of a turn within a list: its field paths and its role and text fields.
+_TURN_FIELDS = {"content": ("role", "content"), "text": ("role", "text"), "value": ("from", "value")}
+
+
 def _list(path: str, role: str, text: str) -> str:
     return f"transform(variant_get(v, '$.{path}', 'array<variant>'), m -> named_struct('role', try_variant_get(m, '$.{role}', 'string'), 'text', try_variant_get(m, '$.{text}', 'string')))"
 
 
+def _mixed(path: str, kinds: tuple[str, ...]) -> Mapping:
+    """A list whose turns have different layouts, each read by the one whose fields it has; null when a turn fits none or several."""
+    fields = sorted({f for k in kinds for f in _TURN_FIELDS[k]})
+    have = {f: f"try_variant_get(m, '$.{f}', 'variant') is not null" for f in fields}
+    fits = {k: " and ".join(have[f] if f in _TURN_FIELDS[k] else f"not ({have[f]})" for f in fields) for k in kinds}
+    turn = lambda k: "named_struct('role', try_variant_get(m, '$.{}', 'string'), 'text', try_variant_get(m, '$.{}', 'string'))".format(*_TURN_FIELDS[k])
+    list_ = f"variant_get(v, '$.{path}', 'array<variant>')"
+    cases = " ".join(f"when {fits[k]} then {turn(k)}" for k in kinds)
+    turns = f"if(forall({list_}, m -> {' or '.join(f'({f})' for f in fits.values())}), transform({list_}, m -> case {cases} end), null)"
+    return Mapping(f"{path}_mixed_{'_'.join(kinds)}", tuple(f"{path}[].{f}" for f in fields), turns)
+
+
 def _pairs(*pairs: tuple[str, str]) -> str:
     turns = ", ".join(f"named_struct('role', '{role}', 'text', try_variant_get(v, '$.{path}', 'string'))" for role, path in pairs)
     return f"array({turns})"
 
 
+def _wrapped(name: str, *pairs: tuple[str, str]) -> list[Mapping]:
+    """The layouts that have some of the texts in an object's only field, text or content."""
+    out = []
+    for ends in itertools.product(("", ".text", ".content"), repeat=len(pairs)):
+        if any(ends):
+            paths = [(role, path + end) for (role, path), end in zip(pairs, ends)]
+            out.append(Mapping(f"{name}_wrapped", tuple(sorted(p for _, p in paths)), _pairs(*paths)))
+    return out
+
+
 _INSTRUCTION = "concat_ws('\n\n', try_variant_get(v, '$.instruction', 'string'), nullif(try_variant_get(v, '$.input', 'string'), ''))"
 #: Fields named id, source, meta or metadata never count.
 MAPPINGS = (
@@ -60,24 +87,50 @@ MAPPINGS = (
         ("input", "instruction", "output"),
         f"array(named_struct('role', 'user', 'text', {_INSTRUCTION}), named_struct('role', 'assistant', 'text', try_variant_get(v, '$.output', 'string')))",
     ),
+    *(_mixed(path, kinds) for path in ("messages", "conversations", "turns") for n in (2, 3) for kinds in itertools.combinations(_TURN_FIELDS, n)),
+    *_wrapped("prompt_completion", ("user", "prompt"), ("assistant", "completion")),
+    *_wrapped("prompt_response", ("user", "prompt"), ("assistant", "response")),
+    *_wrapped("system_prompt_response", ("system", "system"), ("user", "prompt"), ("assistant", "response")),
+    *_wrapped("question_answer", ("user", "question"), ("assistant", "answer")),
+    *_wrapped("instruction_output", ("user", "instruction"), ("assistant", "output")),
 )
 #: Role names of other layouts.
 ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant", "chatgpt": "assistant"}
 _ASIDE = ("id", "source", "meta", "metadata")
 
 
-def _paths_sql(column: str) -> str:
-    """Paths of a JSON text by its own top-level keys and the keys of the first object in each list.
+#: A key with its colon, another string, a bracket or an empty pair of them, another scalar; JSON that Spark has written has no blanks between.
+_JSON_TOKEN = r'"(?:[^"\\]|\\.)*+":?|\{\}|\[\]|[\{\}\[\]]|[^",:\{\}\[\]]+'
+
 
-    Scalars of any type give the same path, so records differ by layout, not by values.
+def _paths(column: str) -> Column:
+    """The distinct paths of a JSON text, sorted: of every field at every depth, and of all elements of each list.
+
+    Scalars of any type give the same path, so records differ by layout, not by values. Empty lists and lists of
+    scalars end in [], empty objects in {}; keys are as JSON writes
+    them, with a backslash before each dot, bracket and backslash.
     """
-    keep = ",".join(f"'{k}'" for k in _ASIDE)
-    member = f"get_json_object({column}, concat('$.', k, '[0]'))"
-    return (
-        f"array_sort(flatten(transform(filter(coalesce(json_object_keys({column}), array()), k -> k not in ({keep})), "
-        f"k -> case when json_array_length(get_json_object({column}, concat('$.', k))) is null then array(k) "
-        f"else transform(coalesce(json_object_keys({member}), array('')), m -> concat(k, '[]', if(m = '', '', '.'), m)) end)))"
-    )
+    tokens = F.regexp_extract_all(F.expr(f"to_json(try_parse_json({column}))"), F.lit(_JSON_TOKEN), F.lit(0))
+    state = lambda open_, at, paths: F.struct(open_.alias("open"), at.alias("at"), paths.alias("paths"))
+    texts = F.array().cast("array<string>")
+    top = lambda open_: F.coalesce(F.try_element_at(open_, F.lit(-1)), F.lit(""))
+
+    def step(s: Column, t: Column) -> Column:
+        first, here = F.substring(t, 1, 1), top(s["open"])
+        key = F.regexp_replace(t.substr(F.lit(2), F.length(t) - 3), r"([.\[\]{}\\])", r"\\$1")
+        popped = F.slice(s["open"], F.lit(1), F.greatest(F.size(s["open"]) - 1, F.lit(0)))
+        leaf = F.concat(s["at"], F.when(t.isin("{}", "[]"), t).otherwise(""))
+        return (
+            F.when(t.endswith(":") & (first == '"'), state(s["open"], F.concat(here, F.when(here == "", "").otherwise("."), key), s["paths"]))
+            .when(t == "{", state(F.concat(s["open"], F.array(s["at"])), s["at"], s["paths"]))
+            .when(t == "[", state(F.concat(s["open"], F.array(F.concat(s["at"], F.lit("[]")))), F.concat(s["at"], F.lit("[]")), s["paths"]))
+            .when(t.isin("}", "]"), state(popped, top(popped), s["paths"]))
+            .otherwise(state(s["open"], here, F.array_union(s["paths"], F.array(leaf))))
+        )
+
+    found = F.aggregate(F.coalesce(tokens, texts), state(texts, F.lit(""), texts), step, lambda s: s["paths"])
+    aside = rf"^(?:{'|'.join(_ASIDE)})(?:[.\[{{]|$)"
+    return F.array_sort(F.filter(found, lambda p: ~p.rlike(aside) & (p != "{}")))
 
 
 def canonical_turns(df: DataFrame, record: str, out: str = "turns") -> DataFrame:
@@ -87,7 +140,7 @@ def canonical_turns(df: DataFrame, record: str, out: str = "turns") -> DataFrame
     mapping has, an unreadable one and a null one have a null layout and null turns; roles are lower-cased and other
     layouts' names for user and assistant replaced; null texts become empty.
     """
-    shaped = df.withColumn("fingerprint", F.when(F.col(record).isNotNull(), F.sha2(F.expr(f"array_join({_paths_sql(f'`{record}`')}, '\n')"), 256)))
+    shaped = df.withColumn("fingerprint", F.when(F.col(record).isNotNull(), F.sha2(F.array_join(_paths(f"`{record}`"), "\n"), 256)))
     v = f"try_parse_json(`{record}`)"
     layout, turns = F.lit(None).cast("string"), F.lit(None).cast(TURNS)
     for m in MAPPINGS:

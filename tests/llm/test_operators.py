@@ -233,6 +233,34 @@ def test_chat_layouts(spark):
         assert got[k]["layout"] is None and got[k]["turns"] is None
 
 
+def test_chat_layouts_of_all_elements_and_depths(spark):
+    ask, say = {"role": "user", "content": "q"}, {"role": "assistant", "content": "a"}
+    good = [
+        {"messages": [ask, {"from": "gpt", "value": "a"}]},
+        {"messages": [{"role": "user", "text": "q"}, {"from": "gpt", "value": "a"}]},
+        {"turns": [{"from": "human", "value": "q"}, {"role": "assistant", "text": "a"}]},
+        {"prompt": {"text": "q"}, "completion": "a"},
+        {"prompt": {"content": "q"}, "response": {"text": "a"}, "meta": {"x": [{"y": 1}]}},
+    ]
+    bad = [
+        {"messages": [ask, say, {"role": "user", "words": "lost"}]},
+        {"messages": [ask, "lost"]},
+        {"messages": [ask, {"role": "user", "content": "x", "text": "lost"}, {"from": "gpt", "value": "a"}]},
+        {"messages": [ask, {"role": "user", "content": {"parts": ["lost"]}}]},
+        {"prompt": {"text": "q", "more": "lost"}, "completion": "a"},
+        {"prompt.text": "lost", "completion": "a"},
+    ]
+    rows = [(i, json.dumps(v)) for i, v in enumerate(good + bad)]
+    got = {r["k"]: r for r in chat.canonical_turns(spark.createDataFrame(rows, "k int, j string"), "j").collect()}
+    for i, _ in enumerate(good):
+        assert got[i]["layout"] and [tuple(t) for t in got[i]["turns"]] == [("user", "q"), ("assistant", "a")], good[i]
+    for i, record in enumerate(bad, len(good)):
+        assert got[i]["turns"] is None, record
+    deep = {"id": 1, "a": [{"b": 1}, {"c": {"d": [[2], []]}}, 3], "e": {}, 'f":{.x': "{\"g\":"}
+    paths = spark.createDataFrame([(json.dumps(deep),)], "j string").select(chat._paths("j")).first()[0]
+    assert paths == sorted(["a[].b", "a[].c.d[][]", "a[]", "e{}", 'f\\\\":\\{\\.x'])
+
+
 def test_chat_edges(spark):
     rows = [(1, 1, "user", None), (1, 0, None, "x"), (None, 0, "user", "n"), (1, 1, "user", None), (2, None, "assistant", "y" * 100000)]
     df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").withColumn("turns", F.lit(1))
