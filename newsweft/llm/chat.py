@@ -133,12 +133,12 @@ def _paths(column: str) -> Column:
     return F.array_sort(F.filter(found, lambda p: ~p.rlike(aside) & (p != "{}")))
 
 
-def canonical_turns(df: DataFrame, record: str, out: str = "turns") -> DataFrame:
+def canonical_turns(df: DataFrame, record: str, out: str = "turns", rename: bool = True) -> DataFrame:
     """``df`` with ``fingerprint``, ``layout`` and ``out``, the canonical turns of the JSON texts in ``record``.
 
     The fingerprint is the SHA-256 of the record's sorted field paths, one to a line. A record whose fingerprint no
     mapping has, an unreadable one and a null one have a null layout and null turns; roles are lower-cased and other
-    layouts' names for user and assistant replaced; null texts become empty.
+    layouts' names for user and assistant replaced unless ``rename`` is false; null texts become empty.
     """
     shaped = df.withColumn("fingerprint", F.when(F.col(record).isNotNull(), F.sha2(F.array_join(_paths(f"`{record}`"), "\n"), 256)))
     v = f"try_parse_json(`{record}`)"
@@ -147,7 +147,8 @@ def canonical_turns(df: DataFrame, record: str, out: str = "turns") -> DataFrame
         here = F.col("fingerprint") == m.fingerprint
         layout, turns = F.when(here, m.name).otherwise(layout), F.when(here, F.expr(m.turns.replace("(v, ", f"({v}, ")).cast(TURNS)).otherwise(turns)
     roles = F.create_map(*(F.lit(x) for pair in ROLES.items() for x in pair))
-    clean = F.transform(turns, lambda t: F.struct(F.coalesce(F.try_element_at(roles, F.lower(t["role"])), F.lower(t["role"]), F.lit("")).alias("role"), F.coalesce(t["text"], F.lit("")).alias("text")))
+    named = lambda r: F.coalesce(F.try_element_at(roles, F.lower(r)), F.lower(r)) if rename else r
+    clean = F.transform(turns, lambda t: F.struct(F.coalesce(named(t["role"]), F.lit("")).alias("role"), F.coalesce(t["text"], F.lit("")).alias("text")))
     return shaped.withColumn("layout", layout).withColumn(out, clean)
 
 
@@ -210,6 +211,11 @@ def conversations_to_turns(rows: DataFrame, conv_id: str = "conv_id", turn: str
     return together.select("conv_id", F.transform("turns", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("turns"))
 
 
+def conversations_to_records(rows: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
+    """(conv_id, record) from one row for each turn: each conversation as a JSON record of the layout ``turns``."""
+    return conversations_to_turns(rows, conv_id, turn, role, text).select("conv_id", F.to_json(F.struct("turns")).alias("record"))
+
+
 def format_chat(turns: DataFrame, column: str = "turns", trained: str = "assistant") -> DataFrame:
     """``turns`` with ``formatted`` and ``loss_runs``; null turns stay null, no turns give an empty text."""
     text, runs = render(F.col(column), trained)

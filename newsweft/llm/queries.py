@@ -36,7 +36,9 @@ def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     extra = spark.sql("select -7L as conv_id, t as turn, element_at(array('user', 'assistant'), cast(t as int) + 1) as role, '</s>[INST] ok [/INST]' as text from (select explode(array(0L, 1L)) as t)")
-    return chat.digest(chat.format_chat(chat.conversations_to_turns(rows.unionByName(extra))))
+    records = chat.conversations_to_records(rows.unionByName(extra))
+    # The query's contract has role names as they are.
+    return chat.digest(chat.format_chat(chat.canonical_turns(records, "record", rename=False)))
 
 
 def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -261,6 +261,23 @@ def test_chat_layouts_of_all_elements_and_depths(spark):
     assert paths == sorted(["a[].b", "a[].c.d[][]", "a[]", "e{}", 'f\\\\":\\{\\.x'])
 
 
+def test_chat_query_formats_by_fingerprint(spark, sf_dir, monkeypatch):
+    want = {r["conv_id"]: r for r in queries.op5_chat_formatting(spark, sf_dir).collect()}
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    assert {r["layout"] for r in chat.canonical_turns(chat.conversations_to_records(rows), "record").collect()} == {"turns"}
+    monkeypatch.setattr(chat, "MAPPINGS", tuple(m for m in chat.MAPPINGS if m.name != "turns"))
+    got = {r["conv_id"]: r for r in queries.op5_chat_formatting(spark, sf_dir).collect()}
+    assert set(got) == set(want) and all(r["turns_sha256"] is None for r in got.values())
+
+
+def test_chat_records_give_the_turns_of_the_rows(spark):
+    rows = [(1, 1, "Human", None), (1, 0, None, "x"), (None, 0, "user", '"{\\\n\u2028\x00'), (2, None, "GPT", "5")]
+    df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
+    want = {r["conv_id"]: r["turns"] for r in chat.conversations_to_turns(df).collect()}
+    made = chat.canonical_turns(chat.conversations_to_records(df), "record", rename=False).collect()
+    assert {r["conv_id"]: r["turns"] for r in made} == want
+
+
 def test_chat_edges(spark):
     rows = [(1, 1, "user", None), (1, 0, None, "x"), (None, 0, "user", "n"), (1, 1, "user", None), (2, None, "assistant", "y" * 100000)]
     df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").withColumn("turns", F.lit(1))
