@@ -13,7 +13,7 @@ import random
 import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
-from functools import cache
+from functools import cache, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +22,8 @@ from pyspark.sql import DataFrame
 #: Elements whose content is no text of the page, and those that open a block.
 _DROP = frozenset("script style noscript template iframe object embed svg math canvas audio video select textarea button title datalist head".split())
 _RAW = frozenset("script style noscript template iframe svg math canvas object select textarea button title datalist audio video".split())
+#: Of those, the ones whose content is text to their end tag, or to the page's end without one.
+_TO_END = frozenset("script style title textarea".split())
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr param".split())
 _GROUPS = {
     "nav": "nav menu", "header": "header", "footer": "footer", "aside": "aside", "form": "form fieldset dialog", "article": "article", "main": "main",
@@ -67,16 +69,49 @@ class Page:
     linked: list[int] = field(default_factory=list)
 
 
-@cache
+@lru_cache(1 << 16)
 def _kind_of(words: str) -> int:
     return next((k for k, p in enumerate(_PATTERNS) if p.search(words)), _NO_KIND)
 
 
+def _closed(source: str) -> dict[int, int]:
+    """Where the dropped elements begin that have their own end tag within their container, and where that ends."""
+    ends: dict[int, int] = {}
+    stack: list[tuple[str, int]] = []
+    open_: dict[str, int] = {}
+    at = 0
+    while m := _TOKEN.search(source, at):
+        at = m.end()
+        if m[1]:
+            stop = source.find("-->", m.start() + 4)
+            at = stop + 3 if stop >= 0 else len(source)
+            continue
+        tag = (m[3] or m[6] or "").lower()
+        closing, attributes = (m[2] or m[5]) == "/", m[4] or m[7] or ""
+        if tag in _TO_END and not closing:
+            stop = _END_RAW[tag].search(source, at)
+            at = stop.end() if stop else len(source)
+        elif closing and open_.get(tag):
+            while True:
+                name, begin = stack.pop()
+                open_[name] -= 1
+                if name == tag:
+                    break
+            ends[begin] = at
+        elif not closing and (tag in _GROUP or tag in _RAW and not attributes.endswith("/")):
+            stack.append((tag, m.start()))
+            open_[tag] = open_.get(tag, 0) + 1
+    return ends
+
+
 def parse(source: str) -> Page:
     """The block tree of a page. Unclosed and misnested elements are closed as a browser would in the common cases."""
     page, tags, stack = Page(), ["html"], [0]
     text: list[str] = []
     links = linked = 0
+    closed: dict[int, int] | None = None
+    #: The dropped element without an end tag that text is in; it ends with the next block or its container.
+    muted = ""
 
     def node(tag: str, attributes: str) -> None:
         words, label = "", -1
@@ -89,7 +124,7 @@ def parse(source: str) -> Page:
                     words += f" {value}"
         page.parent.append(stack[-1] if page.parent else -1)
         page.group.append(_GROUP[tag])
-        page.kind.append(_kind_of(re.sub(r"(?<=[a-z])(?=[A-Z])", "-", words).lower().replace("_", "-")[:200]) if words else _NO_KIND)
+        page.kind.append(_kind_of(re.sub(r"(?<=[a-z])(?=[A-Z])", "-", words).lower().replace("_", "-")) if words else _NO_KIND)
         page.label.append(label)
         page.chars.append(0)
         page.linked.append(0)
@@ -114,9 +149,10 @@ def parse(source: str) -> Page:
     while at < n:
         m = _TOKEN.search(source, at)
         if m is None:
-            text.append(source[at:])
+            if not muted:
+                text.append(source[at:])
             break
-        if m.start() > at:
+        if m.start() > at and not muted:
             piece = source[at : m.start()]
             text.append(piece)
             if links:
@@ -128,10 +164,19 @@ def parse(source: str) -> Page:
             continue
         tag = (m[3] or m[6] or "").lower()
         closing, attributes = (m[2] or m[5]) == "/", m[4] or m[7] or ""
+        if muted and (tag in _GROUP or tag == muted):
+            muted = ""
         if tag in _RAW and not closing:
-            if not attributes.endswith("/") or tag in ("script", "style", "title", "textarea"):
+            if tag in _TO_END:
                 stop = _END_RAW[tag].search(source, at)
                 at = stop.end() if stop else n
+            elif not attributes.endswith("/"):
+                if closed is None:
+                    closed = _closed(source)
+                if m.start() in closed:
+                    at = closed[m.start()]
+                else:
+                    muted = tag
             text.append(" ")
         elif tag == "head" and not closing:
             stop = re.compile(r"</head\s*>|<body[\s>]", re.I).search(source, at)

@@ -653,6 +653,25 @@ def test_html(source, text):
     assert htmlmain.extract(source) == text
 
 
+@pytest.mark.parametrize("tag", ["button", "video", "audio", "object", "canvas", "svg", "math", "iframe", "template", "select", "noscript", "datalist"])
+def test_html_unclosed_elements_end_with_the_next_block(tag):
+    words = "A long enough paragraph of the article, with a clause or two and words of several kinds in it. " * 4
+    for page in (
+        f"<body><div><{tag} class=x>Menu</div><article><p>{words}</p><p>{words}</p></article><div><{tag}>Menu</{tag}></div></body>",
+        f"<body><article><{tag} class=x>Menu<p>{words}</p><p>{words}</p></article></body>",
+        f"<body><article><{tag} class=x><div><p>Menu</p></div></{tag}><p>{words}</p><p>{words}</p></article></body>",
+    ):
+        got = " ".join(run for _, run in htmlmain.parse(page).runs)
+        assert got.count("A long enough") == 8 and "Menu" not in got, page
+
+
+def test_html_names_count_to_their_end():
+    many = " ".join(f"px-{i} my-{i}" for i in range(60))
+    kinds = [k for k, _ in htmlmain._KINDS]
+    for names, kind in ((f'class="{many} comments"', "comment"), (f'class="{many}" id="sidebar"', "side"), (f'class="{many}" role="article-body"', "content")):
+        assert kinds[htmlmain.parse(f"<div {names}>x</div>").kind[1]] == kind
+
+
 def test_html_pages(spark, sf_dir):
     import html
     import re
