@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -243,3 +246,12 @@ def test_streams(spark, tmp_path):
     got = {r["source_id"]: (r["failures"], r["zero_runs"], r["total_successes"]) for r in spark.read.parquet(str(last)).collect()}
     want = {r["source_id"]: (r["failures"], r["zero_runs"], r["total_successes"]) for r in fold_source_health(table).collect()}
     assert got == want == {"a": (2, 0, 1), "b": (0, 2, 2)}
+
+
+def test_coverage_names_the_reasons_and_signals_of_articles():
+    root = Path(__file__).resolve().parent.parent
+    said = (root / "COVERAGE.md").read_text()
+    code = (root / "newsweft/functions/html.py").read_text().split("def article(")[1].split("ARTICLE =")[0]
+    reasons = set(re.findall(r'"reason": "([a-z_]+)"', code)) | set(re.findall(r'"([a-z_]+)"', next(x for x in code.splitlines() if x.strip().startswith("reason ="))))
+    assert len(reasons - {"ok"}) == 6 and all(f"`{r}`" in said for r in reasons - {"ok"})
+    assert all(f"`{s}`" in said for s in ("article_element", "og_article", "json_ld", "dated", "single_h1", "long_body", "paragraphs"))
