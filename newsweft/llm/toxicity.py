@@ -28,6 +28,7 @@ STEM_LENGTHS = (4, 5, 6)
 LABEL_NOISE, ROUNDS, LEAST_TIE = 0.02, 25, 1e-3
 FLAG = 0.3
 _SLAB = 1 << 20
+_ROWS = 2048
 #: The seed lexicon.
 LEXICON = (
     "idiot", "idiots", "moron", "morons", "stupid", "clown", "clowns", "loser", "losers", "pathetic", "worthless", "disgusting", "scum", "trash", "garbage",
@@ -105,9 +106,9 @@ class LabelModel:
 
     def posterior(self, ballots: np.ndarray) -> np.ndarray:
         logit = np.full(len(ballots), np.log(self.prior / (1 - self.prior)))
-        v = ballots.astype(np.int64) + 1
+        v = ballots.astype(np.int8) + np.int8(1)
         for j, p in enumerate(self.parent):
-            other = v[:, p] if p >= 0 else np.zeros(len(v), np.int64)
+            other = v[:, p] if p >= 0 else np.zeros(len(v), np.int8)
             logit += np.log(self.tables[j, 1, other, v[:, j]]) - np.log(self.tables[j, 0, other, v[:, j]])
         return 1 / (1 + np.exp(-np.clip(logit, -40, 40)))
 
@@ -120,7 +121,7 @@ class LabelModel:
 def _tables(v: np.ndarray, q: np.ndarray, parent: np.ndarray) -> np.ndarray:
     out = np.zeros((v.shape[1], 2, 3, 3))
     for j, p in enumerate(parent):
-        cell = (v[:, p] if p >= 0 else np.zeros(len(v), np.int64)) * 3 + v[:, j]
+        cell = (v[:, p] if p >= 0 else np.zeros(len(v), np.int8)) * np.int8(3) + v[:, j]
         for y, w in ((0, 1 - q), (1, q)):
             alone = np.bincount(v[:, j], w, 3) + 1e-2
             alone /= alone.sum()
@@ -132,12 +133,20 @@ def _tables(v: np.ndarray, q: np.ndarray, parent: np.ndarray) -> np.ndarray:
 def _ties(v: np.ndarray, q: np.ndarray) -> np.ndarray:
     """Each voter's parent, or -1: a maximum spanning forest of conditional mutual information given the class."""
     m = v.shape[1]
-    one = np.stack([(v == k).astype(np.float64) for k in range(3)], 2).reshape(len(v), m * 3)
+    # Votes that some row casts; most voters never cast one of the three.
+    cast = np.flatnonzero(np.stack([(v == k).any(0) for k in range(3)], 1).ravel())
+    sums = np.zeros((2, len(cast), len(cast)))
+    for a in range(0, len(v), _ROWS):
+        one = (v[a : a + _ROWS, cast // 3] == cast % 3).astype(np.float64)
+        for y, w in enumerate((1 - q, q)):
+            sums[y] += (one * w[a : a + _ROWS, None]).T @ one
     info = np.zeros((m, m))
-    for w in (1 - q, q):
+    for w, part in zip((1 - q, q), sums):
         mass = max(w.sum(), 1e-9)
-        joint = ((one * w[:, None]).T @ one / mass).reshape(m, 3, m, 3).transpose(0, 2, 1, 3)
-        alone = ((one * w[:, None]).sum(0) / mass).reshape(m, 3)
+        joint = np.zeros((m * 3, m * 3))
+        joint[np.ix_(cast, cast)] = part / mass
+        alone = joint.diagonal().reshape(m, 3)
+        joint = joint.reshape(m, 3, m, 3).transpose(0, 2, 1, 3)
         expected = alone[:, None, :, None] * alone[None, :, None, :]
         info += mass / len(v) * np.where(joint > 0, joint * np.log(np.maximum(joint, 1e-12) / np.maximum(expected, 1e-12)), 0).sum((2, 3))
     parent, inside = np.full(m, -1), np.zeros(m, bool)
@@ -153,8 +162,8 @@ def _ties(v: np.ndarray, q: np.ndarray) -> np.ndarray:
 
 def fit_label_model(ballots: np.ndarray, known: np.ndarray | None = None) -> tuple[LabelModel, np.ndarray]:
     """(model, posteriors). ``known`` has 0, 1 or -1 for each row: such labels weigh in with LABEL_NOISE."""
-    v = ballots.astype(np.int64) + 1
-    q = np.clip(0.5 + 0.2 * ballots.sum(1), 0.05, 0.95)
+    v = ballots.astype(np.int8) + np.int8(1)
+    q = np.clip(0.5 + 0.2 * ballots.sum(1, dtype=np.int64), 0.05, 0.95)
     hint = np.zeros(len(v))
     if known is not None:
         odds = np.log((1 - LABEL_NOISE) / LABEL_NOISE)
@@ -296,13 +305,22 @@ def mine(sample: DataFrame, clean: int) -> Voters:
     return Voters(pa.array(words, pa.large_string()), tuple((n, pa.array([s for k, s in chosen if k == n], pa.large_string())) for n in STEM_LENGTHS))
 
 
+def _unlabelled_sample(docs: DataFrame, rows: int) -> DataFrame:
+    """(key, text, y): up to ``rows`` distinct rows that aren't held out, those with the least hash, with -1 for their label."""
+    keyed = docs.filter(~is_held_out()).select(F.xxhash64(F.lit("fit"), "doc_id", "text").alias("key"), F.coalesce("text", F.lit("")).alias("text"))
+    chosen = keyed.select("key").distinct().orderBy("key").limit(rows)
+    return keyed.join(chosen, "key").dropDuplicates(["key"]).withColumn("y", F.lit(-1))
+
+
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = FIT_ROWS) -> Model:
-    """A model from at most ``rows`` labelled rows; with no labels it flags by the seed lexicon's voters alone."""
+    """A model from at most ``rows`` labelled rows; with no labels from as many unlabelled ones, by the seed lexicon's voters and the patterns alone."""
     sample = materialise(labelled_sample(docs, labels, label, rows).repartition(8, "doc_id"), "toxicity-sample").coalesce(8)
     counts = {r["y"]: r["n"] for r in sample.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if not counts:
-        return Model(None, None, 0.0)
-    voters = mine(sample, counts.get(0, 0))
+    if counts:
+        voters = mine(sample, counts.get(0, 0))
+    else:
+        sample = materialise(_unlabelled_sample(docs, rows).repartition(8, "key"), "toxicity-sample").coalesce(8)
+        voters = Voters(pa.array(LEXICON, pa.large_string()), tuple((n, pa.array([], pa.large_string())) for n in STEM_LENGTHS))
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -319,10 +337,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = FI
     for i, (which, many) in enumerate(zip(got["voter"], got["hits"])):
         hits[i, np.asarray(which, np.int64)] = many
     n, known = got["n"].to_numpy(), got["y"].to_numpy()
-    used = np.argsort(-(hits > 0).sum(0), kind="stable")[:64]
-    ballots = np.concatenate([votes(hits, n)[:, used], votes(hits, n)[:, voters.lexical :]], axis=1)
-    model, posterior = fit_label_model(ballots, known)
-    return Model(voters, train_linear(features(hits, n), posterior), counts.get(1, 0) / len(got), model)
+    if not len(got):
+        return Model(None, None, 0.0)
+    model, posterior = fit_label_model(votes(hits, n), known)
+    return Model(voters, train_linear(features(hits, n), posterior), counts.get(1, 0) / len(got) if counts else float(posterior.mean()), model)
 
 
 def score(docs: DataFrame, model: Model, out: str = "score", text: str = "text") -> DataFrame:

@@ -614,6 +614,25 @@ def test_classifiers_edges(spark, awkward, empty, module):
     assert module.classify(awkward, labels.limit(0)).count() == len(AWKWARD)
 
 
+def test_toxicity_without_labels_flags_by_the_lexicon(spark):
+    plain = "the report says that sales of the company rose in the last quarter and that it hired more people number"
+    rows = [(i, f"{plain} {i}" + (" you stupid worthless idiot" if i % 10 == 0 else "")) for i in range(300)]
+    labels = spark.createDataFrame([], "doc_id bigint, toxic int")
+    got = toxicity.classify(spark.createDataFrame(rows, "doc_id bigint, text string"), labels).collect()
+    assert len(got) == 300 and all(r["predicted"] == (r["doc_id"] % 10 == 0) for r in got)
+
+
+def test_every_voter_has_its_table(spark, monkeypatch):
+    words = [*toxicity.LEXICON, *("".join(x) + "zz" for x in itertools.product("bcdf", "aeiou", "klmn"))]
+    voters = toxicity.Voters(pa.array(words, pa.large_string()), tuple((n, pa.array([], pa.large_string())) for n in toxicity.STEM_LENGTHS))
+    monkeypatch.setattr(toxicity, "mine", lambda sample, clean: voters)
+    rows = [(i, f"the report says that sales rose {i} {words[i // 2 % len(words)] if i % 2 else ''}", i % 2) for i in range(10 * len(words))]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id bigint, text string")
+    model = toxicity.fit(docs, spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id bigint, toxic int")).label_model
+    assert len(model.tables) == len(words) + 5 > 64 + 5
+    assert all(model.tables[j, 1, 1, 2] > model.tables[j, 0, 1, 2] for j in range(len(words)) if model.parent[j] < 0)
+
+
 def test_label_model_finds_accuracies_and_ties():
     r = np.random.default_rng(1)
     y = r.random(4000) < 0.3
