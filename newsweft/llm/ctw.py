@@ -1,15 +1,14 @@
 """Language-model scores by context-tree weighting over byte contexts, beside a unigram baseline.
 
 A text is coded as its lower-cased words, each ended by a space, and an end symbol.  Each byte is eight binary
-decisions; each decision has a Krichevsky-Trofimov estimate in the node of every context depth, from none up to DEPTH
-bytes, and the estimates are mixed over all depths by context-tree weighting.  A context reaches back to the space
-before its word, and for the first HEAD bytes of a word up to TAIL bytes further into the word before.
-
-Contexts are counted over all words, and all pairs of neighbours' ends, of all training texts, one depth after the
-other; a context is a node of its own
-when at least one in 2**NODE_BITS coded bytes follows it, so a depth has at most 2**NODE_BITS nodes whatever the
-corpus, and what its parent saw in rarer contexts is one further child.  The tree is turned into an automaton, so a
-byte is scored by two table look-ups, for many stretches of text at once.
+decisions, and each of the 255 decisions has a context tree over the DEPTH bytes before it, across words and from the
+text's beginning on.  A node has a Krichevsky-Trofimov estimate; the estimates of all depths are mixed by context-tree
+weighting.  No context is left out, however rare: the model grows with the corpus and lives in a table.
+
+The work is dealt by context, not by text.  A task turns a chunk of text into its distinct grams (context and byte) in
+order of the context read backwards, with their counts, packed as columns.  Ranges of contexts become buckets of
+bounded size; a bucket merges all chunks' counts, weighs its subtrees, and, when the driver has weighed the few nodes
+above all buckets, gives every chunk the code lengths of the grams it asked for.  Words of the baseline go the same way.
 """
 
 from __future__ import annotations
@@ -17,420 +16,563 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsweft.llm.common import is_held_out, materialise, slabs, word_hashes, words_of
+from newsweft.llm.common import is_held_out, materialise, word_hashes, words_of
 
-SPACE, END = 32, 255
+END = 255
 MODULUS = 7
-DEPTH, NODE_BITS, HEAD, TAIL = 7, 16, 4, 3
-_STRETCH, _WARM, _ROWS = 512, 8, 512
-#: Words whose counts every task holds: those above the least count that leaves at most so many.
-FREQUENT = 200_000
-_SLAB = 2 << 20
-_MERGE = 1 << 20
+#: Bytes of context, seven at most: a gram is one 64-bit key.
+DEPTH = 7
+#: Coded bytes of a chunk, or one longer text; distinct grams of all chunks that a bucket takes, and buckets beyond which it takes more.
+CHUNK, BUCKET, BUCKETS = 16 << 20, 2_000_000, 4096
+#: Ranges of contexts are cut by their last two bytes, and by up to this many where more than a bucket's share have them.
+MOST_CUT = 4
+#: Grams that a bucket weighs at a time, at most, unless one range has more.
+_BATCH = 1 << 20
+_PIECE = 1 << 20
+#: Code lengths travel as whole multiples of 2**-12 nats.
+_GRAIN = 4096.0
+_TABLE = 1 << 16
+TEXT, GRAMS, WORDS = 0, 1, 2
+_END_KEY = xxhash.xxh64_intdigest(b"\xff", 42)
+PIECES = "chunk bigint, kind tinyint, part int, n int, keys binary, counts binary, sizes array<int>, held array<boolean>"
 
 
-@dataclass
-class Nodes:
-    """The selected contexts of each depth: packed bytes in order, the last byte lowest, and the counts of what follows."""
-
-    keys: list[np.ndarray]
-    counts: list[np.ndarray]
+# Columns of whole numbers as bytes
 
 
-def _bytes_of(words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(space and word and space and word ... and space, word of each byte after the first, bytes before it in its word).
+def pack(values: np.ndarray) -> bytes:
+    """Whole numbers of 64 bits as compressed byte planes."""
+    planes = np.ascontiguousarray(values.astype(np.uint64).view(np.uint8).reshape(-1, 8).T)
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
 
-    The empty word stands for the end symbol.
-    """
-    each = [w.encode("utf-8", "surrogatepass") or b"\xff" for w in words.to_pylist()]
-    sizes = np.fromiter(map(len, each), np.int64, len(each)) + 1
-    data = np.frombuffer(b" " + b" ".join(each) + b" ", np.uint8)
-    word = np.repeat(np.arange(len(each)), sizes)
-    return data, word, np.arange(len(word)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-
-
-def _contexts(data: np.ndarray, depth: int, skip: int = 0) -> np.ndarray:
-    """The ``depth`` bytes that end ``skip`` bytes before each byte after the first, packed; junk where they would run out."""
-    out = np.zeros(len(data) - 1, np.uint64)
-    for k in range(depth):
-        back = k + skip
-        if back < len(out):
-            out[back:] |= data[: len(out) - back].astype(np.uint64) << np.uint64(8 * k)
-    return out
 
+def unpack(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(8, -1)
+    return np.ascontiguousarray(planes.T).view(np.uint64).ravel()
 
-def _within(sorted_: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    if not len(sorted_):
-        return np.zeros(len(keys), bool)
-    return sorted_[np.minimum(np.searchsorted(sorted_, keys), len(sorted_) - 1)] == keys
 
+def _doubles(values: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(values, np.float64).tobytes())
 
-def gram_counts(words: pa.Array, n: np.ndarray, depth: int, above: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-    """(context << 8 | byte, count) at one depth, for contexts whose both ends of depth - 1 bytes are in ``above``.
 
-    A context does not reach back beyond the space before its word; the space after the end symbol is not coded.
-    """
-    data, word, place = _bytes_of(words)
-    coded = (place + 1 >= depth) & ~((data[:-1] == END) & (place == 1))
-    at = np.flatnonzero(coded)
-    if above is not None and len(at):
-        at = at[_within(above, _contexts(data, depth - 1)[at])]
-        at = at[_within(above, _contexts(data, depth - 1, 1)[at])]
-    keys = (_contexts(data, depth)[at] << np.uint64(8)) | data[1:][at].astype(np.uint64)
-    keys, inverse = np.unique(keys, return_inverse=True)
-    return keys, np.bincount(inverse, n[word[at]], len(keys)).astype(np.int64)
-
-
-def _lgamma(x: np.ndarray) -> np.ndarray:
-    """log gamma for x >= 0.5, by Stirling's series after eight steps up."""
-    shift = np.zeros_like(x)
-    for i in range(8):
-        shift += np.log(x + i)
-    y = x + 8
-    return (y - 0.5) * np.log(y) - y + 0.5 * math.log(2 * math.pi) + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - shift
-
-
-def _bits(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(zeros, ones) at the 255 decisions of a byte, from the root down, for rows of 256 counts."""
-    zeros, ones = [], []
-    for level in range(8):
-        halves = counts.reshape(len(counts), 1 << level, 2, -1).sum(-1)
-        zeros.append(halves[:, :, 0])
-        ones.append(halves[:, :, 1])
-    return np.concatenate(zeros, 1), np.concatenate(ones, 1)
+def _undouble(data: bytes) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.float64)
 
 
-def _kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
-    return _lgamma(zeros + 0.5) + _lgamma(ones + 0.5) - _lgamma(zeros + ones + 1.0) - math.log(math.pi)
-
-
-def _bytes(p1: np.ndarray) -> np.ndarray:
-    """log10 probabilities of 256 bytes from the chance of a one at each of 255 decisions."""
-    out = np.zeros((len(p1), 1))
-    for level in range(8):
-        here = p1[:, (1 << level) - 1 : (1 << (level + 1)) - 1]
-        out = (out[:, :, None] + np.log10(np.stack([1 - here, here], axis=2))).reshape(len(p1), -1)
-    return out
-
-
-@dataclass
-class Tree:
-    """An automaton: ``rows[state]`` are the log10 probabilities of the next byte, ``then[state]`` the states after it."""
-
-    rows: np.ndarray
-    then: np.ndarray
-
-    def of(self, data: np.ndarray) -> np.ndarray:
-        """log10 probability of each byte; stretches are scored side by side, each from a few bytes before it."""
-        n = -(-len(data) // _STRETCH)
-        padded = np.full(n * _STRETCH + _WARM, END, np.uint8)
-        padded[_WARM : _WARM + len(data)] = data
-        at, state, out = np.arange(n) * _STRETCH, np.zeros(n, np.int64), np.empty((n, _STRETCH), np.float32)
-        rows, then = self.rows.ravel(), self.then.ravel()
-        for t in range(_STRETCH + _WARM):
-            cell = state * 256 + padded[at + t]
-            if t >= _WARM:
-                out[:, t - _WARM] = rows[cell]
-            state = then[cell].astype(np.int64)
-        return out.ravel()[: len(data)]
-
-
-def grow(nodes: Nodes) -> Tree:
-    """The weighted tree over ``nodes``, deepest first, and the automaton of its longest contexts.
-
-    A node without selected children predicts by its own estimate. Another one mixes it with its children, one of
-    which stands for all contexts that are no nodes themselves.
-    """
-    depths = len(nodes.keys)
-    kept: list[tuple[np.ndarray, ...]] = [()] * depths
-    below: tuple[np.ndarray, ...] | None = None
-    parents: list[np.ndarray] = [np.zeros(0, np.int64)] * depths
-    for d in range(depths - 1, -1, -1):
-        n = len(nodes.keys[d])
-        zeros, ones, weighted = (np.empty((n, 255)) for _ in range(3))
-        own_, stop_, rest_ = (np.empty((n, 255), np.float32) for _ in range(3))
-        order = np.argsort(below[0], kind="stable") if below else np.zeros(0, np.int64)
-        ups = below[0][order] if below else order
-        for a in range(0, n, _ROWS):
-            here = slice(a, min(n, a + _ROWS))
-            z, o = _bits(nodes.counts[d][here].astype(np.float64))
-            own = _kt(z, o)
-            mixed, inner = own, np.zeros((len(own), 1), bool)
-            rest = np.full_like(own, 0.5)
-            children = order[np.searchsorted(ups, here.start) : np.searchsorted(ups, here.stop)]
-            if len(children):
-                up = below[0][children] - a
-                inner[up] = True
-                sums = [np.zeros_like(own) for _ in range(3)]
-                for total, part in zip(sums, below[1:]):
-                    np.add.at(total, up, part[children])
-                z_rest, o_rest = np.maximum(z - sums[0], 0), np.maximum(o - sums[1], 0)
-                mixed = np.where(inner, np.logaddexp(own, sums[2] + _kt(z_rest, o_rest)) - math.log(2), own)
-                rest = (o_rest + 0.5) / (z_rest + o_rest + 1)
-            zeros[here], ones[here], weighted[here] = z, o, mixed
-            own_[here], rest_[here] = (o + 0.5) / (z + o + 1), rest
-            stop_[here] = np.where(inner, np.exp(np.minimum(own - math.log(2) - mixed, 0.0)), 1.0)
-        kept[d] = (own_, stop_, rest_)
-        nodes.counts[d] = nodes.counts[d][:0]
-        if d:
-            parents[d] = np.searchsorted(nodes.keys[d - 1], nodes.keys[d] & np.uint64((1 << (8 * (d - 1))) - 1))
-            below = (parents[d], zeros, ones, weighted)
-    del below, zeros, ones, weighted
-    first = np.cumsum([0, *map(len, nodes.keys)])
-    rows, then = np.zeros((first[-1], 256), np.float32), np.zeros((first[-1], 256), np.int32)
-    said, left = np.zeros((1, 255), np.float32), np.ones((1, 255), np.float32)
-    for d in range(depths):
-        own, stop, rest = kept[d]
-        kept[d] = ()
-        if d:
-            said, left = said[parents[d]], left[parents[d]]
-            then[first[d] : first[d + 1]] = then[first[d - 1] + parents[d]]
-        said, left = said + left * stop * own, left * (1 - stop)
-        for a in range(0, len(own), _ROWS):
-            here = slice(a, a + _ROWS)
-            rows[first[d] + a : min(first[d + 1], first[d] + a + _ROWS)] = _bytes(np.clip(said[here] + left[here] * rest[here], 1e-7, 1 - 1e-7).astype(np.float64))
-        if d + 1 < depths and len(nodes.keys[d + 1]):
-            longer = nodes.keys[d + 1]
-            before = np.searchsorted(nodes.keys[d], longer >> np.uint64(8))
-            then[first[d] + before, (longer & np.uint64(255)).astype(np.int64)] = first[d + 1] + np.arange(len(longer))
-    return Tree(rows, then)
+# Chunks
 
 
 def coded_text(text: bytes) -> bytes:
-    """A space that isn't coded, each lower-cased word with a space after it, and the end symbol."""
+    """Each lower-cased word with a space after it, and the end symbol."""
     words = text.lower().split()
-    return b" " + b" ".join(words) + b" \xff" if words else b" \xff"
-
-
-def _joined(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(bytes of the coded texts, where each begins)."""
-    each = [coded_text(t.encode("utf-8", "surrogatepass")) for t in texts.to_pylist()]
-    return np.frombuffer(b"".join(each), np.uint8), np.cumsum([0, *map(len, each)])[:-1]
-
-
-def _ends(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(last TAIL bytes, first HEAD bytes of word and space) of each word, packed, zero where there are fewer."""
-    offsets = np.frombuffer(words.buffers()[1], np.int64, len(words) + 1, words.offset * 8)
-    data = np.frombuffer(words.buffers()[2], np.uint8) if words.buffers()[2] else np.zeros(1, np.uint8)
-    begin, end = offsets[:-1], offsets[1:]
-    tail, head = np.zeros(len(words), np.uint64), np.zeros(len(words), np.uint64)
-    for k in range(TAIL):
-        tail |= np.where(end - k > begin, data[np.maximum(end - 1 - k, 0)], 0).astype(np.uint64) << np.uint64(8 * k)
-    for k in range(HEAD):
-        byte = np.where(begin + k < end, data[np.minimum(begin + k, len(data) - 1)], np.where(begin + k == end, SPACE, 0))
-        head |= byte.astype(np.uint64) << np.uint64(8 * (HEAD - 1 - k))
-    return tail, head
-
-
-def neighbours(docs: np.ndarray, codes: np.ndarray, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(tail << 32 | head, count) of each word, or the end symbol, with the word before it in its text."""
-    if not len(docs):
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    tail, head = _ends(words)
-    last = np.r_[docs[1:] != docs[:-1], True]
-    after = np.r_[head[codes[1:]], np.uint64(0)]
-    after[last] = np.uint64(END << 8 * (HEAD - 1))
-    return np.unique((tail[codes] << np.uint64(32)) | after, return_counts=True)
-
-
-def cross_counts(pairs: np.ndarray, n: np.ndarray, depth: int, above: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-    """Like ``gram_counts``, for the contexts that reach into the word before, from the counts of ``neighbours``."""
-    tail, head, keys, counts = pairs >> np.uint64(32), pairs & np.uint64(0xFFFFFFFF), [], []
-    for p in range(HEAD):
-        m = depth - 1 - p
-        if not 1 <= m <= TAIL:
-            continue
-        byte = (head >> np.uint64(8 * (HEAD - 1 - p))) & np.uint64(255)
-        ok = (byte > 0) & (tail >> np.uint64(8 * (m - 1)) > 0)
-        context = ((tail & np.uint64((1 << 8 * m) - 1)) << np.uint64(8 * (p + 1))) | np.uint64(SPACE << 8 * p) | (head >> np.uint64(8 * (HEAD - p)))
-        if above is not None:
-            ok &= _within(above, context & np.uint64((1 << 8 * (depth - 1)) - 1)) & _within(above, context >> np.uint64(8))
-        keys.append((context[ok] << np.uint64(8)) | byte[ok])
-        counts.append(n[ok])
-    if not keys:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    return _merged([(np.concatenate(keys), np.concatenate(counts))])
+    return b" ".join(words) + b" \xff" if words else b"\xff"
 
 
-def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    keys, inverse = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
-    return keys, np.bincount(inverse, np.concatenate([n for _, n in parts]), len(keys)).astype(np.int64)
+def gram_keys(coded: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(key of each coded byte, where each text begins). The last byte of the context is highest, the coded byte lowest.
 
+    End symbols stand for what would come before a text.
+    """
+    data = np.frombuffer(b"\xff" * 7 + (b"\xff" * 6).join(coded), np.uint8)
+    lengths = np.fromiter(map(len, coded), np.int64, len(coded))
+    begin = np.cumsum(np.r_[0, lengths[:-1]])
+    keys = data[7:].astype(np.uint64)
+    for j in range(1, DEPTH + 1):
+        keys |= data[7 - j : len(data) - j].astype(np.uint64) << np.uint64(8 * (8 - j))
+    if len(coded) > 1:
+        keys = np.delete(keys, (np.cumsum(lengths + 6)[:-1, None] - np.arange(6, 0, -1)).ravel())
+    return keys, begin
+
+
+def _distinct(sorted_: np.ndarray) -> np.ndarray:
+    """Where each run of equal values begins."""
+    return np.flatnonzero(np.r_[True, sorted_[1:] != sorted_[:-1]]) if len(sorted_) else np.zeros(0, np.int64)
+
+
+def _word_keys(coded: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text of each word, place of its hash, distinct hashes in order); the end symbol of each text is a word at the end."""
+    docs, codes, words = words_of(pa.array([c[:-1] for c in coded], pa.large_binary()).cast(pa.large_string()))
+    hashes, place = np.unique(np.r_[word_hashes(words).view(np.uint64), np.uint64(_END_KEY)], return_inverse=True)
+    return np.r_[docs, np.arange(len(coded))], np.r_[place[codes], np.full(len(coded), place[-1])], hashes
+
+
+def _chunk_rows(chunk: int, held: bool, coded: list[bytes], ids: pa.Array) -> pa.RecordBatch:
+    rows: list[tuple] = [(chunk, TEXT, 0, len(coded), zstandard.ZstdCompressor(level=1).compress(b"".join(coded)), b"", list(map(len, coded)), [held] * len(coded))]
+    keys, _ = gram_keys(coded)
+    keys.sort()
+    first = _distinct(keys)
+    counts = np.diff(np.r_[first, len(keys)])
+    _, place, hashes = _word_keys(coded)
+    for kind, bits, found, n in ((GRAMS, 8, keys[first], counts), (WORDS, 4, hashes, np.bincount(place, minlength=len(hashes)))):
+        cuts = np.r_[np.searchsorted(found, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)), len(found)]
+        for part in np.flatnonzero(np.diff(cuts)).tolist():
+            a, b = cuts[part], cuts[part + 1]
+            rows.append((chunk, kind, part, int(b - a), pack(found[a:b]), b"" if held else pack(n[a:b]), None, None))
+    kinds = [pa.int64(), pa.int8(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.bool_())]
+    columns = [pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)]
+    of_rows = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)
+    columns.append(pa.concat_arrays([of_rows, pa.nulls(len(rows) - 1, of_rows.type)]))
+    return pa.RecordBatch.from_arrays(columns, ["chunk", "kind", "part", "n", "keys", "counts", "sizes", "held", "ids"])
+
+
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of text into chunks that are all held out or all for training: their texts, grams and words."""
+    made, base = 0, TaskContext.get().partitionId() << 32
+    texts: dict[bool, list[bytes]] = {True: [], False: []}
+    ids: dict[bool, list[pa.Array]] = {True: [], False: []}
+    size = {True: 0, False: 0}
+
+    def flush(held: bool) -> pa.RecordBatch:
+        nonlocal made
+        out = _chunk_rows(base + made, held, texts[held], pa.concat_arrays(ids[held]))
+        made += 1
+        texts[held], ids[held], size[held] = [], [], 0
+        return out
 
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(word, pair, n) of each slab: a word, a pair of neighbours' ends, or neither for the end symbol."""
     for batch in batches:
-        for _, texts in slabs(batch.column("text"), 2 * _SLAB):
-            docs, codes, distinct = words_of(pc.ascii_lower(texts))
-            n = np.bincount(codes, minlength=len(distinct))
-            some = np.flatnonzero(n)
-            pairs, many = neighbours(docs, codes, distinct)
-            words = pa.concat_arrays([distinct.take(pa.array(some)).cast(pa.string()), pa.nulls(len(pairs) + 1, pa.string())])
-            keys = pa.concat_arrays([pa.nulls(len(some), pa.int64()), pa.array(pairs.view(np.int64)), pa.nulls(1, pa.int64())])
-            yield pa.RecordBatch.from_arrays([words, keys, pa.array(np.r_[n[some], many, len(texts)].astype(np.int64))], ["word", "pair", "n"])
+        column, flags = pc.fill_null(batch.column("text"), "").cast(pa.binary()), np.asarray(batch.column("held_out").to_numpy(zero_copy_only=False))
+        for held in (False, True):
+            last = 0
+            rows = np.flatnonzero(flags == held)
+            for k, i in enumerate(rows.tolist()):
+                coded = coded_text(column[i].as_py())
+                if texts[held] and size[held] + len(coded) > CHUNK:
+                    if k > last:
+                        ids[held].append(batch.column("doc_id").take(pa.array(rows[last:k])))
+                    last = k
+                    yield flush(held)
+                texts[held].append(coded)
+                size[held] += len(coded)
+            if len(rows) > last:
+                ids[held].append(batch.column("doc_id").take(pa.array(rows[last:])))
+    for held in (False, True):
+        if texts[held]:
+            yield flush(held)
+
+
+# Ranges of keys
 
 
-def _count_grams(depths: tuple[int, ...], above: np.ndarray | None):
-    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list] = {d: [] for d in depths}
+@dataclass
+class Ranges:
+    """Where each bucket begins, the context bytes that its nodes have in common, and how many buckets hold grams."""
 
-        def out(d: int) -> pa.RecordBatch:
-            keys, n = _merged(held[d])
-            held[d] = []
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), d, np.int8)), pa.array(keys.view(np.int64)), pa.array(n)], ["depth", "gram", "n"])
+    starts: np.ndarray
+    depths: list[int]
+    grams: int
 
+
+def _prefix_counts(bytes_: int, inside: np.ndarray | None):
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[int, int] = {}
         for batch in batches:
-            n, paired = np.asarray(batch.column("n")), np.asarray(batch.column("pair").is_valid())
-            pairs = np.asarray(pc.fill_null(batch.column("pair"), 0)).view(np.uint64)[paired]
-            words, each = batch.column("word").filter(pa.array(~paired)), n[~paired]
-            for d in depths:
-                held[d].append(cross_counts(pairs, n[paired], d, above))
-            for start, part in slabs(words, _SLAB):
-                for d in depths:
-                    held[d].append(gram_counts(part, each[start : start + len(part)], d, above))
-                    if sum(len(k) for k, _ in held[d]) > _MERGE:
-                        held[d] = [_merged(held[d])]
-                        if len(held[d][0][0]) > _MERGE // 2:
-                            yield out(d)
-        for d in depths:
-            if held[d]:
-                yield out(d)
+            for data in batch.column("keys"):
+                prefix = unpack(data.as_py()) >> np.uint64(64 - 8 * bytes_)
+                if inside is not None:
+                    prefix = prefix[np.isin(prefix >> np.uint64(8), inside)]
+                first = _distinct(prefix)
+                for p, n in zip(prefix[first].tolist(), np.diff(np.r_[first, len(prefix)]).tolist()):
+                    found[p] = found.get(p, 0) + n
+        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.int64())], ["prefix", "n"])
 
     return step
 
 
-def select_nodes(words: DataFrame) -> Nodes:
-    """The contexts in (word, pair, n) rows that have enough counts."""
-    coded = words.filter("pair is null").agg(F.sum(F.col("n") * (F.coalesce(F.octet_length("word"), F.lit(0)) + 1)).alias("n")).first()["n"] or 0
-    least = max(2, coded >> NODE_BITS)
-    keys: list[np.ndarray] = []
-    counts: list[np.ndarray] = []
-    for depths in ((0, 1, 2), *((d,) for d in range(3, DEPTH + 1))):
-        above = keys[-1] if len(depths) == 1 else None
-        if above is not None and not len(above):
+def find_ranges(pieces: DataFrame) -> Ranges:
+    """Buckets of neighbouring nodes from the exact numbers of grams in all chunks; a node with more than its share is cut a byte deeper."""
+    sums = {r["kind"]: r["n"] for r in pieces.filter(F.col("kind") != TEXT).groupBy("kind").agg(F.sum("n").alias("n")).collect()}
+    share = max(BUCKET, sums.get(GRAMS, 0) // BUCKETS)
+    nodes: list[tuple[int, int, int]] = []
+    inside: np.ndarray | None = None
+    grams = pieces.filter(F.col("kind") == GRAMS)
+    for depth in range(2, MOST_CUT + 1):
+        rows = grams if inside is None else grams.filter(F.col("part").isin(sorted({int(p) >> 8 * (depth - 2) for p in inside})))
+        counted = rows.select("keys").mapInArrow(_prefix_counts(depth, inside), "prefix bigint, n bigint").groupBy("prefix").agg(F.sum("n").alias("n")).collect()
+        hot = [r["prefix"] for r in counted if r["n"] > share] if depth < min(MOST_CUT, DEPTH) else []
+        nodes += [(r["prefix"] << 64 - 8 * depth, depth, r["n"]) for r in counted if r["prefix"] not in set(hot)]
+        if not hot:
             break
-        grams = words.select("word", "pair", "n").mapInArrow(_count_grams(depths, above), "depth tinyint, gram bigint, n bigint").groupBy("depth", "gram").agg(F.sum("n").alias("n"))
-        context = F.shiftrightunsigned("gram", 8)
-        whole = grams.groupBy("depth", context.alias("context")).agg(F.sum("n").alias("total"), F.collect_list(F.struct(F.col("gram").bitwiseAND(F.lit(255)).cast("int").alias("b"), "n")).alias("next"))
-        got = whole.filter((F.col("total") >= least) | (F.col("depth") == 0)).select("depth", "context", F.col("next.b").alias("b"), F.col("next.n").alias("n")).toPandas()
-        for d in depths:
-            part = got[got["depth"] == d]
-            key = part["context"].to_numpy(np.int64).view(np.uint64)
-            table = np.zeros((max(len(key), int(d == 0)), 256), np.int64)
-            order = np.argsort(key)
-            for row, (b, n) in enumerate(zip(part["b"].to_numpy()[order], part["n"].to_numpy()[order])):
-                table[row, np.asarray(b)] = n
-            keys.append(key[order] if len(key) or d else np.zeros(1, np.uint64))
-            counts.append(table)
-    return Nodes(keys, counts)
-
-
-def _frequent(words: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes in order, counts) of the words above the least count that leaves at most FREQUENT of them."""
-    top = 1 << 16
-    by = words.groupBy(F.least("n", F.lit(top)).alias("c")).agg(F.count(F.lit(1)).alias("words")).collect()
-    total, least = 0, top + 1
-    for r in sorted(by, key=lambda r: -r["c"]):
-        total += r["words"]
-        if total > FREQUENT:
-            break
-        least = r["c"]
-    got = words.filter(F.col("n") >= least).select("key", "n").toPandas()
-    keys, n = got["key"].to_numpy(np.int64), got["n"].to_numpy(np.int64)
-    order = np.argsort(keys)
-    return keys[order], n[order]
+        inside = np.array(sorted(hot), np.uint64)
+    starts: list[int] = []
+    depths: list[int] = []
+    held = 0
+    for start, depth, n in sorted(nodes):
+        if not starts or depth != depths[-1] or held + n > share:
+            starts.append(start)
+            depths.append(depth)
+            held = 0
+        held += n
+    return Ranges(np.array(starts, np.uint64), depths, len(starts))
 
 
-@dataclass
-class Model:
-    tree: Tree
-    words: np.ndarray
-    counts: np.ndarray
-    end_count: int
-    denominator: float
+def _word_buckets(pieces: DataFrame) -> int:
+    n = pieces.filter(F.col("kind") == WORDS).agg(F.sum("n").alias("n")).first()["n"] or 0
+    return 1 << max(0, min(n // BUCKET, BUCKETS).bit_length())
 
 
-def _score(model):
-    """A row for each text: sizes, what its frequent words give to the baseline, the tree's score, and its rarer words."""
+def _deal(ranges: Ranges, word_bits: int):
+    """Pieces of chunks cut at the buckets' boundaries."""
+    words = np.arange(1 << word_bits, dtype=np.uint64) << np.uint64(64 - word_bits) if word_bits else np.zeros(1, np.uint64)
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m: Model = model.value
-        gains, known_words = np.log10(m.counts + 1.0), m.words
         for batch in batches:
-            for start, texts in slabs(batch.column("text"), _SLAB):
-                size = len(texts)
-                docs, codes, distinct = words_of(pc.ascii_lower(texts))
-                data, begin = _joined(texts)
-                given = m.tree.of(data).astype(np.float64)
-                given[begin] = 0
-                hashes = word_hashes(distinct)
-                at = np.minimum(np.searchsorted(known_words, hashes), max(0, len(known_words) - 1))
-                found = known_words[at] == hashes if len(known_words) else np.zeros(len(hashes), bool)
-                gain = np.where(found, gains[at], 0.0) if len(known_words) else np.zeros(len(hashes))
-                n = np.bincount(docs, minlength=size) + 1
-                known = np.bincount(docs, found[codes], size).astype(np.int64) + (m.end_count > 0)
-                base = np.bincount(docs, gain[codes], size) + math.log10(m.end_count + 1) - n * math.log10(m.denominator)
-                score, n_coded = np.add.reduceat(given, begin), np.diff(np.r_[begin, len(data)]) - 1
-                rare = ~found[codes]
-                pairs, many = np.unique(docs[rare] * np.int64(max(1, len(distinct))) + codes[rare], return_counts=True)
-                doc, word = pairs // max(1, len(distinct)), pairs % max(1, len(distinct))
-                ends = pa.array(np.searchsorted(doc, np.arange(size + 1)).astype(np.int32))
+            for row in batch.to_pylist():
+                keys = unpack(row["keys"])
+                counts = unpack(row["counts"]) if row["counts"] else None
+                starts, base = (ranges.starts, 0) if row["kind"] == GRAMS else (words, ranges.grams)
+                low, high = np.searchsorted(starts, keys[[0, -1]], "right") - 1
+                cuts = np.r_[0, np.searchsorted(keys, starts[low + 1 : high + 1]), len(keys)]
+                out = [(base + low + k, int(a), int(b)) for k, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a]
+                whole = len(out) == 1
                 yield pa.RecordBatch.from_arrays(
                     [
-                        *(batch.column(c).slice(start, size) for c in ("doc_id", "held_out")),
-                        pa.array(n), pa.array(known), pa.array(base), pa.array(score), pa.array(n_coded),
-                        pa.ListArray.from_arrays(ends, pa.array(hashes[word])), pa.ListArray.from_arrays(ends, pa.array(many.astype(np.int32))),
+                        pa.array([int(k) for k, _, _ in out], pa.int32()), pa.array([1] * len(out), pa.int8()), pa.array([row["chunk"]] * len(out), pa.int64()), pa.array([row["part"]] * len(out), pa.int32()),
+                        pa.array([row["keys"] if whole else pack(keys[a:b]) for _, a, b in out], pa.binary()),
+                        pa.array([b"" if counts is None else row["counts"] if whole else pack(counts[a:b]) for _, a, b in out], pa.binary()),
                     ],
-                    ["doc_id", "held_out", "n_tokens", "n_known", "base", "score", "n_coded", "rare", "many"],
+                    ["bucket", "step", "chunk", "part", "keys", "counts"],
                 )
 
     return step
 
 
-def train(docs: DataFrame) -> tuple[Model, DataFrame, int]:
-    """(model, (key, n) of all training words, tokens) from all rows of ``docs``, column text."""
-    partial = docs.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(_count_words, "word string, pair bigint, n bigint")
-    counted = partial.groupBy("word", "pair").agg(F.sum("n").alias("n")).withColumn("key", F.xxhash64("word"))
-    counts = materialise(counted, "ctw-words")
-    words = counts.filter(F.col("word").isNotNull())
-    total = counts.filter("pair is null").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v"), F.sum(F.when(F.col("word").isNull(), F.col("n"))).alias("ends")).first()
-    tokens, ends = total["n"] or 0, total["ends"] or 0
-    tree = grow(select_nodes(counts))
-    keys, n = _frequent(words)
-    return Model(tree, keys, n, ends, tokens + 1.0 * (total["v"] + 1)), words.select("key", "n"), tokens
+DEALT = "bucket int, step tinyint, chunk bigint, part int, keys binary, counts binary"
+
+
+def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    keys, n = (np.concatenate(x) for x in zip(*parts))
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    first = _distinct(keys)
+    return keys[first], np.add.reduceat(n[order], first)
+
+
+# Context-tree weighting
+
+
+@cache
+def _lgamma_tables() -> tuple[np.ndarray, np.ndarray]:
+    n = np.arange(_TABLE - 1, dtype=np.float64)
+    return np.r_[0.0, np.cumsum(np.log(n + 0.5))] + math.lgamma(0.5), np.r_[0.0, np.cumsum(np.log(n + 1.0))]
+
+
+def _lgamma(n: np.ndarray, add: float) -> np.ndarray:
+    """log gamma of whole numbers plus 0.5 or 1; Stirling's series beyond the table."""
+    out = _lgamma_tables()[0 if add == 0.5 else 1][np.minimum(n, _TABLE - 1)]
+    far = np.flatnonzero(n >= _TABLE)
+    if len(far):
+        x = n[far] + add
+        out[far] = (x - 0.5) * np.log(x) - x + 0.5 * math.log(2 * math.pi) + 1 / (12 * x) - 1 / (360 * x**3)
+    return out
+
+
+def log_kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
+    return _lgamma(zeros, 0.5) + _lgamma(ones, 0.5) - _lgamma(zeros + ones, 1.0) - math.log(math.pi)
+
+
+def _stop(own: np.ndarray, mixed: np.ndarray) -> np.ndarray:
+    """The weight that a node with children keeps for its own estimate."""
+    return np.exp(np.minimum(own - math.log(2) - mixed, 0.0))
+
+
+@dataclass
+class _Depth:
+    keys: np.ndarray
+    zeros: np.ndarray
+    ones: np.ndarray
+    own: np.ndarray
+    mixed: np.ndarray
+    up: np.ndarray | None = None
+
+
+def _lifted(below: _Depth, depth: int) -> _Depth:
+    """The nodes at ``depth`` above sorted ones at depth + 1, each with the counts and weighted chances of its children."""
+    short = below.keys >> np.uint64(8 * (7 - depth))
+    first = _distinct(short)
+    zeros, ones = np.add.reduceat(below.zeros, first), np.add.reduceat(below.ones, first)
+    own = log_kt(zeros, ones)
+    mixed = np.logaddexp(own, np.add.reduceat(below.mixed, first)) - math.log(2)
+    up = np.zeros(len(short), np.int32)
+    up[first[1:]] = 1
+    below.up = np.cumsum(up, dtype=np.int32)
+    return _Depth(short[first] << np.uint64(8 * (7 - depth)), zeros, ones, own, mixed)
+
+
+def _level(keys: np.ndarray, n: np.ndarray, level: int, top: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[_Depth]]:
+    """(order of the grams, their bits, node of each, nodes from DEPTH up to ``top``) for one of a byte's eight decisions.
+
+    A node's key is its decision (one bit more than the bits before, counted from 1), then its context read backwards.
+    """
+    byte = (keys & np.uint64(255)).astype(np.uint16)
+    decision = (byte >> (8 - level)) + (1 << level)
+    order = np.argsort(decision, kind="stable")
+    node = (decision[order].astype(np.uint64) << np.uint64(56)) | (keys[order] >> np.uint64(8))
+    bit, n = ((byte >> (7 - level)) & 1)[order], n[order]
+    first = _distinct(node)
+    ones, total = np.add.reduceat(n * bit, first), np.add.reduceat(n, first)
+    own = log_kt(total - ones, ones)
+    depths = [_Depth(node[first], total - ones, ones, own, own)]
+    for d in range(DEPTH - 1, top - 1, -1):
+        depths.append(_lifted(depths[-1], d))
+    at = np.zeros(len(node), np.int32)
+    at[first[1:]] = 1
+    return order, bit, np.cumsum(at, dtype=np.int32), depths
+
+
+def _passed(d: _Depth, said: np.ndarray, left: np.ndarray, value: np.ndarray, leaf: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(chance given by this node and those above, weight left to its children, chance if the path ends here).
+
+    Weight that belongs to contexts which training never saw goes to the deepest one that it did see.
+    """
+    estimate, seen = (d.ones + 0.5) / (d.zeros + d.ones + 1.0), d.zeros + d.ones > 0
+    stop = 1.0 if leaf else _stop(d.own, d.mixed)
+    said, left = said + left * stop * estimate, left * (1 - stop)
+    return said, left, np.where(seen, said + left * estimate, value)
+
+
+@dataclass
+class Top:
+    """What comes down to the buckets' nodes: for each node's key the chance said so far, the weight left, the chance without it."""
+
+    keys: np.ndarray
+    said: np.ndarray
+    left: np.ndarray
+    value: np.ndarray
+
+
+def roots(keys: np.ndarray, n: np.ndarray, depth: int) -> _Depth:
+    """The weighted nodes at ``depth`` over sorted grams, for all 255 decisions."""
+    parts = [_level(keys, n, level, depth)[3][-1] for level in range(8)]
+    return _Depth(*(np.concatenate([getattr(p, f) for p in parts]) for f in ("keys", "zeros", "ones", "own", "mixed")))
+
+
+def weigh_top(found: list[tuple[int, _Depth]]) -> Top:
+    """Weighs the nodes above the buckets', which are given by depth, and follows the weights down to them."""
+    by: list[list[_Depth]] = [[d for depth, d in found if depth == k] for k in range(MOST_CUT + 1)]
+    whole: list[_Depth | None] = [None] * (MOST_CUT + 1)
+    own_: list[np.ndarray] = [np.zeros(0, bool)] * (MOST_CUT + 1)
+    below: _Depth | None = None
+    for d in range(MOST_CUT, -1, -1):
+        parts = ([_lifted(below, d)] if below is not None else []) + by[d]
+        if not parts:
+            continue
+        n_inner = len(parts[0].keys) if below is not None else 0
+        all_ = _Depth(*(np.concatenate([getattr(p, f) for p in parts]) for f in ("keys", "zeros", "ones", "own", "mixed")))
+        order = np.argsort(all_.keys, kind="stable")
+        back = np.empty(len(order), np.int32)
+        back[order] = np.arange(len(order), dtype=np.int32)
+        if below is not None:
+            below.up = back[below.up]
+        below = _Depth(*(getattr(all_, f)[order] for f in ("keys", "zeros", "ones", "own", "mixed")))
+        whole[d], own_[d] = below, order >= n_inner
+    out: list[list[np.ndarray]] = [[], [], [], []]
+    state: tuple[np.ndarray, ...] | None = None
+    for d in range(MOST_CUT + 1):
+        nodes = whole[d]
+        if nodes is None:
+            break
+        if state is None:
+            state = (np.zeros(len(nodes.keys)), np.ones(len(nodes.keys)), np.full(len(nodes.keys), 0.5))
+        for part, values in zip(out, (nodes.keys, *state)):
+            part.append(values[own_[d]])
+        nxt = whole[d + 1] if d < MOST_CUT else None
+        if nxt is not None:
+            state = tuple(x[nxt.up] for x in _passed(nodes, *state, leaf=False))
+    keys, *rest = (np.concatenate(p) for p in out)
+    order = np.argsort(keys)
+    return Top(keys[order], *(x[order] for x in rest))
+
+
+def code_lengths(keys: np.ndarray, n: np.ndarray, depth: int, top: Top) -> np.ndarray:
+    """-log probability of each of the sorted grams, in nats."""
+    out = np.zeros(len(keys))
+    for level in range(8):
+        order, bit, node, depths = _level(keys, n, level, depth)
+        at = np.searchsorted(top.keys, depths[-1].keys)
+        state = (top.said[at], top.left[at], top.value[at])
+        for k in range(len(depths) - 1, -1, -1):
+            state = _passed(depths[k], *state, leaf=k == 0)
+            if k:
+                state = tuple(x[depths[k - 1].up] for x in state)
+        p = np.clip(state[2], 1e-9, 1 - 1e-9)[node]
+        out[order] -= np.log(np.where(bit, p, 1 - p))
+    return out
+
+
+def _batches(keys: np.ndarray, depth: int) -> Iterator[slice]:
+    """Neighbouring nodes at ``depth`` with some _BATCH grams together."""
+    first = np.r_[_distinct(keys >> np.uint64(64 - 8 * depth)), len(keys)]
+    a = 0
+    while a < len(keys):
+        b = int(first[max(np.searchsorted(first, a, "right"), np.searchsorted(first, a + _BATCH, "right") - 1)])
+        yield slice(a, b)
+        a = b
+
+
+# Steps over buckets
+
+
+def _collect(keys: list, counts: list, row: dict) -> None:
+    found = unpack(row["keys"])
+    keys.append((found, unpack(row["counts"]).astype(np.int64) if row["counts"] else np.zeros(len(found), np.int64)))
+    counts[0] += len(found)
+    if counts[0] > 2 * counts[1] + 4 * _PIECE:
+        keys[:] = [_merged(keys)]
+        counts[0] = counts[1] = len(keys[0][0])
+
+
+def _merge(ranges: Ranges):
+    """One bucket's counts of all chunks, and the weighted nodes that it hands up; for words the sum and number of those in training."""
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list[tuple[np.ndarray, np.ndarray]] = []
+        sizes, bucket = [0, 0], -1
+        for batch in batches:
+            for row in batch.to_pylist():
+                bucket = row["bucket"]
+                _collect(parts, sizes, row)
+        if not parts:
+            return
+        keys, n = _merged(parts)
+        parts.clear()
+        row = lambda step, part, a, b, c, d, e: pa.RecordBatch.from_arrays(
+            [pa.array([bucket], pa.int32()), pa.array([step], pa.int8()), pa.array([part], pa.int32()), *(pa.array([x], pa.binary()) for x in (a, b, c, d, e))],
+            ["bucket", "step", "part", "keys", "counts", "ones", "own", "mixed"],
+        )
+        for part, a in enumerate(range(0, len(keys), _PIECE)):
+            yield row(0, part, pack(keys[a : a + _PIECE]), pack(n[a : a + _PIECE]), b"", b"", b"")
+        if bucket >= ranges.grams:
+            yield row(2, 0, b"", pack(np.array([n.sum(), (n > 0).sum()])), b"", b"", b"")
+            return
+        for part, here in enumerate(_batches(keys, ranges.depths[bucket])):
+            r = roots(keys[here], n[here], ranges.depths[bucket])
+            yield row(2, part, pack(r.keys), pack(r.zeros), pack(r.ones), _doubles(r.own), _doubles(r.mixed))
+
+    return step
+
+
+MERGED = "bucket int, step tinyint, part int, keys binary, counts binary, ones binary, own binary, mixed binary"
+
+
+def _answer(ranges: Ranges, top):
+    """For the keys that each chunk has in a bucket: code lengths in grains, or counts of words."""
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list[tuple[np.ndarray, np.ndarray]] = []
+        values: np.ndarray | None = None
+        keys = np.zeros(0, np.uint64)
+        for batch in batches:
+            for row in batch.to_pylist():
+                if row["step"] == 0:
+                    parts.append((unpack(row["keys"]), unpack(row["counts"]).astype(np.int64)))
+                    continue
+                if values is None:
+                    keys, values = (np.concatenate(x) for x in zip(*parts))
+                    parts.clear()
+                    if row["bucket"] < ranges.grams:
+                        depth = ranges.depths[row["bucket"]]
+                        values = np.concatenate([np.rint(code_lengths(keys[s], values[s], depth, top.value) * _GRAIN).astype(np.int64) for s in _batches(keys, depth)])
+                asked = values[np.searchsorted(keys, unpack(row["keys"]))]
+                columns = [pa.array([row["chunk"]], pa.int64()), pa.array([row["bucket"]], pa.int32()), pa.array([row["part"]], pa.int32()), pa.array([pack(asked)], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["chunk", "bucket", "part", "keys"])
+
+    return step
+
+
+def _score(ranges: Ranges):
+    """A row for each text, from its chunk's text and the values of its chunk's grams and words in order."""
+
+    def finish(text: dict, ids: pa.Array, grams: list[np.ndarray], words: list[np.ndarray]) -> pa.RecordBatch:
+        joined, cuts = zstandard.ZstdDecompressor().decompress(text["keys"]), np.cumsum([0, *text["sizes"]]).tolist()
+        coded = [joined[a:b] for a, b in zip(cuts, cuts[1:])]
+        keys, begin = gram_keys(coded)
+        order = np.argsort(keys)
+        keys = keys[order]
+        new = np.r_[True, keys[1:] != keys[:-1]]
+        given = np.concatenate(grams).view(np.int64)
+        if len(given) != int(new.sum()):
+            raise RuntimeError("a chunk's grams changed between the passes")
+        length = np.empty(len(keys), np.int64)
+        length[order] = given[np.cumsum(new) - 1]
+        n_coded = np.asarray(text["sizes"], np.int64)
+        docs, place, _ = _word_keys(coded)
+        count = np.concatenate(words).view(np.int64)
+        gain, known = np.log10(count + 1.0)[place], (count > 0)[place]
+        size = len(coded)
+        score = np.add.reduceat(length, begin) / _GRAIN * -math.log10(math.e)
+        return pa.RecordBatch.from_arrays(
+            [ids, pa.array(text["held"], pa.bool_()), pa.array(np.bincount(docs, minlength=size)), pa.array(np.bincount(docs, known, size).astype(np.int64)), pa.array(np.bincount(docs, gain, size)), pa.array(score), pa.array(n_coded)],
+            ["doc_id", "held_out", "n_tokens", "n_known", "base", "score", "n_coded"],
+        )
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        text: dict | None = None
+        ids: pa.Array | None = None
+        grams: list[np.ndarray] = []
+        words: list[np.ndarray] = []
+        for batch in batches:
+            wide = batch.column("ids")
+            for i, row in enumerate(batch.drop_columns(["ids"]).to_pylist()):
+                if row["bucket"] < 0:
+                    if text is not None:
+                        yield finish(text, ids, grams, words)
+                    text, ids, grams, words = row, wide.slice(i, 1).flatten(), [], []
+                else:
+                    (grams if row["bucket"] < ranges.grams else words).append(unpack(row["keys"]))
+        if text is not None:
+            yield finish(text, ids, grams, words)
+
+    return step
 
 
 def score(docs: DataFrame, modulus: int = MODULUS) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte) for each row of ``docs``.
 
     Rows whose crc32(doc_id as text) mod ``modulus`` is not 2 train both models. A null or blank text is an end symbol
-    alone, null ids hash as the empty text, repeated rows count and score each, other columns are not read. Without
-    training rows every decision has one chance in two, and no word is known.
+    alone, null ids hash as the empty text, repeated rows count and score each, a very long text is a chunk of its
+    own, other columns are not read. Without training rows every decision has one chance in two, and no word is known;
+    an empty table gives an empty result. Words are told apart by 64-bit hashes.
     """
-    marked = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), is_held_out(modulus=modulus).alias("held_out"))
-    model, words, tokens = train(marked.filter(~F.col("held_out")))
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    spark = docs.sparkSession
+    marked = docs.select("doc_id", "text", is_held_out(modulus=modulus).alias("held_out"))
     kind = dict(marked.dtypes)["doc_id"]
-    schema = f"doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, base double, score double, n_coded bigint, rare array<bigint>, many array<int>"
-    scored = materialise(marked.mapInArrow(_score(shared), schema).withColumn("rid", F.monotonically_increasing_id()), "ctw-scored")
-    rare = scored.select("rid", F.explode(F.arrays_zip("rare", "many")).alias("w")).select("rid", F.col("w.rare").alias("key"), "w.many")
-    # Spark takes the exploded side for as small as its input and might broadcast it.
-    met = rare.join(words.hint("merge"), "key").groupBy("rid").agg(F.sum("many").alias("more"), F.sum(F.col("many") * F.log10(F.col("n") + 1.0)).alias("gain"))
-    whole = scored.select("rid", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "n_coded").join(met, "rid", "left")
-    return whole.select(
+    pieces = materialise(marked.mapInArrow(_chunks, f"{PIECES}, ids array<{kind}>"), "ctw-chunks")
+    ranges = find_ranges(pieces)
+    buckets = ranges.grams + _word_buckets(pieces)
+    dealt = pieces.filter(F.col("kind") != TEXT).select("chunk", "kind", "part", "keys", "counts").mapInArrow(_deal(ranges, (buckets - ranges.grams).bit_length() - 1), DEALT)
+    merged = materialise(dealt.repartitionById(buckets, F.col("bucket")).mapInArrow(_merge(ranges), MERGED), "ctw-merged")
+    handed = merged.filter("step = 2").select("bucket", "keys", "counts", "ones", "own", "mixed").collect()
+    totals = [unpack(r["counts"]) for r in handed if r["bucket"] >= ranges.grams]
+    tokens, distinct = (int(sum(t[k] for t in totals)) for k in (0, 1))
+    found = [(ranges.depths[r["bucket"]], _Depth(unpack(r["keys"]), unpack(r["counts"]).astype(np.int64), unpack(r["ones"]).astype(np.int64), _undouble(r["own"]), _undouble(r["mixed"]))) for r in handed if r["bucket"] < ranges.grams]
+    chunks = pieces.filter(F.col("kind") == TEXT).count()
+    if not chunks:
+        return spark.createDataFrame([], f"doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double, bits_per_byte double")
+    top = spark.sparkContext.broadcast(weigh_top(found))
+    known = merged.filter("step = 0").select("bucket", "step", F.lit(-1).cast("bigint").alias("chunk"), "part", "keys", "counts")
+    asked = known.unionByName(dealt.withColumn("counts", F.lit(b""))).repartitionById(buckets, F.col("bucket")).sortWithinPartitions("step", "part")
+    answers = asked.mapInArrow(_answer(ranges, top), "chunk bigint, bucket int, part int, keys binary")
+    texts = pieces.filter(F.col("kind") == TEXT).select("chunk", F.lit(-1).alias("bucket"), "part", "keys", "sizes", "held", "ids")
+    both = texts.unionByName(answers, allowMissingColumns=True).repartition(min(chunks, 100_000), "chunk").sortWithinPartitions("chunk", "bucket", "part")
+    schema = f"doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, base double, score double, n_coded bigint"
+    return both.mapInArrow(_score(ranges), schema).select(
         "doc_id",
         "held_out",
         "n_tokens",
-        (F.col("n_known") + F.coalesce("more", F.lit(0))).alias("n_known"),
+        "n_known",
         F.lit(tokens).cast("bigint").alias("train_tokens"),
-        (F.col("base") + F.coalesce("gain", F.lit(0.0))).alias("base_score"),
+        (F.col("base") - F.col("n_tokens") * math.log10(tokens + 1.0 * (distinct + 1))).alias("base_score"),
         "score",
         (-F.col("score") / math.log10(2) / F.col("n_coded")).alias("bits_per_byte"),
     )

@@ -349,103 +349,112 @@ def test_baseline_against_brute_force(spark, sf_dir, docs):
         assert got[i]["base_score"] == pytest.approx(base, rel=1e-9)
         assert (got[i]["n_tokens"], got[i]["n_known"], got[i]["train_tokens"]) == (len(w) + 1, sum(count[t] > 0 for t in [*w, b""]), n)
     held = [r for r in got.values() if r["held_out"]]
-    assert np.mean([r["bits_per_byte"] for r in held]) < 3.2
+    assert np.mean([r["bits_per_byte"] for r in held]) < 2.6
 
 
-def test_rare_words_join_gives_the_same(spark, sf_dir, monkeypatch):
-    want = {r["doc_id"]: (r["n_known"], round(r["base_score"], 6)) for r in queries.op7_lm_scoring(spark, sf_dir).collect()}
-    monkeypatch.setattr(ctw, "FREQUENT", 50)
-    got = {r["doc_id"]: (r["n_known"], round(r["base_score"], 6)) for r in queries.op7_lm_scoring(spark, sf_dir).collect()}
-    assert got == want
+def slow_weights(texts):
+    """(counts, children, log KT and weighted log chance) of every node of all 255 context trees, node by node."""
+    counts, children, weights = collections.defaultdict(lambda: [0, 0]), collections.defaultdict(list), {}
+    for text in texts:
+        for decision, context, bit in decisions(text):
+            for d in range(ctw.DEPTH + 1):
+                counts[decision, context[ctw.DEPTH - d :]][bit] += 1
+    for decision, context in counts:
+        if context:
+            children[decision, context[1:]].append((decision, context))
+    for node in sorted(counts, key=lambda k: -len(k[1])):
+        own = slow_kt(*counts[node])
+        weights[node] = (own, own if len(node[1]) == ctw.DEPTH else slow_mixed(own, sum(weights[k][1] for k in children[node])))
+    return counts, children, weights
+
+
+def slow_kt(a, b):
+    return math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.lgamma(a + b + 1) - math.log(math.pi)
 
 
-def slow_tree(pairs, depth):
-    """Context-tree weighting over explicit (context, byte, count) rows, bit by bit, without pruning."""
-    counts = collections.defaultdict(lambda: [0, 0])
-    for context, byte, n in pairs:
-        for d in range(depth + 1):
-            if d > len(context):
-                break
-            for k in range(8):
-                counts[context[len(context) - d :], (1 << k) | (byte >> (8 - k))][byte >> (7 - k) & 1] += n
-
-    def kt(a, b):
-        return math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.lgamma(a + b + 1) - math.log(math.pi)
-
-    contexts = {c for c, _ in counts}
-
-    def weighted(c, node):
-        own = kt(*counts.get((c, node), (0, 0)))
-        below = [x for x in contexts if len(x) == len(c) + 1 and x.endswith(c)]
-        if len(c) == depth or not below:
-            return own
-        return np.logaddexp(own, sum(weighted(x, node) for x in below) + kt_rest(c, node, below)) - math.log(2)
-
-    def kt_rest(c, node, below):
-        a, b = counts.get((c, node), (0, 0))
-        for x in below:
-            p, q = counts.get((x, node), (0, 0))
-            a, b = a - p, b - q
-        return kt(a, b)
-
-    return counts, weighted
-
-
-def test_tree_is_a_distribution_and_matches_the_recursion():
-    r = np.random.default_rng(3)
-    text = b"abracadabra abba banana bandana " * 3
-    n_nodes = ctw.Nodes([], [])
-    for d in range(3):
-        rows = collections.defaultdict(lambda: np.zeros(256, np.int64))
-        for i in range(2, len(text)):
-            rows[int.from_bytes(text[i - d : i], "big")][text[i]] += 1
-        keys = np.array(sorted(rows), np.uint64)
-        n_nodes.keys.append(keys)
-        n_nodes.counts.append(np.array([rows[int(k)] for k in keys]))
-    pairs = [(text[i - 2 : i], text[i], 1) for i in range(2, len(text))]
-    counts, weighted = slow_tree(pairs, 2)
-    tree = ctw.grow(n_nodes)
-    assert np.allclose((10.0 ** tree.rows.astype(np.float64)).sum(1), 1, atol=1e-4)
-    for context, byte in ((b"ab", ord("r")), (b"an", ord("a")), (b"da", ord("n"))):
-        want = 0.0
+def slow_mixed(own, below):
+    return float(np.logaddexp(own, below)) - math.log(2)
+
+
+def decisions(text):
+    data = b"\xff" * 7 + ctw.coded_text((text or "").encode())
+    for p in range(7, len(data)):
         for k in range(8):
-            node = (1 << k) | (byte >> (8 - k))
-            bit = byte >> (7 - k) & 1
-            before = weighted(b"", node)
-            for d in range(3):
-                counts[context[2 - d :], node][bit] += 1
-            want += weighted(b"", node) - before
-            for d in range(3):
-                counts[context[2 - d :], node][bit] -= 1
-        state = 0
-        for b in context:
-            state = int(tree.then[state, b])
-        assert tree.rows[state, byte] == pytest.approx(want / math.log(10), abs=2e-3)
-    data = np.frombuffer(r.choice(list(text), 3000).astype(np.uint8).tobytes(), np.uint8)
-    state, slow = 0, []
-    for b in data:
-        slow.append(tree.rows[state, b])
-        state = tree.then[state, b]
-    assert np.allclose(tree.of(data), slow)
-
-
-def test_cross_counts():
-    words = pa.array(["ab", "the", "q"], pa.large_string())
-    pairs, n = ctw.neighbours(np.array([0, 0, 1]), np.array([0, 1, 2]), words)
-    grams = {}
-    for d in range(2, 8):
-        keys, counts = ctw.cross_counts(pairs, n, d, None)
-        grams |= {int(k).to_bytes(d + 1, "big"): int(c) for k, c in zip(keys, counts)}
-    assert grams[b"ab th"] == 1 and grams[b"b t"] == 1 and grams[b"ab the "] == 1 and grams[b"he \xff"] == 1 and grams[b"q \xff"] == 1
-    assert not any(k.startswith(b"q t") for k in grams)
-
-
-def test_scoring_edges(awkward, empty):
+            yield (1 << k) + (data[p] >> (8 - k)), data[p - ctw.DEPTH : p], data[p] >> (7 - k) & 1
+
+
+def slow_ratio(counts, children, weights, decision, context, bit):
+    """How the weighted chance of the whole tree grows by one more bit: the textbook definition."""
+    new = 0.0
+    for d in range(ctw.DEPTH, -1, -1):
+        node = (decision, context[ctw.DEPTH - d :])
+        more = list(counts[node])
+        more[bit] += 1
+        own = slow_kt(*more)
+        if d == ctw.DEPTH:
+            new = own
+        else:
+            child = (decision, context[ctw.DEPTH - d - 1 :])
+            new = slow_mixed(own, sum(weights[k][1] for k in children[node] if k != child) + new)
+    return new - weights[decision, b""][1]
+
+
+def slow_chance(counts, weights, decision, context, bit):
+    """The mixture along the nodes of the context that training saw; the deepest of them takes the weight below it."""
+    said, left, value = 0.0, 1.0, 0.5
+    for d in range(ctw.DEPTH + 1):
+        node = (decision, context[ctw.DEPTH - d :])
+        if node not in counts:
+            break
+        estimate = (counts[node][1] + 0.5) / (sum(counts[node]) + 1)
+        stop = 1.0 if d == ctw.DEPTH else math.exp(weights[node][0] - math.log(2) - weights[node][1])
+        said, left = said + left * stop * estimate, left * (1 - stop)
+        value = said + left * estimate
+    return math.log(min(max(value if bit else 1 - value, 1e-9), 1.0))
+
+
+@pytest.mark.parametrize("bucket, chunk", [(2_000_000, 16 << 20), (2000, 3000)])
+def test_scores_against_the_whole_trees(spark, docs, monkeypatch, bucket, chunk):
+    rows = sorted(((r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()), key=lambda r: len(r[1] or ""))[:40]
+    held = {i for i, _ in rows if zlib.crc32(str(i).encode()) % 7 == 2}
+    counts, children, weights = slow_weights(t for i, t in rows if i not in held)
+    for name, value in {"BUCKET": bucket, "BUCKETS": 1 << 30, "CHUNK": chunk, "_BATCH": bucket // 2}.items():
+        monkeypatch.setattr(ctw, name, value)
+    got = {r["doc_id"]: r["score"] for r in ctw.score(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert held and set(got) == {i for i, _ in rows}
+    for i, text in rows:
+        if i in held:
+            want = sum(slow_chance(counts, weights, *x) for x in decisions(text))
+        else:
+            want = sum(slow_ratio(counts, children, weights, *x) for x in decisions(text))
+        assert got[i] == pytest.approx(want / math.log(10), rel=1e-4, abs=1e-2)
+
+
+def test_code_lengths_are_a_distribution():
+    keys, _ = ctw.gram_keys([ctw.coded_text(b"abracadabra abba banana bandana " * 3)])
+    train, n = np.unique(keys, return_counts=True)
+    contexts = np.unique(train >> np.uint64(8))[:, None] << np.uint64(8)
+    every = (contexts | np.arange(256, dtype=np.uint64)).ravel()
+    count = np.zeros(len(every), np.int64)
+    count[np.searchsorted(every, train)] = n
+    top = ctw.weigh_top([(2, ctw.roots(every, count, 2))])
+    p = np.exp(-ctw.code_lengths(every, count, 2, top)).reshape(-1, 256)
+    assert np.allclose(p.sum(1), 1, atol=1e-6)
+
+
+def test_packed_numbers_come_back():
+    values = np.array([0, 1, 255, 256, (1 << 64) - 1, 7], np.uint64)
+    assert (ctw.unpack(ctw.pack(values)) == values).all() and len(ctw.unpack(ctw.pack(values[:0]))) == 0
+
+
+def test_scoring_edges(spark, awkward, empty):
     got = ctw.score(clash(awkward)).collect()
     assert len(got) == len(AWKWARD) and all(math.isfinite(r["score"]) and math.isfinite(r["base_score"]) for r in got)
     blank = [r for r in got if r["doc_id"] in (3, 4, 5)]
     assert len({r["score"] for r in blank}) == 1 and {r["n_tokens"] for r in blank} == {1}
     assert ctw.score(empty).count() == 0
+    held = spark.createDataFrame([(str(i), "no row trains") for i in range(400) if zlib.crc32(str(i).encode()) % 7 == 2], "doc_id string, text string")
+    assert {(r["n_known"], r["train_tokens"], round(r["bits_per_byte"], 3)) for r in ctw.score(held).collect()} == {(0, 0, 8.0)}
 
 
 # 8 Decontamination
