@@ -21,30 +21,33 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsweft.llm.common import is_held_out, materialise, word_hashes, words_of
+from newsweft.llm.common import is_held_out, materialise, words_of
 
 END = 255
 MODULUS = 7
 #: Bytes of context, seven at most: a gram is one 64-bit key.
 DEPTH = 7
-#: Coded bytes of a chunk, or one longer text; distinct grams of all chunks that a bucket takes, and buckets beyond which it takes more.
-CHUNK, BUCKET, BUCKETS = 16 << 20, 2_000_000, 4096
+#: Coded bytes of a chunk and of a block of it, or one longer text.
+CHUNK, BLOCK = 24 << 20, 4 << 20
+#: Distinct grams of all chunks that a bucket takes, and the number of buckets beyond which each takes more.
+BUCKET, BUCKETS = 2_000_000, 4096
+#: Tasks that score chunks, one chunk after the other.
+MOST_TASKS = 100_000
 #: Ranges of contexts are cut by their last two bytes, and by up to this many where more than a bucket's share have them.
 MOST_CUT = 4
 #: Grams that a bucket weighs at a time, at most, unless one range has more.
 _BATCH = 1 << 20
 _PIECE = 1 << 20
-#: Code lengths travel as whole multiples of 2**-12 nats.
-_GRAIN = 4096.0
+#: Code lengths travel as whole multiples of 2**-9 nats.
+_GRAIN = 512.0
 _TABLE = 1 << 16
 TEXT, GRAMS, WORDS = 0, 1, 2
-_END_KEY = xxhash.xxh64_intdigest(b"\xff", 42)
+_END_KEY = np.uint64(0)
 PIECES = "chunk bigint, kind tinyint, part int, n int, keys binary, counts binary, sizes array<int>, held array<boolean>"
 
 
@@ -54,7 +57,7 @@ PIECES = "chunk bigint, kind tinyint, part int, n int, keys binary, counts binar
 def pack(values: np.ndarray) -> bytes:
     """Whole numbers of 64 bits as compressed byte planes."""
     planes = np.ascontiguousarray(values.astype(np.uint64).view(np.uint8).reshape(-1, 8).T)
-    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+    return zstandard.ZstdCompressor(level=3).compress(planes.tobytes())
 
 
 def unpack(data: bytes) -> np.ndarray:
@@ -84,12 +87,14 @@ def gram_keys(coded: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
     End symbols stand for what would come before a text.
     """
-    data = np.frombuffer(b"\xff" * 7 + (b"\xff" * 6).join(coded), np.uint8)
+    data = b"\xff" * 7 + (b"\xff" * 6).join(coded)
     lengths = np.fromiter(map(len, coded), np.int64, len(coded))
     begin = np.cumsum(np.r_[0, lengths[:-1]])
-    keys = data[7:].astype(np.uint64)
-    for j in range(1, DEPTH + 1):
-        keys |= data[7 - j : len(data) - j].astype(np.uint64) << np.uint64(8 * (8 - j))
+    # Eight bytes that end at each place, the last of them turned from the top to the bottom.
+    ending = np.ndarray(len(data) - 7, "<u8", data, strides=(1,))
+    keys = (ending << np.uint64(8)) | (ending >> np.uint64(56))
+    if DEPTH < 7:
+        keys &= np.uint64(0xFF | ((1 << 8 * DEPTH) - 1) << 8 * (8 - DEPTH))
     if len(coded) > 1:
         keys = np.delete(keys, (np.cumsum(lengths + 6)[:-1, None] - np.arange(6, 0, -1)).ravel())
     return keys, begin
@@ -100,25 +105,108 @@ def _distinct(sorted_: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.r_[True, sorted_[1:] != sorted_[:-1]]) if len(sorted_) else np.zeros(0, np.int64)
 
 
-def _word_keys(coded: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text of each word, place of its hash, distinct hashes in order); the end symbol of each text is a word at the end."""
+def _pressed(data: bytes) -> bytes:
+    return zstandard.ZstdCompressor(compression_params=zstandard.ZstdCompressionParameters.from_level(5, window_log=25, enable_ldm=True)).compress(data)
+
+
+def _blocks(coded: list[bytes]) -> Iterator[slice]:
+    """Neighbouring texts with some BLOCK bytes together, or one longer text."""
+    ends = np.cumsum(np.fromiter(map(len, coded), np.int64, len(coded)))
+    a = 0
+    while a < len(coded):
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + BLOCK, "right")))
+        yield slice(a, b)
+        a = b
+
+
+def _argsort(keys: np.ndarray) -> np.ndarray:
+    """An order of the keys, by their lower and then their upper bits: two sorts of numbers that carry places beat one argsort."""
+    if len(keys) > 1 << 22:
+        return np.argsort(keys)
+    shift, places = np.uint64(22), np.arange(len(keys), dtype=np.uint64)
+    low = (keys << shift) | places
+    low.sort()
+    order = (low & np.uint64((1 << 22) - 1)).astype(np.int64)
+    high = (keys[order] >> np.uint64(42) << shift) | places
+    high.sort()
+    return order[(high & np.uint64((1 << 22) - 1)).astype(np.int64)]
+
+
+def _placed(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct keys in order, place of each key among them)."""
+    order = _argsort(keys)
+    keys = keys[order]
+    first = _distinct(keys)
+    new, place = np.zeros(len(keys), np.int32), np.empty(len(keys), np.int32)
+    new[first[1:]] = 1
+    place[order] = np.cumsum(new, dtype=np.int32)
+    return keys[first], place
+
+
+def _union(parts: list[np.ndarray]) -> np.ndarray:
+    keys = np.sort(np.concatenate(parts), kind="stable")
+    return keys[_distinct(keys)]
+
+
+@cache
+def _tabulation() -> np.ndarray:
+    return np.random.default_rng(42).integers(1, 1 << 63, (64, 256), np.uint64) | np.uint64(1)
+
+
+def word_keys(words: pa.Array) -> np.ndarray:
+    """A 64-bit hash of each word: a random number for each byte at each place, summed, with a factor for every 64 bytes."""
+    offsets = np.frombuffer(words.buffers()[1], np.int64, len(words) + 1, words.offset * 8)
+    size = np.diff(offsets)
+    if not size.sum():
+        return np.zeros(len(words), np.uint64)
+    data = np.frombuffer(words.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
+    place = np.arange(len(data)) - np.repeat(offsets[:-1] - offsets[0], size)
+    parts = _tabulation()[place & 63, data] * (((place >> 6).astype(np.uint64) << np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15) | np.uint64(1))
+    some, out = size > 0, np.zeros(len(words), np.uint64)
+    out[some] = np.add.reduceat(parts, (offsets[:-1] - offsets[0])[some])
+    out ^= out >> np.uint64(32)
+    return out * np.uint64(0xBF58476D1CE4E5B9)
+
+
+def _words(coded: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text of each word, place of its hash, hashes in order) of a block; the end symbol of each text is a word too."""
     docs, codes, words = words_of(pa.array([c[:-1] for c in coded], pa.large_binary()).cast(pa.large_string()))
-    hashes, place = np.unique(np.r_[word_hashes(words).view(np.uint64), np.uint64(_END_KEY)], return_inverse=True)
+    hashes, place = _placed(np.r_[word_keys(words), _END_KEY])
     return np.r_[docs, np.arange(len(coded))], np.r_[place[codes], np.full(len(coded), place[-1])], hashes
 
 
-def _chunk_rows(chunk: int, held: bool, coded: list[bytes], ids: pa.Array) -> pa.RecordBatch:
-    rows: list[tuple] = [(chunk, TEXT, 0, len(coded), zstandard.ZstdCompressor(level=1).compress(b"".join(coded)), b"", list(map(len, coded)), [held] * len(coded))]
-    keys, _ = gram_keys(coded)
-    keys.sort()
+def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    keys, n = (np.concatenate(x) for x in zip(*parts))
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
     first = _distinct(keys)
-    counts = np.diff(np.r_[first, len(keys)])
-    _, place, hashes = _word_keys(coded)
-    for kind, bits, found, n in ((GRAMS, 8, keys[first], counts), (WORDS, 4, hashes, np.bincount(place, minlength=len(hashes)))):
+    return keys[first], np.add.reduceat(n[order], first)
+
+
+def _counted(coded: list[bytes], held: list[bool]) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+    """(distinct grams in order, their counts in training texts), and the same of word hashes."""
+    grams: list[tuple[np.ndarray, np.ndarray]] = []
+    words: list[tuple[np.ndarray, np.ndarray]] = []
+    for block in _blocks(coded):
+        keys, _ = gram_keys(coded[block])
+        out = np.array(held[block])
+        apart = np.repeat(out, [len(c) for c in coded[block]])
+        for part, weight in ((keys[~apart], 1), (keys[apart], 0)):
+            part.sort()
+            first = _distinct(part)
+            grams.append((part[first], np.diff(np.r_[first, len(part)]) * weight))
+        docs, place, hashes = _words(coded[block])
+        words.append((hashes, np.bincount(place, ~out[docs], len(hashes)).astype(np.int64)))
+    return _merged(grams), _merged(words)
+
+
+def _chunk_rows(chunk: int, held: list[bool], coded: list[bytes], ids: pa.Array) -> pa.RecordBatch:
+    rows: list[tuple] = [(chunk, TEXT, 0, len(coded), _pressed(b"".join(coded)), b"", list(map(len, coded)), held)]
+    for kind, bits, (found, n) in zip((GRAMS, WORDS), (8, 4), _counted(coded, held)):
         cuts = np.r_[np.searchsorted(found, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)), len(found)]
         for part in np.flatnonzero(np.diff(cuts)).tolist():
             a, b = cuts[part], cuts[part + 1]
-            rows.append((chunk, kind, part, int(b - a), pack(found[a:b]), b"" if held else pack(n[a:b]), None, None))
+            rows.append((chunk, kind, part, int(b - a), pack(found[a:b]), pack(n[a:b]), None, None))
     kinds = [pa.int64(), pa.int8(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.bool_())]
     columns = [pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)]
     of_rows = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)
@@ -127,38 +215,32 @@ def _chunk_rows(chunk: int, held: bool, coded: list[bytes], ids: pa.Array) -> pa
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of text into chunks that are all held out or all for training: their texts, grams and words."""
-    made, base = 0, TaskContext.get().partitionId() << 32
-    texts: dict[bool, list[bytes]] = {True: [], False: []}
-    ids: dict[bool, list[pa.Array]] = {True: [], False: []}
-    size = {True: 0, False: 0}
-
-    def flush(held: bool) -> pa.RecordBatch:
-        nonlocal made
-        out = _chunk_rows(base + made, held, texts[held], pa.concat_arrays(ids[held]))
-        made += 1
-        texts[held], ids[held], size[held] = [], [], 0
+    """Rows of text into chunks: their texts, grams and words. A task's chunks are numbered on from its partition."""
+    made, base, size = 0, TaskContext.get().partitionId() << 32, 0
+    coded: list[bytes] = []
+    held: list[bool] = []
+    ids: list[pa.Array] = []
+
+    def flush() -> pa.RecordBatch:
+        out = _chunk_rows(base + made, held, coded, pa.concat_arrays(ids))
+        for part in (coded, held, ids):
+            part.clear()
         return out
 
     for batch in batches:
-        column, flags = pc.fill_null(batch.column("text"), "").cast(pa.binary()), np.asarray(batch.column("held_out").to_numpy(zero_copy_only=False))
-        for held in (False, True):
-            last = 0
-            rows = np.flatnonzero(flags == held)
-            for k, i in enumerate(rows.tolist()):
-                coded = coded_text(column[i].as_py())
-                if texts[held] and size[held] + len(coded) > CHUNK:
-                    if k > last:
-                        ids[held].append(batch.column("doc_id").take(pa.array(rows[last:k])))
-                    last = k
-                    yield flush(held)
-                texts[held].append(coded)
-                size[held] += len(coded)
-            if len(rows) > last:
-                ids[held].append(batch.column("doc_id").take(pa.array(rows[last:])))
-    for held in (False, True):
-        if texts[held]:
-            yield flush(held)
+        column, flags, last = pc.fill_null(batch.column("text"), "").cast(pa.binary()), batch.column("held_out").to_pylist(), 0
+        for i in range(batch.num_rows):
+            now = coded_text(column[i].as_py())
+            if coded and size + len(now) > CHUNK:
+                ids.append(batch.column("doc_id").slice(last, i - last))
+                yield flush()
+                made, size, last = made + 1, 0, i
+            coded.append(now)
+            held.append(flags[i])
+            size += len(now)
+        ids.append(batch.column("doc_id").slice(last))
+    if coded:
+        yield flush()
 
 
 # Ranges of keys
@@ -250,14 +332,6 @@ def _deal(ranges: Ranges, word_bits: int):
 DEALT = "bucket int, step tinyint, chunk bigint, part int, keys binary, counts binary"
 
 
-def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    keys, n = (np.concatenate(x) for x in zip(*parts))
-    order = np.argsort(keys, kind="stable")
-    keys = keys[order]
-    first = _distinct(keys)
-    return keys[first], np.add.reduceat(n[order], first)
-
-
 # Context-tree weighting
 
 
@@ -425,7 +499,7 @@ def _batches(keys: np.ndarray, depth: int) -> Iterator[slice]:
 
 def _collect(keys: list, counts: list, row: dict) -> None:
     found = unpack(row["keys"])
-    keys.append((found, unpack(row["counts"]).astype(np.int64) if row["counts"] else np.zeros(len(found), np.int64)))
+    keys.append((found, unpack(row["counts"]).astype(np.int64)))
     counts[0] += len(found)
     if counts[0] > 2 * counts[1] + 4 * _PIECE:
         keys[:] = [_merged(keys)]
@@ -496,25 +570,22 @@ def _score(ranges: Ranges):
     def finish(text: dict, ids: pa.Array, grams: list[np.ndarray], words: list[np.ndarray]) -> pa.RecordBatch:
         joined, cuts = zstandard.ZstdDecompressor().decompress(text["keys"]), np.cumsum([0, *text["sizes"]]).tolist()
         coded = [joined[a:b] for a, b in zip(cuts, cuts[1:])]
-        keys, begin = gram_keys(coded)
-        order = np.argsort(keys)
-        keys = keys[order]
-        new = np.r_[True, keys[1:] != keys[:-1]]
-        given = np.concatenate(grams).view(np.int64)
-        if len(given) != int(new.sum()):
+        parts: list[list] = []
+        for block in _blocks(coded):
+            keys, begin = gram_keys(coded[block])
+            parts.append([begin, *_placed(keys), *_words(coded[block])])
+        given, count = (np.concatenate(x).view(np.int64) for x in (grams, words))
+        known, all_words = (_union([p[k] for p in parts]) for k in (1, 5))
+        if len(given) != len(known) or len(count) != len(all_words):
             raise RuntimeError("a chunk's grams changed between the passes")
-        length = np.empty(len(keys), np.int64)
-        length[order] = given[np.cumsum(new) - 1]
-        n_coded = np.asarray(text["sizes"], np.int64)
-        docs, place, _ = _word_keys(coded)
-        count = np.concatenate(words).view(np.int64)
-        gain, known = np.log10(count + 1.0)[place], (count > 0)[place]
-        size = len(coded)
-        score = np.add.reduceat(length, begin) / _GRAIN * -math.log10(math.e)
-        return pa.RecordBatch.from_arrays(
-            [ids, pa.array(text["held"], pa.bool_()), pa.array(np.bincount(docs, minlength=size)), pa.array(np.bincount(docs, known, size).astype(np.int64)), pa.array(np.bincount(docs, gain, size)), pa.array(score), pa.array(n_coded)],
-            ["doc_id", "held_out", "n_tokens", "n_known", "base", "score", "n_coded"],
-        )
+        gains, out = np.log10(count + 1.0), []
+        for begin, keys, place, docs, word, hashes in parts:
+            length = given[np.searchsorted(known, keys)][place]
+            of = np.searchsorted(all_words, hashes)[word]
+            out.append((np.bincount(docs, minlength=len(begin)), np.bincount(docs, count[of] > 0, len(begin)), np.bincount(docs, gains[of], len(begin)), np.add.reduceat(length, begin)))
+        n, seen, base, score = (np.concatenate(x) for x in zip(*out))
+        columns = [ids, pa.array(text["held"], pa.bool_()), pa.array(n), pa.array(seen.astype(np.int64)), pa.array(base), pa.array(score / _GRAIN * -math.log10(math.e)), pa.array(text["sizes"], pa.int64())]
+        return pa.RecordBatch.from_arrays(columns, ["doc_id", "held_out", "n_tokens", "n_known", "base", "score", "n_coded"])
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         text: dict | None = None
@@ -556,15 +627,18 @@ def score(docs: DataFrame, modulus: int = MODULUS) -> DataFrame:
     totals = [unpack(r["counts"]) for r in handed if r["bucket"] >= ranges.grams]
     tokens, distinct = (int(sum(t[k] for t in totals)) for k in (0, 1))
     found = [(ranges.depths[r["bucket"]], _Depth(unpack(r["keys"]), unpack(r["counts"]).astype(np.int64), unpack(r["ones"]).astype(np.int64), _undouble(r["own"]), _undouble(r["mixed"]))) for r in handed if r["bucket"] < ranges.grams]
-    chunks = pieces.filter(F.col("kind") == TEXT).count()
-    if not chunks:
+    dealt_to = pieces.filter(F.col("kind") == TEXT).agg(F.count(F.lit(1)).alias("n"), F.max(F.shiftright("chunk", 32)).alias("last")).first()
+    if not dealt_to["n"]:
         return spark.createDataFrame([], f"doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double, bits_per_byte double")
     top = spark.sparkContext.broadcast(weigh_top(found))
     known = merged.filter("step = 0").select("bucket", "step", F.lit(-1).cast("bigint").alias("chunk"), "part", "keys", "counts")
     asked = known.unionByName(dealt.withColumn("counts", F.lit(b""))).repartitionById(buckets, F.col("bucket")).sortWithinPartitions("step", "part")
     answers = asked.mapInArrow(_answer(ranges, top), "chunk bigint, bucket int, part int, keys binary")
     texts = pieces.filter(F.col("kind") == TEXT).select("chunk", F.lit(-1).alias("bucket"), "part", "keys", "sizes", "held", "ids")
-    both = texts.unionByName(answers, allowMissingColumns=True).repartition(min(chunks, 100_000), "chunk").sortWithinPartitions("chunk", "bucket", "part")
+    # Chunks of one task are neighbours, so that the chunks of all tasks are spread evenly.
+    tasks, each = min(dealt_to["n"], MOST_TASKS), -(-dealt_to["n"] // (dealt_to["last"] + 1))
+    place = F.pmod(F.shiftright("chunk", 32) * each + F.col("chunk").bitwiseAND(F.lit((1 << 32) - 1)), F.lit(tasks)).cast("int")
+    both = texts.unionByName(answers, allowMissingColumns=True).repartitionById(tasks, place).sortWithinPartitions("chunk", "bucket", "part")
     schema = f"doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, base double, score double, n_coded bigint"
     return both.mapInArrow(_score(ranges), schema).select(
         "doc_id",
