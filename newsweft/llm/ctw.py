@@ -26,14 +26,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsweft.llm.common import is_held_out, materialise, words_of
+from newsweft.llm.common import byte_hashes, is_held_out, materialise, words_of
 
 END = 255
 MODULUS = 7
 #: Bytes of context, seven at most: a gram is one 64-bit key.
 DEPTH = 7
 #: Coded bytes of a chunk and of a block of it, or one longer text.
-CHUNK, BLOCK = 24 << 20, 4 << 20
+CHUNK, BLOCK = 18 << 20, 2 << 20
 #: Distinct grams of all chunks that a bucket takes, and the number of buckets beyond which each takes more.
 BUCKET, BUCKETS = 2_000_000, 4096
 #: Tasks that score chunks, one chunk after the other.
@@ -43,6 +43,8 @@ MOST_CUT = 4
 #: Grams that a bucket weighs at a time, at most, unless one range has more.
 _BATCH = 1 << 20
 _PIECE = 1 << 20
+#: Keys that are merged at a time.
+_RANGE = 1 << 18
 #: Code lengths travel as whole multiples of 2**-9 nats.
 _GRAIN = 512.0
 _TABLE = 1 << 16
@@ -148,39 +150,30 @@ def _union(parts: list[np.ndarray]) -> np.ndarray:
     return keys[_distinct(keys)]
 
 
-@cache
-def _tabulation() -> np.ndarray:
-    return np.random.default_rng(42).integers(1, 1 << 63, (64, 256), np.uint64) | np.uint64(1)
-
-
-def word_keys(words: pa.Array) -> np.ndarray:
-    """A 64-bit hash of each word: a random number for each byte at each place, summed, with a factor for every 64 bytes."""
-    offsets = np.frombuffer(words.buffers()[1], np.int64, len(words) + 1, words.offset * 8)
-    size = np.diff(offsets)
-    if not size.sum():
-        return np.zeros(len(words), np.uint64)
-    data = np.frombuffer(words.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
-    place = np.arange(len(data)) - np.repeat(offsets[:-1] - offsets[0], size)
-    parts = _tabulation()[place & 63, data] * (((place >> 6).astype(np.uint64) << np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15) | np.uint64(1))
-    some, out = size > 0, np.zeros(len(words), np.uint64)
-    out[some] = np.add.reduceat(parts, (offsets[:-1] - offsets[0])[some])
-    out ^= out >> np.uint64(32)
-    return out * np.uint64(0xBF58476D1CE4E5B9)
-
-
 def _words(coded: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text of each word, place of its hash, hashes in order) of a block; the end symbol of each text is a word too."""
     docs, codes, words = words_of(pa.array([c[:-1] for c in coded], pa.large_binary()).cast(pa.large_string()))
-    hashes, place = _placed(np.r_[word_keys(words), _END_KEY])
+    hashes, place = _placed(np.r_[byte_hashes(words), _END_KEY])
     return np.r_[docs, np.arange(len(coded))], np.r_[place[codes], np.full(len(coded), place[-1])], hashes
 
 
 def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    keys, n = (np.concatenate(x) for x in zip(*parts))
-    order = np.argsort(keys, kind="stable")
-    keys = keys[order]
-    first = _distinct(keys)
-    return keys[first], np.add.reduceat(n[order], first)
+    """Sorted (keys, numbers) of all parts with the numbers of equal keys added, a range of keys at a time."""
+    longest = max((k for k, _ in parts), key=len)
+    cuts = longest[_RANGE // len(parts) or 1 :: max(1, _RANGE // len(parts))]
+    edges = [np.r_[0, np.searchsorted(k, cuts), len(k)] for k, _ in parts]
+    out: list[tuple[np.ndarray, np.ndarray]] = []
+    for r in range(len(cuts) + 1):
+        keys = np.concatenate([k[e[r] : e[r + 1]] for (k, _), e in zip(parts, edges)])
+        if len(keys):
+            n = np.concatenate([c[e[r] : e[r + 1]] for (_, c), e in zip(parts, edges)])
+            order = np.argsort(keys, kind="stable")
+            keys = keys[order]
+            first = _distinct(keys)
+            out.append((keys[first], np.add.reduceat(n[order], first)))
+    if not out:
+        return longest, np.zeros(0, np.int64)
+    return np.concatenate([k for k, _ in out]), np.concatenate([c for _, c in out])
 
 
 def _counted(coded: list[bytes], held: list[bool]) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
@@ -194,7 +187,7 @@ def _counted(coded: list[bytes], held: list[bool]) -> tuple[tuple[np.ndarray, np
         for part, weight in ((keys[~apart], 1), (keys[apart], 0)):
             part.sort()
             first = _distinct(part)
-            grams.append((part[first], np.diff(np.r_[first, len(part)]) * weight))
+            grams.append((part[first], (np.diff(np.r_[first, len(part)]) * weight).astype(np.int32)))
         docs, place, hashes = _words(coded[block])
         words.append((hashes, np.bincount(place, ~out[docs], len(hashes)).astype(np.int64)))
     return _merged(grams), _merged(words)

@@ -16,12 +16,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsweft.llm.common import materialise, slabs, with_fresh_name, word_hashes, words_of
+from newsweft.llm.common import bitmap_of, in_bitmap, materialise, slabs, with_fresh_name, word_hashes, words_of
 
 #: Any WINDOW words with at most two substituted have an offset at which one mask sees only words that agree.
 MASKS = ((0, 1, 2, 3, 4, 6), (0, 2, 3, 7, 8, 9))
 WINDOW, SIMILARITY, SHORTEST = 13, 0.8, 5
-BITMAP_BITS = 25
 _TRIM = "!?.,;:%$#&*|\"'()[]{}<>-_+=/\\~`@^«»“”„¿¡"
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -90,28 +89,6 @@ def _items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _bits(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    low = np.uint64((1 << BITMAP_BITS) - 1)
-    return (h >> np.uint64(64 - BITMAP_BITS)).astype(np.int64), (h & low).astype(np.int64)
-
-
-def _has(bitmap: np.ndarray, at: np.ndarray) -> np.ndarray:
-    return (bitmap[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
-
-
-def _bitmap(seeds: DataFrame) -> np.ndarray:
-    """Both bits of each test hash; 2**BITMAP_BITS bits, 4 MB, however many hashes there are."""
-    top, low = F.shiftrightunsigned("hash", 64 - BITMAP_BITS), F.col("hash").bitwiseAND(F.lit((1 << BITMAP_BITS) - 1))
-    bits = seeds.select(F.explode(F.array(top, low)).alias("bit")).select((F.col("bit") + 1).alias("bit"))
-    made = bits.groupBy(F.bitmap_bucket_number("bit").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits"))
-    out = np.zeros(1 << (BITMAP_BITS - 3), np.uint8)
-    for r in made.collect():
-        part = np.frombuffer(r["bits"], np.uint8)
-        at = (r["bucket"] - 1) * 4096
-        out[at : at + len(part)] |= part[: len(out) - at]
-    return out
-
-
 def _regions(bitmap, masks: tuple[tuple[int, ...], ...]):
     """For each stretch of a text with hits: its words with a margin of WINDOW, and the places and hashes of the hits."""
 
@@ -124,9 +101,8 @@ def _regions(bitmap, masks: tuple[tuple[int, ...], ...]):
                 for mask in masks:
                     h = seed_hashes(words, mask)
                     whole = docs[: len(h)] == docs[mask[-1] :][: len(h)]
-                    one, two = _bits(h)
-                    near = np.flatnonzero(_has(bits, one) & whole)
-                    near = near[_has(bits, two[near])]
+                    near = in_bitmap(bits, h)
+                    near = near[whole[near]]
                     at.append(near)
                     hashes.append(h[near])
                 at_, hashes_ = np.concatenate(at), np.concatenate(hashes)
@@ -198,7 +174,7 @@ def _matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     seeds = materialise(items.select("iid", F.explode(F.arrays_zip("at", "hash")).alias("s")).select("iid", F.col("s.at").alias("item_at"), "s.hash"), "benchmark-seeds")
     lengths = items.filter((F.size("words") < WINDOW) & (F.size("words") >= SHORTEST)).select(F.size("words").alias("n")).distinct().collect()
     masks = MASKS + tuple(sorted({tuple(range(short_blocks(r["n"])[1])) for r in lengths}))
-    shared = docs.sparkSession.sparkContext.broadcast(_bitmap(seeds))
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap_of(seeds, "hash"))
     found = docs.select("doc_id", _row_key().alias("row_key"), "text").mapInArrow(_regions(shared, masks), f"doc_id {kind['doc_id']}, row_key bigint, words array<bigint>, at array<int>, hash array<bigint>")
     regions = materialise(found.withColumn("rid", F.monotonically_increasing_id()), "benchmark-regions")
     hits = regions.select("rid", F.explode(F.arrays_zip("at", "hash")).alias("s")).select("rid", F.col("s.at").alias("doc_at"), "s.hash")

@@ -51,8 +51,10 @@ _KINDS = (
 _PATTERNS = [re.compile(rf"(?<![a-z])(?:{p})(?![a-z])") for _, p in _KINDS]
 _NO_KIND = len(_KINDS)
 _CONTENT = _NO_KIND - 1
-_TOKEN = re.compile(r"<(?:(!--)|(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^\"'<>]++|\"[^\"]*+\"|'[^']*+')*+)>|(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*+)>|[!?/][^>]*+>)")
-_NAMED = re.compile(r"""(?:^|[\s"'/])(class|id|role|data-y|hidden|aria-label)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+_TOKEN = re.compile(r"<(?:(!--)|(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^\"'<>]++|\"[^\"]*+\"|'[^']*+')*+)>|(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^<>]*+)>|[!?/][^<>]*+>)")
+_NAMED = re.compile(r"""(?:^|[\s"'/])(class|id|role)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+#: Where a training page says whether an element is main text. Pages to extract from are never asked.
+_LABEL = re.compile(r'(?:^|\s)data-y="([01])"')
 _END_RAW = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>", re.I) for t in _RAW}
 
 
@@ -104,8 +106,11 @@ def _closed(source: str) -> dict[int, int]:
     return ends
 
 
-def parse(source: str) -> Page:
-    """The block tree of a page. Unclosed and misnested elements are closed as a browser would in the common cases."""
+def parse(source: str, labelled: bool = False) -> Page:
+    """The block tree of a page. Unclosed and misnested elements are closed as a browser would in the common cases.
+
+    Only a ``labelled`` page, one to train on, has its elements' labels read.
+    """
     page, tags, stack = Page(), ["html"], [0]
     text: list[str] = []
     links = linked = 0
@@ -117,11 +122,9 @@ def parse(source: str) -> Page:
         words, label = "", -1
         if attributes:
             for m in _NAMED.finditer(attributes):
-                value = m[2] or m[3] or m[4] or ""
-                if m[1].lower() == "data-y":
-                    label = int(value)
-                elif m[1].lower() != "aria-label":
-                    words += f" {value}"
+                words += f" {m[2] or m[3] or m[4] or ''}"
+            if labelled and (said := _LABEL.search(attributes)):
+                label = int(said[1])
         page.parent.append(stack[-1] if page.parent else -1)
         page.group.append(_GROUP[tag])
         page.kind.append(_kind_of(re.sub(r"(?<=[a-z])(?=[A-Z])", "-", words).lower().replace("_", "-")) if words else _NO_KIND)
@@ -278,7 +281,7 @@ def train(pages: Iterable[str]) -> Model:
     root, edge = np.full(2, 1.0), np.full((_EDGES, 2, 2), 0.5)
     emit = [np.full((c, 2), 0.3) for c in _CELLS]
     for source in pages:
-        page = parse(source)
+        page = parse(source, labelled=True)
         for i, p in enumerate(page.parent):
             y = page.label[i] if page.label[i] >= 0 else page.label[p] if p >= 0 else 0
             page.label[i] = y
@@ -396,7 +399,12 @@ def extract(source: str | None, model: Model | None = None) -> str:
 
 
 def extract_pages(pages: DataFrame, page_id: str = "page_id", url: str = "url", source: str = "html", model: Model | None = None) -> DataFrame:
-    """(page_id, url, text, n_chars) for each row; null and empty pages have an empty text, other columns aren't read."""
+    """(page_id, url, text, n_chars) for each row of ``pages``.
+
+    Null and empty pages, and those without an article, have an empty text; very long pages are read whole, in time
+    that grows with their length; repeated rows come as often as they are given, null ids and addresses are kept, an
+    empty table gives an empty result, other columns aren't read. A marginal of exactly one half is no main text.
+    """
     used = model or default_model()
     kinds = dict(pages.dtypes)
 

@@ -186,7 +186,7 @@ def _features(vectors: Vectors):
         for batch in batches:
             for start, texts in slabs(batch.column("text"), _SLAB):
                 x = pooled(texts, vectors)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(start, len(texts)), batch.column("y").slice(start, len(texts)), pa.array(x.tolist(), pa.list_(pa.float32()))], ["doc_id", "y", "x"])
+                yield pa.RecordBatch.from_arrays([batch.column("y").slice(start, len(texts)), pa.array(x.tolist(), pa.list_(pa.float32()))], ["y", "x"])
 
     return step
 
@@ -225,9 +225,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int =
     total /= np.maximum(np.linalg.norm(total, axis=1, keepdims=True), 1e-9)
     words_ = np.concatenate([total[: len(vocabulary)], np.zeros((1, DIM))])  # a row to look at where there is no vocabulary
     vectors = Vectors(vocabulary, words_.astype(np.float32), total[len(vocabulary) :].astype(np.float32))
-    got = sample.mapInArrow(_features(vectors), "doc_id string, y int, x array<float>" if dict(sample.dtypes)["doc_id"] == "string" else "doc_id bigint, y int, x array<float>").toPandas()
-    x, ids = np.stack(got["x"].to_numpy()), got["doc_id"].to_numpy()
-    order = np.lexsort((*x.T[::-1], ids))
+    got = sample.select("y", "text").mapInArrow(_features(vectors), "y int, x array<float>").toPandas()
+    x = np.stack(got["x"].to_numpy())
+    order = np.lexsort((got["y"].to_numpy(), *x.T[::-1]))
     return Model(vectors, train_network(x[order], got["y"].to_numpy(float)[order]), counts.get(1, 0) / sum(counts.values()))
 
 
@@ -248,6 +248,11 @@ def score(docs: DataFrame, model: Model, out: str = "score", text: str = "text")
 
 
 def classify(docs: DataFrame, labels: DataFrame, label: str = "quality", accept: float = ACCEPT) -> DataFrame:
-    """(doc_id, held_out, score, predicted) for each row of ``docs``; ids may be null or repeat, other columns aren't read."""
+    """(doc_id, held_out, score, predicted) for each row of ``docs``.
+
+    Null, empty and blank texts score alike; very long ones are read whole; ids may be null, of any type, or repeat,
+    and repeated rows come as often as they are given; other columns aren't read. An empty table gives an empty
+    result. A score of exactly ``accept`` is accepted. Of several labels of one id the greatest counts.
+    """
     scored = score(docs.select("doc_id", "text"), fit(docs, labels, label)).select("doc_id", "score")
     return scored.select("doc_id", is_held_out().alias("held_out"), "score", (F.col("score") >= accept).cast("int").alias("predicted"))

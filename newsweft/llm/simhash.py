@@ -14,11 +14,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from newsweft.llm.common import materialise, shared_dir, with_fresh_name
+from newsweft.llm.common import bitmap_of, byte_hashes, in_bitmap, materialise, shared_dir, slabs, spread, with_fresh_name, words_of
 
 SEED = 42
 SHINGLE = 3
@@ -26,6 +27,9 @@ MAX_BITS = 3
 #: Distinct fingerprints under one signature beyond which it is cut again.
 SPLIT = 1024
 _CHUNK = 1 << 15
+#: Of near copies: 64-bit numbers of a fingerprint, each two segments; words of a shingle; least similarity; signatures a partition.
+WIDE, NEAR_SHINGLE, SIMILAR, SIGNATURES = 4, 5, 0.8, 8_000_000
+_SLAB = 1 << 20
 
 
 def fingerprint(text: str | None, width: int = SHINGLE) -> int:
@@ -163,7 +167,7 @@ def _bucket_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def links(fps: DataFrame) -> DataFrame:
     """(a, b): links among the distinct fingerprints in column ``fp``, enough of them to connect each component."""
     fp = F.col("fp")
-    keyed = fps.select(fp, F.explode(F.concat(*(_signatures(_half(fp, k), 32, k) for k in (0, 1)))).alias("s")).select("fp", "s.sig", "s.bit")
+    keyed = spread(fps.select(fp), 20_000).select(fp, F.explode(F.concat(*(_signatures(_half(fp, k), 32, k) for k in (0, 1)))).alias("s")).select("fp", "s.sig", "s.bit")
     shared = keyed.groupBy("sig").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     # Spark takes the exploded side for as small as its input and would broadcast it.
     met = materialise(keyed.join(shared.hint("merge"), "sig"), "simhash-signatures")
@@ -229,14 +233,200 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     return _grouped(docs, doc_id, text).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "n_in_component")
 
 
-def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with one row of each component, one with the smallest id (null ids last), with all its columns.
+# Near copies: a wide fingerprint of words, links verified by five-word shingles
 
-    Of repeated rows with that id and text one is kept. Every row without a partner stays, null ids and texts included.
+
+def wide_fingerprints(texts: pa.Array) -> np.ndarray:
+    """Four numbers of 64 bits for each text without nulls: a bit is set when over half of its distinct words' hashes have it.
+
+    Words rather than shingles, since an edit changes one word but five shingles; the shingles are what links are
+    verified by.
+    """
+    out = np.zeros((len(texts), WIDE), np.uint64)
+    docs, codes, distinct = words_of(pc.ascii_lower(texts))
+    if not len(docs):
+        return out
+    pairs = np.sort(docs * np.int64(len(distinct)) + codes)
+    pairs = pairs[np.r_[True, pairs[1:] != pairs[:-1]]]
+    of, word = pairs // len(distinct), pairs % len(distinct)
+    first = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
+    n = np.diff(np.r_[first, len(of)])
+    h = byte_hashes(distinct)
+    for k in range(WIDE):
+        h = _mixed(h + np.uint64(k))
+        bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1)[word]
+        counts = np.add.reduceat(bits, first, axis=0, dtype=np.uint32)
+        out[of[first], k] = np.packbits(counts * 2 > n[:, None], axis=1).view(np.uint64).ravel()
+    return out
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(33))
+
+
+def shingle_sets(texts: pa.Array, width: int = NEAR_SHINGLE) -> list[np.ndarray]:
+    """The distinct 32-bit hashes of each text's shingles in order; fewer words than ``width`` are one shingle, none an empty set."""
+    docs, codes, distinct = words_of(pc.ascii_lower(texts))
+    h = byte_hashes(distinct)[codes]
+    sums = np.zeros(len(h), np.uint64)
+    for k in range(width):
+        part = h[k:] * np.uint64(pow(0x9E3779B97F4A7C15, k + 1, 1 << 64))
+        sums[: len(part)] += part * (docs[k:] == docs[: len(part)])
+    sums = _mixed(sums) >> np.uint64(32)
+    cuts, out = np.searchsorted(docs, np.arange(len(texts) + 1)), []
+    for a, b in zip(cuts.tolist(), cuts[1:].tolist()):
+        found = np.sort(sums[a : max(b - width + 1, min(b, a + 1))].astype(np.uint32))
+        out.append(found[np.r_[True, found[1:] != found[:-1]]] if len(found) else found)
+    return out
+
+
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """Similarity of two sorted sets; two empty ones are alike."""
+    both = np.sort(np.concatenate((a, b)))
+    shared = int((both[1:] == both[:-1]).sum())
+    return shared / (len(both) - shared) if len(both) else 1.0
+
+
+def _text_key(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
+def _wide_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for start, texts in slabs(batch.column("text"), _SLAB):
+            fp = wide_fingerprints(texts).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("key").slice(start, len(texts)), *(pa.array(np.ascontiguousarray(fp[:, k])) for k in range(WIDE))], ["key", *(f"f{k}" for k in range(WIDE))])
+
+
+_EXACT, _SPREAD = 63, np.uint64(0x9E3779B97F4A7C15)
+
+
+def _wide_signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(sig, side, turned): each segment of a fingerprint under itself and under its one-wildcard variants.
+
+    ``side`` is the left-out bit, or its opposite under half of the signatures; ``turned`` is the text's key, turned
+    into another order under each signature.
+    """
+    for batch in batches:
+        for a in range(0, batch.num_rows, 4096):
+            rows = batch.slice(a, 4096)
+            key = np.asarray(rows.column("key")).view(np.uint64)
+            sigs, sides = [], []
+            for s in range(2 * WIDE):
+                value = (np.asarray(rows.column(f"f{s // 2}")).view(np.uint64) >> np.uint64(32 * (s % 2))) & np.uint64(0xFFFFFFFF)
+                sigs.append((np.uint64(s * 64 + _EXACT) << np.uint64(32)) | value)
+                sides.append(np.zeros(len(value), np.uint64))
+                for i in range(32):
+                    bit = np.uint64(1 << i)
+                    sigs.append((np.uint64(s * 64 + i) << np.uint64(32)) | (value & ~bit))
+                    sides.append((value & bit) >> np.uint64(i))
+            sig, side = np.concatenate(sigs), np.concatenate(sides)
+            turn = sig * _SPREAD
+            turned = np.tile(key, len(sigs)) ^ turn
+            yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array((side ^ (turn >> np.uint64(63))).astype(np.int8)), pa.array(turned.view(np.int64))], ["sig", "side", "turned"])
+
+
+def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by (sig, side, turned) in; (a, b) out: the first text of each signature with each other, or each of the other side.
+
+    A bucket of any size passes through; only its first text is held.
+    """
+    last_sig, last_side, leader = None, 0, np.uint64(0)
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        sig, side, turned = (np.asarray(batch.column(c)) for c in ("sig", "side", "turned"))
+        key = turned.view(np.uint64) ^ (sig.view(np.uint64) * _SPREAD)
+        new = np.r_[sig[0] != last_sig, sig[1:] != sig[:-1]]
+        first = np.maximum.accumulate(np.where(new, np.arange(len(sig)), -1))
+        lead, lead_side = np.where(first >= 0, key[first], leader), np.where(first >= 0, side[first], last_side)
+        exact = ((sig >> 32) & 63) == _EXACT
+        link = (~new) & (key != lead) & (exact | (side != lead_side))
+        last_sig, last_side, leader = sig[-1], lead_side[-1], lead[-1]
+        if link.any():
+            a, b = key[link].view(np.int64), lead[link].view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+
+def candidates(fps: DataFrame) -> DataFrame:
+    """(a, b): distinct texts whose fingerprints have a segment that differs in at most one bit, by way of each bucket's first text.
+
+    Which text is first differs from signature to signature, so members that don't link to one leader meet others.
+    """
+    spread_out = spread(fps, 50_000)
+    rows = spread_out.mapInArrow(_wide_signatures, "sig bigint, side tinyint, turned bigint")
+    parts = max(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), spread_out.rdd.getNumPartitions() * 66 * WIDE * 50_000 // SIGNATURES)
+    return rows.repartition(parts, "sig").sortWithinPartitions("sig", "side", "turned").mapInArrow(_stars, "a bigint, b bigint").distinct()
+
+
+def _sets(bitmap):
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            near = in_bitmap(bitmap.value, np.asarray(batch.column("key")).view(np.uint64))
+            for start, texts in slabs(batch.column("text").take(pa.array(near)), _SLAB):
+                found = [s.tobytes() for s in shingle_sets(texts)]
+                yield pa.RecordBatch.from_arrays([batch.column("key").take(pa.array(near[start : start + len(texts)])), pa.array(found, pa.binary())], ["key", "shingles"])
+
+    return step
+
+
+def _verified(similar: float):
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            one, two = batch.column("one"), batch.column("two")
+            ok = [i for i in range(batch.num_rows) if jaccard(np.frombuffer(one[i].as_py(), np.uint32), np.frombuffer(two[i].as_py(), np.uint32)) >= similar - 1e-12]
+            yield batch.select(["a", "b"]).take(pa.array(ok, pa.int64()))
+
+    return step
+
+
+def near_links(docs: DataFrame, text: str = "text", similar: float = SIMILAR) -> DataFrame:
+    """(a, b): keys of different texts whose five-word shingles have a Jaccard similarity of ``similar`` or more.
+
+    Candidates come from segments of a 256-bit fingerprint of the words. First each text is verified against one of
+    its candidates; of the other candidates only those between different groups are left to verify.
+    """
+    keyed = docs.select(_text_key(F.col(text)).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    fps = materialise(keyed.mapInArrow(_wide_rows, "key bigint, " + ", ".join(f"f{k} bigint" for k in range(WIDE))).dropDuplicates(["key"]), "near-fingerprints")
+    pairs = materialise(candidates(fps), "near-candidates")
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+    bitmap = docs.sparkSession.sparkContext.broadcast(bitmap_of(ends, "key"))
+    sets = materialise(keyed.mapInArrow(_sets(bitmap), "key bigint, shingles binary").dropDuplicates(["key"]).join(ends, "key", "left_semi"), "near-sets")
+
+    def verify(edges: DataFrame) -> DataFrame:
+        one, two = sets.select(F.col("key").alias("a"), F.col("shingles").alias("one")), sets.select(F.col("key").alias("b"), F.col("shingles").alias("two"))
+        return edges.join(one, "a").join(two, "b").select("a", "b", "one", "two").mapInArrow(_verified(similar), "a bigint, b bigint")
+
+    both = pairs.union(pairs.select("b", "a"))
+    first = materialise(both.groupBy("a").agg(F.min("b").alias("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near-first")
+    found = materialise(verify(first), "near-links")
+    groups = components(found)
+    label = lambda c: groups.select(F.col("node").alias(c), F.col("label").alias(f"{c}_label"))
+    apart = pairs.join(first, ["a", "b"], "left_anti").join(label("a"), "a", "left").join(label("b"), "b", "left")
+    open_ = apart.filter(F.coalesce("a_label", "a") != F.coalesce("b_label", "b")).select("a", "b")
+    return found.union(materialise(verify(open_), "near-links"))
+
+
+def near_classes(docs: DataFrame, text: str = "text", similar: float = SIMILAR) -> DataFrame:
+    """(key, label) for each different text that has a near copy: the least key of those it reaches over links."""
+    return components(near_links(docs, text, similar)).select(F.col("node").alias("key"), "label")
+
+
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similar: float = SIMILAR) -> DataFrame:
+    """``docs`` with one row of each class of near copies, one with the smallest id (null ids last), with all its columns.
+
+    Texts are near copies when their five-word shingles are alike to ``similar`` or more, or over a chain of such
+    texts; equal texts are copies, and null, empty and blank ones are alike. Of repeated rows with one id and text one
+    is kept. Every row without a partner stays. Ties go to the smaller hash of id and text. An empty table stays empty.
     """
     one, two = with_fresh_name(docs, "row_key"), with_fresh_name(docs, "row_id")
     id_text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    best = _grouped(docs, doc_id, text).groupBy("label").agg(F.min_by(F.struct("row_key", "doc_id"), F.struct(F.col("doc_id").isNull(), "doc_id", "row_key")).alias("k"))
-    kept = best.select(F.col("k.row_key").alias(one), id_text("k.doc_id").alias(two))
-    rows = docs.withColumns({one: _row_key(doc_id, text), two: id_text(doc_id)}).join(kept.hint("merge"), [one, two], "left_semi")
-    return rows.dropDuplicates([one, two]).select(*docs.columns)
+    rows = docs.select(F.col(doc_id).alias("doc_id"), _row_key(doc_id, text).alias("row_key"), _text_key(F.col(text)).alias("key"))
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "row_key")
+    texts = rows.groupBy("key").agg(F.min(order).alias("k"))
+    labelled = texts.join(near_classes(docs, text, similar), "key", "left").groupBy(F.coalesce("label", "key").alias("label")).agg(F.min("k").alias("k"))
+    kept = labelled.select(F.col("k.row_key").alias(one), id_text("k.doc_id").alias(two))
+    found = docs.withColumns({one: _row_key(doc_id, text), two: id_text(doc_id)}).join(kept.hint("merge"), [one, two], "left_semi")
+    return found.dropDuplicates([one, two]).select(*docs.columns)

@@ -1,9 +1,10 @@
 """Toxicity by weak supervision: lexicon and pattern voters, a generative label model, a linear classifier.
 
 Voters are words of a fixed lexicon, stems that labelled training rows associate with toxicity, and patterns over
-their hits.  The label model is a tree-augmented naive Bayes mixture fitted by EM: each voter has an accuracy for each
-class, and the voters that agree beyond what the class explains are tied along a maximum spanning tree of conditional
-mutual information.  Its posteriors train a logistic classifier on the same evidence.
+their hits.  The label model is a tree-augmented naive Bayes mixture fitted by EM to the votes on unlabelled training
+rows: each voter has an accuracy for each class, and the voters that agree beyond what the class explains are tied
+along a maximum spanning tree of conditional mutual information.  Its posteriors, no labels, train a logistic
+classifier on the same evidence.  Labels choose voters, give the share of toxic rows, and place the threshold.
 """
 
 from __future__ import annotations
@@ -24,8 +25,8 @@ from newsweft.llm.quality import labelled_sample
 #: Labelled rows that voters and classifier are fitted on at most; mined voters at most, and what a mined stem takes.
 FIT_ROWS, MINED, LEAST_DOCS, LEAST_ODDS, CANDIDATES = 20000, 192, 3, 2.5, 20000
 STEM_LENGTHS = (4, 5, 6)
-#: How often a label is taken to be wrong, EM rounds, the least conditional mutual information of a tie.
-LABEL_NOISE, ROUNDS, LEAST_TIE = 0.02, 25, 1e-3
+#: EM rounds, the least conditional mutual information of a tie, the share of toxic rows where no label tells it.
+ROUNDS, LEAST_TIE, PRIOR = 25, 1e-3, 0.1
 FLAG = 0.3
 _SLAB = 1 << 20
 _ROWS = 2048
@@ -160,22 +161,17 @@ def _ties(v: np.ndarray, q: np.ndarray) -> np.ndarray:
     return parent
 
 
-def fit_label_model(ballots: np.ndarray, known: np.ndarray | None = None) -> tuple[LabelModel, np.ndarray]:
-    """(model, posteriors). ``known`` has 0, 1 or -1 for each row: such labels weigh in with LABEL_NOISE."""
+def fit_label_model(ballots: np.ndarray, prior: float = PRIOR) -> tuple[LabelModel, np.ndarray]:
+    """(model, posteriors) by EM on votes alone, from a start at which each vote for toxic weighs against the prior."""
     v = ballots.astype(np.int8) + np.int8(1)
-    q = np.clip(0.5 + 0.2 * ballots.sum(1, dtype=np.int64), 0.05, 0.95)
-    hint = np.zeros(len(v))
-    if known is not None:
-        odds = np.log((1 - LABEL_NOISE) / LABEL_NOISE)
-        hint = np.where(known == 1, odds, np.where(known == 0, -odds, 0.0))
-        q = np.where(known >= 0, np.where(known == 1, 1 - LABEL_NOISE, LABEL_NOISE), q)
+    odds = np.log(prior / (1 - prior))
+    q = 1 / (1 + np.exp(-np.clip(odds + 2.0 * ballots.sum(1, dtype=np.int64), -40, 40)))
     parent, model = np.full(v.shape[1], -1), None
     for k in range(ROUNDS):
         if k in (1, ROUNDS // 2):
             parent = _ties(v, q)
-        model = LabelModel(float(np.clip(q.mean(), 0.001, 0.999)), parent, _tables(v, q, parent))
-        alone = model.posterior(ballots)
-        q = 1 / (1 + np.exp(-np.clip(np.log(np.maximum(alone, 1e-15)) - np.log(np.maximum(1 - alone, 1e-15)) + hint, -40, 40)))
+        model = LabelModel(prior, parent, _tables(v, q, parent))
+        q = model.posterior(ballots)
     return model, q
 
 
@@ -305,42 +301,68 @@ def mine(sample: DataFrame, clean: int) -> Voters:
     return Voters(pa.array(words, pa.large_string()), tuple((n, pa.array([s for k, s in chosen if k == n], pa.large_string())) for n in STEM_LENGTHS))
 
 
-def _unlabelled_sample(docs: DataFrame, rows: int) -> DataFrame:
+def _training_sample(docs: DataFrame, rows: int) -> DataFrame:
     """(key, text, y): up to ``rows`` distinct rows that aren't held out, those with the least hash, with -1 for their label."""
     keyed = docs.filter(~is_held_out()).select(F.xxhash64(F.lit("fit"), "doc_id", "text").alias("key"), F.coalesce("text", F.lit("")).alias("text"))
     chosen = keyed.select("key").distinct().orderBy("key").limit(rows)
     return keyed.join(chosen, "key").dropDuplicates(["key"]).withColumn("y", F.lit(-1))
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = FIT_ROWS) -> Model:
-    """A model from at most ``rows`` labelled rows; with no labels from as many unlabelled ones, by the seed lexicon's voters and the patterns alone."""
-    sample = materialise(labelled_sample(docs, labels, label, rows).repartition(8, "doc_id"), "toxicity-sample").coalesce(8)
-    counts = {r["y"]: r["n"] for r in sample.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if counts:
-        voters = mine(sample, counts.get(0, 0))
-    else:
-        sample = materialise(_unlabelled_sample(docs, rows).repartition(8, "key"), "toxicity-sample").coalesce(8)
-        voters = Voters(pa.array(LEXICON, pa.large_string()), tuple((n, pa.array([], pa.large_string())) for n in STEM_LENGTHS))
+def _evidence(sample: DataFrame, voters: Voters) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hits of each lexical voter, words, label) of the rows of a bounded sample."""
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start, texts in slabs(batch.column("text"), _SLAB):
                 hits, n = voters.hits(texts)
                 r, c = np.nonzero(hits)
-                ends = np.searchsorted(r, np.arange(len(n) + 1))
-                lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(c.astype(np.int32)))
-                sizes = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(hits[r, c]))
+                ends = pa.array(np.searchsorted(r, np.arange(len(n) + 1)).astype(np.int32))
+                lists, sizes = pa.ListArray.from_arrays(ends, pa.array(c.astype(np.int32))), pa.ListArray.from_arrays(ends, pa.array(hits[r, c]))
                 yield pa.RecordBatch.from_arrays([batch.column("y").slice(start, len(n)), lists, sizes, pa.array(n)], ["y", "voter", "hits", "n"])
 
     got = sample.select("text", "y").mapInArrow(gather, "y int, voter array<int>, hits array<float>, n bigint").toPandas()
     hits = np.zeros((len(got), voters.lexical), np.float32)
     for i, (which, many) in enumerate(zip(got["voter"], got["hits"])):
         hits[i, np.asarray(which, np.int64)] = many
-    n, known = got["n"].to_numpy(), got["y"].to_numpy()
-    if not len(got):
+    # Sums over rows come out the same whatever order the rows arrive in.
+    n, y = got["n"].to_numpy(), got["y"].to_numpy()
+    order = np.lexsort((y, n, *(hits[:, k] for k in np.flatnonzero(hits.any(0))[:8])))
+    return hits[order], n[order], y[order]
+
+
+def threshold(logits: np.ndarray, y: np.ndarray, flag: float = FLAG) -> float:
+    """What to add to logits so that ``flag`` parts the labels with the fewest errors; the middle of the widest best gap."""
+    if not len(y) or y.min() == y.max():
+        return 0.0
+    order = np.argsort(logits, kind="stable")
+    z, t = logits[order], y[order] == 1
+    wrong = np.r_[0, np.cumsum(t)] + np.r_[np.cumsum((~t)[::-1])[::-1], 0]
+    edges = np.r_[z[0] - 2.0, z, z[-1] + 2.0]
+    gap = np.where(wrong == wrong.min(), edges[1:] - edges[:-1], -1.0)
+    k = int(np.argmax(gap))
+    return float(np.log(flag / (1 - flag)) - (edges[k] + edges[k + 1]) / 2)
+
+
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = FIT_ROWS) -> Model:
+    """A model whose label model and classifier are fitted on at most ``rows`` training rows without their labels.
+
+    At most ``rows`` labelled rows choose the voters beside the seed lexicon's, give the share of toxic rows and place
+    the threshold; without them the lexicon and the patterns vote alone, PRIOR is the share and no threshold is moved.
+    """
+    known = materialise(labelled_sample(docs, labels, label, rows).repartition(8, "doc_id"), "toxicity-sample").coalesce(8)
+    counts = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    voters = mine(known, counts.get(0, 0)) if counts else Voters(pa.array(LEXICON, pa.large_string()), tuple((n, pa.array([], pa.large_string())) for n in STEM_LENGTHS))
+    sample = materialise(_training_sample(docs, rows).repartition(8, "key"), "toxicity-training").coalesce(8)
+    hits, n, _ = _evidence(sample, voters)
+    if not len(n):
         return Model(None, None, 0.0)
-    model, posterior = fit_label_model(votes(hits, n), known)
-    return Model(voters, train_linear(features(hits, n), posterior), counts.get(1, 0) / len(got) if counts else float(posterior.mean()), model)
+    prior = float(np.clip(counts[1] / sum(counts.values()), 0.001, 0.999)) if len(counts) == 2 else PRIOR
+    model, posterior = fit_label_model(votes(hits, n), prior)
+    weights = train_linear(features(hits, n), posterior)
+    if len(counts) == 2:
+        hits, n, y = _evidence(known, voters)
+        weights[-1] += threshold(features(hits, n) @ weights[:-1] + weights[-1], y)
+    return Model(voters, weights, prior, model)
 
 
 def score(docs: DataFrame, model: Model, out: str = "score", text: str = "text") -> DataFrame:
@@ -359,6 +381,11 @@ def score(docs: DataFrame, model: Model, out: str = "score", text: str = "text")
 
 
 def classify(docs: DataFrame, labels: DataFrame, label: str = "toxic", flag: float = FLAG) -> DataFrame:
-    """(doc_id, held_out, score, predicted) for each row of ``docs``; ids may be null or repeat, other columns aren't read."""
+    """(doc_id, held_out, score, predicted) for each row of ``docs``.
+
+    Null, empty and blank texts score alike; very long ones are read whole; ids may be null, of any type, or repeat,
+    and repeated rows come as often as they are given; other columns aren't read. An empty table gives an empty
+    result. A score of exactly ``flag`` is flagged. Of several labels of one id the greatest counts.
+    """
     scored = score(docs.select("doc_id", "text"), fit(docs, labels, label)).select("doc_id", "score")
     return scored.select("doc_id", is_held_out().alias("held_out"), "score", (F.col("score") >= flag).cast("int").alias("predicted"))

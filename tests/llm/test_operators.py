@@ -8,6 +8,7 @@ import itertools
 import json
 import math
 import random
+import time
 import zlib
 
 import numpy as np
@@ -114,6 +115,58 @@ def test_links_connect_dense_groups(spark, monkeypatch, split):
     assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
 
 
+def five_word_shingles(text):
+    w = (text or "").lower().split()
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def alike(a, b):
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def edited(r, words, edits):
+    out = list(words)
+    for k in r.sample(range(len(out)), edits):
+        out[k] = "".join(r.choice("abcdefgh") for _ in range(6))
+    return out
+
+
+def test_near_copies_against_brute_force(spark):
+    """Every link is one by its shingles, and nearly all pairs of near copies are in one class, in small groups and a large one."""
+    r = random.Random(4)
+    word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(2, 8)))
+    texts = []
+    for size, copies in [(r.randint(40, 400), 3) for _ in range(40)] + [(150, 120)]:
+        base = [word() for _ in range(size)]
+        texts += [" ".join(edited(r, base, r.randint(0, max(1, size // 60)))) for _ in range(copies)]
+    texts += [" ".join(word() for _ in range(r.randint(1, 200))) for _ in range(150)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    keys = {t["k"]: t["text"] for t in docs.select(simhash._text_key(F.col("text")).alias("k"), "text").collect()}
+    shingles = {k: five_word_shingles(t) for k, t in keys.items()}
+    links = simhash.near_links(docs).collect()
+    assert all(alike(shingles[e["a"]], shingles[e["b"]]) >= 0.8 for e in links)
+    label = {e["node"]: e["label"] for e in simhash.components(spark.createDataFrame([(e["a"], e["b"]) for e in links], "a bigint, b bigint")).collect()}
+    pairs = [(a, b) for a, b in itertools.combinations(keys, 2) if alike(shingles[a], shingles[b]) >= 0.8]
+    met = [label.get(a, a) == label.get(b, b) for a, b in pairs]
+    assert len(pairs) > 2000 and np.mean(met) >= 0.98
+    kept = {d["doc_id"] for d in simhash.keep_one(docs).collect()}
+    assert len(kept) == len({label.get(k, k) for k in keys}) and 0 in kept
+
+
+def test_signatures_meet_at_one_bit_a_segment(spark):
+    """Fingerprints that differ in up to 15 bits of eight segments have a segment with at most one; distant ones stay apart."""
+    r = random.Random(9)
+    rows, signed = [], lambda v: int(np.uint64(v).astype(np.int64))
+    for k in range(60):
+        fp = [r.getrandbits(64) for _ in range(4)]
+        near = list(fp)
+        for b in r.sample(range(256), 15):
+            near[b // 64] ^= 1 << b % 64
+        rows += [(2 * k, *map(signed, fp)), (2 * k + 1, *map(signed, near))]
+    got = {(e["a"], e["b"]) for e in simhash.candidates(spark.createDataFrame(rows, "key bigint, f0 bigint, f1 bigint, f2 bigint, f3 bigint")).collect()}
+    assert got == {(2 * k, 2 * k + 1) for k in range(60)}
+
+
 def test_components_of_a_path(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101)]
     got = {r["node"]: r["label"] for r in simhash.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
@@ -642,6 +695,38 @@ def test_every_voter_has_its_table(spark, monkeypatch):
     assert all(model.tables[j, 1, 1, 2] > model.tables[j, 0, 1, 2] for j in range(len(words)) if model.parent[j] < 0)
 
 
+def test_toxicity_posteriors_come_from_votes_alone(spark, monkeypatch):
+    """Flipping the labels of some training rows changes neither the label model nor the order of the scores."""
+    docs, labels = synthetic(spark)
+    fixed = toxicity.Voters(pa.array(toxicity.LEXICON, pa.large_string()), tuple((n, pa.array([], pa.large_string())) for n in toxicity.STEM_LENGTHS))
+    monkeypatch.setattr(toxicity, "mine", lambda sample, clean: fixed)
+    some = labels.filter(~common.is_held_out()).orderBy(F.xxhash64("doc_id")).limit(40).select("doc_id", "toxic").collect()
+    pairs = {1: [r["doc_id"] for r in some if r["toxic"] == 1][:4], 0: [r["doc_id"] for r in some if r["toxic"] == 0][:4]}
+    n = min(map(len, pairs.values()))
+    flipped = labels.withColumn("toxic", F.when(F.col("doc_id").isin([i for v in pairs.values() for i in v[:n]]), 1 - F.col("toxic")).otherwise(F.col("toxic")))
+    one, two = toxicity.fit(docs, labels), toxicity.fit(docs, flipped)
+    assert n and np.allclose(one.label_model.tables, two.label_model.tables) and np.allclose(one.weights[:-1], two.weights[:-1])
+
+
+def test_classifier_queries_hold_out(spark):
+    """The queries themselves, on rows whose labels they may not learn from."""
+    sf_dir = "/root/testdata/sf0.01"
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    for query, label, least in ((queries.op1_quality_classifier, "quality", 0.9), (queries.op9_toxicity, "toxic", 0.9)):
+        got = query(spark, sf_dir).join(labels, "doc_id").filter("held_out").collect()
+        assert len(got) > 30 and np.mean([r["predicted"] == r[label] for r in got]) >= least
+
+
+@pytest.mark.parametrize("module", [quality, toxicity])
+def test_classifiers_take_ids_of_any_type_and_blank_texts_alike(spark, module):
+    docs, labels = synthetic(spark, 200)
+    blank = spark.createDataFrame([(900, None), (901, ""), (902, " ")], "doc_id bigint, text string")
+    all_ = docs.select("doc_id", "text").union(blank)
+    for kind in ("int", "string"):
+        got = {str(r["doc_id"]): r["score"] for r in module.classify(all_.withColumn("doc_id", F.col("doc_id").cast(kind)), labels.withColumn("doc_id", F.col("doc_id").cast(kind))).collect()}
+        assert len(got) == 203 and len({round(got[k], 12) for k in ("900", "901", "902")}) == 1
+
+
 def test_label_model_finds_accuracies_and_ties():
     r = np.random.default_rng(1)
     y = r.random(4000) < 0.3
@@ -649,8 +734,7 @@ def test_label_model_finds_accuracies_and_ties():
     a, b, c = flip(0.05), flip(0.2), flip(0.3)
     copy = np.where(r.random(4000) < 0.05, ~c, c)
     ballots = np.where(np.stack([a, b, c, copy], 1), 1, -1)
-    known = np.where(r.random(4000) < 0.2, y.astype(int), -1)
-    model, q = toxicity.fit_label_model(ballots, known)
+    model, q = toxicity.fit_label_model(ballots, 0.3)
     assert np.mean((q > 0.5) == y) > 0.9
     tied = {frozenset((j, int(p))) for j, p in enumerate(model.parent) if p >= 0}
     assert frozenset((2, 3)) in tied
@@ -733,7 +817,7 @@ def test_html_marginals_match_enumeration():
 def test_html_held_out_runs():
     wrong = n = 0
     for source in htmlmain.labelled_pages(150, seed=99):
-        page = htmlmain.parse(source)
+        page = htmlmain.parse(source, labelled=True)
         inside = htmlmain.default_model().marginals(page)
         for i, p in enumerate(page.parent):
             page.label[i] = page.label[i] if page.label[i] >= 0 else page.label[p] if p >= 0 else 0
@@ -742,6 +826,21 @@ def test_html_held_out_runs():
     assert wrong / n < 0.05
 
 
+@pytest.mark.parametrize("extra", ['data-y="x"', "data-y", 'data-y="1.5"', 'data-y="0"', "data-y='1'", 'DATA-Y="0"'])
+def test_html_pages_cannot_label_themselves(extra):
+    page = f'<body><nav {extra}>menu here</nav><article {extra}><p {extra}>A sentence of the article, long enough to read as one of its paragraphs.</p></article></body>'
+    assert htmlmain.extract(page) == htmlmain.extract(page.replace(f" {extra}", "")) != ""
+
+
+def test_html_time_grows_with_the_page():
+    took = []
+    for n in (20000, 80000):
+        began = time.perf_counter()
+        htmlmain.extract("<a " * n)
+        took.append(time.perf_counter() - began)
+    assert took[1] < 12 * max(took[0], 0.02)
+
+
 def test_html_edges(spark):
     rows = [(1, None, None), (None, "u", ""), (2, "u", "<p>" + "x " * 50000), (3, "u", "<div" + ' "' * 2000), (4, "u", "</p></div>plain"), (4, "u", "<" * 5000)]
     df = spark.createDataFrame(rows, "page_id bigint, url string, html string").withColumn("text", F.lit(1))
