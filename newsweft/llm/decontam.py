@@ -23,6 +23,8 @@ MASKS = ((0, 1, 2, 3, 4, 6), (0, 2, 3, 7, 8, 9))
 WINDOW, SIMILARITY, SHORTEST = 13, 0.8, 5
 _TRIM = "!?.,;:%$#&*|\"'()[]{}<>-_+=/\\~`@^«»“”„¿¡"
 _ODD = np.uint64(0x9E3779B97F4A7C15)
+#: Tells the hash of a whole short text from that of a window with as many words.
+_WHOLE = np.uint64(0xD6E8FEB86659FD93)
 
 
 def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -64,7 +66,8 @@ def _item_seeds(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         all_ = [seed_hashes(words, m) for m in MASKS]
         return np.concatenate([np.arange(len(h)) for h in all_]), np.concatenate(all_)
     if len(words) < SHORTEST:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        whole = seed_hashes(words, tuple(range(len(words)))) ^ _WHOLE if len(words) else np.zeros(0, np.uint64)
+        return np.zeros(len(whole), np.int64), whole
     blocks, size = short_blocks(len(words))
     at = np.arange(blocks) * size
     return at, seed_hashes(words, tuple(range(size)))[at]
@@ -105,6 +108,15 @@ def _regions(bitmap, masks: tuple[tuple[int, ...], ...]):
                     near = near[whole[near]]
                     at.append(near)
                     hashes.append(h[near])
+                first = np.searchsorted(docs, np.arange(len(texts)))
+                size = np.diff(np.r_[first, len(docs)])
+                for n in range(1, SHORTEST):
+                    begin = first[size == n]
+                    if len(begin):
+                        h = seed_hashes(words, tuple(range(n)))[begin] ^ _WHOLE
+                        near = in_bitmap(bits, h)
+                        at.append(begin[near])
+                        hashes.append(h[near])
                 at_, hashes_ = np.concatenate(at), np.concatenate(hashes)
                 if not len(at_):
                     continue
@@ -188,7 +200,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, n_words, n_same, similarity): each document with each item that it repeats, best overlap first.
 
     A document repeats an item when some WINDOW successive words, or the whole of a shorter item, agree in at least
-    SIMILARITY of the places, substitutions allowed, insertions not. Items of fewer than SHORTEST words repeat nowhere.
+    SIMILARITY of the places, substitutions allowed, insertions not. An item of fewer than SHORTEST words is only
+    repeated by a document that consists of its words. A document of any length is read whole; of overlaps of equal
+    length the one with more equal words counts; an empty table on either side gives an empty result.
     Null and empty texts on either side never match; repeated rows and ids give one row for each pair; other columns
     are not read.
     """

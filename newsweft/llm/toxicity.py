@@ -25,8 +25,10 @@ from newsweft.llm.quality import labelled_sample
 #: Labelled rows that voters and classifier are fitted on at most; mined voters at most, and what a mined stem takes.
 FIT_ROWS, MINED, LEAST_DOCS, LEAST_ODDS, CANDIDATES = 20000, 192, 3, 2.5, 20000
 STEM_LENGTHS = (4, 5, 6)
-#: EM rounds, the least conditional mutual information of a tie, the share of toxic rows where no label tells it.
-ROUNDS, LEAST_TIE, PRIOR = 25, 1e-3, 0.1
+#: EM rounds, the share of toxic rows where no label tells it.
+ROUNDS, PRIOR = 25, 0.1
+#: The least conditional mutual information of a tie, and its least share of what either vote leaves open.
+LEAST_TIE, TIE_SHARE = 1e-3, 0.2
 FLAG = 0.3
 _SLAB = 1 << 20
 _ROWS = 2048
@@ -150,12 +152,14 @@ def _ties(v: np.ndarray, q: np.ndarray) -> np.ndarray:
         joint = joint.reshape(m, 3, m, 3).transpose(0, 2, 1, 3)
         expected = alone[:, None, :, None] * alone[None, :, None, :]
         info += mass / len(v) * np.where(joint > 0, joint * np.log(np.maximum(joint, 1e-12) / np.maximum(expected, 1e-12)), 0).sum((2, 3))
+    open_ = info.diagonal()
+    bar = np.maximum(LEAST_TIE, TIE_SHARE * np.minimum(open_[:, None], open_[None, :]))
     parent, inside = np.full(m, -1), np.zeros(m, bool)
     best, via = np.full(m, -1.0), np.full(m, -1)
     for _ in range(m):
         j = int(np.argmax(np.where(inside, -np.inf, best)))
         inside[j] = True
-        parent[j] = via[j] if best[j] >= LEAST_TIE else -1
+        parent[j] = via[j] if via[j] >= 0 and best[j] >= bar[j, via[j]] else -1
         better = ~inside & (info[j] > best)
         best[better], via[better] = info[j][better], j
     return parent
@@ -338,6 +342,8 @@ def threshold(logits: np.ndarray, y: np.ndarray, flag: float = FLAG) -> float:
     z, t = logits[order], y[order] == 1
     wrong = np.r_[0, np.cumsum(t)] + np.r_[np.cumsum((~t)[::-1])[::-1], 0]
     edges = np.r_[z[0] - 2.0, z, z[-1] + 2.0]
+    # Equal logits can't be parted.
+    wrong = np.where(edges[1:] - edges[:-1] > 1e-9, wrong, len(y) + 1)
     gap = np.where(wrong == wrong.min(), edges[1:] - edges[:-1], -1.0)
     k = int(np.argmax(gap))
     return float(np.log(flag / (1 - flag)) - (edges[k] + edges[k + 1]) / 2)
