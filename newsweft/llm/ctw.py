@@ -145,11 +145,15 @@ def _placed(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return keys[first], place
 
 
-def _union(parts: list[np.ndarray]) -> np.ndarray:
-    keys = np.sort(np.concatenate(parts), kind="stable")
+def _sorted_distinct(keys: np.ndarray) -> np.ndarray:
+    keys.sort()
     return keys[_distinct(keys)]
 
 
+def _union(parts: list[np.ndarray]) -> np.ndarray:
+    return _sorted_distinct(np.concatenate(parts))
+
+
 def _words(coded: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text of each word, place of its hash, hashes in order) of a block; the end symbol of each text is a word too."""
     docs, codes, words = words_of(pa.array([c[:-1] for c in coded], pa.large_binary()).cast(pa.large_string()))
@@ -563,17 +567,19 @@ def _score(ranges: Ranges):
     def finish(text: dict, ids: pa.Array, grams: list[np.ndarray], words: list[np.ndarray]) -> pa.RecordBatch:
         joined, cuts = zstandard.ZstdDecompressor().decompress(text["keys"]), np.cumsum([0, *text["sizes"]]).tolist()
         coded = [joined[a:b] for a, b in zip(cuts, cuts[1:])]
-        parts: list[list] = []
-        for block in _blocks(coded):
-            keys, begin = gram_keys(coded[block])
-            parts.append([begin, *_placed(keys), *_words(coded[block])])
+        # The grams of all blocks first, then block by block again: only one block's places are held.
+        known = _union([_sorted_distinct(gram_keys(coded[block])[0]) for block in _blocks(coded)])
+        words_ = [_words(coded[block]) for block in _blocks(coded)]
+        all_words = _union([hashes for _, _, hashes in words_])
         given, count = (np.concatenate(x).view(np.int64) for x in (grams, words))
-        known, all_words = (_union([p[k] for p in parts]) for k in (1, 5))
+        grams.clear()
         if len(given) != len(known) or len(count) != len(all_words):
             raise RuntimeError("a chunk's grams changed between the passes")
         gains, out = np.log10(count + 1.0), []
-        for begin, keys, place, docs, word, hashes in parts:
-            length = given[np.searchsorted(known, keys)][place]
+        for block, (docs, word, hashes) in zip(_blocks(coded), words_):
+            keys, begin = gram_keys(coded[block])
+            found, place = _placed(keys)
+            length = given[np.searchsorted(known, found)][place]
             of = np.searchsorted(all_words, hashes)[word]
             out.append((np.bincount(docs, minlength=len(begin)), np.bincount(docs, count[of] > 0, len(begin)), np.bincount(docs, gains[of], len(begin)), np.add.reduceat(length, begin)))
         n, seen, base, score = (np.concatenate(x) for x in zip(*out))
