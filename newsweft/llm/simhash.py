@@ -29,7 +29,7 @@ SPLIT = 1024
 _CHUNK = 1 << 15
 #: Of near copies: 64-bit numbers of a fingerprint, each two segments; words of a shingle; least similarity; signatures a partition.
 WIDE, NEAR_SHINGLE, SIMILAR, SIGNATURES = 4, 5, 0.8, 8_000_000
-_SLAB = 1 << 20
+_SLAB = 1 << 19
 
 
 def fingerprint(text: str | None, width: int = SHINGLE) -> int:
@@ -310,8 +310,8 @@ def _wide_signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
     into another order under each signature.
     """
     for batch in batches:
-        for a in range(0, batch.num_rows, 4096):
-            rows = batch.slice(a, 4096)
+        for a in range(0, batch.num_rows, 1024):
+            rows = batch.slice(a, 1024)
             key = np.asarray(rows.column("key")).view(np.uint64)
             sigs, sides = [], []
             for s in range(2 * WIDE):
