@@ -19,8 +19,9 @@ SHARDS = 8
 #: Largest error of a shard's boundary as a share of a shard, and of a partition's boundary as a share of a partition.
 SHARD_TOLERANCE, PARTITION_TOLERANCE = 0.001, 0.25
 PARTITION_BYTES = 128 << 20
-MOST_PARTITIONS = 2048
-_FIRST, _STEP = 12, 8
+MOST_PARTITIONS = 16384
+#: Bits of the first histogram, at least and at most, and of each refinement.
+_FIRST, _MOST_FIRST, _STEP = 12, 17, 8
 _MIN, _END = -(1 << 63), (1 << 63, 0)
 
 Key = tuple[int, int]
@@ -35,9 +36,9 @@ class Splitter:
     size: int
 
 
-def _shifts() -> list[tuple[str, int]]:
+def _shifts(first: int = _FIRST) -> list[tuple[str, int]]:
     """(column, right shift) of each level: the hash's leading bits, then the rest of it, then the id's bits."""
-    h = [("h", 64 - _FIRST)] + [("h", s) for s in range(64 - _FIRST - _STEP, 0, -_STEP)] + [("h", 0)]
+    h = [("h", 64 - first)] + [("h", s) for s in range(64 - first - _STEP, 0, -_STEP)] + [("h", 0)]
     return h + [("id", s) for s in range(64 - _STEP, -1, -_STEP)]
 
 
@@ -75,13 +76,13 @@ def _key(level: tuple[str, int], parent: tuple[int, ...], prefix: int) -> Key:
     return (parent[0], prefix << shift) if prefix << shift < 1 << 63 else (parent[0] + 1, _MIN) if parent[0] < (1 << 63) - 1 else _END
 
 
-def find_splitters(keys: DataFrame, wanted: list[tuple[float, float]], first: dict | None = None) -> list[Splitter]:
+def find_splitters(keys: DataFrame, wanted: list[tuple[float, float]], first: dict | None = None, bits: int = _FIRST) -> list[Splitter]:
     """For each (bytes, tolerance) a splitter with that many bytes below it, as near as single keys allow.
 
-    ``keys`` has h, id and size. A histogram holds at most 2**12 intervals at the first level and 2**8 for each
+    ``keys`` has h, id and size. A histogram holds at most 2**``bits`` intervals at the first level and 2**8 for each
     splitter that is still open at a later one.
     """
-    levels = _shifts()
+    levels = _shifts(bits)
     found: dict[int, Splitter] = {}
     open_: dict[int, tuple[tuple[int, ...], int, int]] = {k: ((), 0, 0) for k in range(len(wanted))}
     for at, level in enumerate(levels):
@@ -133,14 +134,19 @@ def shard(docs: DataFrame, size: Column, group: Column, row_id: Column, shards:
     total, n = sum(b for _, _, b in first[()]), sum(r for _, r, _ in first[()])
     each = max(1, min(-(-total // (shards * PARTITION_BYTES)), MOST_PARTITIONS // shards))
     parts = shards * each
+    # Eight intervals a partition settle nearly all partitions at once.
+    bits = min(_MOST_FIRST, max(_FIRST, (parts - 1).bit_length() + 3))
+    if bits > _FIRST:
+        levels = _shifts(bits)
+        first = _histogram(keys, levels, 0, [()])
     per = total / parts
     wanted = [(per * k, total / shards * tolerance if k % each == 0 else per * PARTITION_TOLERANCE) for k in range(1, parts)]
-    cuts = find_splitters(keys, wanted, first)
+    cuts = find_splitters(keys, wanted, first, bits)
     for left, right in zip(cuts, cuts[1:]):
         if right.key < left.key:
             right.key, right.rows, right.size = left.key, left.rows, left.size
     # The partition of a row: how many splitters are at or below its key. Whole probe intervals look it up; a splitter inside one is compared.
-    shift, low = levels[0][1], -(1 << (_FIRST - 1))
+    shift, low = levels[0][1], -(1 << (bits - 1))
     inside = [c.key for c in cuts if c.key != _END and (c.key[1] != _MIN or c.key[0] & ((1 << shift) - 1))]
     whole = sorted(c.key[0] >> shift for c in cuts if c.key != _END and c.key not in inside)
     table, k = [], 0

@@ -229,6 +229,20 @@ def test_sharding_partitions_add_up(spark, monkeypatch):
     assert sorted(by) == list(range(8)) and all(sorted(s) == list(range(len(s))) for s in by.values())
 
 
+def test_sharding_with_finer_histograms(spark, monkeypatch):
+    """More partitions than the first histogram settles: finer intervals, the same law."""
+    monkeypatch.setattr(sharding, "PARTITION_BYTES", 40)
+    monkeypatch.setattr(sharding, "MOST_PARTITIONS", 1024)
+    rows = spark.range(4000).select("id", (F.col("id") % 9 + 1).alias("size"), F.xxhash64("id").alias("g"))
+    got = sharding.shard(rows, F.col("size"), F.col("g"), F.col("id")).collect()
+    by = collections.defaultdict(list)
+    for r in got:
+        by[r["shard"]].append(r)
+    assert len(got) == 4000 and set(by) == set(range(8)) and all(sorted(r["slot"] for r in v) == list(range(len(v))) for v in by.values())
+    sizes = [sum(r["size"] for r in v) for v in by.values()]
+    assert max(sizes) - min(sizes) <= 2 * 9 + 2 * 0.001 * sum(sizes) / 8
+
+
 def test_sharding_edges(awkward, empty):
     text = F.col("text")
     rows = clash(awkward)
