@@ -151,7 +151,10 @@ def _sorted_distinct(keys: np.ndarray) -> np.ndarray:
 
 
 def _union(parts: list[np.ndarray]) -> np.ndarray:
-    return _sorted_distinct(np.concatenate(parts))
+    """The distinct keys of sorted parts; a stable sort merges runs."""
+    keys = np.concatenate(parts)
+    keys.sort(kind="stable")
+    return keys[_distinct(keys)]
 
 
 def _words(coded: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -565,13 +568,19 @@ def _score(ranges: Ranges):
     """A row for each text, from its chunk's text and the values of its chunk's grams and words in order."""
 
     def finish(text: dict, ids: pa.Array, grams: list[np.ndarray], words: list[np.ndarray]) -> pa.RecordBatch:
-        joined, cuts = zstandard.ZstdDecompressor().decompress(text["keys"]), np.cumsum([0, *text["sizes"]]).tolist()
+        cuts = np.cumsum([0, *text["sizes"]]).tolist()
+        joined = zstandard.ZstdDecompressor().decompress(text.pop("keys"))
         coded = [joined[a:b] for a, b in zip(cuts, cuts[1:])]
+        del joined
         # The grams of all blocks first, then block by block again: only one block's places are held.
-        known = _union([_sorted_distinct(gram_keys(coded[block])[0]) for block in _blocks(coded)])
-        words_ = [_words(coded[block]) for block in _blocks(coded)]
-        all_words = _union([hashes for _, _, hashes in words_])
-        given, count = (np.concatenate(x).view(np.int64) for x in (grams, words))
+        known, all_words = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        words_ = []
+        for block in _blocks(coded):
+            known = _union([known, _sorted_distinct(gram_keys(coded[block])[0])])
+            docs, word, hashes = _words(coded[block])
+            all_words = _union([all_words, hashes])
+            words_.append((docs.astype(np.int32), word, hashes))
+        given, count = np.concatenate(grams), np.concatenate(words)
         grams.clear()
         if len(given) != len(known) or len(count) != len(all_words):
             raise RuntimeError("a chunk's grams changed between the passes")
@@ -581,7 +590,7 @@ def _score(ranges: Ranges):
             found, place = _placed(keys)
             length = given[np.searchsorted(known, found)][place]
             of = np.searchsorted(all_words, hashes)[word]
-            out.append((np.bincount(docs, minlength=len(begin)), np.bincount(docs, count[of] > 0, len(begin)), np.bincount(docs, gains[of], len(begin)), np.add.reduceat(length, begin)))
+            out.append((np.bincount(docs, minlength=len(begin)), np.bincount(docs, count[of] > 0, len(begin)), np.bincount(docs, gains[of], len(begin)), np.add.reduceat(length, begin, dtype=np.int64)))
         n, seen, base, score = (np.concatenate(x) for x in zip(*out))
         columns = [ids, pa.array(text["held"], pa.bool_()), pa.array(n), pa.array(seen.astype(np.int64)), pa.array(base), pa.array(score / _GRAIN * -math.log10(math.e)), pa.array(text["sizes"], pa.int64())]
         return pa.RecordBatch.from_arrays(columns, ["doc_id", "held_out", "n_tokens", "n_known", "base", "score", "n_coded"])
@@ -599,7 +608,8 @@ def _score(ranges: Ranges):
                         yield finish(text, ids, grams, words)
                     text, ids, grams, words = row, wide.slice(i, 1).flatten(), [], []
                 else:
-                    (grams if row["bucket"] < ranges.grams else words).append(unpack(row["keys"]))
+                    is_gram = row["bucket"] < ranges.grams
+                    (grams if is_gram else words).append(unpack(row["keys"]).astype(np.int32 if is_gram else np.int64))
         if text is not None:
             yield finish(text, ids, grams, words)
 
