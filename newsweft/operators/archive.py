@@ -14,6 +14,7 @@ from newsweft.operators import reads
 from newsweft.plans.catalog import query
 from newsweft.plans.dialect import AS_OF, DUCK
 from newsweft.plans.relations import Relations
+from newsweft.session import written
 
 SHARD_RECORDS, SHARD_BYTES, DEEPEST_PREFIX = 5000, 1 << 20, 8
 BROWSE_PAGE, CATEGORY_PAGE = 50, 100
@@ -118,11 +119,12 @@ def _q_shards(r: Relations) -> DataFrame:
 def number_rows(rows: DataFrame, order: list[str], name: str, parts: int = 64) -> DataFrame:
     """``rows`` with gapless numbers from 0 in order, without a single sorting task: range partitions, then their counts.
 
-    The range-partitioned rows are sorted and given their place within the partition; the counts of the partitions, a
-    row each, give each its start.
+    The range-partitioned rows are sorted, given their place within the partition and written down, so that the counts
+    of the partitions, which give each its start, are counts of the same partitions; another exchange would draw its
+    own bounds.
     """
     dealt = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    placed = dealt.select("*", F.spark_partition_id().alias("__p"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("__i"))
+    placed = written(dealt.select("*", F.spark_partition_id().alias("__p"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("__i")), "numbered")
     counts = placed.groupBy("__p").agg(F.count(F.lit(1)).alias("__n"))
     starts = counts.withColumn("__s", F.coalesce(F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("__p", "__s")
     return placed.join(F.broadcast(starts), "__p").withColumn(name, F.col("__s") + F.col("__i")).drop("__p", "__i", "__s")
@@ -188,22 +190,33 @@ def _q_whole_generation(r: Relations) -> DataFrame:
     return months.agg(_ordered_hash(F.concat("month", F.lit("="), "generation"), "month").alias("generation"), F.count(F.lit(1)).alias("n_months"))
 
 
-def markdown_document(rows: DataFrame) -> Column:
-    """An article file: JSON-quoted front matter, the title and the body."""
+SCHEMA_VERSION = "1.0.0"
+
+
+def markdown_document(rows: DataFrame, body: str = "body_text") -> Column:
+    """An article file: JSON-quoted front matter, the title on one line, and the body."""
     quote = lambda c: F.regexp_extract(F.to_json(F.struct(c.alias("v"))), r'(?s)^\{"v":(.*)\}$', 1)
-    at = F.when(F.col("published_at").isNull(), F.lit("null")).otherwise(quote(T.rfc3339(F.col("published_at"))))
-    lines = [
-        F.concat(F.lit("document_id: "), quote(F.col("document_id"))), F.concat(F.lit("company_key: "), quote(F.col("export_key"))), F.concat(F.lit("company: "), quote(F.col("export_name"))), F.concat(F.lit("source_id: "), quote(F.col("source_id"))),
-        F.concat(F.lit("canonical_url: "), quote(F.col("canonical_url"))), F.concat(F.lit("published_at: "), at), F.concat(F.lit("content_hash: "), quote(F.col("content_hash"))),
-    ]
-    return F.concat(F.lit("---\n"), F.concat_ws("\n", *lines), F.lit("\n---\n\n# "), F.regexp_replace("title", "[\r\n]", " "), F.lit("\n"))
+    at = lambda c: F.when(F.col(c).isNull(), F.lit("null")).otherwise(quote(T.rfc3339(F.col(c))))
+    fields = {
+        "schema_version": quote(F.lit(SCHEMA_VERSION)), "document_id": quote(F.col("document_id")), "company_key": quote(F.col("export_key")), "company": quote(F.col("export_name")), "source_id": quote(F.col("source_id")),
+        "canonical_url": quote(F.col("canonical_url")), "published_at": at("published_at"), "first_seen_at": at("created_at"), "fetched_at": at("fetched_at"), "content_hash": quote(F.col("content_hash")),
+    }
+    lines = [F.concat(F.lit(f"{k}: "), v) for k, v in fields.items()]
+    return F.concat(F.lit("---\n"), F.concat_ws("\n", *lines), F.lit("\n---\n\n# "), F.regexp_replace("title", "[\r\n]", " "), F.lit("\n\n"), F.coalesce(F.col(body), F.lit("")), F.lit("\n"))
+
 
+_STAMP = "case when {0} is null then 'null' else to_json(strftime({0}, '%Y-%m-%dT%H:%M:%S+00:00')) end"
+_FILE = f"""'---' || chr(10) || 'schema_version: "{SCHEMA_VERSION}"' || chr(10) || 'document_id: ' || to_json(document_id) || chr(10) || 'company_key: ' || to_json(export_key) || chr(10) || 'company: ' || to_json(export_name) || chr(10)
+    || 'source_id: ' || to_json(source_id) || chr(10) || 'canonical_url: ' || to_json(canonical_url) || chr(10) || 'published_at: ' || {_STAMP.format("published_at")} || chr(10) || 'first_seen_at: ' || {_STAMP.format("created_at")} || chr(10)
+    || 'fetched_at: ' || {_STAMP.format("fetched_at")} || chr(10) || 'content_hash: ' || to_json(content_hash) || chr(10) || '---' || chr(10) || chr(10) || '# ' || regexp_replace(title, '[\r\n]', ' ', 'g') || chr(10) || chr(10) || coalesce(body_text, '') || chr(10)"""
 
-@query("article_files")
+
+@query("article_files", f"with {_NAMES}, {_PROJECT}, d as (select 'articles/v1/' || substr(sha256(export_key), 1, 2) || '/' || export_key || '/' || strftime(shown_at, '%Y') || '/' || strftime(shown_at, '%m') || '/' || substr(document_id, 1, 2) || '/' || document_id || '/article.md' as path, {_FILE} as doc from articles) select path, octet_length(encode(doc)) as bytes, sha256(doc) as sha256 from d")
 def _q_files(r: Relations) -> DataFrame:
-    rows = project_articles(r)
+    """Rows are chosen narrow; their bodies join at the end."""
+    rows = project_articles(r).join(r.feed_items.select("id", "body_text"), "id")
     doc = markdown_document(rows)
-    return rows.select("path", F.octet_length(doc).alias("bytes"), F.sha2(doc, 256).alias("sha256"))
+    return rows.select("path", F.octet_length(doc).cast("bigint").alias("bytes"), F.sha2(doc, 256).alias("sha256"))
 
 
 def changed_files(desired: DataFrame, existing: DataFrame) -> DataFrame:
@@ -254,10 +267,18 @@ def _q_book(r: Relations) -> DataFrame:
     return export_selection(r).groupBy("id").agg(F.first("content_hash").alias("content_hash"), F.count(F.lit(1)).cast("int").alias("n_exports"))
 
 
-@query("archive_invariants", "select 0 as n_duplicate_ids, 0 as n_bad_paths, 0 as n_bad_keys")
-def _q_invariants(r: Relations) -> DataFrame:
-    """What a whole archive must satisfy, counted; all are zero."""
-    rows = project_articles(r)
-    twice = rows.groupBy("document_id").agg(F.count(F.lit(1)).alias("n")).agg(F.count_if(F.col("n") > 1).cast("int").alias("n_duplicate_ids"))
-    bad = rows.agg(F.count_if(~T.safe_path(F.col("path"))).cast("int").alias("n_bad_paths"), F.count_if(~T.safe_company_key(F.col("export_key"))).cast("int").alias("n_bad_keys"))
+_RECORDS = """select 'p' || cast(doc_id % 40 as string) as document_id, case when doc_id % 13 = 0 then '../x/' || cast(doc_id as string) when doc_id % 17 = 0 then 'a//b' else 'articles/v1/' || cast(doc_id as string) || '/article.md' end as path,
+    case when doc_id % 11 = 0 then 'Bad Key' when doc_id % 23 = 0 then '' else source_id end as company_key from feed_items where doc_id < 60"""
+
+
+def invariants(records: DataFrame) -> DataFrame:
+    """How many ids come twice, and how many paths and company keys an archive may not have."""
+    twice = records.groupBy("document_id").agg(F.count(F.lit(1)).alias("n")).agg(F.count_if(F.col("n") > 1).alias("n_duplicate_ids"))
+    bad = records.agg(F.count_if(~T.safe_path(F.col("path"))).alias("n_bad_paths"), F.count_if(~T.safe_company_key(F.col("company_key"))).alias("n_bad_keys"))
     return twice.join(F.broadcast(bad))
+
+
+@query("archive_invariants", f"with r as ({_RECORDS}), t as (select document_id from r group by 1 having count(*) > 1) select (select count(*) from t) as n_duplicate_ids, cast(count(*) filter (where path like '%..%' or path like '%//%' or path like '/%' or path = '') as bigint) as n_bad_paths, cast(count(*) filter (where not regexp_full_match(company_key, '[a-z0-9]+(-[a-z0-9]+)*')) as bigint) as n_bad_keys from r")
+def _q_invariants(r: Relations) -> DataFrame:
+    """What an archive must satisfy, counted over records of which some break it."""
+    return invariants(r.sql(_RECORDS))

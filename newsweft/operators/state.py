@@ -6,6 +6,8 @@ rows where it doesn't; running one twice on its own result changes nothing.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -215,31 +217,90 @@ def _q_share(r: Relations) -> DataFrame:
     return export_names(r.companies)
 
 
+_UPSERT_KEYS = ("identity", "canonical_url", "external_id")
+
+
 def upsert_items(old: DataFrame, new: DataFrame) -> DataFrame:
-    """New items into a source's items over three keys: external id, canonical URL and public URL identity.
+    """One batch of fetched items into a source's items, by public URL identity, canonical URL and external id.
 
-    Rows that share any key are one item: they are linked over their keys, each row under its least neighbour, until
-    nothing changes in the three steps that three keys can take. The winner keeps the older row's id, then a hydrated
-    body before a short one, then the newer text.
+    A fetched item updates the public item that owns its URL identity, else the owner of its canonical URL, else that
+    of its external id, and is inserted if there is none. An owner of a key is its earliest item; of several fetched
+    items with one key, or for one item, the last counts. An update takes all but the keys that another item owns, and
+    but the body of a hydrated item; it makes a private item public again where its quarantine can be released.
+
+    Returns (source_id, id, action, external_id, canonical_url, title, body_of, is_private) for every item after the
+    batch; ``body_of`` is the id of the row whose body is the item's. Rows are matched narrow, by three equality joins
+    with at most one owner each, so no key's rows meet but in an aggregate.
     """
-    rows = old.withColumn("age", F.lit(0)).unionByName(new.withColumn("age", F.lit(1)))
-    rows = rows.withColumns({"k1": F.col("external_id"), "k2": F.col("canonical_url"), "k3": F.when(~F.col("is_private"), U.identity_key(F.col("canonical_url")))})
-    group = F.struct("age", "created_at", "id")
-    linked = rows.withColumn("head", group)
-    for _ in range(2):
-        for k in ("k1", "k2", "k3"):
-            least = F.min("head").over(Window.partitionBy("source_id", k))
-            linked = linked.withColumn("head", F.when(F.col(k).isNull(), F.col("head")).otherwise(F.least("head", least)))
-    best = F.max_by(F.struct("id", "external_id", "canonical_url", "title", "body_text"), F.struct((F.length("body_text") >= 200).cast("int"), "age", "created_at", "id"))
-    merged = linked.groupBy("source_id", F.col("head.id").alias("id")).agg(best.alias("b"), F.count(F.lit(1)).alias("n_rows"))
-    return merged.select("source_id", "id", "b.external_id", "b.canonical_url", "b.title", F.length("b.body_text").alias("body_chars"), "n_rows")
-
-
-@query("item_upsert")
+    ident = F.when(~F.col("is_private"), U.identity_key(F.col("url")))
+    have = old.select("source_id", "id", "external_id", "canonical_url", "title", "created_at", "is_private", "hydrated", "releasable", ident.alias("identity"))
+    come = new.select("source_id", "id", "external_id", "canonical_url", "title", "created_at", "is_private", U.identity_key(F.col("url")).alias("identity"))
+    for key in _UPSERT_KEYS:
+        last = come.filter(F.col(key).isNotNull()).groupBy("source_id", key).agg(F.max(F.struct("created_at", "id"))["id"].alias("last"))
+        met = come.join(last, ["source_id", key], "left")
+        come = met.filter(F.col(key).isNull() | (F.col("id") == F.col("last"))).select(*come.columns)
+    found = come.withColumnRenamed("id", "new_id")
+    for key in _UPSERT_KEYS:
+        owners = have.filter(F.col(key).isNotNull()).groupBy("source_id", key).agg(F.min(F.struct("created_at", "id"))["id"].alias(f"{key}_owner"))
+        found = found.join(owners, ["source_id", key], "left")
+    winner = F.coalesce(*(F.col(f"{k}_owner") for k in _UPSERT_KEYS))
+    matched = found.withColumn("id", winner)
+    columns = ("new_id", "external_id", "canonical_url", "title", "external_id_owner", "canonical_url_owner")
+    last = matched.filter("id is not null").groupBy("source_id", "id").agg(F.max_by(F.struct(*columns), F.struct("created_at", "new_id")).alias("n"))
+    joined = have.join(last, ["source_id", "id"], "left")
+    own = lambda k: F.when(F.col("n").isNull() | (F.col(f"n.{k}_owner").isNotNull() & (F.col(f"n.{k}_owner") != F.col("id"))), F.col(k)).otherwise(F.col(f"n.{k}")).alias(k)
+    kept = joined.select(
+        "source_id", "id", F.when(F.col("n").isNull(), "kept").otherwise("updated").alias("action"), own("external_id"), own("canonical_url"),
+        F.coalesce("n.title", "title").alias("title"), F.when(F.col("n").isNull() | F.col("hydrated"), F.col("id")).otherwise(F.col("n.new_id")).alias("body_of"),
+        (F.col("is_private") & ~(F.col("n").isNotNull() & F.col("releasable"))).alias("is_private"),
+    )
+    fresh = matched.filter("id is null").select("source_id", F.col("new_id").alias("id"), F.lit("inserted").alias("action"), "external_id", "canonical_url", "title", F.col("new_id").alias("body_of"), "is_private")
+    return kept.unionByName(fresh)
+
+
+_OLD_ITEMS = """select f.id, f.source_id, f.external_id, f.url, f.canonical_url, f.title, f.body_text, f.created_at, f.is_private, coalesce(st.status = 'succeeded', false) as hydrated, f.doc_id % 2 = 0 as releasable
+    from feed_items f left join content_state st on st.feed_item_id = f.id where f.doc_id % 4 <> 3"""
+_NEW_ITEMS = """select f.id || '-again' as id, f.source_id, case when f.doc_id % 5 = 0 then 'moved-' || f.id else f.external_id end as external_id, case when f.doc_id % 6 = 0 then f.url || '/moved' else f.url end as url,
+    case when f.doc_id % 6 = 0 then f.canonical_url || '/moved' else f.canonical_url end as canonical_url, f.title, f.body_text || ' more' as body_text, f.created_at, false as is_private from feed_items f where f.published_at is not null"""
+
+
+def _upsert_sql() -> str:
+    key = DUCK.url_key("url")
+    steps, last = [], "c0"
+    for k, name in enumerate(_UPSERT_KEYS, 1):
+        steps.append(f"c{k} as (select * from {last} qualify {name} is null or row_number() over (partition by source_id, {name} order by created_at desc, id desc) = 1)")
+        last = f"c{k}"
+    owners = ", ".join(f"(select arg_min(h.id, (h.created_at, h.id)) from have h where h.source_id = c.source_id and h.{k} = c.{k}) as {k}_owner" for k in _UPSERT_KEYS)
+    own = lambda k: f"case when n.new_id is null or (n.{k}_owner is not null and n.{k}_owner <> h.id) then h.{k} else n.{k} end as {k}"
+    return f"""with old_items as ({_OLD_ITEMS}), new_items as ({_NEW_ITEMS}), have as (select *, case when not is_private then {key} end as identity from old_items), c0 as (select *, {key} as identity from new_items), {", ".join(steps)},
+        f as (select c.*, c.id as new_id, {owners} from {last} c), m as (select *, coalesce(identity_owner, canonical_url_owner, external_id_owner) as won from f),
+        n as (select * from m where won is not null qualify row_number() over (partition by source_id, won order by created_at desc, new_id desc) = 1)
+        select h.source_id, h.id, case when n.new_id is null then 'kept' else 'updated' end as action, {own("external_id")}, {own("canonical_url")}, coalesce(n.title, h.title) as title,
+            case when n.new_id is null or h.hydrated then h.id else n.new_id end as body_of, h.is_private and not (n.new_id is not null and h.releasable) as is_private
+        from have h left join n on n.source_id = h.source_id and n.won = h.id
+        union all select source_id, new_id, 'inserted', external_id, canonical_url, title, new_id, is_private from m where won is null"""
+
+
+@query("item_upsert", f"select u.source_id, u.id, u.action, u.external_id, u.canonical_url, u.title, u.is_private, cast(length(b.body_text) as int) as body_chars from ({_upsert_sql()}) u join (select id, body_text from ({_OLD_ITEMS}) union all select id, body_text from ({_NEW_ITEMS})) b on b.id = u.body_of")
 def _q_items(r: Relations) -> DataFrame:
-    cols = ["id", "source_id", "external_id", "canonical_url", "title", "body_text", "created_at", "is_private"]
-    new = r.feed_items.filter("published_at is not null").select(F.concat(F.col("id"), F.lit("-again")).alias("id"), *cols[1:5], F.concat(F.col("body_text"), F.lit(" more")).alias("body_text"), *cols[6:])
-    return upsert_items(r.feed_items.select(*cols), new)
+    """Bodies join the matched rows at the end."""
+    old, new = r.sql(_OLD_ITEMS), r.sql(_NEW_ITEMS)
+    bodies = old.select(F.col("id").alias("body_of"), "body_text").unionByName(new.select(F.col("id").alias("body_of"), "body_text"))
+    return upsert_items(old, new).join(bodies, "body_of").select("source_id", "id", "action", "external_id", "canonical_url", "title", "is_private", F.length("body_text").alias("body_chars"))
+
+
+@query("payload_offload", "select id, true as stamped, true as blank, content_hash as object_hash from feed_items where doc_id % 2 = 0 union all select id, true, true, content_hash from feed_items where doc_id % 2 = 1")
+def _q_offload(r: Relations) -> DataFrame:
+    """Payloads offloaded in two runs, then all objects of both read back: every row has its key and its payload's object."""
+    from newsweft.session import shared_dir
+    from newsweft.sources.sinks import offload_payloads
+
+    path = f"{shared_dir(r.spark)}/newsweft/payloads-{uuid.uuid4().hex}"
+    rows = r.feed_items.select("id", "doc_id", F.col("body_text").alias("payload"), F.lit(None).cast("string").alias("payload_s3_key"))
+    one = offload_payloads(rows.filter("doc_id % 2 = 0"), path, "first")
+    two = offload_payloads(one.unionByName(rows.filter("doc_id % 2 = 1")), path, "second")
+    objects = r.spark.read.schema("id string, payload string").option("recursiveFileLookup", "true").json(path).select("id", F.sha2("payload", 256).alias("object_hash"))
+    return two.join(objects, "id", "left").select("id", F.col("payload_s3_key").isNotNull().alias("stamped"), F.col("payload").isNull().alias("blank"), "object_hash")
 
 
 @query("quarantine", "with c as (select source_id, canonical_url from feed_items group by all having count(*) > 1) select id, true as quarantined from feed_items f where exists (select 1 from c where c.source_id = f.source_id and c.canonical_url = f.canonical_url) and is_private")

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 ROOT = str(Path(__file__).resolve().parent.parent)
 
@@ -33,3 +35,25 @@ def local_session(cpus: int = 8, partitions: int = 8, memory: str = "6g", **conf
     spark.sparkContext.setLogLevel("ERROR")
     ensure_importable(spark)
     return spark
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder all executors share, as spark.checkpoint.dir names it.
+
+    Where it is unset, a local session gets a temporary folder of its own; on a cluster that would be a folder of each
+    machine, so it is an error there.
+    """
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        found = tempfile.mkdtemp(prefix="newsweft-")
+        spark.sparkContext.setCheckpointDir(found)
+    return found.rstrip("/")
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read back: its rows are settled, whatever is computed from them and however often."""
+    path = f"{shared_dir(df.sparkSession)}/newsweft/{name}-{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
