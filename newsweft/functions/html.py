@@ -67,13 +67,23 @@ class _Events(HTMLParser):
 _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)(?:[^<>\"']|\"[^\"]*\"|'[^']*')*>|<!--.*?-->", re.S)
 
 
+_END_OF = {t: re.compile(rf"</{t}[\s/>]", re.I) for t in ("script", "style")}
+
+
 def too_deep(source: str) -> bool:
-    """More open elements than a parser should be asked to hold; a cheap scan that never builds a tree."""
-    depth, last = 0, ""
-    for m in _TAG.finditer(source):
-        tag = (m[2] or "").lower()
+    """More open elements than a parser should be asked to hold; a cheap scan that never builds a tree, past scripts and styles."""
+    depth, last, at = 0, "", 0
+    while m := _TAG.search(source, at):
+        at, tag = m.end(), (m[2] or "").lower()
         if not tag or tag in EMPTY or m[0].endswith("/>"):
             continue
+        if tag in _END_OF:
+            if not m[1]:
+                end = _END_OF[tag].search(source, at)
+                if end is None:
+                    return False
+                at = end.end()
+            continue
         if m[1]:
             depth, last = max(0, depth - 1), ""
         elif not (tag in CLOSES_ITSELF and tag == last):
@@ -188,12 +198,16 @@ class _Markdown:
             self.put(text if escaped else text.translate(_ESCAPE))
 
     def gap(self) -> None:
-        whole = "".join(self.buffers[-1])
-        if not whole.strip():
-            self.buffers[-1] = []
-        else:
-            ends = len(whole) - len(whole.rstrip("\n"))
-            self.put("\n" * max(0, 2 - ends))
+        """A blank line, unless nothing but blanks is written; only the last pieces are looked at."""
+        ends, counting = 0, True
+        for piece in reversed(self.buffers[-1]):
+            if counting:
+                ends += len(piece) - len(piece.rstrip("\n"))
+                counting = not piece.rstrip("\n")
+            if piece.strip():
+                self.put("\n" * max(0, 2 - ends))
+                return
+        self.buffers[-1] = []
 
     def push(self) -> None:
         self.buffers.append([])
@@ -296,20 +310,20 @@ def process(source: str | None, base: str | None = None, images: bool = False) -
     """clean_html, markdown, text and counts; empty and flagged when the source is nested too deep. Null is empty."""
     source = source or ""
     if too_deep(source):
-        return {"clean_html": "", "markdown": "", "text": "", "depth_rejected": True, "stripped_elements": 0, "stripped_attributes": 0, "link_count": 0, "image_count": 0}
+        return {"clean_html": "", "markdown": "", "text": "", "depth_rejected": True, "stripped_elements": 0, "stripped_attributes": 0, "link_count": 0, "image_count": 0, "oversized": False}
     clean, counts = sanitise(source, base, images)
-    return {"clean_html": clean, "markdown": markdown(clean, images), "text": plain_text(clean), "depth_rejected": False, **counts}
+    return {"clean_html": clean, "markdown": markdown(clean, images), "text": plain_text(clean), "depth_rejected": False, **counts, "oversized": False}
 
 
-PROCESSED = "struct<clean_html:string,markdown:string,text:string,depth_rejected:boolean,stripped_elements:int,stripped_attributes:int,link_count:int,image_count:int>"
+PROCESSED = "struct<clean_html:string,markdown:string,text:string,depth_rejected:boolean,stripped_elements:int,stripped_attributes:int,link_count:int,image_count:int,oversized:boolean>"
 
 
 def _process_html(source: pd.Series, base: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([process(s if s is None or len(s) <= MOST_BYTES else "", b) for s, b in zip(source, base)])
+    return pd.DataFrame([process(s, b) if s is None or len(s) <= MOST_BYTES else process(None) | {"oversized": True} for s, b in zip(source, base)])
 
 
 def process_html(source: Column | str, base: Column | str) -> Column:
-    """``process`` over columns; a page above 8 MiB is treated as empty."""
+    """``process`` over columns; a page above 8 MiB, more than a fetch may bring, is empty and says so in ``oversized``."""
     return F.pandas_udf(_process_html, PROCESSED)(source, base)
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -30,11 +32,12 @@ def story_identity(url_key: Column, title: Column, published_at: Column) -> Colu
 
 
 # Words that say nothing about an article.
-STOP_WORDS = ("the", "and", "for", "with", "from", "that", "this", "into", "over", "news", "article", "articles", "press", "release", "releases", "blog", "html")
+STOP_WORDS = ("article", "blog", "common", "company", "news", "press", "release", "releases", "report", "reports", "stock", "update", "updates")
 
 
 def tokens(text: Column) -> Column:
-    return F.array_distinct(F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: F.length(w) >= 3))
+    """The distinct ASCII words of four letters or digits or more."""
+    return F.array_distinct(F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda w: F.length(w) >= 4))
 
 
 def title_agrees_with_path(title: Column, path: Column) -> Column:
@@ -44,32 +47,49 @@ def title_agrees_with_path(title: Column, path: Column) -> Column:
 
 
 def decorated_variants(a: Column, b: Column) -> Column:
-    """One title is the other with a site's name before or after it."""
-    x, y = F.lower(collapse(a)), F.lower(collapse(b))
+    """The titles are equal, or one is the other with some more after a mark, or, but for a colon, before it."""
+    x, y = title_key(a), title_key(b)
     test = x == y
-    for mark in (" | ", " - ", ": ", " – ", " — "):
+    for mark in (" | ", " - ", " – ", " — ", ": "):
         for long, short in ((x, y), (y, x)):
-            test = test | F.startswith(long, F.concat(short, F.lit(mark))) | F.endswith(long, F.concat(F.lit(mark), short))
-    return test & (x != "") & (y != "")
+            more = F.length(long) > F.length(short) + len(mark)
+            after = F.startswith(long, F.concat(short, F.lit(mark))) & (F.trim(F.substr(long, F.length(short) + len(mark) + 1)) != "")
+            before = F.endswith(long, F.concat(F.lit(mark), short)) & (F.trim(F.substr(long, F.lit(1), F.length(long) - F.length(short) - len(mark))) != "")
+            test = test | (more & (after if mark == ": " else after | before))
+    return F.coalesce(test, F.lit(False))
 
 
-# Titles that name a listing and no article.
+# Some of the titles that name a listing and no article; more are given as a parameter.
 LISTING_TITLES = (
     "news", "newsroom", "press releases", "press release", "blog", "home", "homepage", "media", "media center", "latest news", "all news", "articles",
     "insights", "events", "investors", "investor relations", "search", "search results", "archive", "archives", "untitled", "index", "page not found", "404", "error",
+    "404 error", "404 page not found", "all articles", "all posts", "all news releases", "all stories", "about us", "calendar", "categories", "category", "coming soon",
+    "corporate", "dashboard", "downloads", "features", "industry", "latest articles", "newer posts", "older posts", "previous posts", "results", "rss feeds", "see more", "subscribe", "webinars",
 )
+_CSS = (".cls-", "stroke-width:", "fill:", "font-family:", "display:", "visibility:")
+
+
+def article_title(title: Column) -> Column:
+    """White space collapsed, and "read more about" left out where a title of its own follows it."""
+    t = collapse(title)
+    rest = collapse(F.regexp_replace(t, r"(?i)^read more about ", ""))
+    own = t.rlike(r"(?i)^read more about ") & (F.length(rest) >= 5) & rest.rlike(r"\p{L}") & ~F.lower(rest).isin(*LISTING_TITLES)
+    return F.when(own, rest).otherwise(t)
 
 
-def usable_title(title: Column) -> Column:
-    t = F.lower(collapse(title))
+def usable_title(title: Column, listings: tuple[str, ...] = LISTING_TITLES) -> Column:
+    """5 to 300 characters with a letter; no date, style sheet, letter-spaced word or title of a listing. Null is unusable."""
+    shown = article_title(title)
+    t = F.lower(shown)
+    style = F.contains(t, F.lit("{")) & F.contains(t, F.lit("}")) & F.contains(t, F.lit(":")) & F.contains(t, F.lit(";")) & reduce(lambda a, b: a | b, [F.contains(t, F.lit(x)) for x in _CSS])
+    spaced = t.rlike(r"^(?:\p{L} ){4,}\p{L}$")
+    # Only what starts like a date is tried as one.
+    dated = t.rlike(r"^(\d|(mon|tue|wed|thu|fri|sat|sun|jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec))") & (F.length(t) <= 40) & parse_datetime(shown).isNotNull()
     paged = t.rlike(r"^(page )?\d+( of \d+)?$")
-    dated = t.rlike(r"^\d{1,4}[-/. ]\d{1,2}[-/. ]\d{1,4}$|^[a-z]+ \d{1,2},? \d{4}$")
-    spaced = t.rlike(r"^(\S )+\S$") & (F.length(t) > 8)
-    style = t.rlike(r"[{};]|^\.|^#")
-    return F.coalesce((F.length(t) >= 4) & ~t.isin(*LISTING_TITLES) & ~paged & ~dated & ~spaced & ~style, F.lit(False))
+    return F.coalesce(F.length(t).between(5, 300) & t.rlike(r"\p{L}") & ~t.isin(*listings) & ~paged & ~dated & ~spaced & ~style, F.lit(False))
 
 
-_DATE_TIMES = ("yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd HH:mm", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd'T'HH:mm", "MM/dd/yyyy HH:mm", "d MMM yyyy HH:mm:ss")
+_DATE_TIMES = ("yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd HH:mm", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd'T'HH:mm", "MM/dd/yyyy HH:mm", "d MMM yyyy HH:mm:ss", "MMMM d, yyyy HH:mm", "MMMM d, yyyy h:mm a", "MMM d, yyyy HH:mm", "MMM d, yyyy h:mm a", "d MMMM yyyy HH:mm")
 _DATES = ("yyyy-MM-dd", "yyyy/MM/dd", "yyyyMMdd", "MM/dd/yyyy", "dd.MM.yyyy", "MMMM d, yyyy", "MMM d, yyyy", "d MMMM yyyy", "d MMM yyyy", "MMMM d yyyy", "MMM d yyyy", "yyyy.MM.dd", "d-MMM-yyyy")
 
 

@@ -13,7 +13,10 @@ from newsweft.plans.dialect import AS_OF
 from newsweft.plans.relations import Relations
 
 # Where sites commonly keep their feeds.
-FEED_PATHS = ("/feed", "/feed/", "/rss", "/rss.xml", "/feed.xml", "/atom.xml", "/index.xml", "/rss/news", "/news/feed", "/news/rss", "/blog/feed", "/blog/rss.xml", "/feeds/posts/default", "/press/rss", "/newsroom/rss", "/media/rss", "/rss/feed")
+FEED_PATHS = (
+    "/feed", "/feed.xml", "/rss", "/rss.xml", "/rss/pressrelease.aspx", "/rss/news-releases.xml", "/atom.xml", "/news/rss", "/news/feed/", "/news/press-releases/rss", "/newsroom/rss", "/blog/feed", "/blog/rss.xml",
+    "/news-events/press-releases/rss", "/investors/news-events/press-releases/rss", "/press-releases/rss", "/press-releases/feed/",
+)
 MOST_CANDIDATES = 200
 
 
@@ -30,7 +33,7 @@ def normalise_items(raw: DataFrame) -> DataFrame:
     A null reason means accepted; a rejected row says why and is never dropped here.
     """
     made = raw.withColumns({"p": H.process_html("body_html", "url"), "title_": T.normal_title(F.coalesce("title", F.lit(""))), "canonical_url": U.canonical(F.col("url"))})
-    reason = F.when(F.col("title_") == "", "missing_title").when(T.is_utility(F.col("title_"), F.col("url")), "utility_article").when(T.is_placeholder(F.col("title_"), F.col("p.text")), "placeholder")
+    reason = F.when(F.col("p.oversized"), "oversized_page").when(F.col("title_") == "", "missing_title").when(T.is_utility(F.col("title_"), F.col("url")), "utility_article").when(T.is_placeholder(F.col("title_"), F.col("p.text")), "placeholder")
     hash_ = T.content_hash(F.col("canonical_url"), F.col("title_"), T.rfc3339(F.col("published_at")), F.col("p.text"))
     return made.select("item_key", "canonical_url", F.col("title_").alias("title"), F.col("p.text").alias("text"), F.col("p.markdown").alias("markdown"), hash_.alias("content_hash"), reason.alias("reason"))
 
@@ -121,9 +124,34 @@ def _q_signature(r: Relations) -> DataFrame:
     return r.documents.select("doc_id", T.title_key(F.split_part("text", F.lit("."), F.lit(1))).alias("signature"))
 
 
-@query("usable_titles", r"""with t as (select doc_id, lower(trim(regexp_replace(split_part(text, '.', 1), '\s+', ' ', 'g'))) as t from documents) select doc_id, length(t) >= 4 and not regexp_matches(t, '^(page )?\d+( of \d+)?$') and not regexp_matches(t, '[{};]|^\.|^#') and not (regexp_matches(t, '^(\S )+\S$') and length(t) > 8) as usable from t""")
+# Titles that are judged beside the documents' own, and what they are.
+_TITLES = (("News", False), ("N E W S R O O M", False), ("March 5, 2024", False), ("2024-03-05", False), (".cls-1{fill:#fff;display:block}", False), ("Abcd", False), ("123456", False), ("Page 3 of 9", False), ("Read more about our plans", True), ("Read more about news", True), ("Abcde", True))
+
+
+def _titles_sql() -> str:
+    cases = " ".join(f"when {k} then '{t}'" for k, (t, _) in enumerate(_TITLES))
+    return f"select doc_id, case doc_id % 15 {cases} else split_part(text, '.', 1) end as title from documents"
+
+
+@query(
+    "usable_titles",
+    rf"""with t as ({_titles_sql()}) select doc_id, case doc_id % 15 {" ".join(f"when {k} then {str(ok).lower()}" for k, (_, ok) in enumerate(_TITLES))}
+    else coalesce(length(trim(regexp_replace(title, '\s+', ' ', 'g'))) between 5 and 300 and regexp_matches(title, '\p{{L}}') and not regexp_matches(trim(regexp_replace(title, '\s+', ' ', 'g')), '^(\p{{L}} ){{4,}}\p{{L}}$'), false) end as usable from t""",
+)
 def _q_usable(r: Relations) -> DataFrame:
-    return r.documents.select("doc_id", T.usable_title(F.split_part("text", F.lit("."), F.lit(1))).alias("usable"))
+    return r.sql(_titles_sql().replace("{", "{{").replace("}", "}}")).select("doc_id", T.usable_title(F.col("title")).alias("usable"))
+
+
+@query(
+    "title_variants",
+    r"""with t as (select doc_id, lower(trim(regexp_replace(split_part(text, '.', 1), '\s+', ' ', 'g'))) as a from documents) select doc_id, doc_id % 6 in (0, 1, 2, 3) as variants from t where length(a) > 3""",
+)
+def _q_variants(r: Relations) -> DataFrame:
+    """Titles beside the same with a site's name after or before a mark, with an empty one, and with another title."""
+    a = F.split_part("text", F.lit("."), F.lit(1))
+    other = F.when(F.col("doc_id") % 6 == 0, F.concat(F.lit(" "), a, F.lit("  "))).when(F.col("doc_id") % 6 == 1, F.concat(a, F.lit(" | Acme"))).when(F.col("doc_id") % 6 == 2, F.concat(F.lit("Acme - "), a)).when(F.col("doc_id") % 6 == 3, F.concat(a, F.lit(": more")))
+    other = other.when(F.col("doc_id") % 6 == 4, F.concat(F.lit("Acme: "), a)).otherwise(F.concat(a, F.lit("x")))
+    return r.documents.filter(F.length(T.title_key(a)) > 3).select("doc_id", T.decorated_variants(a, other).alias("variants"))
 
 
 @query("content_hashes", r"select id, 'sha256:' || sha256('feed-item-v1' || chr(0) || canonical_url || chr(0) || title || chr(0) || coalesce(strftime(published_at, '%Y-%m-%dT%H:%M:%S+00:00'), '') || chr(0) || body_text) as content_hash from feed_items")

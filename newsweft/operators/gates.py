@@ -26,9 +26,13 @@ def repeated_content(items: DataFrame) -> DataFrame:
     return keyed.join(by.select("source_id", "body"), ["source_id", "body"], "left_semi").select("id", "source_id")
 
 
-@query("repeated_content", "select id, source_id from (select id, source_id, count(*) over w as n, min(title) over w as a, max(title) over w as b from feed_items window w as (partition by source_id, body_text)) where n > 1 and a <> b")
+# Every ninth item again under another title, every seventh under its own.
+_REPEATED = "select id, source_id, body_text, title from feed_items union all select id || '-x', source_id, body_text, title || ' again' from feed_items where doc_id % 9 = 0 union all select id || '-y', source_id, body_text, title from feed_items where doc_id % 7 = 0"
+
+
+@query("repeated_content", f"select id, source_id from (select id, source_id, count(*) over w as n, min(title) over w as a, max(title) over w as b from ({_REPEATED}) window w as (partition by source_id, body_text)) where n > 1 and a <> b")
 def _q_repeated(r: Relations) -> DataFrame:
-    return repeated_content(r.feed_items)
+    return repeated_content(r.sql(_REPEATED))
 
 
 def title_diversity(items: DataFrame) -> DataFrame:
@@ -61,8 +65,11 @@ def first_of(items: DataFrame, n: int = SAMPLE) -> DataFrame:
 
 
 # Word patterns of off-topic and of routine items, over whole texts.
-SUSPICIOUS = r"(?i)(casino|betting|slot machine|payday loan|viagra|the the)"
-ROUTINE = r"(?i)(dividend|webcast|transcript|presentation|calendar|onon)"
+SUSPICIOUS = r"(?i)(casino|betting|slot machine|payday loan|viagra)"
+ROUTINE = r"(?i)(dividend|webcast|transcript|presentation|calendar)"
+# Some sources' texts are made off-topic, some routine, and some name the company, so that every verdict occurs.
+_MARKED = """select id, doc_id, source_id, company_id, body_text || case when cast(substr(source_id, 4) as int) % 3 = 0 then ' online casino' else '' end || case when cast(substr(source_id, 4) as int) % 4 = 0 and doc_id % 10 <> 1 then ' webcast' else '' end
+    || case when cast(substr(source_id, 4) as int) % 6 = 0 then ' ' || source_id else '' end as body_text, case when cast(substr(source_id, 4) as int) % 5 < 2 and doc_id % 4 <> 0 then 'Holding ' || cast(company_id as string) || ' opens a plant' else title end as title from feed_items"""
 
 
 def _flag(pattern: str) -> Column:
@@ -71,34 +78,37 @@ def _flag(pattern: str) -> Column:
 
 @query(
     "topic_compromise",
-    f"""with s as (select *, row_number() over (partition by source_id order by doc_id) as rn from feed_items), g as (select source_id, count(*) as n, count(*) filter (where regexp_matches(body_text, '{SUSPICIOUS}')) as bad,
+    f"""with s as (select *, row_number() over (partition by source_id order by doc_id) as rn from ({_MARKED})), g as (select source_id, count(*) as n, count(*) filter (where regexp_matches(body_text, '{SUSPICIOUS}')) as bad,
     count(*) filter (where contains(lower(body_text), source_id)) as named from s where rn <= 20 group by 1)
     select source_id, cast(n as bigint) as n, cast(bad as bigint) as n_suspicious, n >= 5 and bad * 5 >= 4 * n and 2 * named < n as compromised from g""",
 )
 def _q_topic(r: Relations) -> DataFrame:
-    g = first_of(r.feed_items).groupBy("source_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(_flag(SUSPICIOUS)).alias("n_suspicious"), F.count_if(F.contains(F.lower("body_text"), F.col("source_id"))).alias("named"))
+    g = first_of(r.sql(_MARKED)).groupBy("source_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(_flag(SUSPICIOUS)).alias("n_suspicious"), F.count_if(F.contains(F.lower("body_text"), F.col("source_id"))).alias("named"))
     bad = (F.col("n") >= 5) & (F.col("n_suspicious") * TOPIC_DENOMINATOR >= TOPIC_NUMERATOR * F.col("n")) & (F.col("named") * 2 < F.col("n"))
     return g.withColumn("compromised", bad).drop("named")
 
 
 @query(
     "scope_relevance",
-    """with g as (select source_id, count(*) as n, count(*) filter (where regexp_matches(title, '(?i)th')) as hits from feed_items group by 1)
-    select source_id, cast(n as bigint) as n_items, cast(least(hits, n) * 10000 // n as bigint) as relevance_bps, least(hits, n) * 10000 // n >= 5000 as relevant from g""",
+    f"""with k as (select *, 'holding ' || cast(company_id as varchar) as term, lower(title) || ' ' || lower(body_text) as whole from ({_MARKED})), g as (select source_id, count(*) as n, count(*) filter (where contains(whole, term)) as hits from k group by 1)
+    select source_id, cast(n as bigint) as n_items, cast(hits * 10000 // n as bigint) as relevance_bps, hits * 10000 // n >= 5000 as relevant from g""",
 )
 def _q_scope(r: Relations) -> DataFrame:
-    g = r.feed_items.groupBy("source_id").agg(F.count(F.lit(1)).alias("n_items"), F.count_if(F.col("title").rlike("(?i)th")).alias("hits"))
+    """The share of a source's items that name its company: the company's term is a column of the item's row, so nothing is joined."""
+    terms = r.sql(_MARKED).withColumn("term", F.concat(F.lit("holding "), F.col("company_id").cast("string")))
+    hit = F.contains(F.lower("title"), F.col("term")) | F.contains(F.lower("body_text"), F.col("term"))
+    g = terms.groupBy("source_id").agg(F.count(F.lit(1)).alias("n_items"), F.count_if(hit).alias("hits"))
     bps = T.ratio_bps(F.col("hits"), F.col("n_items"))
     return g.select("source_id", "n_items", bps.alias("relevance_bps"), (bps >= SCOPE_BPS).alias("relevant"))
 
 
 @query(
     "routine_dominance",
-    f"""with s as (select *, row_number() over (partition by source_id order by doc_id) as rn from feed_items) select source_id, cast(count(*) as bigint) as n, cast(count(*) filter (where regexp_matches(body_text, '{ROUTINE}')) as bigint) as n_routine,
+    f"""with s as (select *, row_number() over (partition by source_id order by doc_id) as rn from ({_MARKED})) select source_id, cast(count(*) as bigint) as n, cast(count(*) filter (where regexp_matches(body_text, '{ROUTINE}')) as bigint) as n_routine,
     count(*) >= 5 and 100 * count(*) filter (where regexp_matches(body_text, '{ROUTINE}')) >= 80 * count(*) as dominated from s where rn <= 20 group by 1""",
 )
 def _q_routine(r: Relations) -> DataFrame:
-    g = first_of(r.feed_items).groupBy("source_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(_flag(ROUTINE)).alias("n_routine"))
+    g = first_of(r.sql(_MARKED)).groupBy("source_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(_flag(ROUTINE)).alias("n_routine"))
     return g.withColumn("dominated", (F.col("n") >= 5) & (F.col("n_routine") * 100 >= F.col("n") * 80))
 
 

@@ -310,11 +310,15 @@ def _q_source_claims(r: Relations) -> DataFrame:
     return feeds.groupBy(U.identity_key(F.col("url")).alias("identity")).agg(F.countDistinct("company_id").alias("n_companies"), F.min("source_id").alias("first_source"))
 
 
-@query("alias_collisions", "select a.company_id, a.alias, b.company_id as other_id from companies a join companies b on lower(trim(a.alias)) = lower(trim(b.alias)) and a.company_id < b.company_id")
+_NAMES_OF = "select company_id, lower(trim(alias)) as k from companies union all select company_id, lower(trim(name)) from companies"
+
+
+@query("alias_collisions", f"with n as (select distinct * from ({_NAMES_OF}) where k is not null), c as (select k, count(*) as n_companies, min(company_id) as first_company from n group by 1 having count(*) > 1) select n.company_id, n.k as name, cast(c.n_companies as bigint) as n_companies, c.first_company from n join c on c.k = n.k")
 def _q_alias(r: Relations) -> DataFrame:
-    a = r.companies.select("company_id", "alias", F.lower(F.trim("alias")).alias("k"))
-    b = a.select(F.col("company_id").alias("other_id"), "k")
-    return a.join(b, "k").filter("company_id < other_id").select("company_id", "alias", "other_id")
+    """Aliases and names that several companies have, each company once with its class: its size and least company, no pairs."""
+    named = r.sql(_NAMES_OF).filter("k is not null").distinct()
+    classes = named.groupBy("k").agg(F.count(F.lit(1)).alias("n_companies"), F.min("company_id").alias("first_company")).filter("n_companies > 1")
+    return named.join(classes, "k").select("company_id", F.col("k").alias("name"), "n_companies", "first_company")
 
 
 @query("company_lookup", "select company_id, company_key, name from companies where lower(name) = 'customer#000000042' or lower(alias) = 'machinery-5' or company_key = 'customer-000000007'")

@@ -65,22 +65,18 @@ def _q_fold_batches(r: Relations) -> DataFrame:
     return fold_source_health(marked.filter("late"), fold_source_health(marked.filter("not late")))
 
 
-def recipe_step(state: Column, run: Column) -> Column:
-    """One recipe run's effect on (failures, zero_runs, rebuild, freshness): transient failures change nothing."""
-    transient = ~run["succeeded"] & (run["k"] % 10 == 0)
-    failures = F.when(run["succeeded"], F.lit(0)).otherwise(state["failures"] + 1)
-    zero = F.when(run["succeeded"] & (run["items_found"] == 0), state["zero_runs"] + 1).when(run["succeeded"], F.lit(0)).otherwise(state["zero_runs"])
-    rebuild = (failures >= 3) | (zero >= 3)
-    fresh = F.when(zero >= 2, "stale").when(failures >= 2, "unknown").otherwise("fresh")
-    moved = F.struct(failures.cast("int").alias("failures"), zero.cast("int").alias("zero_runs"), rebuild.alias("rebuild"), fresh.alias("freshness"))
-    return F.when(transient, state).otherwise(moved)
-
-
 def fold_recipe_health(runs: DataFrame) -> DataFrame:
-    """(source_id, failures, zero_runs, rebuild, freshness) after all runs in order; one source's runs are one array."""
-    ordered = runs.groupBy("source_id").agg(F.sort_array(F.collect_list(F.struct("run_id", "succeeded", "items_found", "k"))).alias("runs"))
-    start = F.struct(F.lit(0).alias("failures"), F.lit(0).alias("zero_runs"), F.lit(False).alias("rebuild"), F.lit("fresh").alias("freshness"))
-    return ordered.select("source_id", F.aggregate("runs", start, recipe_step).alias("s")).select("source_id", "s.*")
+    """(source_id, failures, zero_runs, rebuild, freshness) after all runs in order of their id; transient failures change nothing.
+
+    Failures count since the last success, empty runs since the last success with items: two aggregates and a join of
+    one row a source, so a hot source's history is never one value.
+    """
+    told = runs.filter(F.col("succeeded") | (F.col("k") % 10 != 0)).select("source_id", "run_id", "succeeded", "items_found")
+    last = told.groupBy("source_id").agg(F.max(F.when(F.col("succeeded"), F.col("run_id"))).alias("ok"), F.max(F.when(F.col("succeeded") & (F.col("items_found") > 0), F.col("run_id"))).alias("found"))
+    since = lambda c: F.col("run_id") > F.coalesce(c, F.lit(-1))
+    counts = told.join(last, "source_id").groupBy("source_id").agg(F.count_if(~F.col("succeeded") & since("ok")).cast("int").alias("failures"), F.count_if(F.col("succeeded") & since("found")).cast("int").alias("zero_runs"))
+    fresh = F.when(F.col("zero_runs") >= 2, "stale").when(F.col("failures") >= 2, "unknown").otherwise("fresh")
+    return counts.select("source_id", "failures", "zero_runs", ((F.col("failures") >= 3) | (F.col("zero_runs") >= 3)).alias("rebuild"), fresh.alias("freshness"))
 
 
 @query(
@@ -119,7 +115,16 @@ def simulate_jobs(events: DataFrame) -> DataFrame:
     return ordered.select("job_key", F.aggregate("e", start, job_step).alias("s")).select("job_key", "s.*")
 
 
-@query("simulate_jobs")
+_JOBS = """with recursive e as (select job_key, action, row_number() over (partition by job_key order by ts, event_id, action) as n from jobs),
+    s as (select job_key, cast(0 as bigint) as n, 'idle' as status, 0 as attempts, 0 as enqueued, 0 as coalesced, 0 as claimed, 0 as completed, 0 as exhausted, 0 as fenced from (select distinct job_key from jobs)
+    union all select s.job_key, e.n, case when action = 'enqueue' and status = 'idle' then 'queued' when action = 'claim' and status = 'queued' then 'running' when action = 'complete' and status = 'running' then 'idle' when action = 'fail' and status = 'running' and attempts < 3 then 'queued' when action = 'fail' and status = 'running' then 'idle' else status end,
+        case when action = 'claim' and status = 'queued' then attempts + 1 when action = 'enqueue' and status = 'idle' then 0 else attempts end, enqueued + cast(action = 'enqueue' and status = 'idle' as int), coalesced + cast(action = 'enqueue' and status <> 'idle' as int),
+        claimed + cast(action = 'claim' and status = 'queued' as int), completed + cast(action = 'complete' and status = 'running' as int), exhausted + cast(action = 'fail' and status = 'running' and attempts >= 3 as int), fenced + cast(action in ('complete', 'fail', 'heartbeat') and status <> 'running' as int)
+        from s join e on e.job_key = s.job_key and e.n = s.n + 1)
+    select * exclude (n) from s qualify row_number() over (partition by job_key order by n desc) = 1"""
+
+
+@query("simulate_jobs", _JOBS)
 def _q_jobs(r: Relations) -> DataFrame:
     return simulate_jobs(r.jobs)
 

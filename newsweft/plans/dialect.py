@@ -135,4 +135,4 @@ def with_relations(sql: str) -> str:
     head = re.match(r"\s*with\s+(recursive\s+)?", sql, re.I)
     if not parts:
         return sql
-    return f"with {', '.join(parts)}" + (f", {sql[head.end():]}" if head else f" {sql}")
+    return f"with {'recursive ' if head and head[1] else ''}{', '.join(parts)}" + (f", {sql[head.end():]}" if head else f" {sql}")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import time
 from pathlib import Path
 
 import pytest
@@ -113,10 +114,11 @@ def test_datetimes(spark, text, at):
 def test_titles(spark):
     assert one(spark, T.normal_title(F.col("t")), t=" A   b self.__wrap_n!=1 ") == "A b"
     assert one(spark, T.usable_title(F.col("t")), t="Quarterly results are in") is True
-    for bad in ("News", "Page 3 of 9", "03/05/2024", "", ".css{a}"):
+    for bad in ("News", "Page 3 of 9", "03/05/2024", "", ".cls-1{fill:red;}", "Four", "1234567", "N e w s a", "x" * 301):
         assert one(spark, T.usable_title(F.col("t")), t=bad) is False
     assert one(spark, T.decorated_variants(F.col("a"), F.col("b")), a="Big launch | Acme", b="big  launch") is True
-    assert one(spark, T.decorated_variants(F.col("a"), F.col("b")), a="Big launch", b="Small launch") is False
+    for a, b in (("Big launch", "Small launch"), ("Acme: Big launch", "Big launch"), ("Big launch | ", "Big launch"), ("Big launch", "Big launch - ")):
+        assert one(spark, T.decorated_variants(F.col("a"), F.col("b")), a=a, b=b) is False
     assert one(spark, T.title_agrees_with_path(F.col("a"), F.col("b")), a="Acme opens new factory", b="/news/acme-opens-factory") is True
 
 
@@ -133,34 +135,51 @@ def test_names(spark):
     assert category_key(None) == "uncategorized" and category_key("Café  Été").startswith("cafe-ete-") and len(category_key("x" * 99)) == 64
 
 
-PAGE = """<html><head><title>t</title></head><body><article class="promo"><nav>menu</nav><h1 onclick="x()">Launch</h1>
-<p>Alpha <a href="/news/launch" style="x">story</a> and <strong>bold</strong></p><a href="javascript:alert(1)">bad</a><script>alert(1)</script>
-<ul><li>One</li><li>Two</li></ul><ol><li>A</li><li>B</li></ol><blockquote>Said</blockquote><pre>x  y</pre></article></body></html>"""
+PAGE = """<html><head><title>Notes</title><style>p{color:red}</style></head><body><main id="m" class="wide"><aside>see also</aside><h2 onmouseover="go()">Harbour opens</h2>
+<p>The <em>new</em> quay, <a href="../plans.html" target="_blank">as planned</a>, took <b>three</b> years.</p><p><a href="vbscript:go()">odd link</a></p><script>var a = "<b>";</script>
+<ol><li>dredging</li><li>piles</li></ol><ul><li>cranes</li></ul><pre>a  b</pre><blockquote>We are glad</blockquote></main></body></html>"""
 
 
 def test_sanitise():
-    clean, n = H.sanitise(PAGE, "https://example.com/root/")
-    assert "<h1>Launch</h1>" in clean and '<a href="https://example.com/news/launch">story</a>' in clean
-    assert not any(x in clean for x in ("onclick", "javascript", "menu", "script", "class"))
-    assert n["link_count"] == 1 and n["stripped_elements"] >= 2
+    clean, n = H.sanitise(PAGE, "https://port.test.org/news/today.html")
+    assert "<h2>Harbour opens</h2>" in clean and 'href="https://port.test.org/plans.html"' in clean
+    assert not any(x in clean for x in ("onmouseover", "vbscript", "see also", "<script", "color:red", "wide", "target"))
+    assert n["link_count"] == 1 and n["stripped_elements"] >= 3
 
 
 def test_markdown():
-    p = H.process(PAGE, "https://example.com/root/")
-    for part in ("# Launch", "**bold**", "[story](https://example.com/news/launch)", "- One\n- Two", "1. A\n2. B", "> Said", "```text\nx  y\n```"):
+    p = H.process(PAGE, "https://port.test.org/news/today.html")
+    for part in ("## Harbour opens", "**three**", "[as planned](https://port.test.org/plans.html)", "1. dredging\n2. piles", "- cranes", "> We are glad", "```text\na  b\n```"):
         assert part in p["markdown"], p["markdown"]
-    assert p["text"].startswith("t Launch Alpha story and bold")
+    assert "Harbour opens" in p["text"] and "took three years." in p["text"]
 
 
 def test_images_are_opt_in():
-    source = '<p>Intro</p><img src="/hero.png" alt="Hero">'
-    assert "<img" not in H.sanitise(source, "https://a.org/x")[0]
-    assert "![Hero](https://a.org/hero.png)" in H.process(source, "https://a.org/x", True)["markdown"]
+    source = "<p>Before</p><p><img alt='A crane' src='pics/crane.jpg'></p>"
+    assert "img" not in H.sanitise(source, "https://port.test.org/a/b")[0]
+    assert "![A crane](https://port.test.org/a/pics/crane.jpg)" in H.process(source, "https://port.test.org/a/b", True)["markdown"]
+
+
+def test_markdown_time_grows_with_the_page():
+    took = []
+    for n in (4000, 16000):
+        page = "<p>short</p>" * n
+        began = time.perf_counter()
+        H.markdown(page)
+        took.append(time.perf_counter() - began)
+    assert took[1] < 10 * max(took[0], 0.02)
+
+
+def test_pages_above_the_bound_say_so(spark):
+    rows = spark.createDataFrame([(1, "x" * (H.MOST_BYTES + 1)), (2, "<p>fine</p>"), (3, None)], "id int, html string")
+    got = {r["id"]: r["p"] for r in rows.select("id", H.process_html("html", F.lit("https://a.org")).alias("p")).collect()}
+    assert [got[k]["oversized"] for k in (1, 2, 3)] == [True, False, False] and got[2]["text"] == "fine"
 
 
 def test_depth():
     deep = "<div>" * 5000 + "x" + "</div>" * 5000
     assert H.process(deep)["depth_rejected"] and H.process(deep)["text"] == ""
+    assert not H.process("<script>" + "'<div>'" * 5000 + "</script><p>x</p>")["depth_rejected"]
     assert not H.process("<div>" * 900 + "x" + "</div>" * 900)["depth_rejected"]
     assert H.process(None)["text"] == "" and H.process("")["markdown"] == ""
 
@@ -225,10 +244,44 @@ def test_universe(spark, tmp_path):
 def test_offload(spark, tmp_path):
     from newsweft.sources.sinks import offload_payloads
 
+    path = str(tmp_path / "o")
     rows = spark.createDataFrame([(1, "a", None), (2, "b", "old"), (3, None, None)], "id int, payload string, payload_s3_key string")
-    out = offload_payloads(rows, str(tmp_path / "o"))
-    assert {r["id"]: r["payload_s3_key"] == "old" for r in out.collect()} == {1: False, 2: True, 3: False}
-    assert spark.read.json(str(tmp_path / "o")).count() == 2
+    first = offload_payloads(rows, path, "one").collect()
+    assert {r["id"]: (r["payload"], r["payload_s3_key"]) for r in first if r["id"] != 1} == {2: ("b", "old"), 3: (None, None)}
+    assert first[[r["id"] for r in first].index(1)]["payload"] is None
+    more = spark.createDataFrame([*first, (4, "d", None)], rows.schema)
+    for _ in range(2):  # a repeated run changes nothing
+        second = offload_payloads(more, path, "two").collect()
+    held = {r["id"]: r["payload"] for r in spark.read.option("recursiveFileLookup", "true").json(path).collect()}
+    assert held == {"1": "a", "4": "d"} and sum(r["payload_s3_key"] is None for r in second) == 1
+
+
+def test_numbers_have_no_gaps(spark):
+    from newsweft.operators.archive import number_rows
+
+    rows = spark.range(300_000, numPartitions=6).select((F.col("id") * 7919 % 300_007).alias("k"), F.concat(F.lit("row-"), "id").alias("carried"))
+    got = number_rows(rows, ["k"], "place").agg(F.max("place").alias("most"), F.countDistinct("place").alias("n"), F.countDistinct("carried").alias("rows")).first()
+    assert (got["most"], got["n"], got["rows"]) == (299_999, 300_000, 300_000)
+
+
+def test_upsert_takes_the_owner_of_the_first_key(spark):
+    from newsweft.operators.state import upsert_items
+
+    t = "source_id string, id string, external_id string, url string, canonical_url string, title string, created_at int, is_private boolean, hydrated boolean, releasable boolean"
+    old = spark.createDataFrame([
+        ("s", "a", "g1", "https://x.org/1", "https://x.org/1", "one", 1, False, True, False), ("s", "b", "g2", "https://x.org/2", "https://x.org/2", "two", 2, False, False, False),
+        ("s", "c", "g3", "https://x.org/3", "https://x.org/3", "three", 3, True, False, True), ("q", "d", "g1", "https://x.org/1", "https://x.org/1", "other", 1, False, False, False),
+    ], t)
+    new = spark.createDataFrame([
+        ("s", "n1", "g2", "https://www.x.org/1/", "https://x.org/moved", "first", 5, False), ("s", "n3", "g3", "https://x.org/new", "https://x.org/3", "third", 6, False),
+        ("s", "n4", "g9", "https://x.org/9", "https://x.org/9", "early", 7, False), ("s", "n5", "g9", "https://x.org/9b", "https://x.org/9b", "late", 8, False),
+    ], "source_id string, id string, external_id string, url string, canonical_url string, title string, created_at int, is_private boolean")
+    got = {(r["source_id"], r["id"]): r for r in upsert_items(old, new).collect()}
+    assert set(got) == {("s", "a"), ("s", "b"), ("s", "c"), ("q", "d"), ("s", "n5")}
+    a, c = got["s", "a"], got["s", "c"]
+    assert (a["action"], a["external_id"], a["canonical_url"], a["title"], a["body_of"]) == ("updated", "g1", "https://x.org/moved", "first", "a")
+    assert (c["action"], c["is_private"], c["body_of"]) == ("updated", False, "n3")
+    assert got["s", "b"]["action"] == got["q", "d"]["action"] == "kept" and got["s", "n5"]["action"] == "inserted"
 
 
 def test_streams(spark, tmp_path):
