@@ -537,3 +537,126 @@ def page_envelope(rows: DataFrame, order: list[Column], limit: int = PAGE, offse
     page = rows.orderBy(*order).offset(offset).limit(limit).select(F.to_json(F.struct("*")).alias("j"))
     items = page.agg(F.collect_list("j").alias("items"))
     return items.join(F.broadcast(rows.agg(F.count(F.lit(1)).alias("total")))).select("items", "total", F.lit(limit).alias("limit"), F.lit(offset).alias("offset"))
+
+
+# The scorecard and the dashboard in full. Their inputs are derived from the given tables, the same for both engines.
+_BOARD = {
+    "eligible": "select company_id from companies where lifecycle_status = 'active' and company_id % 13 <> 6",
+    "source_states": "select source_id, company_id, kind, status, n % 5 <> 4 as succeeded_once, case when n % 7 = 3 then 2 else 0 end as failures, case when n % 11 = 2 then 3 else 0 end as zero_runs, n % 9 <> 7 as attempted from sources",
+    "recipe_rows": "select recipe_id, source_id, company_id, case when status = 'superseded' and company_id % 2 = 0 then 'stale' else status end as status from recipes",
+    "recipe_states": "select recipe_id, rebuild_required, case when freshness_status = 'stale' then 'content_stale' else 'fresh' end as freshness, case when correctness_status = 'healthy' then 'passing' else 'failing' end as correctness from recipe_state",
+    "build_jobs": "select event_id, user_id as company_id, ts as created_at, case when user_id % 4 = 0 then 'validate_candidate' else 'extract_company_news' end as job_type, case event_type when 'view' then 'pending' when 'click' then 'running' when 'purchase' then 'completed' else 'failed' end as status, event_id % 3 as attempts from events",
+    "build_runs": "select user_id as company_id, case when event_type = 'purchase' then 'completed' else 'failed' end as status from events where event_type in ('purchase', 'error') and user_id % 3 <> 1",
+    "board_candidates": "select candidate_id, company_id, kind, case status when 'pending' then 'new' else status end as status from candidates",
+    "board_runs": "select run_id, candidate_id, started_at, event_id, case status when 'strict' then 'valid' when 'trusted' then 'failed' else status end as status from validation_runs where candidate_id not like '%7-%'",
+}
+_BOARD_SQL = ", ".join(f"{k} as ({v})" for k, v in _BOARD.items())
+
+
+def _side_by_side(parts: list[DataFrame]) -> DataFrame:
+    """Single rows as one."""
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.join(F.broadcast(p))
+    return out
+
+
+def coverage_scorecard(t: dict[str, DataFrame], items: DataFrame) -> DataFrame:
+    """All 26 coverage metrics as one row.
+
+    Every fact about a company is a flag of its row, so each relation is summed once to companies and all company
+    metrics are one aggregate; items and jobs are one aggregate each.
+    """
+    feeds = t["source_states"].filter(F.col("kind").isin("rss", "atom") & (F.col("status") == "approved"))
+    healthy = F.col("succeeded_once") & (F.col("failures") == 0) & (F.col("zero_runs") < 3)
+    by_feed = feeds.groupBy("company_id").agg(F.lit(True).alias("feed"), F.max(healthy).alias("healthy_feed"))
+    active = t["recipe_rows"].filter("status = 'active'").join(t["recipe_states"], "recipe_id", "left").withColumn("rebuild", F.coalesce("rebuild_required", F.lit(False)))
+    good = ~F.col("rebuild")
+    current = good & (F.coalesce("freshness", F.lit("unknown")) != "content_stale")
+    by_recipe = active.groupBy("company_id").agg(
+        F.max(current).alias("recipe"), F.max(good & (F.col("freshness") == "fresh") & (F.col("correctness") == "passing")).alias("right"), F.max(good & (F.col("freshness") == "content_stale")).alias("content_stale"), F.count_if(current).alias("n_current"),
+    )
+    stale = t["recipe_rows"].filter("status = 'stale'").select("company_id").distinct().withColumn("stale", F.lit(True))
+    built = t["build_runs"].filter("status = 'completed'").select("company_id").distinct().withColumn("built", F.lit(True))
+    builds = t["build_jobs"].filter("job_type = 'extract_company_news'")
+    last = builds.groupBy("company_id").agg((F.max_by("status", F.struct("created_at", "event_id")) == "failed").alias("last_failed"))
+    c = t["eligible"]
+    for part in (by_feed, by_recipe, stale, built, last):
+        c = c.join(part, "company_id", "left")
+    has = lambda name: F.coalesce(F.col(name), F.lit(False))
+    covered, n = has("healthy_feed") | has("recipe"), F.count_if
+    companies = c.agg(
+        F.count(F.lit(1)).alias("eligible_companies"), n(has("feed")).alias("companies_with_approved_feed"), n(has("healthy_feed")).alias("companies_with_healthy_feed"), n(has("recipe")).alias("companies_with_active_recipe"),
+        n(has("feed") & has("recipe")).alias("companies_with_approved_feed_and_active_recipe"), n(covered).alias("companies_covered_by_feed_or_recipe"), n(~covered).alias("companies_missing_feed_or_recipe"),
+        n(has("built")).alias("companies_with_completed_build"), n(~has("built")).alias("companies_without_completed_build"), n(~covered & has("built")).alias("companies_uncovered_after_completed_build"),
+        n(~covered & ~has("built")).alias("companies_uncovered_awaiting_completed_build"), n(has("right")).alias("companies_fresh_and_correct"), n(has("content_stale")).alias("companies_content_stale"),
+        n(has("stale")).alias("companies_with_stale_recipe"), n(~has("recipe")).alias("companies_missing_recipe"), F.coalesce(F.sum("n_current"), F.lit(0)).alias("active_recipes"), n(has("last_failed")).alias("terminal_failed_build_jobs"),
+    )
+    approved = t["source_states"].select("source_id", "status")
+    recipe_sources = active.filter(good).join(t["eligible"], "company_id", "left_semi").select("source_id").distinct()
+    of_recipes = items.join(recipe_sources, "source_id", "left_semi").join(approved, "source_id", "left")
+    counts = of_recipes.agg(n(~F.col("is_private") & (F.col("status") == "approved")).alias("public_recipe_items"), n(F.col("is_private") & F.col("reversible")).alias("quality_quarantined_recipe_items"))
+    s = F.col("status")
+    jobs = builds.agg(n(s == "pending").alias("pending_build_jobs"), n(s == "running").alias("running_build_jobs"), n((s == "pending") & (F.col("attempts") > 0)).alias("retrying_build_jobs"), n(s == "completed").alias("completed_build_jobs"))
+    return _side_by_side([companies, counts, jobs, t["build_runs"].agg(n(s == "completed").alias("completed_build_runs"), n(s == "failed").alias("failed_build_runs"))])
+
+
+_BOARD_ITEMS = "select id, source_id, is_private, doc_id % 2 = 0 as reversible from feed_items"
+
+
+@query(
+    "coverage_scorecard",
+    f"""with {_BOARD_SQL}, items as ({_BOARD_ITEMS}), approved_feed as (select distinct x.company_id from source_states x join eligible using (company_id) where x.status = 'approved' and x.kind in ('rss', 'atom')),
+    healthy_feed as (select distinct x.company_id from source_states x join eligible using (company_id) where x.status = 'approved' and x.kind in ('rss', 'atom') and succeeded_once and failures = 0 and zero_runs < 3),
+    active as (select r.company_id, r.recipe_id, r.source_id, s.freshness, s.correctness, coalesce(s.rebuild_required, false) as rebuild from recipe_rows r join eligible using (company_id) left join recipe_states s on s.recipe_id = r.recipe_id where r.status = 'active'),
+    current_ as (select * from active where not rebuild and coalesce(freshness, 'unknown') <> 'content_stale'), active_company as (select distinct company_id from current_), covered as (select company_id from healthy_feed union select company_id from active_company),
+    built as (select distinct b.company_id from build_runs b join eligible using (company_id) where b.status = 'completed'), uncovered as (select company_id from eligible except select company_id from covered),
+    last as (select j.company_id, j.status from build_jobs j join eligible using (company_id) where job_type = 'extract_company_news' qualify row_number() over (partition by j.company_id order by created_at desc, event_id desc) = 1),
+    rsource as (select distinct source_id from active where not rebuild), jobs_ as (select * from build_jobs where job_type = 'extract_company_news')
+    select (select count(*) from eligible) as eligible_companies, (select count(*) from approved_feed) as companies_with_approved_feed, (select count(*) from healthy_feed) as companies_with_healthy_feed, (select count(*) from active_company) as companies_with_active_recipe,
+    (select count(*) from approved_feed join active_company using (company_id)) as companies_with_approved_feed_and_active_recipe, (select count(*) from covered) as companies_covered_by_feed_or_recipe, (select count(*) from uncovered) as companies_missing_feed_or_recipe,
+    (select count(*) from built) as companies_with_completed_build, (select count(*) from eligible) - (select count(*) from built) as companies_without_completed_build, (select count(*) from uncovered join built using (company_id)) as companies_uncovered_after_completed_build,
+    (select count(*) from (select company_id from uncovered except select company_id from built)) as companies_uncovered_awaiting_completed_build,
+    (select count(distinct company_id) from active where not rebuild and freshness = 'fresh' and correctness = 'passing') as companies_fresh_and_correct, (select count(distinct company_id) from active where not rebuild and freshness = 'content_stale') as companies_content_stale,
+    (select count(distinct r.company_id) from recipe_rows r join eligible using (company_id) where r.status = 'stale') as companies_with_stale_recipe, (select count(*) from eligible) - (select count(*) from active_company) as companies_missing_recipe, (select count(*) from current_) as active_recipes,
+    (select count(*) from items join rsource using (source_id) join source_states s using (source_id) where not is_private and s.status = 'approved') as public_recipe_items, (select count(*) from items join rsource using (source_id) where is_private and reversible) as quality_quarantined_recipe_items,
+    (select count(*) from jobs_ where status = 'pending') as pending_build_jobs, (select count(*) from jobs_ where status = 'running') as running_build_jobs, (select count(*) from jobs_ where status = 'pending' and attempts > 0) as retrying_build_jobs, (select count(*) from jobs_ where status = 'completed') as completed_build_jobs,
+    (select count(*) from last where status = 'failed') as terminal_failed_build_jobs, (select count(*) from build_runs where status = 'completed') as completed_build_runs, (select count(*) from build_runs where status = 'failed') as failed_build_runs""",
+)
+def _q_coverage(r: Relations) -> DataFrame:
+    return coverage_scorecard({k: r.sql(v) for k, v in _BOARD.items()}, r.sql(_BOARD_ITEMS))
+
+
+def candidate_dashboard(t: dict[str, DataFrame], companies: DataFrame, items: DataFrame) -> DataFrame:
+    """All 18 review metrics as one row: each relation is one aggregate, the last run of a candidate a max_by."""
+    n, s, feed = F.count_if, F.col("status"), F.col("kind").isin("rss", "atom")
+    last = t["board_runs"].groupBy("candidate_id").agg(F.max_by("status", F.struct("started_at", "event_id")).alias("run"))
+    c = t["board_candidates"].join(last, "candidate_id", "left")
+    open_, live, new = s.isin("new", "accepted"), s != "rejected", s == "new"
+    of_candidates = c.agg(
+        F.countDistinct(F.when(open_, F.col("company_id"))).alias("companies_with_candidates"), F.countDistinct(F.when(open_ & feed, F.col("company_id"))).alias("companies_with_feed_candidates"), n(new & feed).alias("new_feed_candidates"),
+        n(new & feed & F.col("run").isNull()).alias("unvalidated_feed_candidates"), *(n(live & (F.col("run") == run)).alias(name) for run, name in (("valid", "valid_candidates"), ("needs_review", "needs_review_candidates"), ("invalid", "invalid_candidates"), ("failed", "failed_validations"))),
+    )
+    up = (s == "approved") & F.col("succeeded_once") & (F.col("failures") == 0)
+    of_sources = t["source_states"].agg(
+        F.countDistinct(F.when(s == "approved", F.col("company_id"))).alias("companies_with_activated_sources"), F.countDistinct(F.when(up, F.col("company_id"))).alias("companies_with_healthy_sources"), n(s == "approved").alias("activated_sources"),
+        n(up).alias("healthy_sources"), n((s == "approved") & (F.col("failures") > 0)).alias("failing_sources"), n((s == "approved") & ~F.col("attempted")).alias("sources_awaiting_first_crawl"),
+    )
+    of_jobs = t["build_jobs"].filter("job_type = 'validate_candidate'").agg(n(s == "pending").alias("validation_pending"), n(s == "running").alias("validation_running"))
+    public = items.filter("not is_private").join(t["source_states"].filter(s == "approved").select("source_id"), "source_id", "left_semi")
+    return _side_by_side([companies.agg(F.count(F.lit(1)).alias("total_companies")), of_candidates, of_sources, of_jobs, public.agg(F.count(F.lit(1)).alias("normalized_items"))])
+
+
+@query(
+    "candidate_dashboard",
+    f"""with {_BOARD_SQL}, items as ({_BOARD_ITEMS}), last as (select * from board_runs qualify row_number() over (partition by candidate_id order by started_at desc, event_id desc) = 1), v as (select l.status, count(*) as n from last l join board_candidates c using (candidate_id) where c.status <> 'rejected' group by 1)
+    select (select count(*) from companies) as total_companies, (select count(distinct company_id) from board_candidates where status in ('new', 'accepted')) as companies_with_candidates, (select count(distinct company_id) from board_candidates where status in ('new', 'accepted') and kind in ('rss', 'atom')) as companies_with_feed_candidates,
+    (select count(distinct company_id) from source_states where status = 'approved') as companies_with_activated_sources, (select count(distinct company_id) from source_states where status = 'approved' and succeeded_once and failures = 0) as companies_with_healthy_sources,
+    (select count(*) from board_candidates where status = 'new' and kind in ('rss', 'atom')) as new_feed_candidates, (select count(*) from board_candidates c where status = 'new' and kind in ('rss', 'atom') and not exists (select 1 from board_runs b where b.candidate_id = c.candidate_id)) as unvalidated_feed_candidates,
+    (select count(*) from build_jobs where job_type = 'validate_candidate' and status = 'pending') as validation_pending, (select count(*) from build_jobs where job_type = 'validate_candidate' and status = 'running') as validation_running,
+    coalesce((select n from v where status = 'valid'), 0) as valid_candidates, coalesce((select n from v where status = 'needs_review'), 0) as needs_review_candidates, coalesce((select n from v where status = 'invalid'), 0) as invalid_candidates, coalesce((select n from v where status = 'failed'), 0) as failed_validations,
+    (select count(*) from source_states where status = 'approved') as activated_sources, (select count(*) from source_states where status = 'approved' and succeeded_once and failures = 0) as healthy_sources, (select count(*) from source_states where status = 'approved' and failures > 0) as failing_sources,
+    (select count(*) from source_states where status = 'approved' and not attempted) as sources_awaiting_first_crawl, (select count(*) from items i join source_states s using (source_id) where not is_private and s.status = 'approved') as normalized_items""",
+)
+def _q_board(r: Relations) -> DataFrame:
+    return candidate_dashboard({k: r.sql(v) for k, v in _BOARD.items()}, r.companies, r.sql(_BOARD_ITEMS))
