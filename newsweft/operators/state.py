@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from newsweft.functions import text as T
 from newsweft.functions import urls as U
 from newsweft.plans.catalog import query
-from newsweft.plans.dialect import AS_OF, DUCK
+from newsweft.plans.dialect import AS_OF, DUCK, SPARK
 from newsweft.plans.relations import Relations
 
 _ASOF = DUCK.ts(AS_OF)
@@ -339,3 +339,131 @@ def _q_campaign(r: Relations) -> DataFrame:
 def _q_missing(r: Relations) -> DataFrame:
     good = r.crawl_runs.filter("succeeded and items_found > 40").select("source_id").distinct()
     return r.recipes.join(good, "source_id", "left_anti").select("recipe_id", "source_id")
+
+
+# The job queue: pure steps from the table of jobs to the next one.
+
+_FREE = ("lease_token", "lease_until")
+_NEWS_JOB = "extract_company_news"
+_SPENT = "worker lease expired after final attempt"
+
+
+def _freed(df: DataFrame, when: Column, **values: Column) -> DataFrame:
+    """``df`` with ``values`` and without a lease where ``when`` holds."""
+    kinds = dict(df.dtypes)
+    out = {k: F.when(when, v.cast(kinds[k])).otherwise(F.col(k)) for k, v in values.items()} | {k: F.when(when, F.lit(None)).otherwise(F.col(k)) for k in _FREE}
+    return df.withColumns(out)
+
+
+def enqueue_jobs(jobs: DataFrame, specs: DataFrame) -> DataFrame:
+    """Specs (id, job_type, job_key, priority, run_after, max_attempts, created_at) into the queue.
+
+    A live job takes its specs: while pending it gets the earliest time and the greatest priority, while running
+    nothing. Specs without one become one pending job a key, under the least id.
+    """
+    key = ["job_type", "job_key"]
+    by = specs.groupBy(*key).agg(F.min("id").alias("new_id"), F.max("priority").alias("p"), F.min("run_after").alias("at"), F.max("max_attempts").alias("m"), F.min("created_at").alias("made"))
+    live = F.col("status").isin("pending", "running")
+    j = jobs.join(by.select(*key, "p", "at"), key, "left")
+    pending = (F.col("status") == "pending") & F.col("at").isNotNull()
+    kept = j.withColumns({"run_after": F.when(pending, F.least("run_after", "at")).otherwise(F.col("run_after")), "priority": F.when(pending, F.greatest("priority", "p")).otherwise(F.col("priority"))})
+    fresh = by.join(jobs.filter(live).select(*key), key, "left_anti")
+    empty = lambda name: F.lit(None).cast(dict(jobs.dtypes)[name]).alias(name)
+    made = fresh.select(F.col("new_id").alias("id"), *key, F.lit("pending").alias("status"), F.col("p").alias("priority"), F.col("at").alias("run_after"), F.lit(0).alias("attempts"), F.col("m").alias("max_attempts"), F.col("made").alias("created_at"), *(empty(c) for c in ("lease_token", "lease_until", "last_error")))
+    return kept.select(*jobs.columns).unionByName(made)
+
+
+def expire_jobs(jobs: DataFrame, now: Column) -> DataFrame:
+    """Running jobs whose lease ran out after their last attempt have failed; an earlier error stays above that."""
+    spent = (F.col("status") == "running") & (F.col("lease_until") <= now) & (F.col("attempts") >= F.col("max_attempts"))
+    return _freed(jobs, F.coalesce(spent, F.lit(False)), status=F.lit("failed"), last_error=F.concat_ws("\n", F.nullif(F.col("last_error"), F.lit("")), F.lit(_SPENT)))
+
+
+def claim_jobs(jobs: DataFrame, now: Column, most: int, lease_seconds: int, types: list[str], news_in_flight: int) -> DataFrame:
+    """The queue after ``most`` claims: due pending jobs and running ones without a lease, by priority, time due and age.
+
+    At most ``news_in_flight`` extraction jobs run at a time; one whose lease ran out is among them already. A claim
+    is known by its token, the job's id and attempt. The limits are ordered limits, so no task sorts the queue.
+    """
+    due = F.col("job_type").isin(*types) & (F.col("attempts") < F.col("max_attempts"))
+    waiting, lost = due & (F.col("status") == "pending") & (F.col("run_after") <= now), due & (F.col("status") == "running") & (F.col("lease_until") <= now)
+    order = [F.desc("priority"), F.col("run_after"), F.col("created_at"), F.col("id")]
+    news = F.col("job_type") == _NEWS_JOB
+    running = jobs.filter(news & (F.col("status") == "running")).count()
+    narrow = jobs.select("id", "priority", "run_after", "created_at", "job_type", "status", "attempts", "max_attempts", "lease_until")
+    ready = narrow.filter(~news & (waiting | lost)).unionByName(narrow.filter(news & waiting).orderBy(*order).limit(max(0, news_in_flight - running)))
+    if running - 1 < news_in_flight:
+        ready = ready.unionByName(narrow.filter(news & lost))
+    chosen = ready.orderBy(*order).limit(most).select("id", F.lit(True).alias("claimed"))
+    j = jobs.join(chosen, "id", "left")
+    claimed = F.col("claimed").isNotNull()
+    return j.withColumns({
+        "last_error": F.when(claimed & (F.col("status") == "running"), "previous worker lease expired").otherwise(F.col("last_error")), "status": F.when(claimed, "running").otherwise(F.col("status")),
+        "lease_until": F.when(claimed, now + F.make_dt_interval(secs=F.lit(lease_seconds))).otherwise(F.col("lease_until")), "attempts": F.col("attempts") + claimed.cast("int"),
+        "lease_token": F.when(claimed, F.concat("id", F.lit("#"), (F.col("attempts") + 1).cast("string"))).otherwise(F.col("lease_token")),
+    }).select(*jobs.columns)
+
+
+def report_jobs(jobs: DataFrame, reports: DataFrame, now: Column, lease_seconds: int) -> DataFrame:
+    """Workers' reports (id, lease_token, action, error, retry_at): heartbeat, complete or fail, one a job.
+
+    A report counts only under the token of a lease that still runs. A failure with a time to retry goes back to
+    pending unless it was the last attempt; others end the job.
+    """
+    j = jobs.join(reports.select("id", F.col("lease_token").alias("token"), "action", "error", "retry_at"), "id", "left")
+    valid = F.coalesce((F.col("status") == "running") & (F.col("lease_until") > now) & (F.col("lease_token") == F.col("token")), F.lit(False))
+    beat, done = valid & (F.col("action") == "heartbeat"), valid & (F.col("action") == "complete")
+    again = valid & (F.col("action") == "fail") & F.col("retry_at").isNotNull() & (F.col("attempts") < F.col("max_attempts"))
+    ended = valid & (F.col("action") == "fail") & ~again
+    out = j.withColumn("lease_until", F.when(beat, now + F.make_dt_interval(secs=F.lit(lease_seconds))).otherwise(F.col("lease_until")))
+    out = out.withColumn("run_after", F.when(again, F.greatest("retry_at", now)).otherwise(F.col("run_after")))
+    out = out.withColumn("status", F.when(done, "__c").when(again, "__p").when(ended, "__f").otherwise(F.col("status")))
+    out = out.withColumn("last_error", F.when(F.col("status") == "__c", None).when(F.col("status").isin("__p", "__f"), F.col("error")).otherwise(F.col("last_error")))
+    ends = F.col("status").isin("__c", "__p", "__f")
+    named = F.when(F.col("status") == "__c", "completed").when(F.col("status") == "__p", "pending").when(F.col("status") == "__f", "failed").otherwise(F.col("status"))
+    return _freed(out, ends, status=named).select(*jobs.columns)
+
+
+_QUEUE = f"""select 'job-' || cast(event_id as string) as id, case when event_id % 3 = 0 then 'extract_company_news' when event_id % 3 = 1 then 'crawl_source' else 'other' end as job_type, cast(event_id as string) as job_key,
+    case event_id % 5 when 0 then 'completed' when 1 then 'running' when 2 then 'running' else 'pending' end as status, cast(event_id % 7 as int) as priority, case when event_id % 4 = 3 then {{later}} else ts end as run_after, cast(event_id % 4 as int) as attempts, 3 as max_attempts, ts as created_at,
+    case when event_id % 5 in (1, 2) then 'job-' || cast(event_id as string) || '#' || cast(event_id % 4 as string) end as lease_token, case event_id % 5 when 1 then {{later}} when 2 then ts end as lease_until, case when event_id % 11 = 2 then 'slow host' when event_id % 11 = 3 then '' end as last_error from events"""
+_SPECS = """select 'new-' || cast(event_id as string) as id, 'crawl_source' as job_type, cast(event_id + event_id % 2 * 1000000 as string) as job_key, cast(event_id % 9 as int) as priority, ts as run_after, 4 as max_attempts, ts as created_at from events where event_id % 3 = 1 and event_id % 4 <> 2"""
+_REPORTS = """select 'job-' || cast(event_id as string) as id, 'job-' || cast(event_id as string) || '#' || cast(event_id % 4 + case when event_id % 13 = 0 then 1 else 0 end as string) as lease_token, case event_id % 4 when 0 then 'heartbeat' when 1 then 'complete' else 'fail' end as action,
+    'went wrong' as error, case when event_id % 6 < 3 then {later} end as retry_at from events where event_id % 5 = 1"""
+_LATER = "2024-06-01 00:00:00"
+
+
+def _queue_sql() -> str:
+    later = DUCK.ts(_LATER)
+    pend = "s.p is not null and q.status = 'pending'"
+    free = lambda test, name: f"case when {test} then null else {name} end as {name}"
+    spent = f"status = 'running' and lease_until <= {_ASOF} and attempts >= max_attempts"
+    due = "job_type in ('extract_company_news', 'crawl_source') and attempts < max_attempts"
+    waiting, lost = f"{due} and status = 'pending' and run_after <= {_ASOF}", f"{due} and status = 'running' and lease_until <= {_ASOF}"
+    order = "priority desc, run_after, created_at, id"
+    valid = f"(coalesce(status = 'running' and lease_until > {_ASOF} and lease_token = token, false))"
+    again = f"({valid} and action = 'fail' and retry_at is not null and attempts < max_attempts)"
+    ends = f"({valid} and action <> 'heartbeat')"
+    return f"""with q as ({_QUEUE.format(later=later)}), n as ({_SPECS}), s as (select job_type, job_key, min(id) as new_id, max(priority) as p, min(run_after) as due_at, max(max_attempts) as m, min(created_at) as made from n group by all),
+        a as (select q.id, q.job_type, q.job_key, q.status, case when {pend} then greatest(q.priority, s.p) else q.priority end as priority, case when {pend} then least(q.run_after, s.due_at) else q.run_after end as run_after, q.attempts, q.max_attempts, q.created_at, q.lease_token, q.lease_until, q.last_error
+            from q left join s using (job_type, job_key) union all select new_id, job_type, job_key, 'pending', p, due_at, 0, m, made, null, null, null from s where not exists (select 1 from q where q.job_type = s.job_type and q.job_key = s.job_key and q.status in ('pending', 'running'))),
+        x as (select id, job_type, job_key, case when {spent} then 'failed' else status end as status, priority, run_after, attempts, max_attempts, created_at, {free(spent, "lease_token")}, {free(spent, "lease_until")}, case when {spent} then coalesce(nullif(last_error, '') || chr(10), '') || '{_SPENT}' else last_error end as last_error from a),
+        r as (select count(*) as running from x where job_type = '{_NEWS_JOB}' and status = 'running'),
+        w as (select *, row_number() over (order by {order}) as place from x where job_type = '{_NEWS_JOB}' and {waiting}),
+        ready as (select id, priority, run_after, created_at from x where job_type <> '{_NEWS_JOB}' and (({waiting}) or ({lost})) union all select id, priority, run_after, created_at from w where place <= greatest(0, 900 - (select running from r))
+            union all select id, priority, run_after, created_at from x where job_type = '{_NEWS_JOB}' and {lost} and (select running from r) - 1 < 900),
+        c as (select id from ready order by {order} limit 300),
+        y as (select x.id, job_type, job_key, case when c.id is null then status else 'running' end as status, priority, run_after, attempts + cast(c.id is not null as int) as attempts, max_attempts, created_at, case when c.id is null then lease_token else x.id || '#' || (attempts + 1) end as lease_token,
+            case when c.id is null then lease_until else {_ASOF} + interval 60 second end as lease_until, case when c.id is not null and status = 'running' then 'previous worker lease expired' else last_error end as last_error from x left join c on c.id = x.id),
+        z as (select y.*, p.lease_token as token, p.action, p.error, p.retry_at from y left join ({_REPORTS.format(later=later)}) p on p.id = y.id)
+        select id, job_type, job_key, case when {again} then 'pending' when {ends} and action = 'complete' then 'completed' when {ends} then 'failed' else status end as status, priority, case when {again} then greatest(retry_at, {_ASOF}) else run_after end as run_after, attempts, max_attempts, created_at,
+            {free(ends, "lease_token")}, case when {ends} then null when {valid} then {_ASOF} + interval 60 second else lease_until end as lease_until, case when {ends} and action = 'complete' then null when {ends} then error else last_error end as last_error from z"""
+
+
+@query("job_queue", _queue_sql())
+def _q_queue(r: Relations) -> DataFrame:
+    """One round of the queue: specs enqueued, spent leases ended, three hundred claims, the workers' reports."""
+    later, now = SPARK.ts(_LATER), r.as_of
+    jobs = enqueue_jobs(r.sql(_QUEUE.format(later=later)), r.sql(_SPECS))
+    claimed = claim_jobs(expire_jobs(jobs, now), now, 300, 60, [_NEWS_JOB, "crawl_source"], 900)
+    return report_jobs(claimed, r.sql(_REPORTS.format(later=later)), now, 60)
