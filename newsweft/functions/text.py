@@ -203,17 +203,3 @@ ROUTINE_WORDS = ("dividend", "webcast", "conference", "transcript", "filing", "f
 
 def has_any_word(text: Column, words: tuple[str, ...]) -> Column:
     return F.arrays_overlap(F.split(F.lower(text), r"[^a-z0-9-]+"), F.array(*map(F.lit, words)))
-
-
-# Placeholder texts of content systems, and titles of pages that are no news.
-PLACEHOLDERS = r"(?i)^(lorem ipsum|hello world!?|sample page|test( post| page| article)?|coming soon|under construction|this is an example)"
-UTILITY_TITLES = ("privacy policy", "terms of use", "terms and conditions", "cookie policy", "contact us", "contact", "about us", "about", "careers", "login", "sign in", "subscribe", "sitemap", "accessibility", "unsubscribe", "disclaimer")
-
-
-def is_placeholder(title: Column, text: Column) -> Column:
-    return collapse(title).rlike(PLACEHOLDERS) | (text.rlike(PLACEHOLDERS) & (F.length(text) < 400))
-
-
-def is_utility(title: Column, url: Column) -> Column:
-    tail = F.regexp_extract(F.lower(F.split_part(url, F.lit("?"), F.lit(1))), r"/([^/]+?)(\.[a-z]+)?/?$", 1)
-    return F.lower(collapse(title)).isin(*UTILITY_TITLES) | F.replace(tail, F.lit("-"), F.lit(" ")).isin(*UTILITY_TITLES)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsweft.functions import html as H
+from newsweft.functions import policy as N
 from newsweft.functions import text as T
 from newsweft.functions import urls as U
 from newsweft.plans.catalog import query
@@ -33,7 +34,7 @@ def normalise_items(raw: DataFrame) -> DataFrame:
     A null reason means accepted; a rejected row says why and is never dropped here.
     """
     made = raw.withColumns({"p": H.process_html("body_html", "url"), "title_": T.normal_title(F.coalesce("title", F.lit(""))), "canonical_url": U.canonical(F.col("url"))})
-    reason = F.when(F.col("p.oversized"), "oversized_page").when(F.col("title_") == "", "missing_title").when(T.is_utility(F.col("title_"), F.col("url")), "utility_article").when(T.is_placeholder(F.col("title_"), F.col("p.text")), "placeholder")
+    reason = F.when(F.col("p.oversized"), "oversized_page").when(F.col("title_") == "", "missing_title").when(N.is_utility(F.col("title_"), F.col("url")), "utility_article").when(N.is_placeholder(F.col("title_"), F.col("p.text")), "placeholder")
     hash_ = T.content_hash(F.col("canonical_url"), F.col("title_"), T.rfc3339(F.col("published_at")), F.col("p.text"))
     return made.select("item_key", "canonical_url", F.col("title_").alias("title"), F.col("p.text").alias("text"), F.col("p.markdown").alias("markdown"), hash_.alias("content_hash"), reason.alias("reason"))
 
@@ -154,6 +155,25 @@ def _q_variants(r: Relations) -> DataFrame:
     return r.documents.filter(F.length(T.title_key(a)) > 3).select("doc_id", T.decorated_variants(a, other).alias("variants"))
 
 
+# What a page is called, where it stands, what it says, and whether it is a placeholder or a utility page.
+_PAGES = (
+    ("Hello world!", "https://a.org/news/hello", "Welcome. This is your first post.", True, False), ("Hello world!", "https://a.org/news/hello", "A launch in space", False, False), ("Test post 12", "https://a.org/blog/x", "Long text", True, False),
+    ("Story-7", "https://a.org/blog/x", "brief", True, False), ("test of a new engine", "https://a.org/blog/x", "brief", True, False), ("Test of a new engine", "https://a.org/blog/x", "brief", False, False), ("Who we are", "https://a.org/x", "t", False, True),
+    ("About our group", "https://a.org/x", "t", False, True), ("About 30 new plants open", "https://a.org/x", "t", False, False), ("All robotics articles", "https://a.org/x", "t", False, True), ("Gears opens a plant", "https://support.a.org/x", "t", False, True),
+    ("Gears opens a plant", "https://support.a.org/news/x", "t", False, False), ("Gears stock quote: live", "https://a.org/quote/ge", "t", False, True), ("Gears share price today", "https://a.org/markets/stocks/ge", "t", False, True), ("Gears share price", "https://a.org/markets/ge", "t", False, False),
+    ("Watch this", "https://a.org/resources/webinars/x", "t", False, True), ("Watch this", "https://a.org/resources/news/webinars", "t", False, False), ("Gears Archives | Site", "https://a.org/topics/gears", "t", False, True), ("News", "https://a.org/news/index.html", "t", False, True),
+    ("Our news", "https://a.org/en/press-kit.html", "t", False, True), ("Terms", "https://a.org/2024-terms-of-use", "t", False, True), ("Old news", "https://a.org/x/2023-news-archive", "t", False, True), ("Subscribe by RSS", "https://a.org/x", "t", False, True),
+)
+
+
+@query("content_policy", f"select doc_id, case doc_id % {len(_PAGES)} {' '.join(f'when {k} then {str(p[3]).lower()}' for k, p in enumerate(_PAGES))} end as placeholder, case doc_id % {len(_PAGES)} {' '.join(f'when {k} then {str(p[4]).lower()}' for k, p in enumerate(_PAGES))} end as utility from documents")
+def _q_policy(r: Relations) -> DataFrame:
+    """Every rule of the policy over pages whose verdict is known."""
+    pages = F.array(*(F.struct(F.lit(t).alias("t"), F.lit(u).alias("u"), F.lit(x).alias("x")) for t, u, x, *_ in _PAGES))
+    p = r.documents.select("doc_id", F.element_at(pages, (F.col("doc_id") % len(_PAGES) + 1).cast("int")).alias("p"))
+    return p.select("doc_id", N.is_placeholder(F.col("p.t"), F.col("p.x")).alias("placeholder"), N.is_utility(F.col("p.t"), F.col("p.u")).alias("utility"))
+
+
 @query("content_hashes", r"select id, 'sha256:' || sha256('feed-item-v1' || chr(0) || canonical_url || chr(0) || title || chr(0) || coalesce(strftime(published_at, '%Y-%m-%dT%H:%M:%S+00:00'), '') || chr(0) || body_text) as content_hash from feed_items")
 def _q_hashes(r: Relations) -> DataFrame:
     return r.feed_items.select("id", T.content_hash(F.col("canonical_url"), F.col("title"), T.rfc3339(F.col("published_at")), F.col("body_text")).alias("content_hash"))
