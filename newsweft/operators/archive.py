@@ -220,6 +220,56 @@ def _q_files(r: Relations) -> DataFrame:
     return rows.select("path", F.octet_length(doc).cast("bigint").alias("bytes"), F.sha2(doc, 256).alias("sha256"))
 
 
+def _json(fields: dict[str, Column]) -> Column:
+    """A JSON object in the fields' order, nulls included."""
+    return F.to_json(F.struct(*(v.alias(k) for k, v in fields.items())), {"ignoreNullFields": "false"})
+
+
+def _record_path(path: Column) -> Column:
+    return F.regexp_replace(path, "/article\\.md$", "/record.json")
+
+
+def article_records(rows: DataFrame) -> DataFrame:
+    """(document_id, month, record, line): an article's record file and its line of the index, as JSON.
+
+    ``rows`` are projected articles with their url, summary and body_text. Times that the items don't have apart are
+    those of their fetch.
+    """
+    doc = markdown_document(rows)
+    at = lambda c: T.rfc3339(F.col(c))
+    times = {"published_at": at("published_at"), "first_seen_at": at("created_at"), "fetched_at": at("fetched_at"), "last_updated_at": at("fetched_at")}
+    sub = lambda **fields: F.struct(*(v.alias(k) for k, v in fields.items()))
+    col, made = F.col, rows.withColumns({"__bytes": F.octet_length(doc).cast("bigint"), "__sha": F.sha2(doc, 256)})
+    record = {
+        "schema_version": F.lit(SCHEMA_VERSION), "document_id": col("document_id"), "company": sub(key=col("export_key"), name=col("export_name")), "source": sub(id=col("source_id"), kind=col("source_kind")),
+        "urls": sub(observed=col("url"), canonical=col("canonical_url")), "title": col("title"), "summary": col("summary"), **times, "paths": sub(article=col("path"), record=_record_path(col("path"))),
+        "content": sub(media_type=F.lit("text/markdown; charset=utf-8"), bytes=col("__bytes"), sha256=col("__sha"), normalized_content_hash=col("content_hash")), "provenance": sub(source_item_id=col("id"), external_id=col("external_id")),
+    }
+    line = {
+        "schema_version": F.lit(SCHEMA_VERSION), "document_id": col("document_id"), "company_key": col("export_key"), "company_name": col("export_name"), "source_id": col("source_id"), "source_kind": col("source_kind"),
+        "canonical_url": col("canonical_url"), "observed_url": col("url"), "title": col("title"), "summary": col("summary"), "body_text": col("body_text"), **times, "content_hash": col("content_hash"), "article_path": col("path"), "record_path": _record_path(col("path")),
+    }
+    return made.select("document_id", "month", _json(record).alias("record"), _json(line).alias("line"))
+
+
+def _record_sql() -> str:
+    t = lambda c: f"case when {c} is null then null else strftime({c}, '%Y-%m-%dT%H:%M:%S+00:00') end"
+    times = f"'published_at', {t('published_at')}, 'first_seen_at', {t('created_at')}, 'fetched_at', {t('fetched_at')}, 'last_updated_at', {t('fetched_at')}"
+    record = f"""json_object('schema_version', '{SCHEMA_VERSION}', 'document_id', document_id, 'company', json_object('key', export_key, 'name', export_name), 'source', json_object('id', source_id, 'kind', source_kind), 'urls', json_object('observed', url, 'canonical', canonical_url),
+        'title', title, 'summary', summary, {times}, 'paths', json_object('article', path, 'record', replace(path, '/article.md', '/record.json')), 'content', json_object('media_type', 'text/markdown; charset=utf-8', 'bytes', octet_length(encode(doc)), 'sha256', sha256(doc), 'normalized_content_hash', content_hash),
+        'provenance', json_object('source_item_id', id, 'external_id', external_id))"""
+    line = f"""json_object('schema_version', '{SCHEMA_VERSION}', 'document_id', document_id, 'company_key', export_key, 'company_name', export_name, 'source_id', source_id, 'source_kind', source_kind, 'canonical_url', canonical_url, 'observed_url', url, 'title', title, 'summary', summary,
+        'body_text', body_text, {times}, 'content_hash', content_hash, 'article_path', path, 'record_path', replace(path, '/article.md', '/record.json'))"""
+    return f"with {_NAMES}, {_PROJECT}, d as (select *, 'articles/v1/' || substr(sha256(export_key), 1, 2) || '/' || export_key || '/' || strftime(shown_at, '%Y') || '/' || strftime(shown_at, '%m') || '/' || substr(document_id, 1, 2) || '/' || document_id || '/article.md' as path, {_FILE} as doc from articles) select document_id, month, sha256(cast({record} as varchar)) as record_sha256, sha256(cast({line} as varchar)) as line_sha256 from d"
+
+
+@query("article_records", _record_sql())
+def _q_records(r: Relations) -> DataFrame:
+    """Records and index lines; wide fields join the chosen rows."""
+    rows = project_articles(r).join(r.feed_items.select("id", "url", "external_id", "summary", "body_text"), "id")
+    return article_records(rows).select("document_id", "month", F.sha2("record", 256).alias("record_sha256"), F.sha2("line", 256).alias("line_sha256"))
+
+
 def changed_files(desired: DataFrame, existing: DataFrame) -> DataFrame:
     """(path, action) between two manifests of (path, sha256): what to write, and what to delete."""
     d, e = desired.alias("d"), existing.alias("e")
@@ -263,6 +313,33 @@ def _q_categories(r: Relations) -> DataFrame:
     return g.select(category_keys("sector").alias("category_key"), F.col("sector").alias("category_name"), "n_companies")
 
 
+_TAXONOMY = f"""with {_NAMES}, {_PROJECT}, cats as (select distinct a.export_key, lower(k.sector) || '-' || substr(sha256(k.sector), 1, 16) as category_key, k.sector as category_name from articles a join companies k on k.company_id = a.company_id)"""
+
+
+def company_categories(r: Relations) -> DataFrame:
+    """(export_key, category_key, category_name) of the companies that have articles; keys are made once for each name."""
+    named = r.companies.select(F.col("sector").alias("category_name")).distinct().withColumn("category_key", category_keys("category_name"))
+    have = project_articles(r).select("company_id", "export_key").distinct().join(r.companies.select("company_id", F.col("sector").alias("category_name")), "company_id")
+    return have.join(named, "category_name").select("export_key", "category_key", "category_name").distinct()
+
+
+@query("taxonomy_generation", _TAXONOMY + " select sha256('company-news-data/taxonomy/v1' || chr(0) || string_agg(export_key || chr(0) || category_key || chr(0) || category_name || chr(10), '' order by export_key, category_key)) as generation, cast(count(*) as bigint) as n_companies from cats")
+def _q_taxonomy(r: Relations) -> DataFrame:
+    """One hash over all companies and their categories in key order. An import may bring 100,000 companies, which bounds the array."""
+    rows = F.array_sort(F.collect_list(F.struct("export_key", "category_key", "category_name")))
+    line = lambda x: F.concat(x["export_key"], F.lit(T.NUL), x["category_key"], F.lit(T.NUL), x["category_name"], F.lit("\n"))
+    whole = F.concat(F.lit(f"company-news-data/taxonomy/v1{T.NUL}"), F.array_join(F.transform(rows, line), ""))
+    return company_categories(r).agg(F.sha2(whole, 256).alias("generation"), F.count(F.lit(1)).alias("n_companies"))
+
+
+@query("category_pages", _TAXONOMY + f", paged as (select *, (row_number() over (partition by category_key order by export_key) - 1) // {CATEGORY_PAGE} + 1 as page from cats) select category_key, page, cast(count(*) as bigint) as n_companies, min(export_key) as first_key, max(export_key) as last_key from paged group by all")
+def _q_category_pages(r: Relations) -> DataFrame:
+    """Pages of a hundred companies for each category, in key order."""
+    place = F.row_number().over(Window.partitionBy("category_key").orderBy("export_key")) - 1
+    paged = company_categories(r).withColumn("page", (F.floor(place / CATEGORY_PAGE) + 1).cast("bigint"))
+    return paged.groupBy("category_key", "page").agg(F.count(F.lit(1)).alias("n_companies"), F.min("export_key").alias("first_key"), F.max("export_key").alias("last_key"))
+
+
 @query("export_bookkeeping", f"with {_EXPORT} select id, content_hash, 1 as n_exports from exported")
 def _q_book(r: Relations) -> DataFrame:
     return export_selection(r).groupBy("id").agg(F.first("content_hash").alias("content_hash"), F.count(F.lit(1)).cast("int").alias("n_exports"))

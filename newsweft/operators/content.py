@@ -194,7 +194,11 @@ def _q_issuers(r: Relations) -> DataFrame:
     return r.companies.select("company_id", "company_key", F.col("name").rlike(r"(?i)\bclass [a-d]\b").alias("has_class"), T.safe_company_key(F.col("company_key")).alias("safe_key"))
 
 
-@query("company_mentions")
+_BASE_NAME = r"trim(regexp_replace(name, '(?i)\s+(class [a-d].*|series [a-d].*|common stock|capital stock|ordinary shares)\s*$', ''))"
+_SEARCH_NAME = rf"trim(regexp_replace(regexp_replace({_BASE_NAME}, '(?i)[\s,]+(inc|corp)\.?$', ''), '(?i)[\s,]+(inc|corp)\.?$', ''))"
+
+
+@query("company_mentions", rf"with n as (select {_SEARCH_NAME} as search_name from companies) select regexp_replace(lower(search_name), '[^a-z0-9]+', '', 'g') as issuer, cast(count(*) as bigint) as n_companies, min(search_name) as search_name from n group by 1")
 def _q_mentions(r: Relations) -> DataFrame:
     """Issuers with how many companies share their search name: names are normalised on distinct values."""
     names = r.companies.select("name").distinct().select("name", T.search_name(F.col("name")).alias("search_name"), T.issuer_key(F.col("name")).alias("issuer"))

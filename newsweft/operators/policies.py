@@ -30,21 +30,26 @@ def host_matches_name(name: Column, host: Column) -> Column:
     return (compact != "") & ((label == compact) | affixed | ((F.length(acronym) >= 3) & (label == acronym)))
 
 
+# Hosts that bear a company's name, the name with an affix, one of another company, and a candidate's own.
+_HOST_URLS = """select k.company_id, c.name, case k.company_id % 5 when 0 then 'https://www.' || replace(c.company_key, '-', '') || '.com/x' when 1 then 'https://ir.' || replace(c.company_key, '-', '') || 'group.com' when 2 then 'https://news' || replace(c.company_key, '-', '') || '.org/a'
+    when 3 then 'https://x' || replace(c.company_key, '-', '') || '.com' else k.url end as url from candidates k join companies c on c.company_id = k.company_id"""
+_BASE = r"trim(regexp_replace(name, '(?i)\s+(class [a-d].*|series [a-d].*|common stock|capital stock|ordinary shares)\s*$', ''))"
+_SEARCH = r"trim(regexp_replace(regexp_replace(b, '(?i)[\s,]+(inc|corp)\.?$', ''), '(?i)[\s,]+(inc|corp)\.?$', ''))"
+
+
 def _hosts_sql() -> str:
-    base = r"trim(regexp_replace(name, '(?i)\s+(class [a-d].*|series [a-d].*|common stock|capital stock|ordinary shares)\s*$', ''))"
-    name = r"regexp_replace(regexp_replace(regexp_replace(b, '(?i)[\s,]+(inc|corp)\.?$', ''), '(?i)[\s,]+(inc|corp)\.?$', ''), '(?i)^\s+|\s+$', '', 'g')"
     affixes = ", ".join(f"'{x}'" for x in HOST_AFFIXES)
-    return f"""with p as (select distinct k.company_id, c.name, regexp_replace(lower(regexp_extract(k.url, '^[A-Za-z]+://([^/?#:]*)', 1)), '^(www\\.)+', '') as host from candidates k join companies c on c.company_id = k.company_id),
-        n as (select *, {base} as b from p), s as (select *, {name} as sn from n),
-        l as (select *, regexp_replace(regexp_extract(regexp_replace(host, '^(www|ir|investors?|news|blog|press)\\.', ''), '^([^.]+)\\.', 1), '[^a-z0-9]', '', 'g') as label, regexp_replace(lower(sn), '[^a-z0-9]+', '', 'g') as compact,
+    return rf"""with p as (select distinct company_id, name, regexp_replace(lower(regexp_extract(url, '^[A-Za-z]+://([^/?#:]*)', 1)), '^(www\.)+', '') as host from ({_HOST_URLS})),
+        n as (select *, {_BASE} as b from p), s as (select *, {_SEARCH} as sn from n),
+        l as (select *, regexp_replace(regexp_extract(regexp_replace(host, '^(www|ir|investors?|news|blog|press)\.', ''), '^([^.]+)\.', 1), '[^a-z0-9]', '', 'g') as label, regexp_replace(lower(sn), '[^a-z0-9]+', '', 'g') as compact,
             array_to_string(list_transform(list_filter(string_split_regex(lower(sn), '[^a-z0-9]+'), lambda w : w <> ''), lambda w : w[1]), '') as acronym from s)
         select company_id, host, compact <> '' and (label = compact or len(list_filter([{affixes}], lambda x : label = compact || x or label = x || compact)) > 0 or (length(acronym) >= 3 and label = acronym)) as matches from l"""
 
 
 @query("company_hosts", _hosts_sql())
 def _q_hosts(r: Relations) -> DataFrame:
-    """Companies whose candidates stand on a host that bears their name; judged once for each distinct pair."""
-    pairs = r.candidates.select("company_id", U.bare_host(F.col("url")).alias("host")).distinct().join(r.companies.select("company_id", "name"), "company_id")
+    """Whether hosts bear their company's name; judged once for each distinct pair."""
+    pairs = r.sql(_HOST_URLS).select("company_id", "name", U.bare_host(F.col("url")).alias("host")).distinct()
     judged = pairs.select("name", "host").distinct().withColumn("matches", host_matches_name(F.col("name"), F.col("host")))
     return pairs.join(judged, ["name", "host"]).select("company_id", "host", "matches")
 
