@@ -544,7 +544,10 @@ def planted(spark):
     texts[5] = prose(300)
     texts[6] = prose(5) + items[3] + prose(5)
     texts[7] = prose(20) + items[4][10:20] + prose(20)
-    want = {(0, 0), (1, 1), (2, 4), (3, 2), (4, 4)}
+    texts[11] = [w.title() + "!" for w in items[3]]  # a short item is only repeated by a document of its words
+    texts[12] = items[3][:2]
+    texts[13] = items[3] + ["again"]
+    want = {(0, 0), (1, 1), (2, 4), (3, 2), (4, 4), (11, 3)}
     docs = spark.createDataFrame([(i, " ".join(t)) for i, t in texts.items()] + [(None, " ".join(texts[0])), (9, None), (10, "")], "doc_id bigint, text string")
     bench = spark.createDataFrame([(i, " ".join(t)) for i, t in items.items()] + [(8, None), (9, "")], "item_id bigint, text string")
     return docs, bench, want
@@ -556,8 +559,10 @@ def test_decontamination(spark, empty):
     got = {(r["doc_id"], r["item_id"]) for r in decontam.contaminated(rows, clash(bench)).collect()}
     assert got == want | {(None, 0)}
     kept = decontam.clean(rows, bench)
-    assert kept.columns == rows.columns and sorted(r["doc_id"] for r in kept.collect()) == [5, 6, 7, 9, 10]
+    assert kept.columns == rows.columns and sorted(r["doc_id"] for r in kept.collect()) == [5, 6, 7, 9, 10, 12, 13]
     assert decontam.contaminated(empty, bench).count() == 0 and decontam.contaminated(docs, bench.limit(0)).count() == 0
+    long = spark.createDataFrame([(20, "plain " * 40000 + docs.filter("doc_id = 0").first()["text"])] * 2, "doc_id bigint, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in decontam.contaminated(long, bench).collect()} == {(20, 0)} and decontam.clean(long, bench).count() == 0
 
 
 def test_masks_meet_every_window():
