@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import itertools
 import tempfile
 import uuid
@@ -85,6 +86,14 @@ def words_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     return docs[keep], np.asarray(coded.indices)[keep], coded.dictionary
 
 
+def release() -> None:
+    """Hand freed memory back to the machine; workers that Spark uses again would keep it."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def word_hashes(words: pa.Array) -> np.ndarray:
     """XXH64 of each word with seed 42, as signed integers: what Spark's xxhash64 gives."""
     digest = xxhash.xxh64_intdigest

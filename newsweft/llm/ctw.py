@@ -26,14 +26,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsweft.llm.common import byte_hashes, is_held_out, materialise, words_of
+from newsweft.llm.common import byte_hashes, is_held_out, materialise, release, words_of
 
 END = 255
 MODULUS = 7
 #: Bytes of context, seven at most: a gram is one 64-bit key.
 DEPTH = 7
 #: Coded bytes of a chunk and of a block of it, or one longer text.
-CHUNK, BLOCK = 18 << 20, 2 << 20
+CHUNK, BLOCK = 14 << 20, 2 << 20
 #: Distinct grams of all chunks that a bucket takes, and the number of buckets beyond which each takes more.
 BUCKET, BUCKETS = 2_000_000, 4096
 #: Tasks that score chunks, one chunk after the other.
@@ -234,6 +234,7 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if coded and size + len(now) > CHUNK:
                 ids.append(batch.column("doc_id").slice(last, i - last))
                 yield flush()
+                release()
                 made, size, last = made + 1, 0, i
             coded.append(now)
             held.append(flags[i])
@@ -241,6 +242,7 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids.append(batch.column("doc_id").slice(last))
     if coded:
         yield flush()
+    release()
 
 
 # Ranges of keys
@@ -532,6 +534,8 @@ def _merge(ranges: Ranges):
         for part, here in enumerate(_batches(keys, ranges.depths[bucket])):
             r = roots(keys[here], n[here], ranges.depths[bucket])
             yield row(2, part, pack(r.keys), pack(r.zeros), pack(r.ones), _doubles(r.own), _doubles(r.mixed))
+        del keys, n
+        release()
 
     return step
 
@@ -560,6 +564,8 @@ def _answer(ranges: Ranges, top):
                 asked = values[np.searchsorted(keys, unpack(row["keys"]))]
                 columns = [pa.array([row["chunk"]], pa.int64()), pa.array([row["bucket"]], pa.int32()), pa.array([row["part"]], pa.int32()), pa.array([pack(asked)], pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, ["chunk", "bucket", "part", "keys"])
+        keys = values = None
+        release()
 
     return step
 
@@ -606,12 +612,15 @@ def _score(ranges: Ranges):
                 if row["bucket"] < 0:
                     if text is not None:
                         yield finish(text, ids, grams, words)
+                        release()
                     text, ids, grams, words = row, wide.slice(i, 1).flatten(), [], []
                 else:
                     is_gram = row["bucket"] < ranges.grams
                     (grams if is_gram else words).append(unpack(row["keys"]).astype(np.int32 if is_gram else np.int64))
         if text is not None:
             yield finish(text, ids, grams, words)
+        text, ids, grams, words = None, None, [], []
+        release()
 
     return step
 
