@@ -300,7 +300,7 @@ def _q_offload(r: Relations) -> DataFrame:
     from newsweft.session import shared_dir
     from newsweft.sources.sinks import offload_payloads
 
-    path = f"{shared_dir(r.spark)}/newsweft/payloads-{uuid.uuid4().hex}"
+    path = f"{shared_dir(r.spark)}/newsweft/{r.spark.sparkContext.applicationId}/payloads-{uuid.uuid4().hex}"
     rows = r.feed_items.select("id", "doc_id", F.col("body_text").alias("payload"), F.lit(None).cast("string").alias("payload_s3_key"))
     one = offload_payloads(rows.filter("doc_id % 2 = 0"), path, "first")
     two = offload_payloads(one.unionByName(rows.filter("doc_id % 2 = 1")), path, "second")

@@ -53,7 +53,15 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read back: its rows are settled, whatever is computed from them and however often."""
-    path = f"{shared_dir(df.sparkSession)}/newsweft/{name}-{uuid.uuid4().hex}"
+    """``df`` written to the shared folder and read back: its rows are settled, whatever is computed from them and however often.
+
+    That also cuts the lineage and survives lost executors. Each application has a folder of its own, which goes when
+    its driver ends.
+    """
+    spark = df.sparkSession
+    folder = f"{shared_dir(spark)}/newsweft/{spark.sparkContext.applicationId}"
+    path = f"{folder}/{name}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return spark.read.schema(df.schema).parquet(path)
