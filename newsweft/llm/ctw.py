@@ -41,7 +41,7 @@ MOST_TASKS = 100_000
 #: Ranges of contexts are cut by their last two bytes, and by up to this many where more than a bucket's share have them.
 MOST_CUT = 4
 #: Grams that a bucket weighs at a time, at most, unless one range has more.
-_BATCH = 1 << 20
+_BATCH = 1 << 19
 _PIECE = 1 << 20
 #: Keys that are merged at a time.
 _RANGE = 1 << 18
@@ -111,12 +111,12 @@ def _pressed(data: bytes) -> bytes:
     return zstandard.ZstdCompressor(compression_params=zstandard.ZstdCompressionParameters.from_level(5, window_log=25, enable_ldm=True)).compress(data)
 
 
-def _blocks(coded: list[bytes]) -> Iterator[slice]:
-    """Neighbouring texts with some BLOCK bytes together, or one longer text."""
+def _blocks(coded: list[bytes], most: int | None = None) -> Iterator[slice]:
+    """Neighbouring texts with some BLOCK bytes together, or ``most``, or one longer text."""
     ends = np.cumsum(np.fromiter(map(len, coded), np.int64, len(coded)))
     a = 0
     while a < len(coded):
-        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + BLOCK, "right")))
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + (most or BLOCK), "right")))
         yield slice(a, b)
         a = b
 
@@ -221,11 +221,12 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: list[bool] = []
     ids: list[pa.Array] = []
 
-    def flush() -> pa.RecordBatch:
+    def flush() -> Iterator[pa.RecordBatch]:
         out = _chunk_rows(base + made, held, coded, pa.concat_arrays(ids))
         for part in (coded, held, ids):
             part.clear()
-        return out
+        for a in range(0, out.num_rows, 16):
+            yield out.slice(a, 16)
 
     for batch in batches:
         column, flags, last = pc.fill_null(batch.column("text"), "").cast(pa.binary()), batch.column("held_out").to_pylist(), 0
@@ -233,7 +234,7 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             now = coded_text(column[i].as_py())
             if coded and size + len(now) > CHUNK:
                 ids.append(batch.column("doc_id").slice(last, i - last))
-                yield flush()
+                yield from flush()
                 release()
                 made, size, last = made + 1, 0, i
             coded.append(now)
@@ -241,7 +242,7 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             size += len(now)
         ids.append(batch.column("doc_id").slice(last))
     if coded:
-        yield flush()
+        yield from flush()
     release()
 
 
@@ -578,26 +579,33 @@ def _score(ranges: Ranges):
         joined = zstandard.ZstdDecompressor().decompress(text.pop("keys"))
         coded = [joined[a:b] for a, b in zip(cuts, cuts[1:])]
         del joined
-        # The grams of all blocks first, then block by block again: only one block's places are held.
-        known, all_words = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-        words_ = []
+        # The grams of all blocks, then block by block again, then the words: only one block's places are held.
+        known, length = np.zeros(0, np.uint64), []
         for block in _blocks(coded):
             known = _union([known, _sorted_distinct(gram_keys(coded[block])[0])])
-            docs, word, hashes = _words(coded[block])
-            all_words = _union([all_words, hashes])
-            words_.append((docs.astype(np.int32), word, hashes))
-        given, count = np.concatenate(grams), np.concatenate(words)
+        given = np.concatenate(grams)
         grams.clear()
-        if len(given) != len(known) or len(count) != len(all_words):
+        if len(given) != len(known):
             raise RuntimeError("a chunk's grams changed between the passes")
-        gains, out = np.log10(count + 1.0), []
-        for block, (docs, word, hashes) in zip(_blocks(coded), words_):
+        for block in _blocks(coded, BLOCK // 4):
             keys, begin = gram_keys(coded[block])
             found, place = _placed(keys)
-            length = given[np.searchsorted(known, found)][place]
+            length.append(np.add.reduceat(given[np.searchsorted(known, found)][place], begin, dtype=np.int64))
+        del known, given, keys, found, place
+        words_, all_words, out = [], np.zeros(0, np.uint64), []
+        for block in _blocks(coded):
+            docs, word, hashes = _words(coded[block])
+            all_words = _union([all_words, hashes])
+            words_.append((block.stop - block.start, docs.astype(np.int32), word, hashes))
+        count = np.concatenate(words)
+        if len(count) != len(all_words):
+            raise RuntimeError("a chunk's words changed between the passes")
+        gains = np.log10(count + 1.0)
+        for size, docs, word, hashes in words_:
             of = np.searchsorted(all_words, hashes)[word]
-            out.append((np.bincount(docs, minlength=len(begin)), np.bincount(docs, count[of] > 0, len(begin)), np.bincount(docs, gains[of], len(begin)), np.add.reduceat(length, begin, dtype=np.int64)))
-        n, seen, base, score = (np.concatenate(x) for x in zip(*out))
+            out.append((np.bincount(docs, minlength=size), np.bincount(docs, count[of] > 0, size), np.bincount(docs, gains[of], size)))
+        n, seen, base = (np.concatenate(x) for x in zip(*out))
+        score = np.concatenate(length)
         columns = [ids, pa.array(text["held"], pa.bool_()), pa.array(n), pa.array(seen.astype(np.int64)), pa.array(base), pa.array(score / _GRAIN * -math.log10(math.e)), pa.array(text["sizes"], pa.int64())]
         return pa.RecordBatch.from_arrays(columns, ["doc_id", "held_out", "n_tokens", "n_known", "base", "score", "n_coded"])
 
