@@ -581,7 +581,7 @@ def _score(ranges: Ranges):
         del joined
         # The grams of all blocks, then block by block again, then the words: only one block's places are held.
         known, length = np.zeros(0, np.uint64), []
-        for block in _blocks(coded):
+        for block in _blocks(coded, BLOCK // 2):
             known = _union([known, _sorted_distinct(gram_keys(coded[block])[0])])
         given = np.concatenate(grams)
         grams.clear()
@@ -615,16 +615,17 @@ def _score(ranges: Ranges):
         grams: list[np.ndarray] = []
         words: list[np.ndarray] = []
         for batch in batches:
-            wide = batch.column("ids")
-            for i, row in enumerate(batch.drop_columns(["ids"]).to_pylist()):
-                if row["bucket"] < 0:
+            # Row by row: a batch holds whole chunks, and a second copy of it would not be small.
+            for i, bucket in enumerate(batch.column("bucket").to_pylist()):
+                if bucket < 0:
                     if text is not None:
                         yield finish(text, ids, grams, words)
                         release()
-                    text, ids, grams, words = row, wide.slice(i, 1).flatten(), [], []
+                    text = {c: batch.column(c)[i].as_py() for c in ("keys", "sizes", "held")}
+                    ids, grams, words = batch.column("ids").slice(i, 1).flatten(), [], []
                 else:
-                    is_gram = row["bucket"] < ranges.grams
-                    (grams if is_gram else words).append(unpack(row["keys"]).astype(np.int32 if is_gram else np.int64))
+                    is_gram = bucket < ranges.grams
+                    (grams if is_gram else words).append(unpack(batch.column("keys")[i].as_py()).astype(np.int32 if is_gram else np.int64))
         if text is not None:
             yield finish(text, ids, grams, words)
         text, ids, grams, words = None, None, [], []
