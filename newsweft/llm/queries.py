@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsweft.llm import chat, ctw, decontam, htmlmain, mixing, mpeg, quality, sharding, simhash, toxicity
+from newsweft.llm import alignment, chat, ctw, decontam, htmlmain, mixing, mpeg, quality, sharding, simhash, toxicity, vectors
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,6 +63,18 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "position", "second_position")
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.compress(table(spark, sf_dir, "embeddings"))
+
+
+def op12_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.top_inner_products(table(spark, sf_dir, "embeddings"))
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents")).documents
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
@@ -81,5 +93,43 @@ def _chat_sql() -> str:
     from e group by conv_id"""
 
 
+def _floors(scale: int) -> str:
+    """(vec_id, label, v): the scaled integer vectors of the rows that hold only finite components."""
+    return f"""select vec_id, label, list_transform(embedding, lambda x: cast(floor({scale} * cast(x as double)) as bigint)) as v from embeddings
+        where len(embedding) > 0 and len(list_filter(embedding, lambda x: x is not null and isfinite(x))) = len(embedding)"""
+
+
+def _codes_sql(rounds: int = 6, entries: int = 16) -> str:
+    """Codebooks of eight parts in plain SQL: a round is an assignment to the nearest entry and the floors of the members' means."""
+    near = """select p.part, p.vec_id, min(list_sum(list_transform(range(1, len(q) + 1), lambda i: (q[i] - c[i]) * (q[i] - c[i])))::hugeint * 16 + entry) as best
+        from parts p join book{0} b on p.part = b.part group by p.part, p.vec_id"""
+    steps = [
+        f"kept as ({_floors(4096)})",
+        "parts as materialized (select vec_id, part, v[part * (len(v) // 8) + 1 : (part + 1) * (len(v) // 8)] as q from kept, range(8) t(part))",
+        f"book0 as materialized (select part, row_number() over (partition by part order by vec_id) - 1 as entry, q as c from parts qualify entry < {entries})",
+    ]
+    for r in range(rounds):
+        steps += [
+            f"near{r} as materialized ({near.format(r)})",
+            f"sums{r} as (select part, n.best % 16 as entry, i, sum(q[i]) as s, count(*) as n from near{r} n join parts using (part, vec_id), range(1, len(q) + 1) t(i) group by all)",
+            f"means{r} as (select part, entry, list((s - ((s % n) + n) % n) // n order by i) as c from sums{r} group by part, entry)",
+            f"book{r + 1} as materialized (select b.part, b.entry, coalesce(m.c, b.c) as c from book{r} b left join means{r} m using (part, entry))",
+        ]
+    steps += [
+        f"last as materialized ({near.format(rounds)})",
+        "coded as (select vec_id, string_agg(printf('%02x', cast(best % 16 as integer)), '' order by part) as code, cast(sum(best // 16) as bigint) as error from last group by vec_id)",
+        f"digest as (select sha256(string_agg(array_to_string(c, ','), ',' order by part, entry)) as codebooks_sha256 from book{rounds})",
+    ]
+    return f"""with {", ".join(steps)} select vec_id, code, error, cast(sum(error) over (partition by label) as bigint) as label_error, codebooks_sha256
+        from coded join kept using (vec_id), digest"""
+
+
+def _top_k_sql(k: int = 20, every: int = 20) -> str:
+    return f"""with kept as materialized ({_floors(64)}),
+    scored as (select q.vec_id as query_id, c.vec_id, cast(list_inner_product(cast(q.v as double[]), cast(c.v as double[])) as bigint) as score
+        from kept q join kept c on q.vec_id <> c.vec_id where q.vec_id % {every} = 0)
+    select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank, vec_id, score from scored qualify rank <= {k}"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_chat_formatting": _chat_sql()}
+    return {"op5_chat_formatting": _chat_sql(), "op11_vector_codes": _codes_sql(), "op12_exact_top_k": _top_k_sql()}
