@@ -27,7 +27,7 @@ BYTE_BPE, PIECE_BPE = f"{TOKENIZERS}/byte_bpe_50k.json", f"{TOKENIZERS}/piece_bp
 #: Text bytes of one chunk: what shares a dictionary of groups, and what one task looks up at a time.
 CHUNK_BYTES = 8 << 20
 #: Units of text and groups that a worker remembers before it starts anew; a matter of memory, not of results.
-REMEMBERED = 300_000
+REMEMBERED = 600_000
 
 
 def _byte_level() -> dict[str, int]:
@@ -55,17 +55,25 @@ class Tokenizers:
             self.a_bytes[i] = special.get(i) or bytes(decode[c] for c in token)
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if re.fullmatch("<0x[0-9A-F]{2}>", p) else p.replace("▁", " ").encode() for p in pieces]
-        if not all(self.b_bytes) or any(re.search("[^▁]▁", p) for p in pieces):
-            raise ValueError("a piece is empty or goes on after a word's end")
+        if not all(self.b_bytes) or any(re.search("[^▁]▁", p) for p in pieces) or max(len(self.a_bytes), len(pieces)) >= 1 << 20:
+            raise ValueError("a piece is empty or goes on after a word's end, or there are more than a million ids")
         self.a_size, self.b_size = (np.array([len(x) for x in y], np.int64) for y in (self.a_bytes, self.b_bytes))
 
-    def encode(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        return [e.ids for e in self.a.encode_batch([" " + t for t in texts], add_special_tokens=False)], self.b.encode(texts, num_threads=1)
-
-
-@functools.lru_cache(1)
-def _tokenizers(a_path: str, b_path: str) -> Tokenizers:
-    return Tokenizers(a_path, b_path)
+    def encode(self, units: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(A ids, their number in each unit, B ids, their number in each unit)."""
+        # Units that end in a character stand in one text for A: the next one's space ends them as it did in theirs.
+        open_end = [u[-1].isspace() for u in units]
+        flat = self.a.encode_batch_fast(["".join(" " + u for u, o in zip(units, open_end) if not o)], add_special_tokens=False)[0].ids
+        ids, size = np.array(flat, np.int64), np.fromiter((len(u.encode()) + 1 for u in units), np.int64, len(units))
+        ends = np.searchsorted(np.cumsum(self.a_size[ids]), np.cumsum(np.where(open_end, 0, size)), "right")
+        n_a = np.diff(np.r_[0, ends])
+        if any(open_end):
+            alone = {i: e.ids for i, e in zip(np.flatnonzero(open_end).tolist(), self.a.encode_batch_fast([" " + u for u, o in zip(units, open_end) if o], add_special_tokens=False))}
+            lists = [alone[i] if o else ids[stop - n : stop] for i, (o, stop, n) in enumerate(zip(open_end, ends, n_a))]
+            ids, n_a = np.concatenate(lists).astype(np.int64), np.fromiter(map(len, lists), np.int64, len(lists))
+        b = self.b.encode(units, num_threads=1)
+        n_b = np.fromiter(map(len, b), np.int64, len(b))
+        return ids, n_a, np.fromiter(itertools.chain.from_iterable(b), np.int64, n_b.sum()), n_b
 
 
 #: Where both tokenizers start anew: at one space between characters of which neither is white space. A splits there by
@@ -80,7 +88,7 @@ class Memory:
     def __init__(self, tokenizers: Tokenizers):
         self.tokenizers = tokenizers
         self.units: dict[str, int] = {}
-        self.groups: dict[str, int] = {}
+        self.groups: dict[tuple, int] = {}
         self.names: list[str] = []
         self.text: list[str] = []
         self.whole = np.zeros(0, bool)
@@ -89,54 +97,77 @@ class Memory:
 
     def learn(self, units: list[str]) -> None:
         t = self.tokenizers
-        ids_a, ids_b = t.encode(units)
-        n_a, n_b = (np.fromiter(map(len, x), np.int64, len(x)) for x in (ids_a, ids_b))
-        flat_a, flat_b = (np.fromiter(itertools.chain.from_iterable(x), np.int64, n.sum()) for x, n in ((ids_a, n_a), (ids_b, n_b)))
+        flat_a, n_a, flat_b, n_b = t.encode(units)
         # Lossless where the bytes of both are the unit's, space included.
         size = np.fromiter((len(u.encode()) + 1 for u in units), np.int64, len(units))
-        long_a, long_b = _sums(t.a_size[flat_a], n_a), _sums(t.b_size[flat_b], n_b)
-        fits = (long_a == size) & (long_b == size)
-        for i in np.flatnonzero(fits):
-            # B writes a space for U+2581, and else only what the text has; lengths alone could hide two changes.
-            fits[i] = b"".join(map(t.b_bytes.__getitem__, ids_b[i])) == b" " + units[i].encode()
-        if not fits.all():
+        fits = (_sums(t.a_size[flat_a], n_a) == size) & (_sums(t.b_size[flat_b], n_b) == size)
+        if not fits.all() or b"".join(map(t.b_bytes.__getitem__, flat_b.tolist())) != "".join(" " + u for u in units).encode():
+            # B writes a space for U+2581, and may change other characters: lengths alone could hide two changes.
+            ends = np.cumsum(n_b)
+            for i, (u, stop, n) in enumerate(zip(units, ends.tolist(), n_b.tolist())):
+                fits[i] &= b"".join(map(t.b_bytes.__getitem__, flat_b[stop - n : stop].tolist())) == b" " + u.encode()
             flat_a, flat_b = flat_a[np.repeat(fits, n_a)], flat_b[np.repeat(fits, n_b)]
             n_a, n_b, size = n_a * fits, n_b * fits, size * fits
         end_a, end_b = np.cumsum(t.a_size[flat_a]), np.cumsum(t.b_size[flat_b])
         shared = np.intersect1d(end_a, end_b, assume_unique=True)
-        stop_a, stop_b = (np.searchsorted(e, shared) + 1 for e in (end_a, end_b))
-        say_a, say_b = list(map(str, flat_a.tolist())), list(map(str, flat_b.tolist()))
-        made, i, j = [], 0, 0
-        for x, y in zip(stop_a.tolist(), stop_b.tolist()):
-            made.append((say_a[i] if x == i + 1 else ",".join(say_a[i:x])) + "|" + (say_b[j] if y == j + 1 else ",".join(say_b[j:y])))
-            i, j = x, y
-        codes = np.empty(len(made), np.int32)
-        known, names = self.groups, self.names
-        for k, g in enumerate(made):
-            code = known.get(g)
-            if code is None:
-                code = known[g] = len(names)
-                names.append(g)
-            codes[k] = code
+        codes = self._intern(flat_a, np.searchsorted(end_a, shared) + 1, flat_b, np.searchsorted(end_b, shared) + 1)
         of_unit = np.searchsorted(shared, np.cumsum(size), "right")
-        n_groups = np.diff(np.r_[0, of_unit])
-        for u, (stop, n) in zip(units, zip(of_unit.tolist(), n_groups.tolist())):
+        made = list(map(self.names.__getitem__, codes.tolist()))
+        at = 0
+        for u, stop in zip(units, of_unit.tolist()):
             self.units[u] = len(self.text)
-            self.text.append(";".join(made[stop - n : stop]))
+            self.text.append(made[at] if stop == at + 1 else ";".join(made[at:stop]))
+            at = stop
         self.whole = np.r_[self.whole, fits]
-        self.n_a, self.n_b, self.n_groups = np.r_[self.n_a, n_a], np.r_[self.n_b, n_b], np.r_[self.n_groups, n_groups]
+        self.n_a, self.n_b, self.n_groups = np.r_[self.n_a, n_a], np.r_[self.n_b, n_b], np.r_[self.n_groups, np.diff(np.r_[0, of_unit])]
         self.first, self.members = np.r_[self.first, self.first[-1] + of_unit], np.r_[self.members, codes]
 
+    def _intern(self, flat_a: np.ndarray, stop_a: np.ndarray, flat_b: np.ndarray, stop_b: np.ndarray) -> np.ndarray:
+        """The code of each group, whose tokens end at the given places; groups not yet known get new ones."""
+        sides, longer = [], np.zeros(len(stop_a), bool)
+        for flat, stop in ((flat_a, stop_a), (flat_b, stop_b)):
+            start = np.r_[0, stop[:-1]]
+            key = np.zeros(len(stop), np.int64)
+            for k in range(3):  # up to three ids of 20 bits are one number
+                has = start + k < stop
+                key[has] |= flat[start[has] + k] + 1 << 20 * k
+            longer |= stop > start + 3
+            sides.append((key, flat, start, stop))
+        keys = list(zip(sides[0][0].tolist(), sides[1][0].tolist()))
+
+        def ids(i: int) -> list[list[int]]:
+            return [flat[start[i] : stop[i]].tolist() for _, flat, start, stop in sides]
+
+        for i in np.flatnonzero(longer).tolist():
+            keys[i] = tuple(map(tuple, ids(i)))
+        codes = np.fromiter(map(self.groups.get, keys, itertools.repeat(-1)), np.int32, len(keys))
+        for i in np.flatnonzero(codes < 0).tolist():
+            code = self.groups.setdefault(keys[i], len(self.names))
+            if code == len(self.names):
+                self.names.append("|".join(",".join(map(str, x)) for x in ids(i)))
+            codes[i] = code
+        return codes
+
     def codes(self, units: list[str]) -> np.ndarray:
-        new = [u for u in dict.fromkeys(units) if u not in self.units]
-        for at in range(0, len(new), 20_000):
-            self.learn(new[at : at + 20_000])
-        return np.fromiter(map(self.units.__getitem__, units), np.int64, len(units))
+        known = lambda some: np.fromiter(map(self.units.get, some, itertools.repeat(-1)), np.int64, len(some))
+        codes = known(units)
+        missing = np.flatnonzero(codes < 0)
+        new = list(dict.fromkeys(units[i] for i in missing.tolist()))
+        for at in range(0, len(new), 50_000):
+            self.learn(new[at : at + 50_000])
+        codes[missing] = known([units[i] for i in missing.tolist()])
+        return codes
 
     def full(self) -> bool:
         return len(self.units) > REMEMBERED or len(self.groups) > REMEMBERED
 
 
+@functools.lru_cache(1)
+def _memory(a_path: str, b_path: str) -> Memory:
+    """That of this worker, whatever task it runs."""
+    return Memory(Tokenizers(a_path, b_path))
+
+
 def _sums(values: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.diff(np.r_[0, np.cumsum(values)][np.r_[0, np.cumsum(lengths)]])
 
@@ -185,7 +216,7 @@ def interned(docs: DataFrame, a_path: str = BYTE_BPE, b_path: str = PIECE_BPE, k
     schema = f"chunk bigint, doc_id {kind}, n_a bigint, n_b bigint, n_groups bigint, groups_sha256 string, codes array<int>, counts array<int>, code int, group string, freq bigint" + ", groups string" * keep_groups
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memory, chunk = Memory(_tokenizers(a_path, b_path)), TaskContext.get().partitionId() << 32
+        memory, chunk = _memory(a_path, b_path), TaskContext.get().partitionId() << 32
         for batch in _gathered(batches):
             target = None
             for start, texts in slabs(batch.column("text"), CHUNK_BYTES):
@@ -195,7 +226,7 @@ def interned(docs: DataFrame, a_path: str = BYTE_BPE, b_path: str = PIECE_BPE, k
                 yield from (_rows({"chunk": np.full(n, chunk), **columns}, target, n) for columns, n in (({"doc_id": ids, **documents}, len(texts)), (groups, len(groups["group"]))))
                 chunk += 1
                 if memory.full():
-                    memory = Memory(memory.tokenizers)
+                    memory.__init__(memory.tokenizers)
             release()
 
     return docs.mapInArrow(run, schema)
