@@ -54,18 +54,6 @@ def _q_hosts(r: Relations) -> DataFrame:
     return pairs.join(judged, ["name", "host"]).select("company_id", "host", "matches")
 
 
-@query(
-    "ownership_reasons",
-    """select c.candidate_id, case when c.url like '%/error' then null when s.url is not null and c.status = 'accepted' then 'verified_host' when c.kind = 'rss' and c.confidence > 0.9 then 'profile_link' when c.n_observations >= 15 then 'often_observed' end as reason
-    from candidates c left join (select company_id, min(url) as url from sources where status = 'approved' group by 1) s on s.company_id = c.company_id""",
-)
-def _q_ownership(r: Relations) -> DataFrame:
-    """The first reason that applies, none for excluded URLs."""
-    verified = r.sources.filter("status = 'approved'").groupBy("company_id").agg(F.min("url").alias("verified"))
-    reason = F.when(F.col("url").endswith("/error"), None).when(F.col("verified").isNotNull() & (F.col("status") == "accepted"), "verified_host").when((F.col("kind") == "rss") & (F.col("confidence") > 0.9), "profile_link").when(F.col("n_observations") >= 15, "often_observed")
-    return r.candidates.join(verified, "company_id", "left").select("candidate_id", reason.alias("reason"))
-
-
 @query("recipe_lifecycle", "select r.recipe_id, coalesce(st.rebuild_required, false) as requires_rebuild, r.status = 'active' and (coalesce(st.rebuild_required, false) or st.correctness_status = 'failing' or st.freshness_status = 'stale') as rebuild_candidate, r.status = 'active' and not coalesce(st.rebuild_required, false) and coalesce(st.correctness_status, 'healthy') = 'healthy' as healthy_active from recipes r left join recipe_state st on st.recipe_id = r.recipe_id")
 def _q_lifecycle(r: Relations) -> DataFrame:
     active, rebuild = F.col("status") == "active", F.coalesce("rebuild_required", F.lit(False))

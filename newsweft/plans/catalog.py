@@ -33,6 +33,7 @@ def _load() -> None:
     import newsweft.operators.gates
     import newsweft.operators.policies
     import newsweft.operators.reads
+    import newsweft.operators.scope
     import newsweft.operators.state
     import newsweft.streaming.folds  # noqa: F401
 

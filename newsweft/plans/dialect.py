@@ -54,6 +54,18 @@ class Dialect:
         resource = self.rtrim(self.replace(f"split_part({bare}, '?', 1)", r"(?i)^https?://(www\.)?", ""), "/")
         return f"(lower(split_part({resource}, '/', 1)) || substr({resource}, length(split_part({resource}, '/', 1)) + 1) || {query})"
 
+    def url_host(self, url: str) -> str:
+        return f"lower(split_part(split_part({url}, '://', 2), '/', 1))"
+
+    def url_rest(self, url: str) -> str:
+        """From the slash after the host on."""
+        return self.replace(url, "^[a-z]+://[^/]*", "")
+
+    def word(self, text: str, n: int) -> str:
+        """The n-th word between spaces, its letters and digits alone, with a capital."""
+        bare = self.replace(f"split_part({text}, ' ', {n})", "[^A-Za-z0-9]", "")
+        return f"(upper(substr({bare}, 1, 1)) || substr({bare}, 2))"
+
     def title_key(self, title: str) -> str:
         return f"lower(trim({self.replace(title, r'\s+', ' ')}))"
 
@@ -119,6 +131,36 @@ def relations(d: Dialect) -> dict[str, str]:
                 case event_type when 'signup' then 'enqueue' when 'view' then 'claim' when 'click' then 'heartbeat' when 'purchase' then 'complete' else 'fail' end as action,
                 cast({d.json("props", "k")} as int) % 10 as priority from events""",
         "clock": f"select {as_of} as as_of",
+        # Issuers named by words of every twentieth document, some with two share classes; a home and hosts of policy from the pages.
+        "issuers": f"""
+            select w.company_id + s.more as company_id, w.brand || case w.k % 6 when 0 then case s.more when 0 then ' Inc. Class A Common Stock' else ' Inc. Class B Common Stock' end when 1 then ' Holdings plc'
+                    when 2 then ' Corporation' when 3 then ' Therapeutics Inc. Common Stock' when 4 then ' Income Trust Shares of Beneficial Interest' else '' end as name,
+                w.alias, case when w.k % 4 <> 3 then p.url end as home_url,
+                case when w.k % 5 = 1 then '{{"excluded_hosts":["' || {d.url_host("p.url")} || '"]}}' when w.k % 5 = 2 then '{{"verified_hosts":["https://' || {d.url_host("p.url")} || '/news","  "]}}' end as host_policy
+            from (select doc_id as company_id, {d.div("doc_id", "20")} as k, {d.word("text", 2)} || ' ' || {d.word("text", 3)} as brand, {d.word("text", 5)} || ' (formerly ' || {d.word("text", 6)} || ')' as alias
+                from documents where doc_id % 20 = 4 and text is not null) w
+            join (select 0 as more union all select 1) s on s.more = 0 or w.k % 6 = 0
+            join pages p on p.page_id = w.company_id % (select count(*) from pages)""",
+        # Feeds that may be an issuer's own: at its home, at a host of its policy, at one that bears its name, or elsewhere; some with a link found somewhere.
+        "feed_claims": f"""
+            select 'own-' || cast(p.page_id as string) as candidate_id, i.company_id, cast(p.page_id as bigint) as n,
+                case p.page_id % 5 when 0 then coalesce(i.home_url, p.url) when 1 then 'https://www.' || {d.replace("lower(split_part(i.name, ' ', 1) || split_part(i.name, ' ', 2))", "[^a-z0-9]", "")} || '.com/feed' when 2 then h.url else p.url end as candidate_url,
+                case p.page_id % 6 when 0 then p.url when 1 then i.home_url end as final_url,
+                case p.page_id % 7 when 0 then 'html_alternate' when 1 then 'html_alternate' when 2 then 'link' when 3 then 'link' end as method,
+                case p.page_id % 7 when 0 then coalesce(i.home_url, 'no url') when 2 then i.home_url when 1 then 'https://ir.' || {d.replace("lower(split_part(i.name, ' ', 1) || split_part(i.name, ' ', 2))", "[^a-z0-9]", "")} || '.com/x'
+                    when 3 then 'https://' || {d.replace("lower(split_part(i.name, ' ', 1) || split_part(i.name, ' ', 2))", "[^a-z0-9]", "")} || '.com/x' end as found_on
+            from pages p, (select count(*) as n from documents where doc_id % 20 = 4) c
+            join issuers i on i.company_id = 4 + 20 * (p.page_id % c.n)
+            join pages h on h.page_id = i.company_id % (select count(*) from pages)""",
+        # The items, each published for an issuer: on hosts that many share, its home's, one of its name or another; every third title names it.
+        "published": f"""
+            select f.id, f.doc_id, f.source_id, f.company_id, f.is_private, case when f.doc_id % 3 = 0 then f.title || ' at ' || coalesce(split_part(i.name, ' ', 1), '') else f.title end as title,
+                'https://' || coalesce(f.shared, case when f.doc_id % 9 = 1 then 'www.' || {d.url_host("i.home_url")} when f.doc_id % 10 = 7 then {d.replace("lower(split_part(i.name, ' ', 1) || split_part(i.name, ' ', 2))", "[^a-z0-9]", "")} || '.com' end, {d.url_host("f.url")}) || {d.url_rest("f.url")} as url,
+                'https://' || coalesce(f.shared, case when f.doc_id % 9 = 1 then 'www.' || {d.url_host("i.home_url")} when f.doc_id % 10 = 7 then {d.replace("lower(split_part(i.name, ' ', 1) || split_part(i.name, ' ', 2))", "[^a-z0-9]", "")} || '.com' end, {d.url_host("f.url")}) || {d.url_rest("f.canonical_url")} as canonical_url
+            from (select f.*, case when f.doc_id % 11 = 0 then 'www.prnewswire.com' when f.doc_id % 13 = 0 then 'ir.blackrock.com' end as shared,
+                    case when f.doc_id % 2 = 1 and ((f.doc_id + {d.div("f.doc_id", "100")}) % n.n) % 6 = 0 then 5 else 4 end + 20 * ((f.doc_id + {d.div("f.doc_id", "100")}) % n.n) as company_id
+                from (select id, doc_id, source_id, title, is_private, url, canonical_url from feed_items) f, (select count(*) as n from documents where doc_id % 20 = 4) n) f
+            left join issuers i on i.company_id = f.company_id""",
     }
 
 

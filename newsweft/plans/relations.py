@@ -38,6 +38,7 @@ class Relations:
         known = [*relations(SPARK), *TABLES]
         used = {n for n in known if n not in frames and re.search(rf"\b(?:from|join)\s+{n}\b", text, re.I)}
         named = {**{n: getattr(self, n) for n in used}, **frames}
+        text = text.replace("{", "{{").replace("}", "}}")
         for n in named:
             text = re.sub(rf"\b(from|join)\s+{n}\b", rf"\1 {{{n}}}", text, flags=re.I)
             text = re.sub(rf"\{{{n}\}}(?=\s+(?:where|join|left|on|group|order|union|limit|\)|$|cross|inner)|\s*$|\s*\))", rf"{{{n}}} as {n}", text, flags=re.I)
