@@ -48,8 +48,13 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def listed(words: tuple[str, ...]) -> Column:
+    """An array of the words, parsed in one step: a literal for each would be a call to the JVM for each."""
+    return F.expr("array(" + ", ".join(f"'{w}'" for w in words) + ")")
+
+
 def _among(word: Column, words: tuple[str, ...]) -> Column:
-    return word.isin(*words)
+    return F.array_contains(listed(words), word)
 
 
 def words(text: Column) -> Column:
@@ -102,7 +107,7 @@ def acronym(tokens: Column) -> Column:
 def legal_acronyms(name: Column, tokens: Column) -> Column:
     """The first letters of two tokens or more with the first legal form that the name has, by its letter and in short."""
     legal = F.get(F.filter(words(name), lambda w: _among(w, tuple(k for k, _ in LEGAL_FORMS))), F.lit(0))
-    short = let(legal, lambda x: reduce(lambda rest, form: F.when(x == form[0], form[1]).otherwise(rest), LEGAL_FORMS, F.lit(None).cast("string")))
+    short = F.try_element_at(F.expr("map(" + ", ".join(f"'{k}', '{v}'" for k, v in LEGAL_FORMS) + ")"), legal)
 
     def both(base: Column) -> Column:
         return let(short, lambda x: F.when(x.isNotNull(), F.filter(F.array(F.concat(base, F.substring(x, 1, 1)), F.concat(base, x)), lambda a: F.length(a) >= 3)))
@@ -134,7 +139,7 @@ def issuer_tokens(name: Column) -> Column:
 
 def is_vehicle(name: Column) -> Column:
     """A trust or fund, which its manager's host does not identify."""
-    return let(F.lower(security_name(name)), lambda bare: bare.contains("shares of beneficial interest") | F.arrays_overlap(words(bare), F.array(F.lit("trust"), F.lit("fund"))))
+    return let(F.lower(security_name(name)), lambda bare: bare.contains("shares of beneficial interest") | F.arrays_overlap(words(bare), listed(("trust", "fund"))))
 
 
 def mentions_term(tokens: Column, terms: Column, least: int = 1) -> Column:
@@ -193,7 +198,7 @@ def host_forms(name: Column) -> Column:
 
 def labels_match(labels: Column, forms: Column) -> Column:
     """Whether host labels show a name, as ``host_forms`` has it."""
-    affixed = lambda x: F.array(*[F.concat(x, F.lit(e)) for e in HOST_ENDINGS], *[F.concat(F.lit(b), x) for b in HOST_BEGINNINGS])
+    affixed = lambda x: F.concat(F.transform(listed(HOST_ENDINGS), lambda e: F.concat(x, e)), F.transform(listed(HOST_BEGINNINGS), lambda b: F.concat(b, x)))
     at_an_end = F.exists(forms["ends"], lambda x: F.exists(labels, lambda l: F.startswith(l, x) | F.endswith(l, x)))
     return F.arrays_overlap(labels, forms["whole"]) | at_an_end | F.exists(forms["short"], lambda x: F.arrays_overlap(labels, affixed(x)))
 

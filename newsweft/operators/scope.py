@@ -9,6 +9,7 @@ from newsweft.functions import names as N
 from newsweft.functions import urls as U
 from newsweft.plans.catalog import query
 from newsweft.plans.relations import Relations
+from newsweft.session import written
 
 # Hosts on which many companies publish, and those of managers of many funds.
 SHARED_HOSTS = (
@@ -25,7 +26,7 @@ MANAGER_HOSTS = ("angeloakcapital.com", "blackrock.com", "blackstone.com", "gabe
 
 def is_below(host: Column, hosts: tuple[str, ...]) -> Column:
     """The host is one of ``hosts`` or below one."""
-    return F.coalesce(F.arrays_overlap(N.host_suffixes(host), F.array(*map(F.lit, hosts))), F.lit(False))
+    return F.coalesce(F.arrays_overlap(N.host_suffixes(host), N.listed(hosts)), F.lit(False))
 
 
 def related_to_any(host: Column, hosts: Column) -> Column:
@@ -34,7 +35,7 @@ def related_to_any(host: Column, hosts: Column) -> Column:
 
 def policy_hosts(policy: Column, field: str) -> Column:
     """The bare hosts of a list in a JSON policy, whose entries are hosts or URLs; blank ones are left out."""
-    listed = F.transform(F.from_json(F.get_json_object(policy, f"$.{field}"), "array<string>"), F.trim)
+    listed = F.transform(F.from_json(F.get_json_object(policy, f"$.{field}"), "array<string>"), lambda x: F.trim(x))
     bare = F.transform(listed, lambda x: F.when(x.rlike("^[A-Za-z][A-Za-z0-9+.-]*://"), U.bare_host(x)).otherwise(F.regexp_replace(F.lower(F.regexp_extract(x, "^/*([^/:]*)", 1)), r"^(www\.)+", "")))
     return F.coalesce(F.filter(bare, lambda h: h != ""), F.array().cast("array<string>"))
 
@@ -43,7 +44,7 @@ def with_identity(companies: DataFrame) -> DataFrame:
     """A company's identity, worked out once: (company_id, name, alias, home_url, host_policy) and what follows from them."""
     listed = F.array_compact(F.array("name", "alias"))
     entries = F.filter(F.array(U.bare_host(F.col("home_url"))), lambda h: F.coalesce(h != "", F.lit(False)))
-    tokens = F.array_distinct(F.flatten(F.transform(listed, lambda n: F.filter(N.brand_tokens(n), lambda w: ~w.isin(*N.GENERIC_WORDS)))))
+    tokens = F.array_distinct(F.flatten(F.transform(listed, lambda n: F.filter(N.brand_tokens(n), lambda w: ~F.array_contains(N.listed(N.GENERIC_WORDS), w)))))
     return companies.select(
         "company_id", listed.alias("names"), F.transform(listed, N.host_forms).alias("forms"), entries.alias("entry_hosts"), policy_hosts(F.col("host_policy"), "excluded_hosts").alias("excluded"), policy_hosts(F.col("host_policy"), "verified_hosts").alias("verified"),
         N.scope_terms(listed).alias("terms"), tokens.alias("collision_tokens"), N.is_vehicle(F.col("name")).alias("vehicle"), N.issuer_key(F.col("name")).alias("issuer"), N.issuer_tokens(F.col("name")).alias("issuer_words"), N.short_acronyms(listed).alias("short"),
@@ -109,8 +110,8 @@ def scope_mentions(items: DataFrame, companies: DataFrame) -> DataFrame:
     An inverted index: distinct words meet the terms by equality, whole or by a beginning, and the items their words.
     An item is one row, whatever number of companies share its terms. Items without a term have no row.
     """
-    index, words = term_index(companies), item_words(items)
-    known = terms_of_words(words.select("word").distinct(), index)
+    index, words = written(term_index(companies), "terms"), item_words(items)
+    known = terms_of_words(written(words.select("word").distinct(), "words"), index)
     best = words.hint("merge").join(known, "word").groupBy("id").agg(F.min(F.struct((-F.length("term")).alias("size"), "term", "word")).alias("b"))
     return best.select("id", "b.word", "b.term").join(index, "term").select("id", "word", "term", "n_companies", "company_id")
 
@@ -145,8 +146,8 @@ def cross_company_claims(items: DataFrame, companies: DataFrame) -> DataFrame:
     the item mentions it, unless the company has entry points elsewhere and a competitor whose name extends its own has
     both host and mention. Private items make no claims; without a company in ``companies`` an item has no row.
     """
-    known = with_identity(companies)
-    public = items.where(~F.col("is_private")).select("id", "company_id", "title", "url", "canonical_url", F.coalesce("canonical_url", "url").alias("claimed"))
+    known = written(with_identity(companies), "issuers")
+    public = written(items.where(~F.col("is_private")).select("id", "company_id", "title", "url", "canonical_url", F.coalesce("canonical_url", "url").alias("claimed")), "public")
     claims = public.select("claimed", "company_id").distinct().join(known.select("company_id", "issuer", "issuer_words"), "company_id")
     n = lambda *keys: F.count(F.lit(1)).over(Window.partitionBy("claimed", *keys))
     same_words = F.when(F.col("issuer_words").isNotNull(), n("issuer_words") - n("issuer", "issuer_words")).otherwise(0)

@@ -30,6 +30,7 @@ def query(name: str, oracle: str | None = None):
 def _load() -> None:
     import newsweft.operators.archive
     import newsweft.operators.content
+    import newsweft.operators.evidence
     import newsweft.operators.gates
     import newsweft.operators.policies
     import newsweft.operators.reads

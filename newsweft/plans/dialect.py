@@ -63,7 +63,7 @@ class Dialect:
 
     def word(self, text: str, n: int) -> str:
         """The n-th word between spaces, its letters and digits alone, with a capital."""
-        bare = self.replace(f"split_part({text}, ' ', {n})", "[^A-Za-z0-9]", "")
+        bare = self.replace(f"regexp_extract({text}, '^([^ ]* ){{{n - 1}}}([^ ]*)', 2)", "[^A-Za-z0-9]", "")
         return f"(upper(substr({bare}, 1, 1)) || substr({bare}, 2))"
 
     def title_key(self, title: str) -> str:
@@ -152,6 +152,13 @@ def relations(d: Dialect) -> dict[str, str]:
             from pages p, (select count(*) as n from documents where doc_id % 20 = 4) c
             join issuers i on i.company_id = 4 + 20 * (p.page_id % c.n)
             join pages h on h.page_id = i.company_id % (select count(*) from pages)""",
+        # Article URLs that speak for a publication, under paths whose shape goes by the source.
+        "evidence": f"""
+            select f.source_id, s.url as publication_url,
+                'https://' || case when f.doc_id % 12 = 0 then 'news.' when f.doc_id % 17 = 0 then 'other-' else '' end || f.source_id || '.example.com' || case s.n % 5 when 0 then '/' || f.lang || '/' when 1 then '/media/press-' || cast(f.doc_id % 3 as string) || '/'
+                    when 2 then case when f.doc_id % 3 = 0 then '/news/' else '/company_blog/' end when 3 then '/corporate_info/' else '/ab-' end
+                    || lower({d.word("f.body_text", 2)} || '-' || {d.word("f.body_text", 3)}) || case when f.doc_id % 2 = 0 then '/' || cast(f.doc_id % 40 as string) else '' end as evidence_url
+            from feed_items f join sources s on s.source_id = f.source_id""",
         # The items, each published for an issuer: on hosts that many share, its home's, one of its name or another; every third title names it.
         "published": f"""
             select f.id, f.doc_id, f.source_id, f.company_id, f.is_private, case when f.doc_id % 3 = 0 then f.title || ' at ' || coalesce(split_part(i.name, ' ', 1), '') else f.title end as title,
