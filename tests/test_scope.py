@@ -170,4 +170,4 @@ def test_prefix_vote_against_pairs(spark):
         if (best := slow_prefix(own, paths)) is not None:
             want[str(s)] = best
     got = E.evidence_prefixes(spark.createDataFrame(rows, "source_id string, publication_url string, evidence_url string"))
-    assert {r["source_id"]: (r["prefix"], r["support"]) for r in got.collect()} == want and len(want) > 20
+    assert {r["source_id"]: (r["prefix"], r["support"]) for r in got.collect()} == want and len(want) >= 20
