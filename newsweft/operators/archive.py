@@ -252,7 +252,7 @@ def article_records(rows: DataFrame) -> DataFrame:
     return made.select("document_id", "month", _json(record).alias("record"), _json(line).alias("line"))
 
 
-def _record_sql() -> str:
+def _record_sql(then: str = " select document_id, month, sha256(cast({record} as varchar)) as record_sha256, sha256(cast({line} as varchar)) as line_sha256 from d") -> str:
     t = lambda c: f"case when {c} is null then null else strftime({c}, '%Y-%m-%dT%H:%M:%S+00:00') end"
     times = f"'published_at', {t('published_at')}, 'first_seen_at', {t('created_at')}, 'fetched_at', {t('fetched_at')}, 'last_updated_at', {t('fetched_at')}"
     record = f"""json_object('schema_version', '{SCHEMA_VERSION}', 'document_id', document_id, 'company', json_object('key', export_key, 'name', export_name), 'source', json_object('id', source_id, 'kind', source_kind), 'urls', json_object('observed', url, 'canonical', canonical_url),
@@ -260,7 +260,7 @@ def _record_sql() -> str:
         'provenance', json_object('source_item_id', id, 'external_id', external_id))"""
     line = f"""json_object('schema_version', '{SCHEMA_VERSION}', 'document_id', document_id, 'company_key', export_key, 'company_name', export_name, 'source_id', source_id, 'source_kind', source_kind, 'canonical_url', canonical_url, 'observed_url', url, 'title', title, 'summary', summary,
         'body_text', body_text, {times}, 'content_hash', content_hash, 'article_path', path, 'record_path', replace(path, '/article.md', '/record.json'))"""
-    return f"with {_NAMES}, {_PROJECT}, d as (select *, 'articles/v1/' || substr(sha256(export_key), 1, 2) || '/' || export_key || '/' || strftime(shown_at, '%Y') || '/' || strftime(shown_at, '%m') || '/' || substr(document_id, 1, 2) || '/' || document_id || '/article.md' as path, {_FILE} as doc from articles) select document_id, month, sha256(cast({record} as varchar)) as record_sha256, sha256(cast({line} as varchar)) as line_sha256 from d"
+    return f"with {_NAMES}, {_PROJECT}, d as (select *, 'articles/v1/' || substr(sha256(export_key), 1, 2) || '/' || export_key || '/' || strftime(shown_at, '%Y') || '/' || strftime(shown_at, '%m') || '/' || substr(document_id, 1, 2) || '/' || document_id || '/article.md' as path, {_FILE} as doc from articles){then.format(record=record, line=line)}"
 
 
 @query("article_records", _record_sql())
