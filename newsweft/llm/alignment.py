@@ -27,7 +27,7 @@ BYTE_BPE, PIECE_BPE = f"{TOKENIZERS}/byte_bpe_50k.json", f"{TOKENIZERS}/piece_bp
 #: Text bytes of one chunk: what shares a dictionary of groups, and what one task looks up at a time.
 CHUNK_BYTES = 8 << 20
 #: Units of text and groups that a worker remembers before it starts anew; a matter of memory, not of results.
-REMEMBERED = 600_000
+REMEMBERED = 250_000
 
 
 def _byte_level() -> dict[str, int]:
