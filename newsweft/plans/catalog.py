@@ -32,6 +32,7 @@ def _load() -> None:
     import newsweft.operators.content
     import newsweft.operators.evidence
     import newsweft.operators.gates
+    import newsweft.operators.health
     import newsweft.operators.manifests
     import newsweft.operators.policies
     import newsweft.operators.reads

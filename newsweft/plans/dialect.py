@@ -126,6 +126,11 @@ def relations(d: Dialect) -> dict[str, str]:
         "crawl_runs": f"""
             select event_id as run_id, 'src' || cast(user_id % 20 as string) as source_id, ts as started_at, event_type <> 'error' as succeeded,
                 case when event_type = 'error' then 0 when value < 60 then 0 else cast(floor(value / 10) as int) end as items_found, cast({d.json("props", "k")} as int) as k from events""",
+        # Runs of recipes with what they found: correct or not, failed for a while only, the page's structure, the newest item's date.
+        "recipe_runs": f"""
+            select run_id, source_id as recipe_id, started_at, not succeeded and k % 4 = 0 as transient, succeeded and k % 9 <> 0 as correct, items_found as accepted,
+                case when k % 5 <> 0 then 'structure-' || cast({d.div("run_id", "300")} % 3 + case when k = 7 then 1 else 0 end as string) end as fingerprint,
+                case when k % 6 <> 0 then {d.days("started_at", "-(k % 40)")} end as published_at, k % 8 <> 1 as dates_complete from crawl_runs""",
         "jobs": f"""
             select event_id, ts, cast(user_id as string) as job_key, 'crawl_source' as job_type,
                 case event_type when 'signup' then 'enqueue' when 'view' then 'claim' when 'click' then 'heartbeat' when 'purchase' then 'complete' else 'fail' end as action,
