@@ -1,6 +1,6 @@
 """Main-text extraction with a tree-structured graphical model over the document tree.
 
-Each block element is a node with two states, inside the main text or not.  Its tag, the words of its class, id and
+Each block element is a node with two states, inside the main text or not.  Its tag, every word of its class, id and
 role, and the length and links of its own text are evidence; a potential between parent and child says how likely a
 child is to share its parent's state.  Sum-product messages upward and downward give each node's exact marginal.  All
 potentials are counted on labelled pages.
@@ -9,6 +9,7 @@ potentials are counted on labelled pages.
 from __future__ import annotations
 
 import html as _html
+import math
 import random
 import re
 from collections.abc import Iterable, Iterator
@@ -35,7 +36,7 @@ _BODY = list(_GROUPS).index("body")
 _CLOSES_P = frozenset(_GROUP) - {"body", "html"}
 _CLOSED_BY = {"li": frozenset(("li",)), "dt": frozenset(("dt", "dd")), "dd": frozenset(("dt", "dd")), "tr": frozenset(("tr", "td", "th")), "td": frozenset(("td", "th")), "th": frozenset(("td", "th"))}
 _HOLDS = {"li": frozenset(("ul", "ol")), "dt": frozenset(("dl",)), "dd": frozenset(("dl",)), "tr": frozenset(("table", "tbody", "thead", "tfoot")), "td": frozenset(("tr", "table")), "th": frozenset(("tr", "table"))}
-#: Words in class, id or role by what they say; the first kind that matches counts.
+#: Words in class, id or role by what they say; of one word the first kind that matches counts.
 _KINDS = (
     ("comment", r"comments?|commentlist|replies|reply|disqus|discussion|respond|guestbook|feedback"),
     ("advert", r"ads?|adv|advert\w*|adsense|adslot|adbox|adunit|sponsor\w*|promo\w*|banner-ad|dfp|outbrain|taboola|commercial"),
@@ -48,9 +49,17 @@ _KINDS = (
     ("form", r"form|search|searchbox|login|contentinfo|signin|poll"),
     ("content", r"article\w*|post|posts|entry|story|content|body|main|text|blog\w*|hentry|page-?content|lead|paragraph|richtext|prose"),
 )
+#: First parts of words whose other parts name a subject, a state or a look, and not what the element is.
+_NEUTRAL = frozenset("category cat tag type status format no not non without has have with is as author id term topic subject lang layout theme template js wp skin color bg size align col row grid offset".split())
+#: Kinds that may as well be the subject of an article or main element that bears them: all but these.
+_TELLING = frozenset(k for k, (name, _) in enumerate(_KINDS) if name in ("comment", "advert", "form", "content"))
 _PATTERNS = [re.compile(rf"(?<![a-z])(?:{p})(?![a-z])") for _, p in _KINDS]
 _NO_KIND = len(_KINDS)
 _CONTENT = _NO_KIND - 1
+#: Several kinds at once are one value: from here on, by the set of them.
+_SEVERAL = _NO_KIND + 1
+#: The same on an article or main element, where a word that is not telling weighs otherwise.
+_ON_REGION = _SEVERAL + (1 << len(_KINDS))
 _TOKEN = re.compile(r"<(?:(!--)|(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^\"'<>]++|\"[^\"]*+\"|'[^']*+')*+)>|(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^<>]*+)>|[!?/][^<>]*+>)")
 _NAMED = re.compile(r"""(?:^|[\s"'/])(class|id|role)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 #: Where a training page says whether an element is main text. Pages to extract from are never asked.
@@ -72,8 +81,26 @@ class Page:
 
 
 @lru_cache(1 << 16)
-def _kind_of(words: str) -> int:
-    return next((k for k, p in enumerate(_PATTERNS) if p.search(words)), _NO_KIND)
+def _word_kind(word: str) -> int:
+    head, _, rest = word.partition("-")
+    if rest and head in _NEUTRAL:
+        return _NO_KIND
+    return next((k for k, p in enumerate(_PATTERNS) if p.search(word)), _NO_KIND)
+
+
+@lru_cache(1 << 16)
+def _kind_of(words: str, on_region: bool = False) -> int:
+    """What an element's names say: no kind, one, or several, each of which is evidence by itself."""
+    kinds = {_word_kind(w) for w in words.split()} - {_NO_KIND}
+    kind = _NO_KIND if not kinds else next(iter(kinds)) if len(kinds) == 1 else _SEVERAL + sum(1 << k for k in kinds)
+    return kind + _ON_REGION if on_region and kinds - _TELLING else kind
+
+
+def _kinds_in(kind: int) -> list[int]:
+    """The single values whose evidence a value of ``_kind_of`` stands for."""
+    on_region, kind = divmod(kind, _ON_REGION)
+    kinds = [kind] if kind < _SEVERAL else [k for k in range(_NO_KIND) if kind - _SEVERAL >> k & 1]
+    return [k + _ON_REGION if on_region and k not in _TELLING else k for k in kinds]
 
 
 def _closed(source: str) -> dict[int, int]:
@@ -127,7 +154,7 @@ def parse(source: str, labelled: bool = False) -> Page:
                 label = int(said[1])
         page.parent.append(stack[-1] if page.parent else -1)
         page.group.append(_GROUP[tag])
-        page.kind.append(_kind_of(re.sub(r"(?<=[a-z])(?=[A-Z])", "-", words).lower().replace("_", "-")) if words else _NO_KIND)
+        page.kind.append(_kind_of(re.sub(r"(?<=[a-z])(?=[A-Z])", "-", words).lower().replace("_", "-"), tag in ("article", "main")) if words else _NO_KIND)
         page.label.append(label)
         page.chars.append(0)
         page.linked.append(0)
@@ -194,6 +221,8 @@ def parse(source: str, labelled: bool = False) -> Page:
                 text.append(" ")
         elif tag in ("html", "body"):
             flush()
+            if labelled and not closing and (said := _LABEL.search(attributes)):
+                page.label[0] = int(said[1])
         elif tag in _GROUP:
             if closing:
                 if tag in tags:
@@ -221,7 +250,7 @@ def parse(source: str, labelled: bool = False) -> Page:
 
 
 _SIZES, _LINKS = 5, 3
-_CELLS = (len(_GROUPS), len(_KINDS) + 1, _SIZES * _LINKS)
+_CELLS = (len(_GROUPS), 2 * _ON_REGION, _SIZES * _LINKS)
 _EDGES = 5
 _REGION, _ASIDE = frozenset((_GROUP["article"], _GROUP["main"])), frozenset(_GROUP[t] for t in ("nav", "footer", "aside", "form", "header"))
 
@@ -234,9 +263,10 @@ def _size_bin(chars: int, linked: int) -> int:
 
 def _edge(kind: int, group: int) -> int:
     """Which potential ties a node to its parent: by what its names say, else by what its tag says."""
-    if kind < _CONTENT:
+    kinds = _kinds_in(kind)
+    if kinds != [_NO_KIND] and _CONTENT not in kinds and not all(k >= _ON_REGION for k in kinds):
         return 0
-    return 3 if group in _REGION else 4 if group in _ASIDE else 2 if kind == _CONTENT else 1
+    return 3 if group in _REGION else 4 if group in _ASIDE else 2 if _CONTENT in kinds else 1
 
 
 @dataclass
@@ -276,6 +306,28 @@ class Model:
         return out
 
 
+    def without_text(self, page: Page) -> float:
+        """The chance that no node with text of its own is inside: one upward pass with those nodes held outside, against one without."""
+        logs = []
+        for held in (True, False):
+            n, tag, kind, size = len(page.parent), *self.emit
+            b0, b1, log = [0.0] * n, [0.0] * n, 0.0
+            for i in range(n):
+                t, k, s = tag[page.group[i]], kind[page.kind[i]], size[_size_bin(page.chars[i], page.linked[i])]
+                b0[i], b1[i] = t[0] * k[0] * s[0], 0.0 if held and page.chars[i] else t[1] * k[1] * s[1]
+            for i in range(n - 1, -1, -1):
+                total = b0[i] + b1[i]
+                log += math.log(total)
+                x, y = b0[i] / total, b1[i] / total
+                if i:
+                    e, p = self.edge[_edge(page.kind[i], page.group[i])], page.parent[i]
+                    b0[p], b1[p] = b0[p] * (e[0][0] * x + e[0][1] * y), b1[p] * (e[1][0] * x + e[1][1] * y)
+                else:
+                    log += math.log(self.root[0] * x + self.root[1] * y)
+            logs.append(log)
+        return math.exp(logs[0] - logs[1])
+
+
 def train(pages: Iterable[str]) -> Model:
     """Potentials counted on pages whose block elements carry their state in ``data-y``; others share their parent's."""
     root, edge = np.full(2, 1.0), np.full((_EDGES, 2, 2), 0.5)
@@ -285,7 +337,7 @@ def train(pages: Iterable[str]) -> Model:
         for i, p in enumerate(page.parent):
             y = page.label[i] if page.label[i] >= 0 else page.label[p] if p >= 0 else 0
             page.label[i] = y
-            for f, v in enumerate((page.group[i], page.kind[i], _size_bin(page.chars[i], page.linked[i]))):
+            for f, v in ((0, page.group[i]), *((1, k) for k in _kinds_in(page.kind[i])), (2, _size_bin(page.chars[i], page.linked[i]))):
                 emit[f][v, y] += 1
             if p < 0:
                 root[y] += 1
@@ -293,10 +345,16 @@ def train(pages: Iterable[str]) -> Model:
                 edge[_edge(page.kind[i], page.group[i]), page.label[p], y] += 1
     root /= root.sum()
     edge /= edge.sum(2, keepdims=True)
-    return Model(tuple(root), edge.tolist(), [[tuple(v) for v in (e / e.sum(0)).tolist()] for e in emit])
+    # Only single values have been counted, plain and on an article or main element; sets of them are products.
+    single = [*range(_SEVERAL), *(k + _ON_REGION for k in range(_SEVERAL))]
+    emit[1] /= emit[1][single].sum(0)
+    for kind in {*range(_SEVERAL, 2 * _ON_REGION)} - {*single}:
+        if kind < len(emit[1]):
+            emit[1][kind] = np.prod(emit[1][_kinds_in(kind)], axis=0)
+    return Model(tuple(root), edge.tolist(), [[tuple(v) for v in (e / (1 if f == 1 else e.sum(0))).tolist()] for f, e in enumerate(emit)])
 
 
-def labelled_pages(n: int = 400, seed: int = 11) -> Iterator[str]:
+def labelled_pages(n: int = 600, seed: int = 11) -> Iterator[str]:
     """Labelled training pages in many layouts: every block element says in ``data-y`` whether it is main text."""
     r = random.Random(seed)
     say = lambda a, b: " ".join("".join(r.choice("aeioustrnlm") for _ in range(r.randint(2, 8))) for _ in range(r.randint(a, b)))
@@ -319,6 +377,7 @@ def labelled_pages(n: int = 400, seed: int = 11) -> Iterator[str]:
                 lambda: el("aside", 0, pick(link_list(5), el("h3", 0, say(1, 3)) + el("p", 0, say(4, 30)), el("p", 0, say(4, 30))), pick("", "sidebar")),
                 lambda: el("div", 0, el("h3", 0, say(1, 3)) + pick(link_list(5), el("p", 0, say(4, 20))), pick("sidebar", "widget", "related", "popular")),
                 lambda: el("div", 0, say(3, 20), pick("ad", "ad-slot", "advertisement", "promo")),
+                lambda: el(pick("section", "div"), 0, el("h3", 0, say(1, 3)) + "".join(el("article", 0, pick(f"<a href=#>{say(2, 8)}</a>", el("h3", 0, f"<a href=#>{say(2, 8)}</a>")), pick("", "teaser", "related", "popular", "trending")) for _ in range(r.randint(2, 4))), pick("related", "more-stories", "recommended")),
             ],
             "end": [
                 lambda: el("footer", 0, pick(say(2, 16), el("p", 0, say(2, 16)), link_list(4)), pick("", "site-footer")),
@@ -362,24 +421,39 @@ def labelled_pages(n: int = 400, seed: int = 11) -> Iterator[str]:
             )
         return "".join(out)
 
+    def names(own: str) -> str:
+        """The class list of an element that holds main text: its own words, what a site adds, and now and then the words of its subject."""
+        subject = pick("legal", "newsletter", "social", "popular", "banner", "related", "trending", "notice", "menu", "tabs", "branding", "header", "footer", "sidebar", "nav")
+        added = [f"{own}-{r.randint(1, 9999)}" if own else "", f"type-{own}" if own else "", pick("category-", "tag-", "no-", "has-", "with-") + subject, pick("category-", "format-", "status-") + say(1, 1)]
+        return " ".join(x for x in [own, *(x for x in added if r.random() < 0.2)] if x)
+
+    def subject() -> str:
+        return pick("legal", "newsletter", "social", "popular", "banner", "trending", "notice", "related", "menu", "header", "tags") if r.random() < 0.1 else ""
+
     for _ in range(n):
         title = pick(lambda: el("h1", 1, say(2, 12)), lambda: el("header", 1, el("h1", 1, say(2, 12)) + pick("", el("p", 1, say(2, 8)))), lambda: "", lambda: el("h2", 1, say(2, 12)))()
         layout = r.random()
         inner = title + (el("p", 1, say(1, 9)) if r.random() < 0.2 else text())
         talk = comments() if r.random() < 0.35 else ""
-        if layout < 0.55:
-            middle = el("article", 1, inner + (talk if r.random() < 0.3 else ""), pick("", "", "post", "hentry")) + (talk if r.random() < 0.7 else "")
-            middle = pick(middle, middle, el("main", 1, middle), el("div", 0, middle, pick("container", "wrapper", "content")), el("section", 0, middle))
-        elif layout < 0.65:
-            middle = el("main", 1, inner, pick("", "content")) + talk
-        elif layout < 0.85:
-            body = el("div", 1, inner, pick("post-content", "entry", "story", "article-body", "content", "main-text", "post"))
+        if layout < 0.45:
+            middle = el("article", 1, inner + (talk if r.random() < 0.3 else ""), f'{names(pick("", "", "post", "hentry"))} {subject()}'.strip()) + (talk if r.random() < 0.7 else "")
+            middle = pick(middle, middle, el("main", 1, middle, subject()), el("div", 0, middle, pick("container", "wrapper", "content")), el("section", 0, middle))
+        elif layout < 0.55:
+            middle = el("main", 1, inner, f'{names(pick("", "content"))} {subject()}'.strip()) + talk
+        elif layout < 0.72:
+            body = el("div", 1, inner, names(pick("post-content", "entry", "story", "article-body", "content", "main-text", "post")))
             middle = el("div", 0, body + talk + pick("", junk("side")), pick("", "wrapper", "container", "page"))
         else:
             middle = None
         top, side, end = ("".join(junk(w) for _ in range(r.randint(0, k))) for w, k in (("top", 4), ("side", 2), ("end", 2)))
         if middle is None:
-            yield el("div", 1, top + inner + side + end) if r.random() < 0.3 else f'<body>{top}{el("div", 1, inner)}{talk}{side}{end}</body>'
+            # Nothing but the text's own shape tells: in the body itself, in plain boxes, or in one box with the rest.
+            plain, alone = el("div", 1, inner), el("div", 1, pick(say(5, 30), el("p", 1, say(5, 30)), inner))
+            for _ in range(r.randint(0, 3)):
+                plain, alone = el("div", 1, plain), el("div", 1, alone)
+            yield pick(
+                el("div", 1, top + inner + side + end), f"<body>{top}{plain}{talk}{side}{end}</body>", f'<body data-y="1">{top}{inner}{talk}{end}</body>', f'<body data-y="1">{inner}{end}</body>', *[f'<body data-y="1">{alone}</body>'] * 3
+            )
         else:
             yield f"<body>{top}{side if r.random() < 0.3 else ''}{middle}{side}{end}</body>"
 
@@ -389,13 +463,25 @@ def default_model() -> Model:
     return train(labelled_pages())
 
 
+#: A page has some main text unless the model gives that less than this chance.
+LEAST_CHANCE = 0.02
+
+
 def extract(source: str | None, model: Model | None = None) -> str:
-    """The main text of a page: its blocks in page order, one to a line, white space inside a block one space."""
+    """The main text of a page: its blocks in page order, one to a line, white space inside a block one space.
+
+    Blocks with a marginal above one half. Where no block has one, the page is short or says nothing of itself: given
+    that it has some main text, those whose marginal is then above it, in an element that may well hold main text; that
+    and the whole page's chance must be likely enough (``LEAST_CHANCE``).
+    """
     if not source:
         return ""
-    page = parse(source)
-    inside = (model or default_model()).marginals(page)
-    return "\n".join(run for at, run in page.runs if inside[at] > 0.5)
+    page, used = parse(source), model or default_model()
+    inside = used.marginals(page)
+    chosen = [run for at, run in page.runs if inside[at] > 0.5]
+    if page.runs and not chosen and (some := 1 - used.without_text(page)) > LEAST_CHANCE:
+        chosen = [run for at, run in page.runs if inside[at] > some / 2 and inside[max(page.parent[at], 0)] > LEAST_CHANCE]
+    return "\n".join(chosen)
 
 
 def extract_pages(pages: DataFrame, page_id: str = "page_id", url: str = "url", source: str = "html", model: Model | None = None) -> DataFrame:
