@@ -300,65 +300,80 @@ def _wide_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column("key").slice(start, len(texts)), *(pa.array(np.ascontiguousarray(fp[:, k])) for k in range(WIDE))], ["key", *(f"f{k}" for k in range(WIDE))])
 
 
-_EXACT, _SPREAD = 63, np.uint64(0x9E3779B97F4A7C15)
+_EXACT = 63
 
 
 def _wide_signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(sig, side, turned): each segment of a fingerprint under itself and under its one-wildcard variants.
+    """(sig, side, near, key): each segment of a fingerprint under itself and under its one-wildcard variants.
 
-    ``side`` is the left-out bit, or its opposite under half of the signatures; ``turned`` is the text's key, turned
-    into another order under each signature.
+    ``side`` is the left-out bit; ``near`` is another segment of the fingerprint, another one from signature to
+    signature, its bits in another order, by which texts of a signature that are alike stand beside each other.
     """
     for batch in batches:
         for a in range(0, batch.num_rows, 1024):
             rows = batch.slice(a, 1024)
-            key = np.asarray(rows.column("key")).view(np.uint64)
-            sigs, sides = [], []
-            for s in range(2 * WIDE):
-                value = (np.asarray(rows.column(f"f{s // 2}")).view(np.uint64) >> np.uint64(32 * (s % 2))) & np.uint64(0xFFFFFFFF)
-                sigs.append((np.uint64(s * 64 + _EXACT) << np.uint64(32)) | value)
-                sides.append(np.zeros(len(value), np.uint64))
-                for i in range(32):
-                    bit = np.uint64(1 << i)
-                    sigs.append((np.uint64(s * 64 + i) << np.uint64(32)) | (value & ~bit))
-                    sides.append((value & bit) >> np.uint64(i))
-            sig, side = np.concatenate(sigs), np.concatenate(sides)
-            turn = sig * _SPREAD
-            turned = np.tile(key, len(sigs)) ^ turn
-            yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array((side ^ (turn >> np.uint64(63))).astype(np.int8)), pa.array(turned.view(np.int64))], ["sig", "side", "turned"])
+            key = np.asarray(rows.column("key"))
+            segments = [(np.asarray(rows.column(f"f{s // 2}")).view(np.uint64) >> np.uint64(32 * (s % 2)) & np.uint64(0xFFFFFFFF)).astype(np.uint32) for s in range(2 * WIDE)]
+            sigs, sides, nears = [], [], []
+            for s, value in enumerate(segments):
+                for i in (*range(32), _EXACT):
+                    bit = np.uint32(1 << i if i < 32 else 0)
+                    sigs.append((np.uint64(s * 64 + i) << np.uint64(32)) | (value & ~bit).astype(np.uint64))
+                    sides.append((value & bit) > 0)
+                    other, turn = segments[(s + 1 + i % (2 * WIDE - 1)) % (2 * WIDE)], np.uint32(i * 5 % 31 + 1)
+                    nears.append(other << turn | other >> (np.uint32(32) - turn))
+            columns = (np.concatenate(sigs).view(np.int64), np.concatenate(sides).astype(np.int8), np.concatenate(nears).view(np.int32), np.tile(key, len(sigs)))
+            yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), ["sig", "side", "near", "key"])
+
+
+#: So many texts before it in its signature's order a text is compared with, besides the first, if ``near`` differs in at most so many bits.
+WINDOW, NEAR_BITS = 6, 5
 
 
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (sig, side, turned) in; (a, b) out: the first text of each signature with each other, or each of the other side.
+    """Rows sorted by (sig, near, key) in; (a, b) out: each text of a signature with its first one and with those just before it.
 
-    A bucket of any size passes through; only its first text is held.
+    Under a signature with a wildcard only texts of both sides are told, those of one side share the whole segment. A
+    bucket of any size passes through; its first text and the last ``WINDOW`` are held.
     """
-    last_sig, last_side, leader = None, 0, np.uint64(0)
+    held, leader = None, None
     for batch in batches:
         if not batch.num_rows:
             continue
-        sig, side, turned = (np.asarray(batch.column(c)) for c in ("sig", "side", "turned"))
-        key = turned.view(np.uint64) ^ (sig.view(np.uint64) * _SPREAD)
-        new = np.r_[sig[0] != last_sig, sig[1:] != sig[:-1]]
-        first = np.maximum.accumulate(np.where(new, np.arange(len(sig)), -1))
-        lead, lead_side = np.where(first >= 0, key[first], leader), np.where(first >= 0, side[first], last_side)
-        exact = ((sig >> 32) & 63) == _EXACT
-        link = (~new) & (key != lead) & (exact | (side != lead_side))
-        last_sig, last_side, leader = sig[-1], lead_side[-1], lead[-1]
-        if link.any():
-            a, b = key[link].view(np.int64), lead[link].view(np.int64)
+        new = {c: np.asarray(batch.column(c)) for c in ("sig", "side", "near", "key")}
+        rows = new if held is None else {c: np.concatenate((held[c], new[c])) for c in new}
+        before = len(rows["sig"]) - len(new["sig"])
+        sig, side, near, key = rows["sig"], rows["side"], rows["near"].view(np.uint32), rows["key"]
+        exact = (sig >> 32) & 63 == _EXACT
+        found = []
+        for back in range(1, min(WINDOW, len(sig) - 1) + 1):
+            one, two = np.arange(max(before, back), len(sig)), np.arange(max(before, back) - back, len(sig) - back)
+            ok = (sig[one] == sig[two]) & (exact[one] | (side[one] != side[two])) & (np.bitwise_count(near[one] ^ near[two]) <= NEAR_BITS)
+            found.append((key[one[ok]], key[two[ok]]))
+        start = np.r_[leader is None or leader[0] != new["sig"][0], new["sig"][1:] != new["sig"][:-1]]
+        first = np.maximum.accumulate(np.where(start, np.arange(len(start)), -1))
+        lead = [np.where(first >= 0, new[c][first], 0 if leader is None else leader[k]) for k, c in ((1, "side"), (2, "key"))]
+        ok = ~start & (exact[before:] | (new["side"] != lead[0]))
+        found.append((new["key"][ok], lead[1][ok]))
+        leader = (new["sig"][-1], lead[0][-1], lead[1][-1])
+        held = {c: x[-WINDOW:] for c, x in rows.items()}
+        one, two = (np.concatenate(x) for x in zip(*found))
+        apart = one != two
+        if apart.any():
+            a, b = one[apart], two[apart]
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
 
 def candidates(fps: DataFrame) -> DataFrame:
-    """(a, b): distinct texts whose fingerprints have a segment that differs in at most one bit, by way of each bucket's first text.
+    """(a, b): distinct texts whose fingerprints have a segment that differs in at most one bit, by way of each bucket's first text and of neighbours.
 
-    Which text is first differs from signature to signature, so members that don't link to one leader meet others.
+    Where many texts share a signature, another segment puts them in an order, and each meets those just before it. A
+    near pair shares most of its signatures, each with an order of its own, so it stands side by side under some.
     """
     spread_out = spread(fps, 50_000)
-    rows = spread_out.mapInArrow(_wide_signatures, "sig bigint, side tinyint, turned bigint")
+    rows = spread_out.mapInArrow(_wide_signatures, "sig bigint, side tinyint, near int, key bigint")
     parts = max(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), spread_out.rdd.getNumPartitions() * 66 * WIDE * 50_000 // SIGNATURES)
-    return rows.repartition(parts, "sig").sortWithinPartitions("sig", "side", "turned").mapInArrow(_stars, "a bigint, b bigint").distinct()
+    return rows.repartition(parts, "sig").sortWithinPartitions("sig", "near", "key").mapInArrow(_stars, "a bigint, b bigint").distinct()
 
 
 def _sets(bitmap):
