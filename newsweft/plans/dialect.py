@@ -157,6 +157,17 @@ def relations(d: Dialect) -> dict[str, str]:
             from pages p, (select count(*) as n from documents where doc_id % 20 = 4) c
             join issuers i on i.company_id = 4 + 20 * (p.page_id % c.n)
             join pages h on h.page_id = i.company_id % (select count(*) from pages)""",
+        # What is counted on a page: links and headings in its source, the text's length, and cards, dates and hints by the page's number.
+        "page_metrics": f"""
+            select m.page_id, 'https://' || {d.url_host("m.url")} || case m.page_id % 12 when 0 then '/blog/all' when 1 then '/news/' || m.w when 2 then '/press/insights' when 3 then '/news/2024/05/' || m.w || '-plan' when 4 then '/press/' || m.w || '/x-1' when 5 then '/blog/' || m.w when 6 then '/news/fr/'
+                    when 7 then '/press/2024' when 8 then '/news/2024/03' when 9 then '/news/' || m.w || '/today-1' when 10 then '/' || m.w else '/news/' || m.w || '?lang=fr' end as url,
+                case m.page_id % 24 when 0 then 'View all stories' when 1 then upper(m.w) when 2 then 'Insights' when 3 then 'A long headline about ' || m.w || ' and the plan of the council' when 4 then 'Press ' || m.w when 5 then 'Latest ' || m.w || ' (12)' when 6 then 'Acme Blog'
+                    when 7 then '2024 | Acme Works' when 8 then 'March 2024' when 9 then 'news ' || m.w || ' today' when 10 then m.w else m.w || ' opens' end as title, case m.page_id % 5 when 0 then 'All ' || m.w when 1 then 'More' when 2 then 'Read the long story of the plan' end as hint, case when m.page_id % 4 = 0 then 'listing_anchor' else 'page' end as title_source,
+                case when m.page_id % 3 = 0 then 'Insights' else m.w || ' page' end as replaced_title, m.page_id % 13 as articles, m.page_id % 6 as articles_with_h1, m.chars % 1700 as most_article_chars, m.chars % 2300 as chars,
+                m.links + case m.page_id % 7 when 0 then 20 when 1 then 60 when 2 then 120 else 0 end as links, case when m.page_id % 2 = 0 then 'generic:paragraph-cluster.v1' else 'article' end as selector,
+                case m.page_id % 17 when 0 then 'Showing posts 1 to 10 of ' || m.w when 1 then 'Featured articles ' || m.w || ' Previous page Next page' when 2 then repeat('Read article ' || m.w || ' ', 4) when 3 then repeat(m.w || ' read more ', 7) when 4 then 'News releases topics media contacts ' || m.w
+                    when 5 then 'There is a lack of results to match selected filters. Please adjust the filter options to broaden results' else m.w || ' text' end as body, m.page_id % 3 = 1 as dated, m.page_id % 10 as embedded_links
+            from (select page_id, url, length(html) as chars, cast((length(html) - length(replace(html, '<a ', ''))) / 3 as bigint) as links, 'w' || cast(page_id % 9 as string) || 'x' as v, case page_id % 9 when 0 then 'energy' when 1 then 'research' when 2 then 'partners' when 3 then 'people' else 'markets' end as w from pages where html is not null) m""",
         # Article URLs that speak for a publication, under paths whose shape goes by the source.
         "evidence": f"""
             select f.source_id, s.url as publication_url,
