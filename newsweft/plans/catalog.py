@@ -34,6 +34,7 @@ def _load() -> None:
     import newsweft.operators.gates
     import newsweft.operators.health
     import newsweft.operators.hubs
+    import newsweft.operators.imports
     import newsweft.operators.manifests
     import newsweft.operators.policies
     import newsweft.operators.reads
