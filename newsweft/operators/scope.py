@@ -327,3 +327,14 @@ def _q_ownership(r: Relations) -> DataFrame:
     found = F.array_compact(F.array(F.when(F.col("found_on").isNotNull(), F.struct("method", "found_on"))))
     reason = ownership_reason(F.col("candidate_url"), F.col("final_url"), found, _columns())
     return r.feed_claims.join(with_identity(r.issuers), "company_id").select("candidate_id", reason.alias("reason"))
+
+
+@query(
+    "vehicle_identity",
+    f"""with {_identity_sql()}, pub as (select id, company_id, title, canonical_url, {_ITEM_WORDS} from published)
+    select id, company_id, {" or ".join(f"host = '{h}' or ends_with(host, '.{h}')" for h in MANAGER_HOSTS)} as by_manager, {_mentions_sql()} as mentioned from pub join ident using (company_id) where vehicle""",
+)
+def _q_vehicles(r: Relations) -> DataFrame:
+    """Items of trusts and funds: on a manager's host several words of the name must be said, elsewhere a term is enough."""
+    funds = with_identity(r.issuers).where("vehicle")
+    return r.published.join(funds, "company_id").select("id", "company_id", is_below(U.bare_host(F.col("canonical_url")), MANAGER_HOSTS).alias("by_manager"), mentions_company(_columns()).alias("mentioned"))
