@@ -29,6 +29,7 @@ def query(name: str, oracle: str | None = None):
 
 def _load() -> None:
     import newsweft.operators.archive
+    import newsweft.operators.candidates
     import newsweft.operators.content
     import newsweft.operators.edits
     import newsweft.operators.evidence
