@@ -327,7 +327,7 @@ def _wide_signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 
 
 #: So many texts before it in its signature's order a text is compared with, besides the first, if ``near`` differs in at most so many bits.
-WINDOW, NEAR_BITS = 6, 5
+WINDOW, NEAR_BITS = 2, 4
 
 
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
