@@ -217,3 +217,35 @@ def _q_supersede(r: Relations) -> DataFrame:
 @query("hosts_in_order", "select split_part(regexp_replace(url, '^https?://', ''), '/', 1) as host, cast(count(*) as bigint) as n_pages, min(page_id) as first_page from pages group by 1")
 def _q_hosts(r: Relations) -> DataFrame:
     return r.pages.groupBy(F.split_part(F.regexp_replace("url", "^https?://", ""), F.lit("/"), F.lit(1)).alias("host")).agg(F.count(F.lit(1)).alias("n_pages"), F.min("page_id").alias("first_page"))
+
+
+# The reasons that fetches which failed for a while only may explain.
+THRESHOLD_REASONS = ("accepted_items_below_minimum", "acceptance_ratio_below_minimum")
+
+
+def transient_blocks(reports: DataFrame) -> DataFrame:
+    """(report_id, possible, blocked): whether a report fell short only because of fetches that may succeed later.
+
+    ``reports``: report_id, reasons, discovered, accepted, retryable, least_items, least_bps. Blocked is a report whose
+    reasons are all thresholds, with retryable failures, that would meet both thresholds had these been accepted.
+    """
+    possible = F.least(F.col("accepted") + F.col("retryable"), F.col("discovered"))
+    only = (F.size("reasons") > 0) & (F.size(F.array_except("reasons", F.array(*map(F.lit, THRESHOLD_REASONS)))) == 0)
+    met = (possible >= F.col("least_items")) & (T.ratio_bps(possible, F.col("discovered")) >= F.col("least_bps"))
+    return reports.select("report_id", possible.alias("possible"), F.coalesce(only & (F.col("retryable") > 0) & met, F.lit(False)).alias("blocked"))
+
+
+#: A source's runs as a report: items found, failed runs of which some may be tried again, and what it falls short of.
+_REPORTS = "select source_id as report_id, cast(count(*) as bigint) as discovered, cast(sum(case when succeeded and items_found > 2 then 1 else 0 end) as bigint) as accepted, cast(sum(case when not succeeded and k % 2 = 0 then 1 else 0 end) as bigint) as retryable, cast(floor(count(*) * 0.3) as bigint) as least_items, cast(2500 + (min(run_id) % 10) * 150 as bigint) as least_bps, cast(min(run_id) % 3 = 0 as int) as other from crawl_runs group by source_id"
+
+
+@query(
+    "transient_blocks",
+    f"with r as ({_REPORTS}), p as (select *, least(accepted + retryable, discovered) as possible from r) select report_id, possible, other = 0 and (accepted < least_items or accepted * 10000 // discovered < least_bps) and retryable > 0 and possible >= least_items and possible * 10000 // discovered >= least_bps as blocked from p",
+)
+def _q_transient(r: Relations) -> DataFrame:
+    """Sources short of accepted runs, with or without another reason beside."""
+    rows = r.sql(_REPORTS)
+    few, low = F.col("accepted") < F.col("least_items"), T.ratio_bps(F.col("accepted"), F.col("discovered")) < F.col("least_bps")
+    reasons = F.array_compact(F.array(F.when(few, THRESHOLD_REASONS[0]), F.when(low, THRESHOLD_REASONS[1]), F.when(F.col("other") == 1, "repeated_content")))
+    return transient_blocks(rows.withColumn("reasons", reasons))
