@@ -94,6 +94,16 @@ def release() -> None:
         trim(0)
 
 
+def freeing(step):
+    """``step`` of mapInArrow, at whose end the task hands back what the worker would keep while other stages run."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from step(batches)
+        release()
+
+    return run
+
+
 def word_hashes(words: pa.Array) -> np.ndarray:
     """XXH64 of each word with seed 42, as signed integers: what Spark's xxhash64 gives."""
     digest = xxhash.xxh64_intdigest

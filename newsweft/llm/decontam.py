@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsweft.llm.common import bitmap_of, in_bitmap, materialise, slabs, with_fresh_name, word_hashes, words_of
+from newsweft.llm.common import bitmap_of, freeing, in_bitmap, materialise, slabs, with_fresh_name, word_hashes, words_of
 
 #: Any WINDOW words with at most two substituted have an offset at which one mask sees only words that agree.
 MASKS = ((0, 1, 2, 3, 4, 6), (0, 2, 3, 7, 8, 9))
@@ -187,7 +187,7 @@ def _matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     lengths = items.filter((F.size("words") < WINDOW) & (F.size("words") >= SHORTEST)).select(F.size("words").alias("n")).distinct().collect()
     masks = MASKS + tuple(sorted({tuple(range(short_blocks(r["n"])[1])) for r in lengths}))
     shared = docs.sparkSession.sparkContext.broadcast(bitmap_of(seeds, "hash"))
-    found = docs.select("doc_id", _row_key().alias("row_key"), "text").mapInArrow(_regions(shared, masks), f"doc_id {kind['doc_id']}, row_key bigint, words array<bigint>, at array<int>, hash array<bigint>")
+    found = docs.select("doc_id", _row_key().alias("row_key"), "text").mapInArrow(freeing(_regions(shared, masks)), f"doc_id {kind['doc_id']}, row_key bigint, words array<bigint>, at array<int>, hash array<bigint>")
     regions = materialise(found.withColumn("rid", F.monotonically_increasing_id()), "benchmark-regions")
     hits = regions.select("rid", F.explode(F.arrays_zip("at", "hash")).alias("s")).select("rid", F.col("s.at").alias("doc_at"), "s.hash")
     # Spark takes the exploded side for as small as its input and might broadcast it.

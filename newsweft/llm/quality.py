@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from newsweft.llm.common import is_held_out, materialise, slabs, word_hashes, words_of
+from newsweft.llm.common import freeing, is_held_out, materialise, slabs, word_hashes, words_of
 
 #: Labelled rows that the model is fitted on at most, by hash order of their ids; its vocabulary and least document count.
 FIT_ROWS, VOCABULARY, LEAST_DOCS = 6000, 20000, 4
@@ -244,7 +244,7 @@ def score(docs: DataFrame, model: Model, out: str = "score", text: str = "text")
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(scores, pa.float64())], [*kept, out])
 
     narrow = docs.select(*[F.col(f"`{c}`") for c in kept])
-    return narrow.mapInArrow(step, StructType([*narrow.schema.fields, StructField(out, DoubleType())]))
+    return narrow.mapInArrow(freeing(step), StructType([*narrow.schema.fields, StructField(out, DoubleType())]))
 
 
 def classify(docs: DataFrame, labels: DataFrame, label: str = "quality", accept: float = ACCEPT) -> DataFrame:

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from newsweft.llm.common import bitmap_of, byte_hashes, in_bitmap, materialise, shared_dir, slabs, spread, with_fresh_name, words_of
+from newsweft.llm.common import bitmap_of, byte_hashes, freeing, in_bitmap, materialise, shared_dir, slabs, spread, with_fresh_name, words_of
 
 SEED = 42
 SHINGLE = 3
@@ -368,12 +368,14 @@ def candidates(fps: DataFrame) -> DataFrame:
     """(a, b): distinct texts whose fingerprints have a segment that differs in at most one bit, by way of each bucket's first text and of neighbours.
 
     Where many texts share a signature, another segment puts them in an order, and each meets those just before it. A
-    near pair shares most of its signatures, each with an order of its own, so it stands side by side under some.
+    near pair shares most of its signatures, each with an order of its own, so it stands side by side under some. That
+    makes most groups at little cost but may tell a partner too few; ``untold`` is the exact way for the rest. Every
+    text that has a partner is an end of some pair here: those that share its segment stand in its exact signature.
     """
     spread_out = spread(fps, 50_000)
-    rows = spread_out.mapInArrow(_wide_signatures, "sig bigint, side tinyint, near int, key bigint")
+    rows = spread_out.mapInArrow(freeing(_wide_signatures), "sig bigint, side tinyint, near int, key bigint")
     parts = max(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), spread_out.rdd.getNumPartitions() * 66 * WIDE * 50_000 // SIGNATURES)
-    return rows.repartition(parts, "sig").sortWithinPartitions("sig", "near", "key").mapInArrow(_stars, "a bigint, b bigint").distinct()
+    return rows.repartition(parts, "sig").sortWithinPartitions("sig", "near", "key").mapInArrow(freeing(_stars), "a bigint, b bigint").distinct()
 
 
 def _sets(bitmap):
@@ -397,36 +399,133 @@ def _verified(similar: float):
     return step
 
 
-def near_links(docs: DataFrame, text: str = "text", similar: float = SIMILAR) -> DataFrame:
-    """(a, b): keys of different texts whose five-word shingles have a Jaccard similarity of ``similar`` or more.
+#: Rows of a shingle that are compared in one go, with themselves and with as many others.
+BLOCK = 256
+_TOKENS = 1 << 18
+
+
+def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, label, size, token): a row for each shingle of a text, ``size`` of them."""
+    for batch in batches:
+        sizes = np.asarray(pc.binary_length(batch.column("shingles"))) // 4
+        ends, start = np.cumsum(sizes, dtype=np.int64), 0
+        while start < batch.num_rows:
+            stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + _TOKENS, "right")))
+            tokens = np.frombuffer(b"".join(batch.column("shingles").slice(start, stop - start).to_pylist()), np.int32)
+            of = np.repeat(np.arange(start, stop), sizes[start:stop])
+            yield pa.RecordBatch.from_arrays([batch.column("key").take(pa.array(of)), batch.column("label").take(pa.array(of)), pa.array(sizes[of].astype(np.int32)), pa.array(tokens)], ["key", "label", "size", "token"])
+            start = stop
+
+
+_ROW = ("token", "one", "two", "block", "key", "label", "size", "place")
+
+
+def _block_pairs(similar: float):
+    """Rows sorted by (token, one, two, size) in; (a, b) out: texts of different groups that may be alike.
+
+    All rows of two blocks of a token are compared, as far as their sizes allow. If it is the first shingle in order
+    that both have, they share no more than what either has from there on.
+    """
+    share = similar / (1 + similar)
+
+    def pairs(token, one, two, block, key, label, size, place):
+        group = np.cumsum(np.r_[False, (token[1:] != token[:-1]) | (one[1:] != one[:-1]) | (two[1:] != two[:-1])])
+        at, back, left = np.arange(len(key)), 1, size - place
+        while len(at := at[at + back < len(key)]):
+            on = (group[at] == group[at + back]) & (size[at + back] * similar <= size[at] + 1e-6)
+            at = at[on]
+            to = at + back
+            ok = (label[at] != label[to]) & ((one[at] == two[at]) | (block[at] != block[to])) & (np.minimum(left[at], left[to]) >= share * (size[at] + size[to]) - 1e-6)
+            if ok.any():
+                a, b = key[at[ok]], key[to[ok]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+            back += 1
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = [np.asarray(batch.column(c)) for c in _ROW]
+            rows = rows if held is None else [np.concatenate(x) for x in zip(held, rows)]
+            whole = np.flatnonzero((rows[0] != rows[0][-1]) | (rows[1] != rows[1][-1]) | (rows[2] != rows[2][-1]))
+            cut = int(whole[-1]) + 1 if len(whole) else 0
+            held = [x[cut:] for x in rows]
+            if cut:
+                yield from pairs(*(x[:cut] for x in rows))
+        if held is not None:
+            yield from pairs(*held)
+
+    return step
+
+
+def untold(sets: DataFrame, similar: float = SIMILAR) -> DataFrame:
+    """(a, b): pairs of texts (key, label, shingles) of different labels, among them all that are alike to ``similar`` or more.
+
+    Alike texts share one of the first shingles of each, as many as may differ and one, in any order that is the same
+    for all. Shingles of one label come first, since no pair is to be found by them, then rare ones. A shingle that
+    many texts have is cut into blocks, and each block meets each, so no count of texts is too large for a task.
+    """
+    tokens = sets.mapInArrow(freeing(_tokens), "key bigint, label bigint, size int, token int")
+    several = lambda rows: rows.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("n")).filter("low <> high").select("token", "n")
+    shared = tokens.join(several(tokens).hint("merge"), "token").groupBy("key").agg(F.first("label").alias("label"), F.first("size").alias("size"), F.sort_array(F.collect_list(F.struct("n", "token"))).alias("met"))
+    before = F.col("size") - F.size("met")
+    first = F.col("size") - F.ceil(F.col("size") * similar - 1e-6).cast("int") + 1 - before
+    placed = shared.filter(first > 0).select("key", "label", "size", before.alias("before"), F.posexplode(F.slice("met", F.lit(1), first)).alias("i", "t"))
+    prefixes = materialise(placed.select(F.col("t.token").alias("token"), "key", "label", "size", (F.col("before") + F.col("i")).alias("place")), "near-prefixes")
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    met = prefixes.join(several(prefixes).hint("merge"), "token").withColumn("block", F.pmod(F.xxhash64("key"), blocks).cast("int"))
+    dealt = met.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1))).select("token", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "block", "key", "label", "size", "place")
+    return dealt.repartition("token", "one", "two").sortWithinPartitions("token", "one", "two", "size").mapInArrow(freeing(_block_pairs(similar)), "a bigint, b bigint").distinct()
+
+
+def _near(docs: DataFrame, text: str, similar: float) -> tuple[DataFrame, DataFrame]:
+    """(a, b) links, and edges (a, b) with the same components of which fewer are left to walk.
 
     Candidates come from segments of a 256-bit fingerprint of the words. First each text is verified against one of
-    its candidates; of the other candidates only those between different groups are left to verify.
+    its candidates; of the other candidates only those between different groups are left to verify. Last, all texts
+    with partners that no pair told are compared across groups, so of texts that share a segment but for one bit every
+    two that are alike end in one group.
     """
     keyed = docs.select(_text_key(F.col(text)).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    fps = materialise(keyed.mapInArrow(_wide_rows, "key bigint, " + ", ".join(f"f{k} bigint" for k in range(WIDE))).dropDuplicates(["key"]), "near-fingerprints")
+    fps = materialise(keyed.mapInArrow(freeing(_wide_rows), "key bigint, " + ", ".join(f"f{k} bigint" for k in range(WIDE))).dropDuplicates(["key"]), "near-fingerprints")
     pairs = materialise(candidates(fps), "near-candidates")
     ends = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
     bitmap = docs.sparkSession.sparkContext.broadcast(bitmap_of(ends, "key"))
-    sets = materialise(keyed.mapInArrow(_sets(bitmap), "key bigint, shingles binary").dropDuplicates(["key"]).join(ends, "key", "left_semi"), "near-sets")
+    sets = materialise(keyed.mapInArrow(freeing(_sets(bitmap)), "key bigint, shingles binary").dropDuplicates(["key"]).join(ends, "key", "left_semi"), "near-sets")
 
     def verify(edges: DataFrame) -> DataFrame:
         one, two = sets.select(F.col("key").alias("a"), F.col("shingles").alias("one")), sets.select(F.col("key").alias("b"), F.col("shingles").alias("two"))
-        return edges.join(one, "a").join(two, "b").select("a", "b", "one", "two").mapInArrow(_verified(similar), "a bigint, b bigint")
+        return edges.join(one, "a").join(two, "b").select("a", "b", "one", "two").mapInArrow(freeing(_verified(similar)), "a bigint, b bigint")
 
     both = pairs.union(pairs.select("b", "a"))
-    first = materialise(both.groupBy("a").agg(F.min("b").alias("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near-first")
+    mates = materialise(both.groupBy("a").agg(F.min("b").alias("b"), F.count(F.lit(1)).alias("n")), "near-mates")
+    first = materialise(mates.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near-first")
     found = materialise(verify(first), "near-links")
     groups = components(found)
+    star = lambda g: g.filter("node <> label").select(F.col("node").alias("a"), F.col("label").alias("b"))
     label = lambda c: groups.select(F.col("node").alias(c), F.col("label").alias(f"{c}_label"))
     apart = pairs.join(first, ["a", "b"], "left_anti").join(label("a"), "a", "left").join(label("b"), "b", "left")
     open_ = apart.filter(F.coalesce("a_label", "a") != F.coalesce("b_label", "b")).select("a", "b")
-    return found.union(materialise(verify(open_), "near-links"))
+    more = materialise(verify(open_), "near-links")
+    # Two texts with one candidate each, the other, are told all they have.
+    lone = mates.filter("n = 1").select("a", "b")
+    told = lone.join(lone.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_semi").select(F.col("a").alias("key"))
+    groups = components(star(groups).union(more))
+    left = sets.join(told, "key", "left_anti").join(label("key"), "key", "left").select("key", F.coalesce("key_label", "key").alias("label"), "shingles")
+    # Candidates of different groups have been verified.
+    rest = materialise(verify(untold(left, similar).join(pairs, ["a", "b"], "left_anti")), "near-links")
+    return found.union(more).union(rest), star(groups).union(rest)
+
+
+def near_links(docs: DataFrame, text: str = "text", similar: float = SIMILAR) -> DataFrame:
+    """(a, b): keys of different texts whose five-word shingles have a Jaccard similarity of ``similar`` or more."""
+    return _near(docs, text, similar)[0]
 
 
 def near_classes(docs: DataFrame, text: str = "text", similar: float = SIMILAR) -> DataFrame:
     """(key, label) for each different text that has a near copy: the least key of those it reaches over links."""
-    return components(near_links(docs, text, similar)).select(F.col("node").alias("key"), "label")
+    return components(_near(docs, text, similar)[1]).select(F.col("node").alias("key"), "label")
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similar: float = SIMILAR) -> DataFrame:

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from newsweft.llm import simhash
 
@@ -53,3 +55,44 @@ def test_stars_whatever_the_batches(monkeypatch):
         batches = [pa.RecordBatch.from_arrays([pa.array([x[0] for x in part], pa.int64()), pa.array([x[2] for x in part], pa.int8()), pa.array([x[1] for x in part], pa.int32()), pa.array([x[3] for x in part], pa.int64())], ["sig", "side", "near", "key"]) for part in (rows[a : a + size] for a in range(0, 60, size))]
         got = {(a, b) for batch in simhash._stars(iter(batches)) for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist())}
         assert got == want
+
+
+def crowd(n, seed=7):
+    """n / 2 pairs that differ in one word of 200, of which all texts share 194, so that all stand under the same signatures."""
+    r = random.Random(seed)
+    word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(3, 9)))
+    shared, texts = [word() for _ in range(194)], []
+    for _ in range(n // 2):
+        text = shared[:]
+        for j in range(6):
+            text.insert(j * 30 + 20, word())
+        other = text[:]
+        other[r.randrange(len(other))] = word()
+        texts += [" ".join(text), " ".join(other)]
+    return texts
+
+
+@pytest.mark.parametrize("block", [7, 1024])
+def test_no_pair_under_a_crowded_signature_is_lost(spark, monkeypatch, block):
+    """Classes are those of all alike pairs with a segment that differs in one bit at most, whatever the size of a bucket."""
+    monkeypatch.setattr(simhash, "BLOCK", block)
+    texts = crowd(800) + [t for _, t in boilerplate(200)]
+    column = pa.array(texts).cast(pa.large_string())
+    segments, sets = simhash.wide_fingerprints(column).view(np.uint32), simhash.shingle_sets(column)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(8)
+    place = {r["k"]: r["doc_id"] for r in docs.select(simhash._text_key(F.col("text")).alias("k"), "doc_id").collect()}
+    want = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in np.flatnonzero((np.bitwise_count(segments[i + 1 :] ^ segments[i]) <= 1).any(axis=1)) + i + 1:
+            if want[i] != want[j] and simhash.jaccard(sets[i], sets[j]) >= simhash.SIMILAR:
+                low, high = sorted((want[i], want[j]))
+                want = [low if w == high else w for w in want]
+    got = dict(enumerate(range(len(texts))))
+    rows = [(place[r["key"]], r["label"]) for r in simhash.near_classes(docs).collect()]
+    least = {label: min(i for i, other in rows if other == label) for _, label in rows}
+    got.update({i: least[label] for i, label in rows})
+    # No class is smaller than by those pairs; one may be larger by an alike pair with no such segment.
+    assert all(got[i] == got[w] for i, w in enumerate(want))
+    links = simhash.near_links(docs).collect()
+    assert all(simhash.jaccard(sets[place[e["a"]]], sets[place[e["b"]]]) >= simhash.SIMILAR for e in links)
+    assert sum(w != i for i, w in enumerate(want)) >= 450
