@@ -21,7 +21,7 @@ def many_pages(tmp_path_factory, sf_dir):
     return str(made)
 
 
-@pytest.mark.parametrize("name", ["cross_company_quarantine", "host_policy", "ownership_reasons", "quarantine", "scope_mentions"])
+@pytest.mark.parametrize("name", ["cross_company_quarantine", "host_policy", "ownership_reasons", "quarantine", "scope_mentions", "vehicle_identity"])
 def test_items_are_broadcast(spark, many_pages, name):
     # The sides are small once they have run, but not by their files.
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "32k")
