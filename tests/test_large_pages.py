@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 
 import pytest
 
@@ -30,3 +31,15 @@ def test_items_are_broadcast(spark, many_pages, name):
         assert compare.difference(rows, compare.connect(many_pages), catalog.oracle_sql()[name]) == ""
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+@pytest.mark.parametrize("name", ["alias_mentions"])
+def test_no_text_travels(spark, sf_dir, name):
+    """What is read off a text is read before the rows are dealt out."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = spark._jvm.PythonSQLUtils.explainString(catalog.queries()[name](spark, sf_dir)._jdf.queryExecution(), "formatted")
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    dealt = re.findall(r"^\(\d+\) Exchange\nInput \[\d+\]: \[(.*)\]$", plan, re.M)
+    assert dealt and not [x for x in dealt if re.search(r"\b(text|body_text)#", x)]
